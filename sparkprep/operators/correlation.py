@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkprep._columns import NUMERIC, c, numeric_columns, require
+from sparkprep._columns import NUMERIC, c, free_name, numeric_columns, require
 from sparkprep.operators.ordering import running_totals
 from sparkprep.session import cut
 
@@ -37,9 +37,10 @@ def correlation_matrix(
         found = found.unionByName(methods[method](df, pairs))
     found = found.withColumn("r", F.when(F.col("n") >= max(min_periods, 1), F.col("r")))
     both = found.unionByName(found.where(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "n", "r"))
-    matrix = both.groupBy("a").agg(*[F.max(F.when(F.col("b") == n, F.col("r"))).alias(n) for n in names])
+    index = free_name(index_name, names)
+    matrix = both.groupBy(F.col("a").alias(index)).agg(*[F.max(F.when(F.col("b") == n, F.col("r"))).alias(n) for n in names])
     position = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
-    return matrix.orderBy(position[F.col("a")]).withColumnRenamed("a", index_name)
+    return matrix.orderBy(position[c(index)])
 
 
 def _diagonal(df: DataFrame, names: list[str]) -> DataFrame:
