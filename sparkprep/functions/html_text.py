@@ -16,8 +16,18 @@ class _Walker(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, dict]] = []
 
+    # Tags that end an open one of their kind, and the containers that keep an outer one open.
+    ends_itself: dict[str, frozenset[str]] = {}
+
     def handle_starttag(self, tag, attrs):
         attrs = {k: v or "" for k, v in attrs}
+        if tag in self.ends_itself:
+            for name, _ in reversed(self.open):
+                if name in self.ends_itself[tag]:
+                    break
+                if name == tag:
+                    self.handle_endtag(tag)
+                    break
         self.enter(tag, attrs)
         if tag not in VOID:
             self.open.append((tag, attrs))
@@ -89,6 +99,11 @@ _HIDDEN = frozenset("script style head template noscript".split())
 
 
 class _Markdown(_Walker):
+    ends_itself = {
+        "li": frozenset(("ul", "ol")), "p": frozenset(("div", "li", "td", "blockquote", "article", "section")),
+        "tr": frozenset(("table",)), "td": frozenset(("tr",)), "th": frozenset(("tr",)),
+    }
+
     def __init__(self, strip, convert, autolinks):
         super().__init__()
         self.strip, self.convert, self.autolinks = strip, convert, autolinks

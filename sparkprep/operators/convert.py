@@ -38,7 +38,7 @@ def _converted(df: DataFrame, column: str, target: str) -> Column:
             value = F.when(number == F.floor(number), value)
         if unsigned:
             top = 2 ** int(bits) - 1
-            value = F.when((value >= 0) & (value <= F.lit(top).cast("decimal(20,0)")), value)
+            value = F.when((value >= 0) & (value <= F.lit(str(top)).cast("decimal(20,0)")), value)
         return value
     if name in ("numeric", "float64", "Float64", "double"):
         return cell.try_cast("double")

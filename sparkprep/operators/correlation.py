@@ -66,7 +66,9 @@ def _pearson(df: DataFrame, pairs) -> DataFrame:
         varies = (F.max(F.when(present, x)) > F.min(F.when(present, x))) & (
             F.max(F.when(present, y)) > F.min(F.when(present, y))
         )
-        r = F.when(varies, F.corr(F.when(present, x), F.when(present, y)))
+        xs, ys = F.when(present, x), F.when(present, y)
+        # corr() itself fails on a constant column, which has no correlation.
+        r = F.when(varies, F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys)))
         stats += [F.count(F.when(present, F.lit(1))).alias(f"_n{i}"), r.alias(f"_r{i}")]
         cells.append(
             F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_n{i}").alias("n"), F.col(f"_r{i}").alias("r"))

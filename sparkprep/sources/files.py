@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,26 +57,27 @@ def read_csv(
     source = path if isinstance(path, (str, list)) else str(path)
     if separator == "infer":
         separator = _guess_separator(spark, source, encoding, skip_lines)
-    mode = "FAILFAST" if on_bad_lines == "error" else "DROPMALFORMED"
+    mode = "FAILFAST" if on_bad_lines == "error" else "PERMISSIVE"
     reader = spark.read.option("sep", separator).option("encoding", encoding).option("quote", quote).option("mode", mode)
     # Doubled quotes inside a quoted cell are one quote.
     reader = reader.option("escape", escape or quote).option("header", str(header).lower()).options(**options)
-    if schema is not None:
-        reader = reader.schema(schema)
-    elif decimal == ".":
-        reader = reader.option("inferSchema", "true")
     if skip_lines:
-        lines = _lines_after(spark, source, encoding, skip_lines)
-        df = _checked(lambda: reader.csv(lines.rdd.map(lambda r: r[0])), path)
+        df = _after_lines(spark, source, encoding, skip_lines, separator, quote, header)
+        df = _inferred(df) if schema is None and decimal == "." else df
+        df = _with_schema(df, schema) if schema is not None else df
     else:
+        if schema is not None:
+            reader = reader.schema(schema)
+        elif decimal == ".":
+            reader = reader.option("inferSchema", "true")
         df = _checked(lambda: reader.csv(source), path)
+        if on_bad_lines != "error":
+            df = _good_lines(reader, source, df, on_bad_lines == "warn")
     if names:
         names = list(names)
         df = df.toDF(*names, *df.columns[len(names):])
     if decimal != "." and schema is None:
         df = _with_decimal(df, decimal)
-    if on_bad_lines == "warn":
-        _warn_bad_lines(spark, reader, source, df, header)
     return _limited(df, limit)
 
 
@@ -92,12 +94,47 @@ def _guess_separator(spark: SparkSession, path, encoding: str, skip: int) -> str
     return max(_SEPARATORS, key=score)
 
 
-def _lines_after(spark: SparkSession, path, encoding: str, skip: int) -> DataFrame:
-    """The lines of each file after the first ``skip``. A file of this kind is read whole by one task, to know its order."""
-    reader = spark.read.option("encoding", encoding).option("wholetext", "true")
-    texts = reader.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value"))
-    lines = F.slice(F.split("value", r"\r?\n"), skip + 1, 2**31 - 1 - skip)
-    return texts.select(F.explode(lines).alias("value")).where(F.trim("value") != "")
+def _after_lines(spark: SparkSession, path, encoding: str, skip: int, separator: str, quote: str, header: bool) -> DataFrame:
+    """The records of each file after its first ``skip`` lines, as text columns.
+
+    Only a reader of the whole file knows which lines come first, so each file is cut into lines by one task.
+    """
+    reader = spark.read.option("encoding", encoding)
+    texts = _checked(lambda: reader.text(path, wholetext=True), path).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x, i: (i >= skip) & (F.trim(x) != ""))
+    options = {"sep": separator, "quote": quote, "escape": quote}
+    first = texts.select(F.get(lines, F.lit(0)).alias("value")).where("value is not null").first()
+    if first is None:
+        raise ValueError(f"no lines left in {path!r} after skipping {skip}")
+    head = spark.createDataFrame([first]).select(F.from_csv("value", _text_columns(first[0].count(separator) + 1), options).alias("r"))
+    cells = [x for x in head.first()["r"] if x is not None]
+    rows = texts.select(F.explode(F.slice(lines, 2, F.size(lines)) if header else lines).alias("value"))
+    records = rows.select(F.from_csv("value", _text_columns(len(cells)), options).alias("r")).select("r.*")
+    return records.toDF(*(cells if header else records.columns))
+
+
+def _text_columns(n: int) -> str:
+    return ", ".join(f"_c{i} string" for i in range(n))
+
+
+def _inferred(df: DataFrame) -> DataFrame:
+    """Text columns in the first type that fits all their values; one aggregate over the table."""
+    kinds = ("int", "bigint", "double", "boolean", "date", "timestamp_ntz")
+    checks = [
+        F.count_if(c(n).isNotNull() & c(n).try_cast(k).isNull()).alias(f"_{k}{i}") for i, n in enumerate(df.columns) for k in kinds
+    ]
+    filled = [F.count(c(n)).alias(f"_n{i}") for i, n in enumerate(df.columns)]
+    bad = df.agg(*checks, *filled).first()
+    out = []
+    for i, n in enumerate(df.columns):
+        kind = next((k for k in kinds if bad[f"_{k}{i}"] == 0), "string") if bad[f"_n{i}"] else "string"
+        out.append(c(n).cast(kind).alias(n))
+    return df.select(*out)
+
+
+def _with_schema(df: DataFrame, schema: str | T.StructType) -> DataFrame:
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    return df.select(*[c(old).cast(f.dataType).alias(f.name) for old, f in zip(df.columns, fields)])
 
 
 def _with_decimal(df: DataFrame, mark: str) -> DataFrame:
@@ -111,15 +148,17 @@ def _with_decimal(df: DataFrame, mark: str) -> DataFrame:
     return df.withColumns(whole) if whole else df
 
 
-def _warn_bad_lines(spark, reader, source, df, header) -> None:
-    import warnings
-
+def _good_lines(reader: DataFrameReader, source, df: DataFrame, warn: bool) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    checked = spark.read.schema(schema).option("mode", "PERMISSIVE").option("header", str(header).lower())
-    checked = checked.option("columnNameOfCorruptRecord", "_corrupt_record")
-    bad = checked.csv(source).select("*").where("_corrupt_record is not null").count()
-    if bad:
-        warnings.warn(f"{bad} malformed lines were left out of {source}", stacklevel=3)
+    checked = reader.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record").csv(source)
+    # A query that needs few columns reads only those and would not notice bad lines by the others. The hash, true for
+    # every row, makes every query read all of them, so that a line is bad or not whatever is asked.
+    all_read = F.hash(*[c(n) for n in df.columns]) >= F.lit(-(2**31))
+    if warn:
+        bad = checked.where(all_read & F.col("_corrupt_record").isNotNull()).count()
+        if bad:
+            warnings.warn(f"{bad} malformed lines were left out of {source}", stacklevel=3)
+    return checked.where(all_read & F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
 def read_json(
@@ -139,14 +178,14 @@ def read_json(
         reader = spark.read.option("multiLine", str(not lines).lower())
         reader = reader.schema(schema) if schema is not None else reader
         return _limited(_checked(lambda: reader.json(path), path), limit)
-    texts = _checked(lambda: spark.read.option("wholetext", "true").text(path), path)
-    document = texts.select(F.parse_json("value").alias("doc"))
+    texts = _checked(lambda: spark.read.text(path, wholetext=True), path)
+    document = texts.select(F.input_file_name().alias("file"), F.parse_json("value").alias("doc"))
     return _limited(_oriented(document, orient, schema), limit)
 
 
 def _oriented(document: DataFrame, orient: str, schema) -> DataFrame:
     """Rows of a whole-document layout: each becomes a JSON object, then columns by the common type of all of them."""
-    text = document.select(F.col("doc").cast("string").alias("doc"))
+    text = document.select("file", F.col("doc").cast("string").alias("doc"))
     if orient == "table":
         rows = document.select(F.explode(F.variant_get("doc", "$.data", "array<variant>")).alias("row"))
     elif orient == "index":
@@ -154,7 +193,7 @@ def _oriented(document: DataFrame, orient: str, schema) -> DataFrame:
         rows = text.select(F.explode(entries).alias("e")).select(F.parse_json("e.value").alias("row"))
     elif orient == "columns":
         entries = F.map_entries(F.from_json("doc", "map<string,map<string,string>>"))
-        cells = text.select(F.monotonically_increasing_id().alias("file"), F.explode(entries).alias("e"))
+        cells = text.select("file", F.explode(entries).alias("e"))
         cells = cells.select("file", "e.key", F.explode("e.value").alias("at", "value"))
         pairs = F.map_from_entries(F.collect_list(F.struct("key", "value")))
         made = cells.groupBy("file", "at").agg(F.to_json(pairs, {"ignoreNullFields": "false"}).alias("row"))
@@ -177,25 +216,11 @@ def _oriented(document: DataFrame, orient: str, schema) -> DataFrame:
     return rows.select(F.variant_get("row", "$", kind).alias("r")).select("r.*")
 
 
-def _typed_texts(rows: DataFrame, names: list[str], schema) -> DataFrame:
-    """Cells that arrived as text: whole columns of numbers or booleans get that type."""
+def _typed_texts(rows: DataFrame, names: list[str], schema: str | T.StructType | None) -> DataFrame:
+    """Cells that arrived as text, by name."""
     flat = rows.select(F.from_json("row", "map<string,string>").alias("m"))
     flat = flat.select(*[F.try_element_at("m", F.lit(n)).alias(n) for n in names])
-    if schema is not None:
-        kinds = {f.name: f.dataType for f in T.StructType.fromDDL(schema).fields} if isinstance(schema, str) else {
-            f.name: f.dataType for f in schema.fields
-        }
-        return flat.select(*[c(n).cast(kinds[n]).alias(n) for n in names])
-    checks = []
-    for i, n in enumerate(names):
-        for kind in ("bigint", "double", "boolean"):
-            checks.append(F.count_if(c(n).isNotNull() & c(n).try_cast(kind).isNull()).alias(f"_{kind}{i}"))
-    bad = flat.agg(*checks).first()
-    out = []
-    for i, n in enumerate(names):
-        kind = next((k for k in ("bigint", "double", "boolean") if bad[f"_{k}{i}"] == 0), "string")
-        out.append(c(n).cast(kind).alias(n))
-    return flat.select(*out)
+    return _with_schema(flat, schema) if schema is not None else _inferred(flat)
 
 
 def read_parquet(spark: SparkSession, path: str | list[str], limit: int | None = None) -> DataFrame:
