@@ -17,6 +17,13 @@ from sparkprep.functions.chunking import pack, split_fixed, split_recursive, spl
 from sparkprep.functions.html_text import html_markdown, html_text
 
 
+# The white space that str.strip() takes off.
+_BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def to_documents(df: DataFrame, content: str) -> DataFrame:
     """page_content and metadata (all other columns as a map of text)."""
     require(df, [content])
@@ -63,7 +70,7 @@ def _windows(df: DataFrame, column: str, size: int, overlap: int, name: str, num
     # A window starts while there is text beyond the overlap with the one before.
     last = F.greatest(F.ceil((F.char_length(text) - overlap) / F.lit(step)) - 1, F.lit(0))
     starts = F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))
-    chunks = F.transform(starts, lambda k: F.regexp_replace(F.substr(text, (k * step + 1).cast("int"), F.lit(size)), r"(?U)^\s+|\s+$", ""))
+    chunks = F.transform(starts, lambda k: F.btrim(F.substr(text, (k * step + 1).cast("int"), F.lit(size)), F.lit(_BLANKS)))
     kept = F.filter(chunks, lambda x: x != "")
     others = [c(n) for n in df.columns if n != column]
     return df.select(*others, F.posexplode(kept).alias(number, name))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkprep._columns import NUMERIC, c, free_name, numeric_columns, require
+from sparkprep.operators import ordering
 from sparkprep.operators.ordering import running_totals
 from sparkprep.session import cut
 
@@ -90,25 +91,33 @@ def _pair_counts(df: DataFrame, pairs) -> DataFrame:
     return cut(long.groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n")), "pairs")
 
 
-def _marginal(counts: DataFrame, value: str) -> DataFrame:
-    """Per pair of columns and value: how many rows have it, and how many have a smaller one."""
-    marginal = counts.groupBy("a", "b", value).agg(F.sum("n").alias("_t"))
-    return running_totals(marginal, ["a", "b"], [value], {"_before": "_t"}, distinct_order=True)
-
-
-def _spearman(df: DataFrame, pairs) -> DataFrame:
-    """Pearson over average ranks; the ranks of a pair are taken among the rows where both values are present."""
-    counts = _pair_counts(df, pairs)
+def _ranked(counts: DataFrame) -> DataFrame:
+    """rank_x and rank_y: average ranks of the values, in their pair of columns."""
+    if counts.count() <= ordering.ONE_TASK_VALUES:
+        for value in ("x", "y"):
+            upto = F.sum("n").over(Window.partitionBy("a", "b").orderBy(value))
+            same = F.sum("n").over(Window.partitionBy("a", "b", value))
+            counts = counts.withColumn(f"rank_{value}", upto - (same - 1) / 2)
+        return counts
     for value in ("x", "y"):
-        # Average rank of a value, relative to the middle rank (n + 1) / 2 so that sums keep their precision.
-        ranks = _marginal(counts, value).select(
+        marginal = counts.groupBy("a", "b", value).agg(F.sum("n").alias("_t"))
+        ranks = running_totals(marginal, ["a", "b"], [value], {"_before": "_t"}, distinct_order=True).select(
             F.col("a").alias("_a"), F.col("b").alias("_b"), F.col(value).alias("_value"),
             (F.col("_before") + (F.col("_t") + 1) / 2).alias(f"rank_{value}"),
         )
         on = (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & (F.col(value) == F.col("_value"))
-        counts = counts.join(ranks, on).drop("_a", "_b", "_value")
+        # As many ranks as values: too many to broadcast on the word of a compressed file size.
+        counts = counts.join(ranks.hint("shuffle_hash"), on).drop("_a", "_b", "_value")
+    return counts
+
+
+def _spearman(df: DataFrame, pairs) -> DataFrame:
+    """Pearson over average ranks; the ranks of a pair are taken among the rows where both values are present."""
+    counts = _pair_counts(df, pairs)
     sizes = counts.groupBy("a", "b").agg(F.sum("n").alias("_size"))
     sizes = sizes.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "_size")  # one row per pair of columns
+    counts = _ranked(counts)
+    # Ranks relative to the middle rank (n + 1) / 2, so that the sums keep their precision.
     placed = counts.join(F.broadcast(sizes), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
     middle = (F.col("_size") + 1) / 2
     dx, dy = F.col("rank_x") - middle, F.col("rank_y") - middle

@@ -77,26 +77,36 @@ def explode_json(
     without it a later column replaces an earlier one of the same name.
     """
     require(df, [column])
-    parsed = df.withColumn("_json", _parsed(df, column)).where(c(column).isNull() | F.col("_json").isNotNull())
-    as_items = F.try_variant_get("_json", "$", "array<variant>")
-    no_item = F.lit(None).cast("variant")
-    items = F.when(as_items.isNull(), F.array("_json")).when(F.size(as_items) == 0, F.array(no_item)).otherwise(as_items)
-    is_object = F.coalesce(F.schema_of_variant("_item").startswith("OBJECT"), F.lit(False))
-    plain = as_items.isNotNull() & ~F.exists(
-        F.coalesce(as_items, F.array()), lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False))
+    # Parsed once, in a column of its own. Bad JSON has no items, so its row goes without a filter.
+    parsed = df.select("*", _parsed(df, column).alias("_json"))
+    parsed = parsed.select("*", F.try_variant_get("_json", "$", "array<variant>").alias("_list"))
+    no_item = F.array(F.lit(None).cast("variant"))
+    items = (
+        F.when(c(column).isNull(), no_item).when(F.col("_json").isNull(), F.array().cast("array<variant>"))
+        .when(F.col("_list").isNull(), F.array("_json")).when(F.size("_list") == 0, no_item).otherwise(F.col("_list"))
     )
+
+    def is_object(x: Column) -> Column:
+        return F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False))
+
+    plain = F.when(F.col("_list").isNotNull(), ~F.exists("_list", is_object)).otherwise(F.lit(False))
     rows = parsed.select(*[c(n) for n in df.columns], plain.alias("_plain"), F.explode(items).alias("_item"))
     if schema is None and item_type is None:
+        in_objects = F.when(~F.col("_plain"), F.col("_item"))
         seen = rows.agg(
-            F.schema_of_variant_agg(F.when(is_object, F.col("_item"))),
-            F.max("_plain"),
+            F.schema_of_variant_agg(in_objects), F.max("_plain"),
             F.schema_of_variant_agg(F.when(F.col("_plain"), F.col("_item"))),
         ).first()
-        schema = _ddl(seen[0])
+        found = seen[0]
+        if found == "VARIANT":  # objects next to values of other kinds
+            found = rows.agg(F.schema_of_variant_agg(F.when(is_object(F.col("_item")), F.col("_item")))).first()[0]
+        schema = _ddl(found)
         if seen[1]:
             item_type = _ddl(seen[2]) or {"BIGINT": "bigint", "DOUBLE": "double", "BOOLEAN": "boolean"}.get(
                 seen[2], "double" if str(seen[2]).startswith("DECIMAL") else "string"
             )
+    if schema is not None and not schema.upper().startswith("STRUCT"):
+        raise ValueError(f"the schema of a JSON object must be a struct, not {schema}")
     others = [n for n in df.columns if n != column or keep_raw]
     made: dict[str, str] = {}  # output name -> working column
     work = rows
@@ -104,7 +114,8 @@ def explode_json(
         work = work.withColumn("_i0", F.when(F.col("_plain"), F.try_variant_get("_item", "$", item_type)))
         made[f"{column}_flatten"] = "_i0"
     if schema is not None and objects_as_columns:
-        work = work.withColumn("_root", F.when(is_object, F.try_variant_get("_item", "$", schema)))
+        # Null for items that are no objects.
+        work = work.withColumn("_root", F.try_variant_get("_item", "$", schema))
         top = f"{column}{separator}" if prefix_top_level else ""
         work, columns = _spread(work, "_root", "", top, separator, prefix_parents, max_level, 1)
         made |= columns

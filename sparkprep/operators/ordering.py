@@ -23,8 +23,8 @@ _TIE, _COPY, _FIRST, _LAST = "_tie", "_copy", "_first_group", "_last_group"
 # monotonically_increasing_id() holds the partition number above its low 33 bits.
 _SEAT_BITS = 33
 
-# Up to this many rows one task sorts a whole table without trouble, so a plain window is used.
-ONE_TASK_ROWS = 200_000
+# Up to this many counted values one task may hold or sort all of them (some 200 MB at most); checked before it is done.
+ONE_TASK_VALUES = 2_000_000
 
 
 def row_hash(df: DataFrame, seed: int = 42) -> Column:
@@ -82,43 +82,37 @@ def _carried(
     )
 
 
+def _is_one(slices: DataFrame) -> bool:
+    """Whether all rows went into one slice (Spark joins small partitions); then nothing is carried."""
+    last = slices.agg(F.max(SLICE)).first()[0]
+    return not last
+
+
 def running_totals(
-    df: DataFrame,
-    by: list[str],
-    order_by,
-    totals: dict[str, str],
-    distinct_order: bool = False,
-    slice_always: bool = False,
-    written: bool = False,
+    df: DataFrame, by: list[str], order_by, totals: dict[str, str], distinct_order: bool = False
 ) -> DataFrame:
-    """Add, per ``totals`` entry ``new: value``, the sum of ``value`` over the earlier rows of the group (0 at first).
-
-    ``written=True`` tells that ``df`` was already written by ``cut`` and is cheap to read again.
-    """
+    """Add, per ``totals`` entry ``new: value``, the sum of ``value`` over the earlier rows of the group (0 at first)."""
     by = require(df, by)
-    order = order_columns(df, order_by)
-    df = df if written else cut(df, "totals")
-    if not slice_always and df.count() <= ONE_TASK_ROWS:
-        earlier = Window.partitionBy(*[c(b) for b in by]).orderBy(*order)
-        earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
-        return df.select("*", *[_or_zero(F.sum(c(v)).over(earlier)).alias(n) for n, v in totals.items()])
-    slices = sorted_slices(df, order, by, distinct_order)
+    slices = sorted_slices(df, order_columns(df, order_by), by, distinct_order)
+    earlier = Window.partitionBy(SLICE, *[c(b) for b in by]).orderBy(SEAT).rowsBetween(Window.unboundedPreceding, -1)
+    local = slices.select("*", *[_or_zero(F.sum(c(v)).over(earlier)).alias(n) for n, v in totals.items()])
+    if _is_one(slices):
+        return local.drop(SLICE, SEAT)
     carried = _carried(
         slices, by, {n: F.sum(c(v)) for n, v in totals.items()}, lambda value, window: F.sum(value).over(window)
     )
-    earlier = Window.partitionBy(SLICE, *[c(b) for b in by]).orderBy(SEAT).rowsBetween(Window.unboundedPreceding, -1)
-    local = slices.select("*", *[_or_zero(F.sum(c(v)).over(earlier)).alias(f"_here_{n}") for n, v in totals.items()])
     joined = local.join(F.broadcast(carried), SLICE)
-    is_first = F.struct(*[c(b) for b in by]).eqNullSafe(F.col(_FIRST))
     return joined.select(
         *[c(name) for name in df.columns],
-        *[
-            (c(f"_here_{n}") + _or_zero(F.when(is_first, c(f"_carry_{n}")))).alias(n)
-            for n in totals
-        ],
+        *[(c(n) + _or_zero(F.when(_continued(by), c(f"_carry_{n}")))).alias(n) for n in totals],
     )
 
 
+def _continued(by: list[str]) -> Column:
+    """True for rows of the group that an earlier slice began."""
+    return F.struct(*[c(b) for b in by]).eqNullSafe(F.col(_FIRST))
+
+
 def _or_zero(value: Column) -> Column:
     return F.coalesce(value, F.lit(0))
 
@@ -128,44 +122,45 @@ def number_rows(
 ) -> DataFrame:
     """Add ``name`` = 1, 2, 3... in the given order, over the whole table or within each group of ``by``."""
     columns = [c(n) for n in df.columns]
-    slices = sorted_slices(df, order, list(by), distinct_order)
+    by = list(by)
+    slices = sorted_slices(df, order, by, distinct_order)
     if not by:
+        # The seat in the slice is the number, but for the rows of earlier slices: no window over the rows.
         placed = slices.join(F.broadcast(_offsets(slices)), SLICE)
         seat_in_slice = F.col(SEAT) - F.shiftleft(F.col(SLICE).cast("bigint"), _SEAT_BITS)
         return placed.select(*columns, (F.col("_start") + seat_in_slice + 1).alias(name))
-    carried = _carried(
-        slices, list(by), {"_n": F.count(F.lit(1))}, lambda value, window: F.sum(value).over(window)
-    )
     here = Window.partitionBy(SLICE, *[c(b) for b in by]).orderBy(SEAT)
-    local = slices.withColumn("_here", F.row_number().over(here).cast("bigint"))
-    is_first = F.struct(*[c(b) for b in by]).eqNullSafe(F.col(_FIRST))
+    local = slices.select("*", F.row_number().over(here).cast("bigint").alias("_here"))
+    if _is_one(slices):
+        return local.select(*columns, F.col("_here").alias(name))
+    carried = _carried(slices, by, {"_n": F.count(F.lit(1))}, lambda value, window: F.sum(value).over(window))
     joined = local.join(F.broadcast(carried), SLICE)
-    return joined.select(*columns, (F.col("_here") + _or_zero(F.when(is_first, F.col("_carry__n")))).alias(name))
+    return joined.select(*columns, (F.col("_here") + _or_zero(F.when(_continued(by), F.col("_carry__n")))).alias(name))
 
 
 def carry_forward(df: DataFrame, columns: list[str], order: list[Column], by: list[str] = ()) -> DataFrame:
     """Replace nulls in ``columns`` by the last earlier value that is not null, in the given order (per group)."""
-    by = list(by)
-    names = df.columns
-    added = []
+    by, names = list(by), df.columns
     if not by:
-        df, by, added = df.withColumn("_all", F.lit(0)), ["_all"], ["_all"]
+        df, by = df.withColumn("_all", F.lit(0)), ["_all"]
     slices = sorted_slices(df, order, by)
-    parts = {n: F.max_by(c(n), F.when(c(n).isNotNull(), F.col(SEAT))) for n in columns}
-    carried = _carried(slices, by, parts, lambda value, window: F.last(value, ignorenulls=True).over(window))
     here = Window.partitionBy(SLICE, *[c(b) for b in by]).orderBy(SEAT)
     here = here.rowsBetween(Window.unboundedPreceding, 0)
+    last = {n: F.last(c(n), ignorenulls=True).over(here) for n in columns}
     local = slices.select(
-        *[c(n) for n in slices.columns], *[F.last(c(n), ignorenulls=True).over(here).alias(f"_here_{n}") for n in columns]
+        SLICE, *[last.get(n, c(n)).alias(n) for n in names], *[c(b).alias(f"_by_{b}") for b in by]
     )
+    if _is_one(slices):
+        return local.select(*[c(n) for n in names])
+    parts = {n: F.max_by(c(n), F.when(c(n).isNotNull(), F.col(SEAT))) for n in columns}
+    carried = _carried(slices, by, parts, lambda value, window: F.last(value, ignorenulls=True).over(window))
     joined = local.join(F.broadcast(carried), SLICE)
-    is_first = F.struct(*[c(b) for b in by]).eqNullSafe(F.col(_FIRST))
-    filled = {n: F.coalesce(c(f"_here_{n}"), F.when(is_first, c(f"_carry_{n}"))).alias(n) for n in columns}
-    return joined.select(*[filled.get(n, c(n)) for n in names])
+    filled = {n: F.coalesce(c(n), F.when(_continued([f"_by_{b}" for b in by]), c(f"_carry_{n}"))) for n in columns}
+    return joined.select(*[filled.get(n, c(n)).alias(n) for n in names])
 
 
 def exact_quantiles(
-    df: DataFrame, by: list[str], columns: list[str], probabilities: list[float], slice_always: bool = False
+    df: DataFrame, by: list[str], columns: list[str], probabilities: list[float]
 ) -> DataFrame:
     """Exact quantiles (linear interpolation) of numeric ``columns`` per group of ``by``.
 
@@ -186,10 +181,10 @@ def exact_quantiles(
     )
     counted = cut(counted, "values")
     probs = F.array(*[F.lit(float(p)) for p in probabilities])
-    if not slice_always and counted.count() <= ONE_TASK_ROWS:
+    if counted.count() <= ONE_TASK_VALUES:
         # Frequencies stay below the row count, so the weighted percentile equals the plain one.
         return counted.groupBy(*[c(k) for k in keys]).agg(F.percentile("_v", probs, F.col("_n")).alias("quantiles"))
-    before = running_totals(counted, keys, ["_v"], {"_before": "_n"}, True, slice_always, written=True)
+    before = running_totals(counted, keys, ["_v"], {"_before": "_n"}, distinct_order=True)
     sizes = counted.groupBy(*[c(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sum("_n").alias("_size"))
     on = same_row([c(k) for k in keys], [F.col(f"_k{i}") for i in range(len(keys))])
     placed = before.join(sizes, on)

@@ -109,7 +109,7 @@ def frequencies(df: DataFrame, columns: Iterable[str] | None = None) -> DataFram
     names = require(df, columns) or df.columns
     counts = cut(_value_counts(df, names), "frequencies")
     ordered = [("frequency", "desc"), "field_value"]
-    running = running_totals(counts, ["field_name"], ordered, {"_before": "frequency"}, distinct_order=True, written=True)
+    running = running_totals(counts, ["field_name"], ordered, {"_before": "frequency"}, distinct_order=True)
     # Each field has one value per row of the table, so the total of one field is the total of all; it is one row.
     total = counts.where(F.col("field_name") == names[0]).agg(F.sum("frequency").alias("_total"))
     through = F.col("_before") + F.col("frequency")
@@ -128,7 +128,8 @@ def unique_keys(df: DataFrame, columns: Iterable[str] | None = None, max_fields:
 
     Returns number_of_fields and field_combination (array). Two exact rules save work: a combination that holds a
     unique one is unique, and one whose columns have too few distinct values between them cannot be. The others of one
-    size are counted together in one pass.
+    size are counted together in one pass, first over the 1/64 of their values with a certain hash: a value that repeats
+    there repeats in the table.
     """
     names = require(df, columns) or df.columns
     largest = max_fields if max_fields > 0 else len(names)
@@ -140,6 +141,15 @@ def unique_keys(df: DataFrame, columns: Iterable[str] | None = None, max_fields:
         counted = [F.count_distinct(F.struct(*[c(n) for n in combo])).alias(f"_{i}") for i, combo in enumerate(combos)]
         return df.agg(*counted, *extra).first()
 
+    def without_repeats(combos: list[tuple[str, ...]]) -> list[tuple[str, ...]]:
+        counted = []
+        for i, combo in enumerate(combos):
+            chosen = F.pmod(F.xxhash64(*[c(n) for n in combo]), F.lit(64)) == 0
+            value = F.when(chosen, F.struct(*[c(n) for n in combo]))
+            counted += [F.count_distinct(value).alias(f"_d{i}"), F.count(value).alias(f"_n{i}")]
+        counts = df.agg(*counted).first()
+        return [combo for i, combo in enumerate(combos) if counts[f"_d{i}"] == counts[f"_n{i}"]]
+
     singles = [(n,) for n in names]
     counts = distinct(singles, [F.count(F.lit(1)).alias("_rows")])
     rows = counts["_rows"]
@@ -157,7 +167,9 @@ def unique_keys(df: DataFrame, columns: Iterable[str] | None = None, max_fields:
             elif reach >= rows:
                 open_combos.append(combo)
         for start in range(0, len(open_combos), 16):
-            batch = open_combos[start : start + 16]
+            batch = without_repeats(open_combos[start : start + 16])
+            if not batch:
+                continue
             counts = distinct(batch)
             fresh = [combo for i, combo in enumerate(batch) if counts[i] == rows]
             unique += fresh

@@ -20,7 +20,7 @@ def many_slices(spark):
 @pytest.fixture
 def sliced(monkeypatch):
     """Use the distributed way also for small tables."""
-    monkeypatch.setattr(ordering, "ONE_TASK_ROWS", 0)
+    monkeypatch.setattr(ordering, "ONE_TASK_VALUES", 0)
 
 
 def _data(seed=1, n=600):
@@ -79,11 +79,10 @@ def test_grouped_numbers(spark):
         assert [o for _, o in values] == sorted(o for _, o in values)
 
 
-@pytest.mark.parametrize("always", [False, True])
-def test_running_totals(spark, always):
+def test_running_totals(spark):
     rows = [(k, o, n) for k in ("hot", "b", None) for o, n in zip(range(90 if k == "hot" else 7), range(1, 100))]
     df = spark.createDataFrame(rows, "k string, o int, n int").repartition(5)
-    out = ordering.running_totals(df, ["k"], ["o"], {"before": "n"}, distinct_order=True, slice_always=always).collect()
+    out = ordering.running_totals(df, ["k"], ["o"], {"before": "n"}, distinct_order=True).collect()
     assert len(out) == len(rows)
     for r in out:
         assert r.before == sum(n for k, o, n in rows if k == r.k and o < r.o)
@@ -104,16 +103,17 @@ def test_carry(spark, direction, by):
     assert out == expected
 
 
-@pytest.mark.parametrize("always", [False, True])
-def test_exact_quantiles(spark, always):
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_exact_quantiles(spark, monkeypatch, limit):
     import numpy as np
 
+    monkeypatch.setattr(ordering, "ONE_TASK_VALUES", limit)
     rnd = random.Random(5)
     rows = [(k, rnd.choice([1.0, 2.5, 2.5, rnd.random() * 9]), None if rnd.random() < 0.2 else float(rnd.randint(0, 9)))
             for k in ("x", "y", None) for _ in range(120 if k == "x" else 9)]
     df = spark.createDataFrame(rows, "k string, a double, b double").repartition(4)
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    for r in ordering.exact_quantiles(df, ["k"], ["a", "b"], probs, slice_always=always).collect():
+    for r in ordering.exact_quantiles(df, ["k"], ["a", "b"], probs).collect():
         values = [row[1 if r.field == "a" else 2] for row in rows if row[0] == r.k]
         wanted = np.quantile([v for v in values if v is not None], probs)
         assert r.quantiles == pytest.approx(list(wanted))
