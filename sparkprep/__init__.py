@@ -1,5 +1,9 @@
 """sparkprep: data preparation and analytics as composable PySpark DataFrame operators."""
 
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
 from sparkprep.operators.aggregate import aggregate, chart_table, create_json, markdown_table
 from sparkprep.operators.columns import (
     concat_columns, formula, position_columns, rename, rename_columns, rename_dynamic, select_columns,
@@ -32,3 +36,6 @@ from sparkprep.sources.sinks import (
 )
 
 __all__ = [name for name in dir() if not name.startswith("_") and name not in ("operators", "plans", "session", "sources")]
+
+# Python tasks carry the small helpers of this package with them, so executors need not have it installed.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

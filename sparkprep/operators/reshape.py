@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -25,8 +24,8 @@ def pivot(
 
     ``function``: none (a second row for one cell is an error), sum, mean, min, max. Several pivot columns are joined
     with ``_``; with several value columns the result is named ``<value>_<pivot>``. ``pivot_values`` names the wanted
-    values and saves the job that lists them. ``fill`` replaces nulls (0 by default when aggregating).
-    ``drop_all_null`` leaves out result columns without any value.
+    values; otherwise one aggregate lists them. ``fill`` replaces nulls (0 by default when aggregating).
+    ``drop_all_null`` leaves out rows and columns of mean, min and max that have no value at all.
     """
     index, columns, values = require(df, index), require(df, columns), require(df, values)
     if not (index and columns and values):
@@ -37,29 +36,48 @@ def pivot(
     key = c(columns[0]) if len(columns) == 1 else F.concat_ws("_", *[c(n).cast("string") for n in columns])
     rows = df.select(*[c(n) for n in index], key.alias("_pivot"), *[c(v).alias(f"_v{i}") for i, v in enumerate(values)])
     rows = rows.where(F.col("_pivot").isNotNull())
+    numbers = range(len(values))
+    drop = drop_all_null and function in ("mean", "min", "max")
+    if drop:
+        rows = rows.where(F.coalesce(*[F.when(F.col(f"_v{i}").isNotNull(), True) for i in numbers], F.lit(False)))
     if function == "none":
         cells = rows.groupBy(*[c(n) for n in index], "_pivot").agg(F.count(F.lit(1)).alias("_n"))
         if not cells.where(F.col("_n") > 1).limit(1).isEmpty():
             raise ValueError("pivot without a function: some index and column values occur more than once")
-    # With one aggregate Spark names the result after the pivot value alone.
-    aggregates = [functions[function](f"_v{i}").alias(f"_v{i}") for i in range(len(values))]
+    empty: set[tuple[str, int]] = set()
+    if pivot_values is None or drop:
+        found = _pivot_counts(rows, pivot_values, len(values))
+        pivot_values = [r["_pivot"] for r in found] if pivot_values is None else pivot_values
+        if drop:
+            filled = {(r["_pivot"], i) for r in found for i in numbers if r[f"_n{i}"]}
+            empty = {(v, i) for v in pivot_values for i in numbers} - filled
+    # The aliases make unique names, whatever the values look like; with one aggregate Spark leaves its alias out.
+    aggregates = [functions[function](f"_v{i}").alias(f"_v{i}") for i in numbers]
     table = rows.groupBy(*[c(n) for n in index]).pivot("_pivot", pivot_values).agg(*aggregates)
-    if len(values) > 1:
-        renamed = []
-        for name in table.columns[len(index):]:
-            value, number = re.fullmatch(r"(.*)__v(\d+)", name, re.S).groups()
-            renamed.append(f"{values[int(number)]}_{value}")
-        table = table.toDF(*index, *renamed)
-    made = table.columns[len(index):]
-    if function != "none" and drop_all_null and pivot_values and made:
-        counts = table.agg(*[F.count(c(n)).alias(f"_n{i}") for i, n in enumerate(made)]).first()
-        made = [n for i, n in enumerate(made) if counts[i] > 0]
-        table = table.select(*[c(n) for n in [*index, *made]])
-    if fill is None and function != "none":
-        fill = 0
-    if fill is not None and made:
-        table = table.withColumns({n: F.coalesce(c(n), F.lit(fill).cast(table.schema[n].dataType)) for n in made})
-    return table
+    made = [(v, i) for v in pivot_values for i in numbers]
+    kept = [c(n) for n in index]
+    fill = 0 if fill is None and function != "none" else fill
+    for (value, i), spark_name in zip(made, table.columns[len(index):]):
+        if (value, i) in empty:
+            continue
+        cell = c(spark_name)
+        if fill is not None:
+            cell = F.coalesce(cell, F.lit(fill).cast(table.schema[spark_name].dataType))
+        text = "true" if value is True else "false" if value is False else str(value)
+        kept.append(cell.alias(text if len(values) == 1 else f"{values[i]}_{text}"))
+    return table.select(*kept)
+
+
+def _pivot_counts(rows: DataFrame, pivot_values: list | None, n_values: int) -> list:
+    """The pivot values in order, with the number of values in each value column; they become columns, so they are few."""
+    counts = rows.groupBy("_pivot").agg(*[F.count(f"_v{i}").alias(f"_n{i}") for i in range(n_values)])
+    if pivot_values is not None:
+        return counts.where(F.col("_pivot").isin(pivot_values)).collect()
+    most = int(rows.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    found = counts.orderBy("_pivot").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"the pivot columns have more than {most} values; raise spark.sql.pivotMaxValues or name them")
+    return found
 
 
 def unpivot(

@@ -258,8 +258,14 @@ def test_pivot_unpivot(spark, rows_of):
     assert rows_of(sp.pivot(df, "i", "p", "n", fill=-1)) == [("r1", 1, 2), ("r2", 3, -1)]
     two = sp.pivot(df, "i", "p", ["n", "d"], "sum")
     assert two.columns == ["i", "n_x", "d_x", "n_y", "d_y"] and rows_of(two)[1] == ("r2", 3, 0.0, 0, 0.0)
-    assert sp.pivot(df, "i", ["p", "n"], "d", "max").columns == ["i", "x_1", "x_3", "y_2"]
+    # pandas leaves out what has no value at all, except for sums, which are 0.
+    assert rows_of(sp.pivot(df, "i", ["p", "n"], "d", "max")) == [("r1", 5.0, 6.0)]
+    assert sp.pivot(df, "i", ["p", "n"], "d", "max").columns == ["i", "x_1", "y_2"]
+    assert sp.pivot(df, "i", ["p", "n"], "d", "max", drop_all_null=False).columns == ["i", "x_1", "x_3", "y_2"]
+    assert sp.pivot(df, "i", ["p", "n"], "d", "sum").columns == ["i", "x_1", "x_3", "y_2"]
     assert sp.pivot(df, "i", "p", "n", "mean", pivot_values=["x", "zz"]).columns == ["i", "x"]
+    dotted = df.selectExpr("i", "concat(p, '.1') as p", "n")
+    assert sp.pivot(dotted, "i", "p", "n", "sum").columns == ["i", "x.1", "y.1"]
     with pytest.raises(ValueError, match="more than once"):
         sp.pivot(df.unionByName(df), "i", "p", "n")
     mixed = sp.unpivot(df, ["i"], ["n", "p"])
