@@ -307,6 +307,51 @@ def chunks_of_characters(t):
     return sp.fixed_size_chunks(t.documents, "text", 500, 100, separator="").select("doc_id", "chunk")
 
 
+@query(r"""select doc_id, array_to_string(words[k * 50 + 1 : k * 50 + 60], ' ') as chunk, k as chunk_no from
+          (select doc_id, words, unnest(range(0, cast(greatest(ceil((len(words) - 10) / 50.0), 1) as bigint))) as k from
+           (select doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as words from documents) where len(words) > 0)""")
+def chunks_of_words(t):
+    chunks = sp.fixed_size_chunks(t.documents.select("doc_id", "text"), "text", 60, 10, separator=r"\s+", regex=True, unit="word")
+    return chunks.withColumn("chunk_no", F.col("chunk_no").cast("bigint"))
+
+
+def _content(chunks, size):
+    """Per document all text of its chunks without white space, as a hash, and whether every chunk kept to the size."""
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))), lambda x: x["chunk"]), "")
+    content = F.md5(F.regexp_replace(texts, r"(?U)\s", ""))
+    return chunks.groupBy("doc_id").agg(content.alias("content"), (F.max(F.char_length("chunk")) <= size).alias("fits"))
+
+
+_CONTENT = r"""select doc_id, md5(regexp_replace(text, '\s', '', 'g')) as content, true as fits from documents
+  where regexp_replace(text, '\s', '', 'g') <> ''"""
+
+
+@query(_CONTENT)
+def chunks_recursive_keep_all_text(t):
+    return _content(sp.recursive_chunks(t.documents.select("doc_id", "text"), "text", 800), 800)
+
+
+@query(_CONTENT)
+def chunks_at_separator_keep_all_text(t):
+    return _content(sp.fixed_size_chunks(t.documents.select("doc_id", "text"), "text", 700, separator=" "), 700)
+
+
+@query(_CONTENT.replace("true as fits", "true as any_size"))
+def chunks_of_sentences_keep_all_text(t):
+    """A sentence longer than the size is a chunk of its own, so the size is not checked here."""
+    content = _content(sp.sentence_chunks(t.documents.select("doc_id", "text"), "text", 1000), 2**31)
+    return content.withColumnRenamed("fits", "any_size")
+
+
+@query("""select page_id, array_to_string(list_transform(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1),
+          lambda x: trim(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'))), ' ') as heading,
+          array_to_string(list_transform(list_zip(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2),
+            regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1)), lambda x: x[1] || ' (' || x[2] || ')'), ' ') as links from pages""")
+def html_headings_and_links(t):
+    pages = sp.parse_html(t.pages, "html", tags=["h1"], name="heading")
+    return sp.parse_html(pages, "html", tags=["li"], name="links").select("page_id", "heading", "links")
+
+
 @query()
 def chunks_at_separator(t):
     return sp.fixed_size_chunks(t.documents.select("doc_id", "text"), "text", 60, 10, separator=" ", unit="word")

@@ -27,7 +27,7 @@ from sparkprep.operators.rows import (
 )
 from sparkprep.operators.text import cleanse, extract, markdown_style, prompt_column, validate_markdown
 from sparkprep.plans.pipeline import run_pipeline
-from sparkprep.session import local_session
+from sparkprep.session import drop_copies, local_session
 from sparkprep.sources.calendar import dynamic_calendar, generate_calendar
 from sparkprep.sources.files import inline, read_csv, read_file, read_json, read_parquet, read_xml
 from sparkprep.sources.jdbc import read_jdbc, read_mongodb, write_jdbc

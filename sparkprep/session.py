@@ -39,14 +39,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and go on from the written copy.
 
     Used where one result feeds several branches that must agree row by row (positions, offsets) or where a loop would
     grow its plan. The copy survives the loss of executors, is columnar (later branches read only what they need), and
-    stays in the shared folder, whose clean-up policy applies to it.
+    stays in the shared folder until ``drop_copies`` or that folder's own clean-up.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sparkprep-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_copies(spark: SparkSession) -> int:
+    """Delete the copies ``cut`` wrote in this process, once the results built on them are saved. Returns their number."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        dropped += bool(path.getFileSystem(conf).delete(path, True))
+    return dropped
