@@ -40,7 +40,8 @@ def join_datasets(
     op ``= > < >= <=``. ``how``: inner, left, right, outer, cross, anti-left, anti-right; anti joins return one side.
     ``same_name``: suffix_right, suffix_both or coalesce for columns both sides have. ``null_keys='match'`` lets null
     keys meet. ``if_many_to_many``: ignore, warn or raise when neither side is unique on its keys. ``hint`` is a Spark
-    join hint for the right side. ``bin_width`` turns a point-in-interval condition into an equality join on bins.
+    join hint for the right side. ``bin_width`` turns a point-in-interval condition into an equality join on bins; it
+    counts units of a number, days of a date or seconds of a timestamp, and is best near the usual interval length.
 
     Hot keys: Spark splits them at run time in inner joins (both sides) and on the kept side of left and right joins,
     but never in a full outer join. ``split_hot_keys`` writes an outer join as inner join + unmatched rows (found
@@ -177,14 +178,10 @@ def _anti(df: DataFrame, other: DataFrame, equal, unequal, match: bool, bin_widt
     if bin_width is not None:
         kind, point, low, high = _interval(unequal)
         if kind == "point_left":
-            ours = df.withColumn("_bin", _bin(df, point, bin_width))
-            theirs = _binned_intervals(other, low, high, bin_width)
-            test = _test(equal, unequal, match) & (F.col("_bin") == F.col("_ibin"))
-            return ours.join(theirs, test, "left_anti").drop("_bin")
-        ours = _binned_intervals(df, low, high, bin_width)
-        theirs = other.withColumn("_bin", _bin(other, point, bin_width))
-        test = _test(equal, unequal, match) & (F.col("_bin") == F.col("_ibin"))
-        return _without_matched(df, ours.join(theirs, test, "left_semi"))
+            bins = _Bins(df, other, point, low, high, bin_width)
+            return bins.unmatched_points(_test(equal, unequal, match))
+        bins = _Bins(other, df, point, low, high, bin_width)
+        return bins.unmatched_intervals(_test(equal, unequal, match))
     return df.join(other, _test(equal, unequal, match), "left_anti")
 
 
@@ -207,44 +204,78 @@ def _interval(unequal) -> tuple[str, str, str, str]:
     raise ValueError("bin_width needs two inequalities that put one column between two columns of the other side")
 
 
-def _bin(df: DataFrame, name: str, width: float) -> Column:
-    """Number of the bin. ``width`` counts units of a number, days of a date, seconds of a timestamp."""
+def _number(df: DataFrame, name: str) -> Column:
+    """The column as a number: as it is, days of a date, or seconds of a timestamp."""
     kind = df.schema[name].dataType
     if isinstance(kind, T.DateType):
-        number = F.unix_date(c(name)).cast("double")
-    elif isinstance(kind, T.TimestampNTZType):
-        # Read as an instant the same way on both sides, only to number the bins.
-        number = F.unix_micros(c(name).cast("timestamp")) / 1_000_000
-    elif isinstance(kind, T.TimestampType):
-        number = F.unix_micros(c(name)) / 1_000_000
-    else:
-        number = c(name).cast("double")
-    return F.floor(number / F.lit(float(width)))
+        return F.unix_date(c(name)).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        # A time without zone is read as an instant the same way on both sides, only to number the bins.
+        return F.unix_micros(c(name).cast("timestamp")) / 1_000_000
+    return c(name).cast("double")
+
+
+class _Bins:
+    """Points and intervals with the bins they meet in.
+
+    An interval covers at most some 65 bins: longer ones use bins 64, 64 * 64... times as wide, so no interval makes
+    many rows whatever its length. A point has one bin for each of the widths in use, which are few (each is 64 times
+    the one before) and are listed by one aggregate over the intervals.
+    """
+
+    FACTOR = 64
+
+    def __init__(self, points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, width: float):
+        if width <= 0:
+            raise ValueError("bin_width must be positive")
+        self.points, self.intervals = points, intervals
+        # An interval that ends before it starts can match nothing.
+        real = intervals.where(c(low) <= c(high))
+        start, end = _number(intervals, low), _number(intervals, high)
+        bins = (end - start) / F.lit(float(width))
+        level = F.when(bins <= self.FACTOR, F.lit(0)).otherwise(F.ceil(F.log(float(self.FACTOR), bins)) - 1).cast("int")
+        self.levels = sorted(r[0] for r in real.select(level.alias("level")).distinct().collect()) or [0]
+
+        def bin_of(number: Column, level: Column) -> Column:
+            return F.floor(number / (F.lit(float(width)) * F.pow(F.lit(float(self.FACTOR)), level)))
+
+        leveled = real.withColumn("_level", level)
+        covered = F.sequence(bin_of(start, F.col("_level")), bin_of(end, F.col("_level")))
+        self.ranges = leveled.select("*", F.explode(covered).alias("_ibin")).withColumnRenamed("_level", "_ilevel")
+        spots = F.array(
+            *[F.struct(F.lit(x).alias("level"), bin_of(_number(points, point), F.lit(x)).alias("bin")) for x in self.levels]
+        )
+        self.spots = points.select("*", F.explode(spots).alias("_at")).select(
+            *[c(n) for n in points.columns], F.col("_at.level").alias("_level"), F.col("_at.bin").alias("_bin")
+        )
+
+    def _on(self, test: Column) -> Column:
+        return test & (F.col("_level") == F.col("_ilevel")) & (F.col("_bin") == F.col("_ibin"))
 
+    def pairs(self, test: Column) -> DataFrame:
+        return self.spots.join(self.ranges, self._on(test), "inner").drop("_bin", "_ibin", "_level", "_ilevel")
 
-def _binned_intervals(df: DataFrame, low: str, high: str, width: float) -> DataFrame:
-    first, last = _bin(df, low, width), _bin(df, high, width)
-    # An empty interval can match nothing; sequence() would run backwards on it.
-    return df.where(c(low) <= c(high)).withColumn("_ibin", F.explode(F.sequence(first, last)))
+    def unmatched_points(self, test: Column) -> DataFrame:
+        if len(self.levels) == 1:
+            # A point has one bin, and each interval around it covers that bin.
+            return self.spots.join(self.ranges, self._on(test), "left_anti").drop("_bin", "_level")
+        return _without_matched(self.points, self.spots.join(self.ranges, self._on(test), "left_semi"))
+
+    def unmatched_intervals(self, test: Column) -> DataFrame:
+        return _without_matched(self.intervals, self.ranges.join(self.spots, self._on(test), "left_semi"))
 
 
 def _interval_join(sides: _Sides, equal, unequal, how: str, match: bool, width: float) -> DataFrame:
     kind, point, low, high = _interval(unequal)
     points, intervals = (sides.left, sides.right) if kind == "point_left" else (sides.right, sides.left)
-    test = _test(equal, unequal, match) & (F.col("_bin") == F.col("_ibin"))
-    binned = points.withColumn("_bin", _bin(points, point, width))
-    ranges = _binned_intervals(intervals, low, high, width)
-    pairs = binned.join(ranges, test, "inner").drop("_bin", "_ibin")
-    keep_points = how == "outer" or how == ("left" if kind == "point_left" else "right")
-    keep_intervals = how == "outer" or how == ("right" if kind == "point_left" else "left")
-    if keep_points:
-        # A point has one bin and each interval around it covers that bin, so unmatched there means unmatched.
-        rest = binned.join(ranges, test, "left_anti").drop("_bin")
-        pairs = pairs.unionByName(rest, allowMissingColumns=True)
-    if keep_intervals:
-        rest = _without_matched(intervals, ranges.join(binned, test, "left_semi"))
-        pairs = pairs.unionByName(rest, allowMissingColumns=True)
-    return pairs
+    test = _test(equal, unequal, match)
+    bins = _Bins(points, intervals, point, low, high, width)
+    joined = bins.pairs(test)
+    if how == "outer" or how == ("left" if kind == "point_left" else "right"):
+        joined = joined.unionByName(bins.unmatched_points(test), allowMissingColumns=True)
+    if how == "outer" or how == ("right" if kind == "point_left" else "left"):
+        joined = joined.unionByName(bins.unmatched_intervals(test), allowMissingColumns=True)
+    return joined
 
 
 def _repeats(df: DataFrame, keys: list[str]) -> bool:
