@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkprep._columns import NUMERIC, c, free_name, numeric_columns, require
@@ -14,6 +16,14 @@ from sparkprep.operators.ordering import running_totals
 from sparkprep.session import cut
 
 _EXACT = "decimal(38,0)"
+# Up to this many columns every pair is an aggregate of its own in one generated plan; beyond, blocks of rows are
+# multiplied as matrices.
+_FEW_COLUMNS = 12
+
+
+def _value(name: str) -> Column:
+    """The column as double, with NaN as missing."""
+    return F.nanvl(c(name).cast("double"), F.lit(None).cast("double"))
 
 
 def correlation_matrix(
@@ -29,7 +39,8 @@ def correlation_matrix(
     if other or not names:
         raise ValueError(f"correlation needs numeric columns; not numeric: {other}")
     pairs = list(combinations(names, 2))
-    methods = {"pearson": _pearson, "spearman": _spearman, "kendall": _kendall}
+    pearson = _pearson if len(names) <= _FEW_COLUMNS else _pearson_by_blocks
+    methods = {"pearson": pearson, "spearman": _spearman, "kendall": _kendall}
     if method not in methods:
         raise ValueError(f"method must be one of {sorted(methods)}")
     # The diagonal pairs a column with itself: 1 if it varies, null if it does not.
@@ -47,7 +58,7 @@ def correlation_matrix(
 def _diagonal(df: DataFrame, names: list[str]) -> DataFrame:
     stats = []
     for i, n in enumerate(names):
-        stats += [F.count(c(n)).alias(f"_n{i}"), (F.max(c(n)) > F.min(c(n))).alias(f"_d{i}")]
+        stats += [F.count(_value(n)).alias(f"_n{i}"), (F.max(_value(n)) > F.min(_value(n))).alias(f"_d{i}")]
     cells = [
         F.struct(
             F.lit(n).alias("a"), F.lit(n).alias("b"), F.col(f"_n{i}").alias("n"),
@@ -62,7 +73,7 @@ def _pearson(df: DataFrame, pairs) -> DataFrame:
     """All pairs in one aggregate over the table."""
     stats, cells = [], []
     for i, (a, b) in enumerate(pairs):
-        x, y = c(a).cast("double"), c(b).cast("double")
+        x, y = _value(a), _value(b)
         present = x.isNotNull() & y.isNotNull()
         varies = (F.max(F.when(present, x)) > F.min(F.when(present, x))) & (
             F.max(F.when(present, y)) > F.min(F.when(present, y))
@@ -77,12 +88,57 @@ def _pearson(df: DataFrame, pairs) -> DataFrame:
     return df.agg(*stats).select(F.explode(F.array(*cells)).alias("_p")).select("_p.*")
 
 
+def _pearson_by_blocks(df: DataFrame, pairs) -> DataFrame:
+    """All pairs in two passes for any number of columns.
+
+    With the values X (less their mean, 0 where missing) and the marks M of those present, the products of a block of
+    rows M'M, X'M, (X*X)'M and X'X hold everything a pair needs; the blocks add up.
+    """
+    names = list(dict.fromkeys(n for pair in pairs for n in pair))
+    d = len(names)
+    firsts = df.agg(*[F.avg(_value(n)) for n in names], *[F.max(_value(n)) - F.min(_value(n)) for n in names]).first()
+    means = np.array([0.0 if v is None else v for v in firsts[:d]])
+    spans = [0.0 if v is None else v for v in firsts[d:]]
+    upper = np.triu_indices(d, 1)
+
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, sums, squares, cross = (np.zeros((d, d)) for _ in range(4))
+        for frame in frames:
+            x = frame.to_numpy(dtype=float) - means
+            marks = ~np.isnan(x)
+            x[~marks] = 0.0
+            marks = marks.astype(float)
+            n += marks.T @ marks
+            sums += x.T @ marks
+            squares += (x * x).T @ marks
+            cross += x.T @ x
+        i, j = upper
+        yield pd.DataFrame({
+            "i": i, "j": j, "n": n[i, j].astype("int64"), "sx": sums[i, j], "sy": sums[j, i], "sxx": squares[i, j],
+            "syy": squares[j, i], "sxy": cross[i, j],
+        })
+
+    kinds = "i int, j int, n bigint, sx double, sy double, sxx double, syy double, sxy double"
+    blocks = df.select(*[_value(n).alias(f"_c{i}") for i, n in enumerate(names)]).mapInPandas(products, kinds)
+    total = blocks.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    name_of, span_of = F.array(*[F.lit(n) for n in names]), F.array(*[F.lit(float(v)) for v in spans])
+
+    def spread(square: str, single: str, index: str) -> Column:
+        """The sum of squares around the mean, or null where only rounding is left of it."""
+        value = F.col(square) - F.try_divide(F.col(single) * F.col(single), F.col("n"))
+        return F.when(value > span_of[F.col(index)] * span_of[F.col(index)] * 1e-14 * F.col("n"), value)
+
+    covariance = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
+    r = F.try_divide(covariance, F.sqrt(spread("sxx", "sx", "i")) * F.sqrt(spread("syy", "sy", "j")))
+    return total.select(name_of[F.col("i")].alias("a"), name_of[F.col("j")].alias("b"), "n", r.alias("r"))
+
+
 def _pair_counts(df: DataFrame, pairs) -> DataFrame:
     """a, b, x, y, n: how often each pair of values occurs, counted on the map side before the shuffle."""
     cells = F.array(
         *[
             F.struct(
-                F.lit(a).alias("a"), F.lit(b).alias("b"), c(a).cast("double").alias("x"), c(b).cast("double").alias("y")
+                F.lit(a).alias("a"), F.lit(b).alias("b"), _value(a).alias("x"), _value(b).alias("y")
             )
             for a, b in pairs
         ]

@@ -252,6 +252,26 @@ def test_correlation_min_periods(spark):
         assert m["x"].x is None and m["x"].y is None and m["y"].y == 1.0
 
 
+def test_correlation_of_many_columns(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame(rng.normal(1e6, 1.0, (400, 15)), columns=[f"c{i}" for i in range(15)])
+    frame["c3"] = frame.c1 * 2 + rng.normal(0, 0.1, 400)
+    frame["c4"] = 7.0
+    frame = frame.mask(pd.DataFrame(rng.random(frame.shape) < 0.1, columns=frame.columns))
+    df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), ", ".join(f"{n} double" for n in frame)).repartition(4)
+    wide = sp.correlation_matrix(df).toPandas().set_index("index").astype(float)
+    expected = frame.corr()
+    expected.loc["c4", :] = expected.loc[:, "c4"] = np.nan
+    assert list(wide.columns) == list(frame.columns)
+    assert np.allclose(wide.loc[frame.columns].to_numpy(), expected.to_numpy(), atol=1e-7, equal_nan=True)
+    few = sp.correlation_matrix(df, [f"c{i}" for i in range(5)]).toPandas().set_index("index").astype(float)
+    assert np.allclose(few.to_numpy(), expected.iloc[:5, :5].to_numpy(), atol=1e-7, equal_nan=True)
+    assert np.isnan(sp.correlation_matrix(df, min_periods=390).toPandas().loc[0, "c2"])
+
+
 def test_pivot_unpivot(spark, rows_of):
     df = spark.createDataFrame([("r1", "x", 1, 5.0), ("r1", "y", 2, 6.0), ("r2", "x", 3, None)], "i string, p string, n int, d double")
     assert rows_of(sp.pivot(df, "i", "p", "n")) == [("r1", 1, 2), ("r2", 3, None)]
