@@ -259,6 +259,13 @@ def correlation_spearman(t):
     return _rounded_matrix(sp.correlation_matrix(rows, method="spearman"))
 
 
+@query(_matrix_sql(
+    "lineitem", _MEASURES, lambda a, b: f"(select corr(x, y) from (select {_rank(a)} as x, {_rank(b)} as y from lineitem))",
+))
+def correlation_spearman_complete(t):
+    return _rounded_matrix(sp.correlation_matrix(t.lineitem, _MEASURES, method="spearman"))
+
+
 def _kendall_sql(a, b):
     sign = f"sign(cast(s.{a} as double) - cast(o.{a} as double)) * sign(cast(s.{b} as double) - cast(o.{b} as double))"
     ties = "(select sum(n * (n - 1) / 2) from (select count(*) as n from part group by {}))"

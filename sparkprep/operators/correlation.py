@@ -47,8 +47,11 @@ def correlation_matrix(
     found = _diagonal(df, names)
     if pairs:
         found = found.unionByName(methods[method](df, pairs))
-    found = found.withColumn("r", F.when(F.col("n") >= max(min_periods, 1), F.col("r")))
-    both = found.unionByName(found.where(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "n", "r"))
+    r = F.when(F.col("n") >= max(min_periods, 1), F.col("r"))
+    # Both halves of the matrix from one row per pair, so that nothing is computed twice.
+    one, other = F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    cells = F.when(F.col("a") == F.col("b"), F.array(one)).otherwise(F.array(one, other))
+    both = found.select(F.explode(cells).alias("_c"), r.alias("r")).select("_c.a", "_c.b", "r")
     index = free_name(index_name, names)
     matrix = both.groupBy(F.col("a").alias(index)).agg(*[F.max(F.when(F.col("b") == n, F.col("r"))).alias(n) for n in names])
     position = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
@@ -168,7 +171,40 @@ def _ranked(counts: DataFrame) -> DataFrame:
 
 
 def _spearman(df: DataFrame, pairs) -> DataFrame:
-    """Pearson over average ranks; the ranks of a pair are taken among the rows where both values are present."""
+    """Pearson over average ranks. Columns without a missing value are ranked once; pairs with one are ranked among the
+    rows where both values are present."""
+    names = list(dict.fromkeys(n for pair in pairs for n in pair))
+    present = df.agg(F.count(F.lit(1)), *[F.count(_value(n)) for n in names]).first()
+    whole = {n for i, n in enumerate(names, 1) if present[i] == present[0]}
+    # For few columns the pairs are no more than the columns.
+    complete = [pair for pair in pairs if set(pair) <= whole] if len(whole) > 3 else []
+    others = [pair for pair in pairs if pair not in complete]
+    if not complete:
+        return _spearman_of_pairs(df, others)
+    found = _spearman_of_complete(df, complete)
+    return found.unionByName(_spearman_of_pairs(df, others)) if others else found
+
+
+def _spearman_of_complete(df: DataFrame, pairs) -> DataFrame:
+    """Each value is replaced by its rank in its column; rows times columns are moved, not rows times pairs."""
+    names = list(dict.fromkeys(n for pair in pairs for n in pair))
+    # The number of a row only has to be the same on both ways to it, so it is written with the values.
+    rows = cut(
+        df.select(F.monotonically_increasing_id().alias("row"), *[_value(n).alias(f"v{i}") for i, n in enumerate(names)]),
+        "rows",
+    )
+    cells = F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"v{i}").alias("v")) for i in range(len(names))])
+    long = rows.select("row", F.explode(cells).alias("_c")).select("row", "_c.k", "_c.v")
+    counted = long.groupBy("k", "v").agg(F.count(F.lit(1)).alias("_t"))
+    ranks = running_totals(counted, ["k"], ["v"], {"_before": "_t"}, distinct_order=True)
+    ranks = ranks.select("k", "v", (F.col("_before") + (F.col("_t") + 1) / 2).alias("rank"))
+    ranked = long.join(ranks.hint("shuffle_hash"), ["k", "v"])
+    wide = ranked.groupBy("row").agg(*[F.max(F.when(F.col("k") == i, F.col("rank"))).alias(n) for i, n in enumerate(names)])
+    return (_pearson if len(names) <= _FEW_COLUMNS else _pearson_by_blocks)(wide, pairs)
+
+
+def _spearman_of_pairs(df: DataFrame, pairs) -> DataFrame:
+    """The ranks of each pair of columns."""
     counts = _pair_counts(df, pairs)
     sizes = counts.groupBy("a", "b").agg(F.sum("n").alias("_size"))
     sizes = sizes.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "_size")  # one row per pair of columns
