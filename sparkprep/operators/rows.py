@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 from functools import reduce
 
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkprep._columns import as_list, c, free_name, order_columns, require
+from sparkprep._columns import c, free_name, order_columns, require
 from sparkprep.operators.ordering import number_rows, row_hash
 
 # Spark limits groups on the map side (before the shuffle) up to this rank: spark.sql.optimizer.windowGroupLimitThreshold

@@ -3,7 +3,6 @@ import os
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 import sparkprep as sp
 from sparkprep.functions.chunking import pack, split_fixed, split_recursive, split_sentences, words
