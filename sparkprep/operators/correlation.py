@@ -136,37 +136,45 @@ def _pearson_by_blocks(df: DataFrame, pairs) -> DataFrame:
     return total.select(name_of[F.col("i")].alias("a"), name_of[F.col("j")].alias("b"), "n", r.alias("r"))
 
 
+def _names(pairs) -> list[Column]:
+    """The names of pair ``p``."""
+    return [F.array(*[F.lit(pair[side]) for pair in pairs])[F.col("p")].alias("ab"[side]) for side in (0, 1)]
+
+
 def _pair_counts(df: DataFrame, pairs) -> DataFrame:
-    """a, b, x, y, n: how often each pair of values occurs, counted on the map side before the shuffle."""
+    """p, x, y, n: how often each pair of values occurs in pair of columns ``p``, counted on the map side first.
+
+    The number of the pair stands for its two names, to keep the many rows short and quick to compare.
+    """
     cells = F.array(
         *[
             F.struct(
-                F.lit(a).alias("a"), F.lit(b).alias("b"), _value(a).alias("x"), _value(b).alias("y")
+                F.lit(p).alias("p"), _value(a).alias("x"), _value(b).alias("y")
             )
-            for a, b in pairs
+            for p, (a, b) in enumerate(pairs)
         ]
     )
     long = df.select(F.explode(cells).alias("_p")).select("_p.*").where("x is not null and y is not null")
-    return cut(long.groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    return cut(long.groupBy("p", "x", "y").agg(F.count(F.lit(1)).alias("n")), "pairs")
 
 
 def _ranked(counts: DataFrame) -> DataFrame:
     """rank_x and rank_y: average ranks of the values, in their pair of columns."""
     if counts.count() <= ordering.ONE_TASK_VALUES:
         for value in ("x", "y"):
-            upto = F.sum("n").over(Window.partitionBy("a", "b").orderBy(value))
-            same = F.sum("n").over(Window.partitionBy("a", "b", value))
+            upto = F.sum("n").over(Window.partitionBy("p").orderBy(value))
+            same = F.sum("n").over(Window.partitionBy("p", value))
             counts = counts.withColumn(f"rank_{value}", upto - (same - 1) / 2)
         return counts
     for value in ("x", "y"):
-        marginal = counts.groupBy("a", "b", value).agg(F.sum("n").alias("_t"))
-        ranks = running_totals(marginal, ["a", "b"], [value], {"_before": "_t"}, distinct_order=True).select(
-            F.col("a").alias("_a"), F.col("b").alias("_b"), F.col(value).alias("_value"),
+        marginal = counts.groupBy("p", value).agg(F.sum("n").alias("_t"))
+        ranks = running_totals(marginal, ["p"], [value], {"_before": "_t"}, distinct_order=True).select(
+            F.col("p").alias("_p"), F.col(value).alias("_value"),
             (F.col("_before") + (F.col("_t") + 1) / 2).alias(f"rank_{value}"),
         )
-        on = (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & (F.col(value) == F.col("_value"))
+        on = (F.col("p") == F.col("_p")) & (F.col(value) == F.col("_value"))
         # As many ranks as values: too many to broadcast on the word of a compressed file size.
-        counts = counts.join(ranks.hint("shuffle_hash"), on).drop("_a", "_b", "_value")
+        counts = counts.join(ranks.hint("shuffle_hash"), on).drop("_p", "_value")
     return counts
 
 
@@ -206,21 +214,20 @@ def _spearman_of_complete(df: DataFrame, pairs) -> DataFrame:
 def _spearman_of_pairs(df: DataFrame, pairs) -> DataFrame:
     """The ranks of each pair of columns."""
     counts = _pair_counts(df, pairs)
-    sizes = counts.groupBy("a", "b").agg(F.sum("n").alias("_size"))
-    sizes = sizes.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "_size")  # one row per pair of columns
+    sizes = counts.groupBy(F.col("p").alias("_p")).agg(F.sum("n").alias("_size"))  # one row per pair of columns
     counts = _ranked(counts)
     # Ranks relative to the middle rank (n + 1) / 2, so that the sums keep their precision.
-    placed = counts.join(F.broadcast(sizes), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
+    placed = counts.join(F.broadcast(sizes), F.col("p") == F.col("_p"))
     middle = (F.col("_size") + 1) / 2
     dx, dy = F.col("rank_x") - middle, F.col("rank_y") - middle
-    sums = placed.groupBy("a", "b").agg(
+    sums = placed.groupBy("p").agg(
         F.sum("n").alias("n"),
         F.sum(F.col("n") * dx * dy).alias("_xy"),
         F.sum(F.col("n") * dx * dx).alias("_xx"),
         F.sum(F.col("n") * dy * dy).alias("_yy"),
     )
     spread = F.col("_xx") * F.col("_yy")
-    return sums.select("a", "b", "n", F.when(spread > 0, F.col("_xy") / F.sqrt(spread)).alias("r"))
+    return sums.select(*_names(pairs), "n", F.when(spread > 0, F.col("_xy") / F.sqrt(spread)).alias("r"))
 
 
 def _kendall(df: DataFrame, pairs) -> DataFrame:
@@ -232,41 +239,41 @@ def _kendall(df: DataFrame, pairs) -> DataFrame:
     total over (bit, group) for all bits together: rows times the number of bits, never rows times rows.
     """
     counts = _pair_counts(df, pairs)
-    marginal = counts.groupBy("a", "b", "y").agg(F.sum("n").alias("_t"), F.lit(1).alias("_one"))
-    numbered = running_totals(marginal, ["a", "b"], ["y"], {"_rank": "_one"}, distinct_order=True)
+    marginal = counts.groupBy("p", "y").agg(F.sum("n").alias("_t"), F.lit(1).alias("_one"))
+    numbered = running_totals(marginal, ["p"], ["y"], {"_rank": "_one"}, distinct_order=True)
     numbered = numbered.select(
-        F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("y").alias("_y"), F.col("_rank").cast("bigint")
+        F.col("p").alias("_p"), F.col("y").alias("_y"), F.col("_rank").cast("bigint")
     )
-    on = (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & (F.col("y") == F.col("_y"))
-    ranked = cut(counts.join(numbered, on).select("a", "b", "x", "y", "n", "_rank"), "ranks")
+    on = (F.col("p") == F.col("_p")) & (F.col("y") == F.col("_y"))
+    ranked = cut(counts.join(numbered, on).select("p", "x", "y", "n", "_rank"), "ranks")
     top = ranked.agg(F.max("_rank")).first()[0] or 0
     bits = max(int(top).bit_length(), 1)
-    spread = ranked.select("a", "b", "x", "n", "_rank", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("_bit"))
+    spread = ranked.select("p", "x", "n", "_rank", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("_bit"))
     is_set = F.expr("shiftright(_rank, _bit) & 1") == 1
-    grouped = spread.groupBy("a", "b", "_bit", F.expr("shiftright(_rank, _bit + 1)").alias("_above"), "x").agg(
+    grouped = spread.groupBy("p", "_bit", F.expr("shiftright(_rank, _bit + 1)").alias("_above"), "x").agg(
         F.sum(F.when(is_set, F.col("n")).otherwise(0)).alias("_ones"),
         F.sum(F.when(is_set, 0).otherwise(F.col("n"))).alias("_zeros"),
     )
     totals = {"_ones_before": "_ones", "_zeros_before": "_zeros"}
-    running = running_totals(grouped, ["a", "b", "_bit", "_above"], ["x"], totals, distinct_order=True)
+    running = running_totals(grouped, ["p", "_bit", "_above"], ["x"], totals, distinct_order=True)
 
     def product(left: str, right: str):
         return F.sum((F.col(left).cast("decimal(19,0)") * F.col(right).cast("decimal(18,0)")).cast(_EXACT)).cast(_EXACT)
 
-    agreement = running.groupBy("a", "b").agg(
+    agreement = running.groupBy("p").agg(
         product("_ones", "_zeros_before").alias("_concordant"), product("_zeros", "_ones_before").alias("_discordant")
     )
 
     def ties(frame: DataFrame, keys: list[str], name: str) -> DataFrame:
         t = F.col("_t").cast("decimal(19,0)")
-        same = frame.groupBy("a", "b", *keys).agg(F.sum("n").alias("_t"))
-        return same.groupBy("a", "b").agg((F.sum((t * (t - 1)).cast(_EXACT)) / 2).cast("double").alias(name))
+        same = frame.groupBy("p", *keys).agg(F.sum("n").alias("_t"))
+        return same.groupBy("p").agg((F.sum((t * (t - 1)).cast(_EXACT)) / 2).cast("double").alias(name))
 
     result = agreement
     for keys, name in (([], "_pairs"), (["x"], "_ties_x"), (["y"], "_ties_y")):
-        result = result.join(F.broadcast(ties(ranked, keys, name)), ["a", "b"])  # one row per pair of columns
-    sizes = ranked.groupBy("a", "b").agg(F.sum("n").alias("n"))
-    result = result.join(F.broadcast(sizes), ["a", "b"])
+        result = result.join(F.broadcast(ties(ranked, keys, name)), "p")  # one row per pair of columns
+    sizes = ranked.groupBy("p").agg(F.sum("n").alias("n"))
+    result = result.join(F.broadcast(sizes), "p")
     room = (F.col("_pairs") - F.col("_ties_x")) * (F.col("_pairs") - F.col("_ties_y"))
     excess = (F.col("_concordant") - F.col("_discordant")).cast("double")
-    return result.select("a", "b", "n", F.when(room > 0, excess / F.sqrt(room)).alias("r"))
+    return result.select(*_names(pairs), "n", F.when(room > 0, excess / F.sqrt(room)).alias("r"))
