@@ -304,8 +304,15 @@ def hierarchy_paths(t):
     return sp.hierarchy_paths(edges, "parent", "child", aggregations=[("weight", "sum"), ("weight", "max"), ("weight", "count")])
 
 
-@query("""select * from (values ('o_orderkey', 'bigint', true, 0), ('o_custkey', 'bigint', true, 1), ('o_orderstatus', 'string', true, 2),
-          ('o_totalprice', 'double', true, 3), ('o_orderdate', 'timestamp_ntz', true, 4), ('o_orderpriority', 'string', true, 5))
-          as v("column", type, nullable, position)""")
+@query("""select v.*, c.filled, c.different from (values ('o_orderkey', 'bigint', true, 0), ('o_custkey', 'bigint', true, 1),
+    ('o_orderstatus', 'string', true, 2), ('o_totalprice', 'double', true, 3), ('o_orderdate', 'timestamp_ntz', true, 4),
+    ('o_orderpriority', 'string', true, 5)) as v("column", type, nullable, position) join (
+  select unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) as col,
+    unnest([count(o_orderkey), count(o_custkey), count(o_orderstatus), count(o_totalprice), count(o_orderdate), count(o_orderpriority)]) as filled,
+    unnest([count(distinct o_orderkey), count(distinct o_custkey), count(distinct o_orderstatus), count(distinct o_totalprice),
+      count(distinct o_orderdate), count(distinct o_orderpriority)]) as different from orders) c on v."column" = c.col""")
 def schema_table(t):
-    return sp.schema_table(t.orders)
+    """The schema with how far its columns are filled."""
+    filled = sp.summary(t.orders).selectExpr("field_name", "`count` as filled", "`unique` as different")
+    joined = sp.join_datasets(sp.schema_table(t.orders), filled, how="inner", left_on=["column"], right_on=["field_name"])
+    return joined.drop("field_name")

@@ -211,13 +211,19 @@ def compare_differing_fields(t):
     return sp.compare(*_two_versions(t), mode="differing_fields", keys=["o_orderkey"], ignore=["o_totalprice"])
 
 
-@query("""select * replace (row_count::bigint as row_count, total_count_diff::bigint as total_count_diff) from (values ('o_custkey', 'bigint', 1, 'left', 1, 'row_differs', 1), ('o_custkey', 'string', 1, 'right', 1, 'row_differs', 1),
-          ('o_orderstatus', 'string', 3, 'left', 1, 'row_differs', 1))
-          as v("column", type, "index", origin_data, row_count, difference_type, total_count_diff)""")
+@query("""select v.* replace (row_count::bigint as row_count, total_count_diff::bigint as total_count_diff), c.filled from
+    (values ('o_custkey', 'bigint', 1, 'left', 1, 'row_differs', 1), ('o_custkey', 'string', 1, 'right', 1, 'row_differs', 1),
+     ('o_orderstatus', 'string', 3, 'left', 1, 'row_differs', 1))
+      as v("column", type, "index", origin_data, row_count, difference_type, total_count_diff)
+  join (select unnest(['o_custkey', 'o_orderstatus']) as col, unnest([count(o_custkey), count(o_orderstatus)]) as filled from orders) c
+    on v."column" = c.col""")
 def compare_metadata(t):
+    """Columns and types that differ, with the number of values at stake."""
     left = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
     right = left.drop("o_orderstatus").withColumn("o_custkey", F.col("o_custkey").cast("string"))
-    return sp.compare(left, right, mode="metadata")
+    differences = sp.compare(left, right, mode="metadata")
+    filled = sp.summary(left).selectExpr("field_name", "`count` as filled")
+    return sp.join_datasets(differences, filled, how="inner", left_on=["column"], right_on=["field_name"]).drop("field_name")
 
 
 _METRICS = """select unnest(['o_orderkey', 'o_orderkey', 'o_orderkey', 'o_orderkey', 'o_orderkey', 'o_orderstatus', 'o_orderstatus', 'o_orderstatus']) as "column",
