@@ -24,7 +24,7 @@ def _plain(value):
     if isinstance(value, decimal.Decimal):
         value = int(value) if value == value.to_integral_value() else float(value)
     if isinstance(value, float):
-        return 0.0 if value == 0 else value
+        return value
     if isinstance(value, datetime.datetime):
         return value.replace(tzinfo=None)
     return value
@@ -56,9 +56,9 @@ def differences(df, con, sql: str) -> list[str]:
     if len(ours) != len(theirs):
         found.append(f"rows {len(ours)} and {len(theirs)}")
     a, b = _sorted_rows(df.columns, ours), _sorted_rows(names, theirs)
-    if a != b:
+    if repr(a) != repr(b):  # also tells -0.0 from 0.0
         for x, y in zip(a, b):
-            if x != y:
+            if repr(x) != repr(y):
                 found.append(f"values {x!r:.300} and {y!r:.300}")
                 break
     return found
