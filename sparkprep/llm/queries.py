@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkprep.llm.chat_format import format_chats, loss_texts, parse_chat
 from sparkprep.llm.substring_dedup import remove_repeats
 from sparkprep.llm.token_files import read_tokens, write_tokens
 from sparkprep.session import shared_folder
@@ -38,3 +39,17 @@ def op6_token_files(spark, folder):
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(_table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return read_tokens(spark, path)
+
+
+@query
+def op7_chat_format(spark, folder):
+    own = spark.createDataFrame(
+        [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")],
+        "conv_id long, turn long, role string, text string")
+    chats = format_chats(_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
+    turns, loss = parse_chat(F.col("formatted")), F.array_join(loss_texts(F.col("formatted")), "")
+    said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.select(
+        "conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
