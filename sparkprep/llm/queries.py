@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkprep.llm.chat_format import format_chats, loss_texts, parse_chat
+from sparkprep.llm.pii import detect, written
 from sparkprep.llm.substring_dedup import remove_repeats
 from sparkprep.llm.token_files import read_tokens, write_tokens
 from sparkprep.session import shared_folder
@@ -53,3 +54,12 @@ def op7_chat_format(spark, folder):
         "conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query
+def op5_pii(spark, folder):
+    found = detect(_table(spark, folder, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "row.doc_id", count(1).alias("n_email"), count(2).alias("n_ip"), count(3).alias("n_card"), count(4).alias("n_phone"),
+        F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
