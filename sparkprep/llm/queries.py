@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkprep.llm.chat_format import format_chats, loss_texts, parse_chat
+from sparkprep.llm.mixing import mix_sources
 from sparkprep.llm.pii import detect, written
 from sparkprep.llm.substring_dedup import remove_repeats
 from sparkprep.llm.token_files import read_tokens, write_tokens
+from sparkprep.llm.toxicity import held_out, score_toxicity
+from sparkprep.llm.toxicity import train as train_toxicity
 from sparkprep.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +66,16 @@ def op5_pii(spark, folder):
     return found.select(
         "row.doc_id", count(1).alias("n_email"), count(2).alias("n_ip"), count(3).alias("n_card"), count(4).alias("n_phone"),
         F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+@query
+def op4_mixing(spark, folder):
+    mixed = mix_sources(_table(spark, folder, "documents"), max_repeats=3.0)
+    return mixed.select("row.doc_id", "row.source", "mix_weight", "mix_block", "mix_order")
+
+
+@query
+def op9_toxicity(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, train_toxicity(docs, _table(spark, folder, "labels")))
+    return scored.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -74,18 +74,30 @@ def word_places(data: np.ndarray, offsets: np.ndarray):
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    size = max(SLICE_BYTES, 1 << int(len(data)).bit_length()) if len(data) > SLICE_BYTES else SLICE_BYTES
-    power, inverse = _powers(size)
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums from which ``hashes_of`` takes the hash of any stretch of ``data``."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * power[: len(data)], out=sums[1:])
+    np.cumsum(_BYTES[data] * _powers(_room(len(data)))[0][: len(data)], out=sums[1:])
+    return sums
+
+
+def _room(size: int) -> int:
+    return SLICE_BYTES if size <= SLICE_BYTES else 1 << size.bit_length()
+
+
+def hashes_of(sums: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     length = (ends - starts).astype(np.uint64)
-    hashes = mix((sums[ends] - sums[starts]) * inverse[np.minimum(starts, size - 1)] + length * np.uint64(0xD6E8FEB86659FD93))
+    inverse = _powers(_room(len(data)))[1]
+    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + length * np.uint64(0xD6E8FEB86659FD93))
     for i in np.flatnonzero(length > _LONG):
         hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
     return hashes
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return hashes_of(byte_sums(data), data, starts, ends)
+
+
 def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of ``k`` words, by its first word; the last ``k - 1`` places are left out."""
     n = len(hashes) - k + 1
