@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkprep.llm.chat_format import format_chats, loss_texts, parse_chat
+from sparkprep.llm.fingerprints import fingerprint_with_edits
 from sparkprep.llm.mixing import mix_sources
 from sparkprep.llm.pii import detect, written
 from sparkprep.llm.substring_dedup import remove_repeats
@@ -79,3 +80,9 @@ def op9_toxicity(spark, folder):
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, train_toxicity(docs, _table(spark, folder, "labels")))
     return scored.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op8_fingerprints(spark, folder):
+    marks = fingerprint_with_edits(_table(spark, folder, "documents"))
+    return marks.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
