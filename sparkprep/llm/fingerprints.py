@@ -25,7 +25,7 @@ from sparkprep.llm.words import mix
 SLOTS = 128
 BANDS = 32
 GRAM = 4
-_WIDE = 512  # texts walked side by side
+_WIDE = 4096  # texts walked side by side
 _CELLS = 24_000_000  # most steps written down at once
 
 
@@ -35,58 +35,66 @@ def _steps(length: np.ndarray) -> np.ndarray:
 
 def _coins() -> np.ndarray:
     """Random bits by step (modulo 4096) and low byte of the character's hash."""
-    return np.random.default_rng(7).integers(0, 2, (4096, 256)).astype(np.int32)
+    return np.random.default_rng(7).integers(0, 2, (4096, 256)).astype(np.int8) * (np.arange(256) != 255).astype(np.int8)
+
+
+_kept: dict[int, list[np.ndarray]] = {}  # of this worker: the records for its longest texts so far
 
 
 def _records(limit: int) -> list[np.ndarray]:
-    """For each slot, the places below ``limit`` at which its order falls to a new least value."""
+    """For each slot, the places at which its order falls to a new least value, up to ``limit`` or further."""
+    limit = 1 << max(limit, 1 << 16).bit_length()
+    if _kept and max(_kept) >= limit:
+        return _kept[max(_kept)]
     place = np.arange(limit, dtype=np.uint64)
     out = []
     for k in range(SLOTS):
         value = mix(place + np.uint64((k + 1) << 40))
         least = np.minimum.accumulate(value)
         out.append(np.flatnonzero(np.concatenate(([True], least[1:] < least[:-1]))))
+    _kept.clear()
+    _kept[limit] = out
     return out
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
     """One row of ``SLOTS`` bytes per text."""
-    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
-    length = np.array([len(c) for c in codes], np.int64)
+    # One byte per character: even numbers for characters, 255 for the end mark, where no coin moves on.
+    low = [mix(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)).astype(np.uint8) & np.uint8(254) for t in texts]
+    length = np.array([len(x) for x in low], np.int64)
     out = np.zeros((len(texts), SLOTS), np.uint8)
     if not len(texts):
         return out
-    coins = _coins()
-    longest = int(_steps(length).max())
-    records = _records(longest)
-    order = np.argsort(length, kind="stable")
+    coins, steps_of = _coins(), _steps(length)
+    records = _records(int(steps_of.max()))
+    order = np.argsort(-length, kind="stable")
     at = 0
     while at < len(order):
-        end = at + 1
-        while end < len(order) and end - at < _WIDE and (end + 1 - at) * int(_steps(length[order[end]])) <= _CELLS:
-            end += 1
-        rows = order[at:end]
-        at = end
-        steps = _steps(length[rows])
-        most = int(steps[-1])
-        # All texts in one array, each followed by one end mark at which its walk stays.
-        flat = np.concatenate([np.append(codes[r], 0xFFFFFFFF) for r in rows]).astype(np.uint64)
-        low = (mix(flat) & np.uint64(255)).astype(np.int32)
-        last = np.cumsum(length[rows] + 1) - 1
-        # At the end mark the step is added and taken back by the bound.
-        place = last - length[rows]
-        written = np.zeros((most + GRAM, len(rows)), np.uint8)
-        for j in range(most):
-            c = low.take(place)
-            written[j] = c
-            place += coins[j & 4095].take(c)
-            np.minimum(place, last, out=place)
-        written[most:] = low[last]
+        end, most = at + 1, int(steps_of[order[at]])
+        end = min(len(order), at + max(1, min(_WIDE, _CELLS // most)))
+        rows, at = order[at:end], end
+        flat = np.concatenate([np.append(low[r], np.uint8(255)) for r in rows])
+        steps = steps_of[rows]
+        place = np.cumsum(length[rows] + 1) - 1 - length[rows]
+        # Beyond a walk's own last step stands its end mark, as if it had gone on.
+        written = np.full((most + GRAM, len(rows)), 255, np.uint8)
+        step = np.zeros(len(rows), np.int8)
+        # The longest come first; between two lengths the walks that go on are the first so many.
+        stops = np.unique(steps)
+        j = 0
+        for stop in stops:
+            n = int(np.searchsorted(-steps, -stop, "right"))
+            place, step = place[:n], step[:n]
+            for j in range(j, int(stop)):  # noqa: B020
+                c = written[j, :n]
+                flat.take(place, out=c, mode="clip")
+                coins[j & 4095].take(c, out=step, mode="clip")
+                place += step
+            j = int(stop)
         for k in range(SLOTS):
             spot = records[k][np.searchsorted(records[k], steps, "left") - 1]
             value = spot.astype(np.uint64)
             for g in range(GRAM):
-                # Beyond a walk's own last step stands its end mark, as if it had gone on.
                 value = value * np.uint64(257) + written[spot + g, np.arange(len(rows))]
             out[rows, k] = (mix(value + np.uint64(k << 48)) >> np.uint64(56)).astype(np.uint8)
     return out
@@ -137,7 +145,7 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return pairs.select("id", "other", (equal / SLOTS).alias("likeness")).where(F.col("likeness") >= least)
 
 
-def _parts(batch: pa.RecordBatch, column: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, column: int, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``most`` bytes of text."""
     sizes = np.cumsum([0 if n is None else n for n in pa.compute.binary_length(batch.column(column)).to_pylist()])
     first = 0
@@ -187,7 +195,7 @@ def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
     def walk(batches):
         held = None  # the last row, which waits for the next one
         for b in batches:
-            for part in _parts(b, 1, 4_000_000):
+            for part in _parts(b, 1):
                 texts, ids = part.column(1).to_pylist(), part.column(0).to_pylist()
                 guest, marks = part.column(3).to_pylist(), fingerprints(texts)
                 if held:
