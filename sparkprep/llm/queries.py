@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkprep.llm.chat_format import format_chats, loss_texts, parse_chat
+from sparkprep.llm.embedding_dedup import embedding_links
 from sparkprep.llm.fingerprints import fingerprint_with_edits
 from sparkprep.llm.mixing import mix_sources
 from sparkprep.llm.pii import detect, written
@@ -86,3 +87,8 @@ def op9_toxicity(spark, folder):
 def op8_fingerprints(spark, folder):
     marks = fingerprint_with_edits(_table(spark, folder, "documents"))
     return marks.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query
+def op2_embedding_dedup(spark, folder):
+    return embedding_links(_table(spark, folder, "embeddings"), threshold=0.93)
