@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkprep.llm.chat_format import format_chats, loss_texts, parse_chat
 from sparkprep.llm.embedding_dedup import embedding_links
 from sparkprep.llm.fingerprints import fingerprint_with_edits
+from sparkprep.llm.jaccard_join import jaccard_components
 from sparkprep.llm.mixing import mix_sources
 from sparkprep.llm.pii import detect, written
 from sparkprep.llm.substring_dedup import remove_repeats
@@ -92,3 +93,8 @@ def op8_fingerprints(spark, folder):
 @query
 def op2_embedding_dedup(spark, folder):
     return embedding_links(_table(spark, folder, "embeddings"), threshold=0.93)
+
+
+@query
+def op10_jaccard_join(spark, folder):
+    return jaccard_components(_table(spark, folder, "documents"), percent=75, shingle=5)
