@@ -14,6 +14,7 @@ from sparkprep.llm.fingerprints import fingerprint_with_edits
 from sparkprep.llm.jaccard_join import jaccard_components
 from sparkprep.llm.mixing import mix_sources
 from sparkprep.llm.pii import detect, written
+from sparkprep.llm.sentencepiece_unigram import encode_texts, load_vocabulary
 from sparkprep.llm.substring_dedup import remove_repeats
 from sparkprep.llm.token_files import read_tokens, write_tokens
 from sparkprep.llm.toxicity import held_out, score_toxicity
@@ -98,3 +99,12 @@ def op2_embedding_dedup(spark, folder):
 @query
 def op10_jaccard_join(spark, folder):
     return jaccard_components(_table(spark, folder, "documents"), percent=75, shingle=5)
+
+
+@query
+def op3_sentencepiece(spark, folder):
+    import public_tokenizers
+
+    vocabulary = load_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    coded = encode_texts(_table(spark, folder, "documents").select("doc_id", "text"), vocabulary)
+    return coded.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "lossless")
