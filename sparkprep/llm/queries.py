@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkprep.llm import oracle
 from sparkprep.llm.chat_format import format_chats, loss_texts, parse_chat
 from sparkprep.llm.embedding_dedup import embedding_links
 from sparkprep.llm.fingerprints import fingerprint_with_edits
@@ -22,7 +23,12 @@ from sparkprep.llm.toxicity import train as train_toxicity
 from sparkprep.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_substring_dedup": oracle.SUBSTRING_DEDUP,
+    "op2_embedding_dedup": oracle.EMBEDDING_DEDUP,
+    "op7_chat_format": oracle.CHAT_FORMAT,
+    "op10_jaccard_join": oracle.JACCARD_JOIN,
+}
 
 
 def query(fn):
