@@ -35,6 +35,15 @@ def json_write_read(t):
     return sp.read_json(t.spark, path, lines=True, schema=_SCHEMA)
 
 
+@query("select o_orderkey, cast(null as varchar) as nothing, case when o_orderstatus <> 'F' then o_orderstatus end as status from orders")
+def json_file_round_trip(t):
+    """Several files, default options, a column of nulls only: every row and column comes back."""
+    path = f"{t.new_path()}.json"
+    orders = t.orders.select("o_orderkey", F.lit(None).cast("string").alias("nothing"), F.nullif("o_orderstatus", F.lit("F")).alias("status"))
+    sp.write_file(orders.repartition(4), path, "json")
+    return sp.read_file(t.spark, path)
+
+
 @query(_ORDERS)
 def parquet_write_read(t):
     path = t.new_path()

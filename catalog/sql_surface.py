@@ -43,7 +43,11 @@ select o_custkey, n, round(total, 2) as total from spent where total > (select a
 
 _sql("sql_semi_anti", "orders", """
 select o_orderkey from input_df1 o where exists (select 1 from input_df1 x where x.o_custkey = o.o_custkey and x.o_orderdate > o.o_orderdate
-  and x.o_orderstatus = 'P') and o.o_custkey not in (select o_custkey from input_df1 where o_totalprice > 490000)""")
+  and x.o_orderstatus = 'P') and not exists (select 1 from input_df1 y where y.o_custkey = o.o_custkey and y.o_totalprice > 490000)""")
+
+_sql("sql_quoted_names", "customer", """
+select c_custkey, 'input_df1' as named, concat('it''s ', 'input_df1') as b from input_df1""", """
+select c_custkey, 'input' || '_df1' as named, concat('it''s ', 'input' || '_df1') as b from input_df1""")
 
 _sql("sql_strings", "customer", """
 select c_custkey, upper(substr(c_name, 1, 4)) as a, replace(c_name, '#', '-') as b, lpad(cast(c_nationkey as varchar(10)), 4, '0') as d,

@@ -54,7 +54,7 @@ def rename_dynamic(
         "upper": str.upper,
         "camel_lower": _camel,
         "camel_upper": lambda s: _camel(s)[:1].upper() + _camel(s)[1:],
-        "snake": lambda s: re.sub("_+", "_", re.sub("[^a-zA-Z0-9_]+", "_", s)).strip("_").lower(),
+        "snake": lambda s: "_".join(_alphanumeric_runs(s)).lower(),
     }
     if case not in cases:
         raise ValueError(f"case must be one of {sorted(cases)}, not {case!r}")
@@ -72,9 +72,16 @@ def rename_dynamic(
     return _renamed(df, [new_name(n) if n in chosen else n for n in df.columns])
 
 
+def _alphanumeric_runs(name: str) -> list[str]:
+    return re.findall("[0-9A-Za-z]+", name)
+
+
 def _camel(name: str) -> str:
-    words = [w for w in re.split("[^a-zA-Z0-9]+", name) if w]
-    return words[0].lower() + "".join(w.capitalize() for w in words[1:]) if words else name
+    """Runs of letters and digits put together; every run but the first begins with a capital. Other names stay."""
+    joined = ""
+    for run in map(str.lower, _alphanumeric_runs(name)):
+        joined += run if not joined else run[0].upper() + run[1:]
+    return joined or name
 
 
 def rename(df: DataFrame, mode: str = "manual", **options) -> DataFrame:

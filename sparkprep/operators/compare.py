@@ -126,6 +126,9 @@ def _fields(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     if not keys:
         raise ValueError("field_data and differing_fields need keys")
     fields = [n for n in left.columns if n not in keys]
+    if not fields:  # nothing beside the keys can differ
+        none = [F.lit(None).cast("string").alias(n) for n in ("Field", "Value", "Origin")]
+        return left.select(*[c(k) for k in keys], *none).where(F.lit(False))
     joined = join_datasets(
         left.select(*[c(k) for k in keys], F.struct(*[c(f) for f in fields]).alias("_left_row")),
         right.select(*[c(k) for k in keys], F.struct(*[c(f) for f in fields]).alias("_right_row")),

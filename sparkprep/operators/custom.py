@@ -9,8 +9,10 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkprep._columns import as_list, c, require
 from sparkprep.session import cut
@@ -68,11 +70,13 @@ def enrich(
     inputs = df.select(*[c(n).alias(f"_in{i}") for i, n in enumerate(names)]).distinct()
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in inputs.schema.fields]
 
-    def calls(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = to_arrow_type(df.sparkSession.createDataFrame([], f"x {type}").schema[0].dataType)
+
+    def calls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = setup() if setup else None
 
         def answer(values: tuple):
-            row = {n: None if v is None or v is pd.NaT or v is pd.NA else v for n, v in zip(names, values)}
+            row = dict(zip(names, values))
             for attempt in range(retries + 1):
                 try:
                     return fn(client, row) if setup else fn(row)
@@ -81,10 +85,12 @@ def enrich(
                         raise
                     time.sleep(wait * 2**attempt)
 
-        for frame in frames:
-            yield frame.assign(_answer=[answer(values) for values in frame.itertuples(index=False, name=None)])
+        # Arrow values are Python's own: an int stays an int beside a null.
+        for batch in batches:
+            answers = pa.array([answer(values) for values in zip(*(column.to_pylist() for column in batch.columns))], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, answers], [*batch.schema.names, "_answer"])
 
-    answers = cut(inputs.mapInPandas(calls, ", ".join([*fields, f"_answer {type}"])), "answers")
+    answers = cut(inputs.mapInArrow(calls, ", ".join([*fields, f"_answer {type}"])), "answers")
     on = reduce(Column.__and__, [c(n).eqNullSafe(F.col(f"_in{i}")) for i, n in enumerate(names)])
     kept = [c(n) for n in df.columns if n != new_column]
     return df.join(answers, on, "left").select(*kept, F.col("_answer").alias(new_column))
@@ -100,7 +106,9 @@ def sql_query(df: DataFrame | list[DataFrame], query: str) -> DataFrame:
             view = f"input_{uuid.uuid4().hex}"
             frame.createOrReplaceTempView(view)
             views.append(view)
-            query = re.sub(rf"\binput_df{i}\b", view, query)
+            # Quoted texts and comments stay as they are written.
+            skipped = r"'(?:[^'\\]|\\.|'')*'|\"[^\"]*\"|--[^\n]*"
+            query = re.sub(rf"({skipped})|\binput_df{i}\b", lambda m, v=view: m[1] or v, query)
         return spark.sql(query)
     finally:
         # The result is analysed by now and no longer needs the names.

@@ -109,9 +109,13 @@ def deduplicate(df: DataFrame, subset: Iterable[str] | None = None, keep: str |
         return single.select(*[c(n) if n in keys else c(kept)[n].alias(n) for n in df.columns])
     if keep not in ("first", "last"):
         raise ValueError("keep must be 'first', 'last' or 'none'")
-    if order_by is None or set(keys) == set(df.columns):
+    if set(keys) == set(df.columns):
         return df.dropDuplicates(keys)
-    return _first_of_group(df, keys, order_columns(df, order_by, flip=keep == "last"), 1)
+    if order_by is None:
+        if keep == "last":
+            raise ValueError("keep='last' needs order_by: rows have no order of their own")
+        return df.dropDuplicates(keys)
+    return _first_of_group(df, keys, [*order_columns(df, order_by, flip=keep == "last"), row_hash(df)], 1)
 
 
 def _first_of_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:

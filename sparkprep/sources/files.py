@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 import warnings
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
@@ -165,19 +167,35 @@ def read_json(
     spark: SparkSession,
     path: str | list[str],
     orient: str = "records",
-    lines: bool = False,
+    lines: bool | None = None,
     schema: str | T.StructType | None = None,
     limit: int | None = None,
+    dtype: bool = True,
 ) -> DataFrame:
     """JSON files: ``lines=True`` for one record per line (splits over tasks), else by orientation: records (a list or
     one object), columns, index, split, table. The last four are one document per file, read whole by one task.
+
+    ``lines=None`` looks at all lines of each file of records: where each line that is not blank begins with ``{`` and ends
+    with ``}``, they are records by line, else the file is one document. A folder may hold both kinds. ``dtype=False``
+    keeps values as text.
     """
     if orient not in ("records", "columns", "index", "split", "table"):
         raise ValueError(f"unknown JSON orient {orient!r}")
     if lines or orient == "records":
-        reader = spark.read.option("multiLine", str(not lines).lower())
-        reader = reader.schema(schema) if schema is not None else reader
-        return _limited(_checked(lambda: reader.json(path), path), limit)
+        def read(source, by_line: bool) -> DataFrame:
+            reader = spark.read.option("multiLine", str(not by_line).lower()).option("primitivesAsString", str(not dtype).lower())
+            return (reader.schema(schema) if schema is not None else reader).json(source)
+
+        if lines is not None:
+            return _limited(_checked(lambda: read(path, lines), path), limit)
+        line = F.trim(F.regexp_replace("value", "^\ufeff", ""))
+        by_line = line.startswith("{") & line.endswith("}")
+        text = _checked(lambda: spark.read.text(path), path).select("value", F.col("_metadata.file_path").alias("file"))
+        kinds = text.where(line != "").groupBy("file").agg(F.min(by_line).alias("by_line")).collect()  # one row per file
+        parts = [read([r["file"] for r in kinds if r["by_line"] == kind], kind) for kind in (True, False) if any(r["by_line"] == kind for r in kinds)]
+        if not parts:
+            return _limited(_checked(lambda: read(path, True), path), limit)
+        return _limited(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), limit)
     texts = _checked(lambda: spark.read.text(path, wholetext=True), path)
     document = texts.select(F.input_file_name().alias("file"), F.parse_json("value").alias("doc"))
     return _limited(_oriented(document, orient, schema), limit)
@@ -233,6 +251,8 @@ def read_xml(
 ) -> DataFrame:
     """XML files: one row per element ``row_tag`` (or the last step of ``xpath``)."""
     if xpath and not row_tag:
+        if re.search(r"[\[@(|]|::", xpath):
+            raise ValueError(f"xpath {xpath!r} selects more than an element name can: give row_tag and filter the rows")
         row_tag = xpath.rstrip("/").split("/")[-1].split(":")[-1].split("[")[0]
     if not row_tag or row_tag == "*":
         raise ValueError("read_xml needs row_tag, or an xpath that ends in an element name")

@@ -49,8 +49,8 @@ def write_csv(
 
 
 def write_json(df: DataFrame, path: str, mode: str = "write", **options) -> None:
-    """A folder of JSON files with one record per line."""
-    df.write.mode(_mode(mode)).options(**options).json(path)
+    """A folder of JSON files with one record per line. Null fields are written, so that all columns come back."""
+    df.write.mode(_mode(mode)).options(**{"ignoreNullFields": "false"} | options).json(path)
 
 
 def write_parquet(df: DataFrame, path: str, compression: str = "snappy", mode: str = "write", partition_by=None) -> None:

@@ -31,7 +31,8 @@ def run_available(
 ) -> str:
     """Process all that has arrived, write it to ``path`` (default: a new folder in the shared folder), and stop.
 
-    The checkpoint makes the next run go on from there, and each file is written exactly once.
+    The checkpoint makes the next run go on from there, and each file is written exactly once. A run that is not done
+    within ``timeout`` seconds is stopped and raises TimeoutError: what it has written so far is not all.
     """
     base = f"{shared_folder(df.sparkSession)}/sparkprep-stream-{uuid.uuid4().hex}"
     path, checkpoint = path or f"{base}/out", checkpoint or f"{base}/checkpoint"
@@ -39,7 +40,11 @@ def run_available(
         df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint).option("path", path)
         .trigger(availableNow=True).start()
     )
-    query.awaitTermination(timeout)
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
+        query.stop()
+        raise TimeoutError(f"the stream was not done after {timeout} s; a run with checkpoint={checkpoint!r} goes on from there")
     return path
 
 
