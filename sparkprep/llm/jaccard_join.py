@@ -5,7 +5,7 @@ each, in any one order of all elements, share at least one. The order here puts
 counters, summed over all texts, estimates how often each occurs, so that a passage which many texts share is looked at
 last. Classes that share such an element form a group; groups are found in buckets of hashes that are packed as arrays.
 
-A group first gives one candidate per member, with the group's least class. Candidates are bounded by bitmaps: sizes must
+A group first gives a few candidates per member, with the group's least class and three others (``CENTERS``). Candidates are bounded by bitmaps: sizes must
 lie within the same band (ratio t), and elements that set a bit in one bitmap but not in the other cannot be common, so bit
 counts bound the overlap from above. Bitmap lengths follow the size of the set; the longer of two is folded. What remains is
 decided by intersecting the sorted arrays of hashes. Members that the exact links have joined need no further look. Groups
@@ -34,6 +34,7 @@ from sparkprep.session import cut
 SHINGLE = 5
 SLOTS = 1 << 18
 _CHUNK = 1 << 13
+CENTERS = (0.0, 1.0, 1 / 3, 2 / 3)  # places among a group's classes, in the order of their keys
 BUCKET = 1_000_000  # elements in a bucket, about
 TILE = 1024
 
@@ -132,7 +133,8 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, shingle: int = SH
 
 
 def _stars(docs: DataFrame, text_col: str, counters: np.ndarray, total: int, shingle: int, percent: int) -> DataFrame:
-    """(group, member, center): classes that share an element of their prefixes, each with the least class of the group."""
+    """(group, member, center, more): classes that share an element of their prefixes, each with the least class of the group,
+    and with further centers where ``more``."""
     buckets = max(1, -(-total // BUCKET))
     shared = docs.sparkSession.sparkContext.broadcast(counters)  # SLOTS numbers
 
@@ -187,7 +189,7 @@ def _stars(docs: DataFrame, text_col: str, counters: np.ndarray, total: int, shi
             yield from _group(bucket, held)
 
     packed = docs.select(F.col(text_col).cast("string")).mapInArrow(pack, "bucket long, hashes binary, local binary, keys binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(stars, "group long, member long, center long")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(stars, "group long, member long, center long, more boolean")
 
 
 def _group(bucket: int, held):
@@ -195,13 +197,19 @@ def _group(bucket: int, held):
     order = np.lexsort((keys, hashes))
     hashes, keys = hashes[order], keys[order]
     start = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-    center = keys[np.flatnonzero(start)[np.cumsum(start) - 1]]
     # Copies in other batches have the same key; each class is a member once.
-    mine = ~start & (keys != center) & np.concatenate(([True], (keys[1:] != keys[:-1]) | start[1:]))
-    group = (np.int64(bucket) << np.int64(32)) | hashes[mine].astype(np.int64)
-    for i in range(0, len(group), 100_000):
-        q = slice(i, i + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(group[q]), pa.array(keys[mine][q]), pa.array(center[mine][q])], ["group", "member", "center"])
+    once = start | np.concatenate(([True], keys[1:] != keys[:-1]))
+    hashes, keys, start = hashes[once], keys[once], start[once]
+    begin = np.flatnonzero(start)[np.cumsum(start) - 1]
+    size = np.diff(np.append(np.flatnonzero(start), len(keys)))[np.cumsum(start) - 1]
+    for k, share in enumerate(CENTERS):
+        center = keys[begin + ((size - 1) * share).astype(np.int64)]
+        mine = (keys != center) & ((size > 2) & (keys != keys[begin]) if k else size > 1)
+        group = (np.int64(bucket) << np.int64(32)) | hashes[mine].astype(np.int64)
+        for i in range(0, len(group), 100_000):
+            q = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(group[q]), pa.array(keys[mine][q]), pa.array(center[mine][q]), pa.array(np.full(len(group[q]), k > 0))], ["group", "member", "center", "more"])
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -319,19 +327,19 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         possible = cut(_bounded(candidates, classes, percent), "possible")
         return cut(_exact(possible, _sets_of(possible, docs, table, id_col, text_col, shingle), percent), "links")
 
-    links = decide(stars.select(F.col("member").alias("a"), F.col("center").alias("b")).distinct())
+    tested = stars.select(F.greatest("member", "center").alias("a"), F.least("member", "center").alias("b")).distinct()
+    links = decide(tested)
     group = cut(components(links, "near"), "near")
 
     # Groups of three classes or more, with members in different components: their other pairs are still to be looked at.
     comp = lambda of: group.select(F.col("node").alias(of), F.col("component").alias(f"c_{of}"))
-    known = stars.join(comp("member"), "member", "left").join(comp("center"), "center", "left")
+    known = stars.where("not more").join(comp("member"), "member", "left").join(comp("center"), "center", "left")
     known = known.select("group", "member", "center", F.coalesce("c_member", "member").alias("c_member"), F.coalesce("c_center", "center").alias("c_center"))
     open_ = known.groupBy("group").agg(F.count("*").alias("c"), F.max((F.col("c_member") != F.col("c_center")).cast("int")).alias("split")).where("c > 1 and split = 1")
     known = cut(known.join(open_.select("group"), "group", "left_semi"), "open")
     members = known.select("group", F.col("member").alias("key"), F.col("c_member").alias("component")).unionByName(
         known.groupBy("group").agg(F.first("center").alias("key"), F.first("c_center").alias("component")))
     pairs = cut(_across(members.join(classes, "key"), percent, tile), "across")
-    tested = stars.select(F.greatest("member", "center").alias("a"), F.least("member", "center").alias("b"))
     pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"), "rest")
     if not pairs.isEmpty():
         more = decide(pairs)
