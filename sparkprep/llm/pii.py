@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The kinds in their order, the base patterns (in words: see the README), the cues.
+# The kinds in their order, the base patterns, the cues. A loose dot or gap stands where a domain or a card ends.
 KINDS = ["email", "ip", "card", "phone", "number", "secret"]
 _LOOSE_DOT = r"(?<![A-Za-z0-9-])\.|\.(?![A-Za-z0-9-])"
 _LOOSE_GAP = r"(?<![0-9])[ -]|[ -](?![0-9])"
