@@ -4,8 +4,8 @@ A turn is written as
 
     ### Role[level]: text </turn>\\n
 
-``level`` 0 leaves the text as it is, level 1 puts ``\\`` before each ``\\``, ``#``, ``<`` and line break marker it must not
-contain. A text is first rendered at level 0 and read back by the parser; only where the recovered turn differs from the
+``level`` 0 leaves the text as it is, level 1 puts ``\\\\`` before each ``\\\\``, ``#``, ``<`` and ``[``.
+A text is first rendered at level 0 and read back by the parser; only where the recovered turn differs from the
 source is it rendered at level 1, where no control string can arise, and read back again. Roles are always escaped, so that
 any role can be written. All steps are expressions on single turns; a conversation meets only to be joined in order.
 """
