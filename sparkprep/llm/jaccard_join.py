@@ -5,13 +5,14 @@ each, in any one order of all elements, share at least one. The order here puts
 counters, summed over all texts, estimates how often each occurs, so that a passage which many texts share is looked at
 last. Classes that share such an element form a group; groups are found in buckets of hashes that are packed as arrays.
 
-A group first gives a few candidates per member, with the group's least class and three others (``CENTERS``). Candidates are bounded by bitmaps: sizes must
-lie within the same band (ratio t), and elements that set a bit in one bitmap but not in the other cannot be common, so bit
-counts bound the overlap from above. Bitmap lengths follow the size of the set; the longer of two is folded. What remains is
-decided by intersecting the sorted arrays of hashes. Members that the exact links have joined need no further look. Groups
-that still hold several components go into tiles by size, where the bitmaps of all members of different components are
-compared, and the pairs that pass are decided exactly as before. So no link between components is lost, and groups of
-near copies cost as many pairs as members.
+A group first gives a few candidates per member, with the group's least class and three others (``CENTERS``). Candidates
+are bounded by bitmaps: sizes must lie within the same band (ratio t), and elements that set a bit in one bitmap but not in
+the other cannot be common, so bit counts bound the overlap from above. Bitmap lengths follow the size of the set; the longer
+of two is folded. What remains is decided by intersecting the sorted arrays of hashes. Members that the exact links have
+joined need no further look. Groups that still hold several components go into tiles by size, where the bitmaps of all
+members of different components are compared, and the pairs that pass are decided exactly as before. Near copies meet in
+many groups; a pair is given by the least of them, as far as the first ``LISTED`` groups of its two members tell. So no link
+between components is lost, and groups of near copies cost as many pairs as members.
 
 Shingles are compared by 64-bit hashes.
 """
@@ -37,6 +38,7 @@ _CHUNK = 1 << 13
 CENTERS = (0.0, 1.0, 1 / 3, 2 / 3)  # places among a group's classes, in the order of their keys
 BUCKET = 1_000_000  # elements in a bucket, about
 TILE = 1024
+LISTED = 64  # open groups that a member carries; beyond these a pair may be given more than once
 
 
 def shingle_sets(texts, shingle: int = SHINGLE):
@@ -262,12 +264,15 @@ def _sets_of(pairs: DataFrame, docs: DataFrame, table: DataFrame, id_col: str, t
 
 
 def _across(members: DataFrame, percent: int, tile: int) -> DataFrame:
-    """Pairs (a, b) of one group and different components that sizes and bitmaps leave possible, by tiles of like size."""
+    """Pairs (a, b) of one group and different components that sizes and bitmaps leave possible, by tiles of like size.
+
+    ``listed`` has the least groups of each member, in which a pair that meets there again is left to the first.
+    """
 
     def tiles(batches):
         group, held = None, []
         for b in batches:
-            for row in zip(*[b.column(c).to_pylist() for c in range(4)], b.column(4)):
+            for row in zip(*[b.column(c).to_pylist() for c in range(4)], b.column(4), b.column(5).to_pylist()):
                 if row[0] != group:
                     yield from _tile_pairs(held, percent, tile)
                     group, held = row[0], []
@@ -275,7 +280,7 @@ def _across(members: DataFrame, percent: int, tile: int) -> DataFrame:
         yield from _tile_pairs(held, percent, tile)
 
     return members.repartition("group").sortWithinPartitions("group", "n", "key") \
-        .select("group", "key", "n", "component", "bits").mapInArrow(tiles, "a long, b long").distinct()
+        .select("group", "key", "n", "component", "bits", "listed").mapInArrow(tiles, "a long, b long").distinct()
 
 
 def _tile_pairs(rows: list, percent: int, tile: int):
@@ -283,6 +288,7 @@ def _tile_pairs(rows: list, percent: int, tile: int):
         return
     key, n, comp = (np.array([r[c] for r in rows], np.int64) for c in (1, 2, 3))
     bits = [np.frombuffer(r[4].as_buffer(), np.uint8) for r in rows]
+    earlier = [frozenset(g for g in r[5] if g < r[0]) for r in rows]
     for first in range(0, len(rows), tile):
         last = min(first + tile, len(rows))
         # Rows are ordered by size: a tile meets the tiles above it whose sizes are still in its band.
@@ -301,6 +307,7 @@ def _tile_pairs(rows: list, percent: int, tile: int):
                     x, y = one[i - first], two[j - low]
                     bound = np.minimum(n[i] - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), n[j] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
                     j = j[_enough(bound, n[i], n[j], percent)]
+                    j = j[[earlier[i].isdisjoint(earlier[x]) for x in j.tolist()]] if earlier[i] else j
                     a_out.append(np.full(len(j), key[i]))
                     b_out.append(key[j])
             if a_out:
@@ -339,7 +346,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = cut(known.join(open_.select("group"), "group", "left_semi"), "open")
     members = known.select("group", F.col("member").alias("key"), F.col("c_member").alias("component")).unionByName(
         known.groupBy("group").agg(F.first("center").alias("key"), F.first("c_center").alias("component")))
-    pairs = cut(_across(members.join(classes, "key"), percent, tile), "across")
+    listed = members.groupBy("key").agg(F.slice(F.sort_array(F.collect_list("group")), 1, LISTED).alias("listed"))
+    pairs = cut(_across(members.join(classes, "key").join(listed, "key"), percent, tile), "across")
     pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"), "rest")
     if not pairs.isEmpty():
         more = decide(pairs)
