@@ -228,6 +228,29 @@ def sample_last_percent_by_group(t):
     return sp.sample_rows(t.events, percent=10, mode="last", by=["event_type"], order_by=["ts", "event_id"])
 
 
+def _tied(n):
+    return f"""select event_type, count(*) as rows from (select *, row_number() over (order by event_type) as rn from events)
+               where rn <= {n} group by 1"""
+
+
+def _tied_rows(t, n):
+    """Which of the tied rows are taken follows from the rows alone: other partitions give the same."""
+    first = sp.sample_rows(t.events, n=n, mode="first", order_by=["event_type"])
+    again = sp.sample_rows(t.events.repartition(5, "value"), n=n, mode="first", order_by=["event_type"])
+    both = first.join(again.select("event_id"), "event_id")
+    return both.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(_tied(500))
+def sample_first_tied_few(t):
+    return _tied_rows(t, 500)
+
+
+@query(_tied(1500))
+def sample_first_tied_many(t):
+    return _tied_rows(t, 1500)
+
+
 @query("select cast(count(*) * 0.2 as bigint) as rows, true as all_from_table from lineitem")
 def sample_random_percent(t):
     """Which rows a seed gives differs between engines, so the number is checked, and that they are rows of the table."""

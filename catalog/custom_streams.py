@@ -91,11 +91,18 @@ def stream_stateless(t):
 
 @query("""select window_start, window_end, event_type, n as event_id_count, v as value_max from
           (select time_bucket(interval 1 hour, ts) as window_start, time_bucket(interval 1 hour, ts) + interval 1 hour as window_end, event_type,
-           count(*) as n, max(value) as v from events group by 1, 2, 3)
-          where window_end <= (select max(ts) - interval 2 hour from events)""")
+           count(*) as n, max(value) as v from events group by 1, 2, 3)""")
 def stream_windows(t):
-    """Windows are written once the watermark has passed them; the last ones stay open."""
+    """All windows, those still open at the end of the input too."""
     counts = runs.aggregate_stream(
         _event_stream(t), ["event_type"], [("event_id", "count"), ("value", "max")], "ts", "1 hour", "2 hours"
     )
-    return t.spark.read.parquet(runs.run_available(counts))
+    return runs.run_updates(counts, ["window_start", "window_end", "event_type"])
+
+
+@query("select user_id, event_type, count(distinct ts) as moments from events group by all")
+def stream_deduplicate(t):
+    """Each moment of a user and a kind once; one file is one batch, so no key is forgotten before its copies."""
+    once = runs.deduplicate_stream(_event_stream(t).select("user_id", "event_type", "ts"), ["user_id", "event_type", "ts"], "ts", "1 hour")
+    rows = t.spark.read.parquet(runs.run_available(once))
+    return rows.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("moments"))

@@ -243,6 +243,25 @@ def correlation_pearson(t):
     return _rounded_matrix(sp.correlation_matrix(t.lineitem, _MEASURES))
 
 
+_MANY = {
+    **{f"q{i}": f"l_quantity * l_quantity / {i + 1} + l_linenumber * {i}" for i in range(7)},
+    **{f"e{i}": f"case when l_linenumber <> {i + 1} then l_extendedprice / {i + 1} - l_discount * {i} end" for i in range(5)},
+    "spike": "case when l_linenumber = 1 then 1e12 else l_tax end",
+    "gap": "case when l_linenumber <> 1 then l_tax * 2 + l_discount end",
+}
+
+
+@query(_matrix_sql(
+    "lineitem", list(_MANY),
+    lambda a, b: f"(select corr(cast({_MANY[a]} as double), cast({_MANY[b]} as double)) from lineitem"
+    f" where {_MANY[a]} is not null and {_MANY[b]} is not null)",
+))
+def correlation_many_columns(t):
+    """Nulls, and a spike that is null in the partner: the pair is judged by its own rows."""
+    rows = t.lineitem.select(*[F.expr(f"cast({text} as double)").alias(n) for n, text in _MANY.items()])
+    return _rounded_matrix(sp.correlation_matrix(rows))
+
+
 def _rank(name):
     return f"(rank() over (order by {name}) + (count(*) over (partition by {name}) - 1) / 2.0)"
 

@@ -113,12 +113,12 @@ def join_theta_anti_right_range_only(t):
     ).drop("limit")
 
 
-_BANDS = "(select c_custkey, c_acctbal * 40 as low, c_acctbal * 40 + 200 as high from customer where c_acctbal >= 0)"
+_BANDS = "(select c_custkey, c_acctbal * 40 as low, c_acctbal * 40 + 200 as high from customer)"
 
 
 def _bands(t):
     low = F.col("c_acctbal") * 40
-    return t.customer.where("c_acctbal >= 0").select("c_custkey", low.alias("low"), (low + 200).alias("high"))
+    return t.customer.select("c_custkey", low.alias("low"), (low + 200).alias("high"))
 
 
 _IN_BAND = [("o_totalprice", ">=", "low"), ("o_totalprice", "<=", "high")]
@@ -248,3 +248,11 @@ def compare_rounded(t):
     left = t.events.select("user_id", "value", "ts")
     right = left.select("user_id", (F.col("value") + 0.3).alias("value"), F.expr("ts + interval 10 minutes").alias("ts"))
     return sp.compare(left, right, round_float=0, round_time="h")
+
+
+@query(f"""select o_orderkey, c_custkey from orders left join {_BANDS} b on o_totalprice > low and o_totalprice < high""")
+def join_interval_auto(t):
+    """The width of the bins follows from the lengths of the intervals."""
+    orders = t.orders.select("o_orderkey", "o_totalprice")
+    inside = [("o_totalprice", ">", "low"), ("o_totalprice", "<", "high")]
+    return sp.join_datasets(orders, _bands(t), how="left", conditions=inside).select("o_orderkey", "c_custkey")

@@ -14,7 +14,7 @@ def _sql(name, table, spark_sql, duck_sql=None):
 
 _sql("sql_window", "events", """
 select event_id, cast(rank() over (partition by user_id order by value desc) as bigint) as place,
-  cast(ntile(4) over (partition by event_type order by ts, event_id) as bigint) as quarter,
+  cast(ntile(4) over (partition by user_id order by ts, event_id) as bigint) as quarter,
   lag(value, 1) over (partition by user_id order by ts, event_id) as previous_value,
   round(avg(value) over (partition by user_id order by ts, event_id rows between 2 preceding and current row), 6) as moving
 from input_df1""")

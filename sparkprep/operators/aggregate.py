@@ -92,11 +92,13 @@ def chart_table(
     color: tuple[str, str | None] | None = None,
     sort: tuple[str, str | None] | None = None,
     descending: bool = False,
+    order_by=None,
 ) -> DataFrame:
     """The table behind a chart: group by ``by`` with columns named ``<Function> of <column>``; null groups are kept.
 
     ``color`` and ``sort`` are (column, function or None): with a function they join the aggregations, a colour column
-    without one joins the groups. The result is sorted by the sort column. No aggregation at all returns the input.
+    without one joins the groups. The result is sorted by the sort column. first and last need
+    ``order_by``. No aggregation at all returns the input.
     """
     keys = require(df, by)
     wanted: list[tuple[str, str]] = []
@@ -120,7 +122,7 @@ def chart_table(
     if not wanted:
         return df
     names = [f"{f.capitalize()} of {column}" for column, f in wanted]
-    table = aggregate(df, keys, wanted, keep_null_keys=True, names=names)
+    table = aggregate(df, keys, wanted, order_by=order_by, keep_null_keys=True, names=names)
     if sort_column is None:
         return table
     require(table, [sort_column], "sort column")

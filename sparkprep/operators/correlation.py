@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep._columns import NUMERIC, c, free_name, numeric_columns, require
-from sparkprep.operators import ordering
 from sparkprep.operators.ordering import running_totals
 from sparkprep.session import cut
 
 _EXACT = "decimal(38,0)"
-# Up to this many columns every pair is an aggregate of its own in one generated plan; beyond, blocks of rows are
-# multiplied as matrices.
-_FEW_COLUMNS = 12
 
 
 def _value(name: str) -> Column:
@@ -39,8 +33,7 @@ def correlation_matrix(
     if other or not names:
         raise ValueError(f"correlation needs numeric columns; not numeric: {other}")
     pairs = list(combinations(names, 2))
-    pearson = _pearson if len(names) <= _FEW_COLUMNS else _pearson_by_blocks
-    methods = {"pearson": pearson, "spearman": _spearman, "kendall": _kendall}
+    methods = {"pearson": _pearson, "spearman": _spearman, "kendall": _kendall}
     if method not in methods:
         raise ValueError(f"method must be one of {sorted(methods)}")
     # The diagonal pairs a column with itself: 1 if it varies, null if it does not.
@@ -73,67 +66,23 @@ def _diagonal(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _pearson(df: DataFrame, pairs) -> DataFrame:
-    """All pairs in one aggregate over the table."""
-    stats, cells = [], []
-    for i, (a, b) in enumerate(pairs):
-        x, y = _value(a), _value(b)
-        present = x.isNotNull() & y.isNotNull()
-        varies = (F.max(F.when(present, x)) > F.min(F.when(present, x))) & (
-            F.max(F.when(present, y)) > F.min(F.when(present, y))
-        )
-        xs, ys = F.when(present, x), F.when(present, y)
-        # corr() itself fails on a constant column, which has no correlation.
-        r = F.when(varies, F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys)))
-        stats += [F.count(F.when(present, F.lit(1))).alias(f"_n{i}"), r.alias(f"_r{i}")]
-        cells.append(
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_n{i}").alias("n"), F.col(f"_r{i}").alias("r"))
-        )
-    return df.agg(*stats).select(F.explode(F.array(*cells)).alias("_p")).select("_p.*")
-
-
-def _pearson_by_blocks(df: DataFrame, pairs) -> DataFrame:
-    """All pairs in two passes for any number of columns.
-
-    With the values X (less their mean, 0 where missing) and the marks M of those present, the products of a block of
-    rows M'M, X'M, (X*X)'M and X'X hold everything a pair needs; the blocks add up.
-    """
+    """All pairs in one pass: a row gives its pairs of present values, which are summed up on the map side."""
     names = list(dict.fromkeys(n for pair in pairs for n in pair))
-    d = len(names)
-    firsts = df.agg(*[F.avg(_value(n)) for n in names], *[F.max(_value(n)) - F.min(_value(n)) for n in names]).first()
-    means = np.array([0.0 if v is None else v for v in firsts[:d]])
-    spans = [0.0 if v is None else v for v in firsts[d:]]
-    upper = np.triu_indices(d, 1)
-
-    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, sums, squares, cross = (np.zeros((d, d)) for _ in range(4))
-        for frame in frames:
-            x = frame.to_numpy(dtype=float) - means
-            marks = ~np.isnan(x)
-            x[~marks] = 0.0
-            marks = marks.astype(float)
-            n += marks.T @ marks
-            sums += x.T @ marks
-            squares += (x * x).T @ marks
-            cross += x.T @ x
-        i, j = upper
-        yield pd.DataFrame({
-            "i": i, "j": j, "n": n[i, j].astype("int64"), "sx": sums[i, j], "sy": sums[j, i], "sxx": squares[i, j],
-            "syy": squares[j, i], "sxy": cross[i, j],
-        })
-
-    kinds = "i int, j int, n bigint, sx double, sy double, sxx double, syy double, sxy double"
-    blocks = df.select(*[_value(n).alias(f"_c{i}") for i, n in enumerate(names)]).mapInPandas(products, kinds)
-    total = blocks.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    name_of, span_of = F.array(*[F.lit(n) for n in names]), F.array(*[F.lit(float(v)) for v in spans])
-
-    def spread(square: str, single: str, index: str) -> Column:
-        """The sum of squares around the mean, or null where only rounding is left of it."""
-        value = F.col(square) - F.try_divide(F.col(single) * F.col(single), F.col("n"))
-        return F.when(value > span_of[F.col(index)] * span_of[F.col(index)] * 1e-14 * F.col("n"), value)
-
-    covariance = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
-    r = F.try_divide(covariance, F.sqrt(spread("sxx", "sx", "i")) * F.sqrt(spread("syy", "sy", "j")))
-    return total.select(name_of[F.col("i")].alias("a"), name_of[F.col("j")].alias("b"), "n", r.alias("r"))
+    number = {n: i for i, n in enumerate(names)}
+    listed = F.array(*[
+        F.struct(F.lit(p).alias("p"), F.lit(number[a]).alias("i"), F.lit(number[b]).alias("j")) for p, (a, b) in enumerate(pairs)
+    ])
+    rows = df.select(F.array(*[_value(n) for n in names]).alias("_v"))
+    cells = rows.select("_v", F.explode(listed).alias("_p"))
+    cells = cells.select("_p.p", F.col("_v")[F.col("_p.i")].alias("x"), F.col("_v")[F.col("_p.j")].alias("y"))
+    x, y = F.col("x"), F.col("y")
+    sums = cells.where(x.isNotNull() & y.isNotNull()).groupBy("p").agg(
+        F.count(F.lit(1)).alias("n"), ((F.max(x) > F.min(x)) & (F.max(y) > F.min(y))).alias("varies"),
+        F.covar_pop(x, y).alias("xy"), F.stddev_pop(x).alias("dx"), F.stddev_pop(y).alias("dy"),
+    )
+    # corr() itself fails on a constant column, which has no correlation.
+    r = F.when(F.col("varies"), F.try_divide(F.col("xy"), F.col("dx") * F.col("dy")))
+    return sums.select(*_names(pairs), "n", r.alias("r"))
 
 
 def _names(pairs) -> list[Column]:
@@ -160,12 +109,6 @@ def _pair_counts(df: DataFrame, pairs) -> DataFrame:
 
 def _ranked(counts: DataFrame) -> DataFrame:
     """rank_x and rank_y: average ranks of the values, in their pair of columns."""
-    if counts.count() <= ordering.ONE_TASK_VALUES:
-        for value in ("x", "y"):
-            upto = F.sum("n").over(Window.partitionBy("p").orderBy(value))
-            same = F.sum("n").over(Window.partitionBy("p", value))
-            counts = counts.withColumn(f"rank_{value}", upto - (same - 1) / 2)
-        return counts
     for value in ("x", "y"):
         marginal = counts.groupBy("p", value).agg(F.sum("n").alias("_t"))
         ranks = running_totals(marginal, ["p"], [value], {"_before": "_t"}, distinct_order=True).select(
@@ -184,8 +127,7 @@ def _spearman(df: DataFrame, pairs) -> DataFrame:
     names = list(dict.fromkeys(n for pair in pairs for n in pair))
     present = df.agg(F.count(F.lit(1)), *[F.count(_value(n)) for n in names]).first()
     whole = {n for i, n in enumerate(names, 1) if present[i] == present[0]}
-    # For few columns the pairs are no more than the columns.
-    complete = [pair for pair in pairs if set(pair) <= whole] if len(whole) > 3 else []
+    complete = [pair for pair in pairs if set(pair) <= whole]
     others = [pair for pair in pairs if pair not in complete]
     if not complete:
         return _spearman_of_pairs(df, others)
@@ -208,7 +150,7 @@ def _spearman_of_complete(df: DataFrame, pairs) -> DataFrame:
     ranks = ranks.select("k", "v", (F.col("_before") + (F.col("_t") + 1) / 2).alias("rank"))
     ranked = long.join(ranks.hint("shuffle_hash"), ["k", "v"])
     wide = ranked.groupBy("row").agg(*[F.max(F.when(F.col("k") == i, F.col("rank"))).alias(n) for i, n in enumerate(names)])
-    return (_pearson if len(names) <= _FEW_COLUMNS else _pearson_by_blocks)(wide, pairs)
+    return _pearson(wide, pairs)
 
 
 def _spearman_of_pairs(df: DataFrame, pairs) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkprep._columns import as_list, c, require, same_row
+from sparkprep._columns import NUMERIC, as_list, c, require, same_row
 
 HOW = ("inner", "left", "right", "outer", "cross", "anti-left", "anti-right")
 _OPS = {
@@ -69,6 +69,8 @@ def join_datasets(
     equal = [(a, b) for a, op, b in conds if op == "="]
     unequal = [(a, op, b) for a, op, b in conds if op != "="]
     match = null_keys == "match"
+    if bin_width is None and not equal and len(unequal) == 2:
+        bin_width = _usual_length(sides, unequal)
 
     if how == "anti-left":
         kept = _anti(sides.left, sides.right, equal, unequal, match, bin_width)
@@ -84,7 +86,9 @@ def join_datasets(
     else:
         test = _test(equal, unequal, match)
         split = how == "outer" if split_hot_keys is None else split_hot_keys
-        if how == "inner" or not split or unequal:
+        if how == "outer" and equal and unequal:
+            joined = _outer_with_inequality(sides, equal, unequal, match)
+        elif how == "inner" or not split or unequal:
             joined = sides.left.join(sides.hinted(), test, {"outer": "full_outer"}.get(how, how))
         else:
             joined = _split_outer(sides, equal, how, match)
@@ -160,6 +164,15 @@ def _split_outer(sides: _Sides, equal, how: str, match: bool) -> DataFrame:
     return joined
 
 
+def _outer_with_inequality(sides: _Sides, equal, unequal, match: bool) -> DataFrame:
+    """A full outer join cannot be split at hot keys: inner join, and the rows of each side without a partner."""
+    mirrored = [(b, _MIRROR[op], a) for a, op, b in unequal]
+    joined = sides.left.join(sides.hinted(), _test(equal, unequal, match), "inner")
+    lefts = _anti(sides.left, sides.right, equal, unequal, match, None)
+    rights = _anti(sides.right, sides.left, [(b, a) for a, b in equal], mirrored, match, None)
+    return joined.unionByName(lefts, allowMissingColumns=True).unionByName(rights, allowMissingColumns=True)
+
+
 def _anti(df: DataFrame, other: DataFrame, equal, unequal, match: bool, bin_width) -> DataFrame:
     """Rows of ``df`` without a partner in ``other``; conditions are written (column of df, op, column of other)."""
     keys, other_keys = [a for a, _ in equal], [b for _, b in equal]
@@ -204,6 +217,21 @@ def _interval(unequal) -> tuple[str, str, str, str]:
     raise ValueError("bin_width needs two inequalities that put one column between two columns of the other side")
 
 
+def _usual_length(sides: _Sides, unequal) -> float | None:
+    """The mean length of the intervals that two inequalities make, or None where they make none that can be measured."""
+    try:
+        kind, point, low, high = _interval(unequal)
+    except ValueError:
+        return None
+    points, intervals = (sides.left, sides.right) if kind == "point_left" else (sides.right, sides.left)
+    measured = (*NUMERIC, T.DateType, T.TimestampType, T.TimestampNTZType)
+    if not all(isinstance(df.schema[n].dataType, measured) for df, n in ((points, point), (intervals, low), (intervals, high))):
+        return None
+    length = _number(intervals, high) - _number(intervals, low)
+    mean = intervals.where(length > 0).agg(F.avg(length)).first()[0]
+    return mean if mean is not None and 0 < mean < float("inf") else 1.0
+
+
 def _number(df: DataFrame, name: str) -> Column:
     """The column as a number: as it is, days of a date, or seconds of a timestamp."""
     kind = df.schema[name].dataType

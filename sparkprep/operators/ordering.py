@@ -23,9 +23,6 @@ _TIE, _COPY, _FIRST, _LAST = "_tie", "_copy", "_first_group", "_last_group"
 # monotonically_increasing_id() holds the partition number above its low 33 bits.
 _SEAT_BITS = 33
 
-# Up to this many counted values one task may hold or sort all of them (some 200 MB at most); checked before it is done.
-ONE_TASK_VALUES = 2_000_000
-
 
 def row_hash(df: DataFrame, seed: int = 42) -> Column:
     """A 64-bit hash of the whole row; equal rows have equal hashes."""
@@ -165,8 +162,8 @@ def exact_quantiles(
     """Exact quantiles (linear interpolation) of numeric ``columns`` per group of ``by``.
 
     Returns by + ``field`` + ``quantiles`` (array of double, in the order of ``probabilities``). The built-in exact
-    percentile keeps every distinct value of a group in one task; it is used only when the counted values are few.
-    Beyond that the values are put in order over all partitions and the wanted positions picked out.
+    percentile would keep every distinct value of a group in one task, so the counted values are put in order over all
+    partitions and the wanted positions picked out.
     """
     by = as_list(by)
     stacked = df.select(
@@ -180,10 +177,6 @@ def exact_quantiles(
         F.count(F.lit(1)).alias("_n")
     )
     counted = cut(counted, "values")
-    probs = F.array(*[F.lit(float(p)) for p in probabilities])
-    if counted.count() <= ONE_TASK_VALUES:
-        # Frequencies stay below the row count, so the weighted percentile equals the plain one.
-        return counted.groupBy(*[c(k) for k in keys]).agg(F.percentile("_v", probs, F.col("_n")).alias("quantiles"))
     before = running_totals(counted, keys, ["_v"], {"_before": "_n"}, distinct_order=True)
     sizes = counted.groupBy(*[c(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sum("_n").alias("_size"))
     on = same_row([c(k) for k in keys], [F.col(f"_k{i}") for i in range(len(keys))])

@@ -157,10 +157,10 @@ def sample_rows(
         if mode == "random":
             return _smallest_hashes(ranked, n).drop("_hash")
         if n <= _TOP_ROWS:
-            return ranked.orderBy(*order).limit(n)
+            return ranked.orderBy(*order, row_hash(df)).limit(n)
         return number_rows(ranked, order, "_position").where(F.col("_position") <= n).drop("_position")
     if n is not None and n <= _GROUP_LIMIT:
-        return _first_of_group(ranked, by, order, n).drop("_hash")
+        return _first_of_group(ranked, by, [*order, row_hash(df)], n).drop("_hash")
     numbered = number_rows(ranked, order, "_position", by=by)
     if n is not None:
         return numbered.where(F.col("_position") <= n).drop("_position", "_hash")

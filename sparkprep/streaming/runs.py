@@ -7,11 +7,14 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkprep._columns import c, require
 from sparkprep.operators.aggregate import FUNCTIONS, aggregate
 from sparkprep.session import shared_folder
 
+_BATCH = "_batch"
+
 
 def stream_files(
     spark: SparkSession, folder: str, schema, fmt: str = "parquet", glob: str | None = None, files_per_batch: int | None = None, **options
@@ -58,10 +61,34 @@ def run_batches(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint:
     query.awaitTermination()
 
 
+def run_updates(df: DataFrame, keys: Iterable[str], path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Process all that has arrived and return the latest row of each of ``keys``, open windows included.
+
+    Each micro-batch writes the rows it changed to a folder of its own under ``path`` (default: a new one in the shared
+    folder), which a batch that is run again replaces; a run with the same path and checkpoint goes on from there.
+    """
+    spark, names = df.sparkSession, require(df, keys)
+    base = f"{shared_folder(spark)}/sparkprep-stream-{uuid.uuid4().hex}"
+    path, checkpoint = path or f"{base}/out", checkpoint or f"{base}/checkpoint"
+
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.withColumn(_BATCH, F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{path}/part={batch}")
+
+    run_batches(df, keep, checkpoint, mode="update")
+    written = spark.read.schema(T.StructType([*df.schema.fields, T.StructField(_BATCH, T.LongType())])).option("recursiveFileLookup", "true").parquet(path)
+    row = F.struct(*[c(n) for n in df.columns])
+    latest = written.groupBy(*[c(n).alias(f"_k{i}") for i, n in enumerate(names)]).agg(F.max_by(row, F.col(_BATCH)).alias("_row"))
+    return latest.select("_row.*")
+
+
 def deduplicate_stream(df: DataFrame, keys: Iterable[str], time: str, delay: str) -> DataFrame:
-    """One row per key; keys are forgotten once the watermark (``delay`` behind the latest ``time``) passes them."""
-    names = require(df, keys)
-    return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(names)
+    """One row per key; keys are forgotten once the watermark (``delay`` behind the latest ``time``) passes them.
+
+    A time without zone is read in the time zone of the session, and given back so.
+    """
+    names, kind = require(df, keys), df.schema[time].dataType
+    timed = df.withColumn(time, c(time).cast("timestamp")).withWatermark(time, delay)
+    return timed.dropDuplicatesWithinWatermark(names).withColumn(time, c(time).cast(kind))
 
 
 def aggregate_stream(

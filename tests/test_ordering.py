@@ -17,12 +17,6 @@ def many_slices(spark):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-@pytest.fixture
-def sliced(monkeypatch):
-    """Use the distributed way also for small tables."""
-    monkeypatch.setattr(ordering, "ONE_TASK_VALUES", 0)
-
-
 def _data(seed=1, n=600):
     """A third of all rows has one key, and a third of those are copies of one row."""
     rnd = random.Random(seed)
@@ -103,11 +97,9 @@ def test_carry(spark, direction, by):
     assert out == expected
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_exact_quantiles(spark, monkeypatch, limit):
+def test_exact_quantiles(spark):
     import numpy as np
 
-    monkeypatch.setattr(ordering, "ONE_TASK_VALUES", limit)
     rnd = random.Random(5)
     rows = [(k, rnd.choice([1.0, 2.5, 2.5, rnd.random() * 9]), None if rnd.random() < 0.2 else float(rnd.randint(0, 9)))
             for k in ("x", "y", None) for _ in range(120 if k == "x" else 9)]
@@ -119,7 +111,7 @@ def test_exact_quantiles(spark, monkeypatch, limit):
         assert r.quantiles == pytest.approx(list(wanted))
 
 
-def test_frequencies_spearman_kendall_median_on_slices(spark, sliced):
+def test_frequencies_spearman_kendall_median_on_slices(spark):
     pd = pytest.importorskip("pandas")
     rnd = random.Random(8)
     rows = [(rnd.randint(0, 6), rnd.choice([None, 1.5, 2.5, rnd.random()]), rnd.randint(0, 3)) for _ in range(150)]
