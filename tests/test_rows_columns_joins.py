@@ -237,3 +237,17 @@ def test_empty_tables(spark):
     assert sp.hierarchy_paths(df, "k", "j").count() == 0
     assert sp.unique_keys(df).count() == 4
     assert sp.compare(df, df).count() == 0
+
+
+def test_chart_first_and_last(spark, rows_of):
+    df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), (None, 3, "z")], "k string, o int, v string")
+    out = sp.chart_table(df, "k", {"v": ["first", "last"]}, order_by=["o"])
+    assert out.columns == ["k", "First of v", "Last of v"]
+    assert rows_of(out) == [("a", "y", "x"), (None, "z", "z")]
+
+
+def test_interval_join_without_width(spark, rows_of):
+    points = spark.createDataFrame([(1, 5.0), (2, -3.0), (3, None)], "p int, x double")
+    bands = spark.createDataFrame([(1, 0.0, 10.0), (2, -4.0, -2.0), (3, 7.0, 6.0), (4, None, 1.0)], "b int, low double, high double")
+    joined = sp.join_datasets(points, bands, how="outer", conditions=[("x", ">=", "low"), ("x", "<=", "high")])
+    assert sorted(rows_of(joined.select("p", "b")), key=str) == [(1, 1), (2, 2), (3, None), (None, 3), (None, 4)]
