@@ -8,23 +8,33 @@ small Hamming distance between what is written (Chakraborty, Goldenberg and Kouc
 The fingerprint samples ``SLOTS`` places of the output. Slot k takes the place below the output's length with the least
 value of a random order of its own, so that outputs of near lengths are sampled at the same places, and keeps one byte of a
 hash of the place and the four characters written there. Likeness is the share of equal slots.
+
+``near_groups`` finds the alike texts of a table. Its bands are chosen so that any two alike fingerprints share one; the classes
+of a bucket are compared tile by tile, and a link is decided by the whole walks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkprep.llm.graph import components
 from sparkprep.llm.words import mix
+from sparkprep.session import cut
 
 SLOTS = 128
-BANDS = 32
 GRAM = 4
+TILE = 512  # classes of a tile
+_TILE_CHARS = 8_000_000  # most characters of a tile's texts
+_JOBS_IN_TASK = 8
 _WIDE = 4096  # texts walked side by side
 _CELLS = 24_000_000  # most steps written down at once
 
@@ -57,16 +67,12 @@ def _records(limit: int) -> list[np.ndarray]:
     return out
 
 
-def fingerprints(texts: list[str]) -> np.ndarray:
-    """One row of ``SLOTS`` bytes per text."""
+def _walked(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, their numbers of steps, what is written: a column per row) for groups of texts walked side by side."""
     # One byte per character: even numbers for characters, 255 for the end mark, where no coin moves on.
     low = [mix(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)).astype(np.uint8) & np.uint8(254) for t in texts]
     length = np.array([len(x) for x in low], np.int64)
-    out = np.zeros((len(texts), SLOTS), np.uint8)
-    if not len(texts):
-        return out
     coins, steps_of = _coins(), _steps(length)
-    records = _records(int(steps_of.max()))
     order = np.argsort(-length, kind="stable")
     at = 0
     while at < len(order):
@@ -91,6 +97,16 @@ def fingerprints(texts: list[str]) -> np.ndarray:
                 coins[j & 4095].take(c, out=step, mode="clip")
                 place += step
             j = int(stop)
+        yield rows, steps, written
+
+
+def fingerprints(texts: list[str]) -> np.ndarray:
+    """One row of ``SLOTS`` bytes per text."""
+    out = np.zeros((len(texts), SLOTS), np.uint8)
+    if not len(texts):
+        return out
+    records = _records(int(_steps(np.array([max(map(len, texts))]))[0]))
+    for rows, steps, written in _walked(texts):
         for k in range(SLOTS):
             spot = records[k][np.searchsorted(records[k], steps, "left") - 1]
             value = spot.astype(np.uint64)
@@ -100,49 +116,202 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     return out
 
 
+def walks(texts: list[str]) -> list[np.ndarray]:
+    """The whole output of each text's walk, with ``GRAM`` end marks after it."""
+    out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(texts)
+    for rows, steps, written in _walked(texts):
+        for i, (r, n) in enumerate(zip(rows, steps)):
+            out[r] = written[: n + GRAM, i].copy()
+    return out
+
+
+def whole_likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Likeness without samples: the share of the longer walk's places at which both have the same ``GRAM`` characters."""
+    n = min(len(a), len(b)) - GRAM
+    same = a[: n + GRAM - 1] == b[: n + GRAM - 1]
+    grams = same[:n].copy()
+    for g in range(1, GRAM):
+        grams &= same[g : n + g]
+    return float(grams.sum() / (max(len(a), len(b)) - GRAM))
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=-1)
 
 
-def band_keys(marks: np.ndarray) -> np.ndarray:
-    """``BANDS`` keys per fingerprint, each of a few sampled slots."""
-    slots = np.random.default_rng(11).permutation(SLOTS)[: BANDS * 2].reshape(BANDS, 2)
-    value = np.arange(BANDS, dtype=np.uint64)[None, :]
-    for s in slots.T:
-        value = mix(value * np.uint64(256) + marks[:, s])
-    return value
+def bands(least: float) -> list[list[int]]:
+    """Sets of four or more slots: two fingerprints with a likeness of ``least`` or more agree in the whole of at least one.
 
+    With up to 31 unequal slots there is one more set than those, and no slot is in two. With more, slots are dealt to
+    groups, and all fours within a group are sets: to break each of them takes all but three slots of every group.
+    """
+    if not 0.5 <= least <= 1:
+        raise ValueError("least must be between 0.5 and 1")
+    unequal = SLOTS - math.ceil(least * SLOTS - 1e-9)
+    slots = np.random.default_rng(11).permutation(SLOTS)
+    if (unequal + 1) * 4 <= SLOTS:
+        return [sorted(map(int, x)) for x in np.array_split(slots, unequal + 1)]
+    groups = (SLOTS - 1 - unequal) // 3
+    return [sorted(map(int, four)) for x in np.array_split(slots[: unequal + 1 + 3 * groups], groups) for four in combinations(x, 4)]
+
+
+def band_keys(marks: np.ndarray, sets: list[list[int]]) -> np.ndarray:
+    """A key per fingerprint and set of slots."""
+    out = np.zeros((len(marks), len(sets)), np.uint64)
+    for k, slots in enumerate(sets):
+        for s in slots:
+            out[:, k] = mix(out[:, k] + marks[:, s] + np.uint64(k << 8))
+    return out
 
-def fingerprint_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint hex, bands array<long>) for each row; null texts count as empty."""
 
-    def walk(batches):
+def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.75) -> DataFrame:
+    """The representative links of ``near_groups``."""
+    return near_groups(docs, id_col, text_col, least)[0]
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.75, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """Representative links (id, other, likeness, text_likeness), and (id, copy_of, group_id) for each row of ``docs``.
+
+    Equal texts are one class under their smallest id (``copy_of``). Two classes are linked if their fingerprints and their
+    whole walks are both alike in ``least`` or more; ``group_id`` is the smallest id that links reach. Any two alike
+    fingerprints share a band. First each class meets the first one of its buckets; then, in buckets with classes that are
+    not in one group yet, all pairs of these are compared, tile against tile. Links that join what is joined already are
+    not given, so the links are a part of all pairs, and the groups are those of all pairs. Null texts count as empty.
+    """
+    sets = bands(least)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("id", F.sha2("text", 256).alias("key"), "text")
+
+    def mark(batches):
         for b in batches:
-            for part in _parts(b, 1):
-                marks = fingerprints([t or "" for t in part.column(1).to_pylist()])
+            for part in _parts(b, 2):
+                marks = fingerprints(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([m.tobytes().hex() for m in marks]), pa.array(band_keys(marks).view(np.int64).tolist(), pa.list_(pa.int64()))],
-                    ["id", "fingerprint", "bands"])
+                    [*part.columns, pa.array([m.tobytes() for m in marks], pa.binary()), pa.array(band_keys(marks, sets).view(np.int64).tolist(), pa.list_(pa.int64()))],
+                    ["key", "id", "text", "mark", "bands"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(walk, "id long, fingerprint string, bands array<long>")
+    classes = rows.groupBy("key").agg(F.min("id").alias("id"), F.first("text").alias("text")).mapInArrow(
+        mark, "key string, id long, text string, mark binary, bands array<long>")
+    classes = cut(classes.select(F.xxhash64("key").alias("node"), F.length("text").cast("long").alias("chars"), "*"), "classes")
+    texts = classes.select("node", "text")
+    banded = classes.select("node", "chars", "mark", F.posexplode("bands").alias("k", "band"))
 
+    # Stars: one pair per class and bucket.
+    first = banded.groupBy("k", "band").agg(F.min(F.struct("node", "mark")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    stars = banded.join(first.select("k", "band", F.col("f.node").alias("other"), F.col("f.mark").alias("theirs")), ["k", "band"])
+    stars = stars.where("node <> other").select("node", "other", "mark", "theirs").distinct()
 
-def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.75) -> DataFrame:
-    """Links (id, other, likeness): each class of equal fingerprints against the first class of every band it shares.
+    def alike(batches):
+        for b in batches:
+            same = likeness(*(np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, SLOTS) for i in (2, 3)))
+            rows = pa.array(np.flatnonzero(same >= least))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(same).take(rows)], ["a", "b", "likeness"])
 
-    Rows of equal fingerprints are one class under their smallest id. In each band bucket all classes are compared with the
-    bucket's first one only, so a bucket gives as many pairs as it has classes, never their square.
-    """
-    marks = fingerprint_texts(docs, id_col, text_col).where("id is not null")
-    classes = marks.groupBy("fingerprint").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    banded = classes.select("id", "fingerprint", F.explode("bands").alias("band"))
-    first = banded.groupBy("band").agg(F.min(F.struct("id", "fingerprint")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    pairs = banded.join(first, "band").where(F.col("id") != F.col("f.id"))
-    pairs = pairs.select("id", F.col("f.id").alias("other"), "fingerprint", F.col("f.fingerprint").alias("theirs")).distinct()
-    equal = F.aggregate(F.sequence(F.lit(0), F.lit(SLOTS - 1)), F.lit(0), lambda a, i: a + (
-        F.substring("fingerprint", 2 * i + 1, F.lit(2)) == F.substring("theirs", 2 * i + 1, F.lit(2))).cast("int"))
-    return pairs.select("id", "other", (equal / SLOTS).alias("likeness")).where(F.col("likeness") >= least)
+    def settle(batches):
+        for b in batches:
+            for part in _parts(b, 3, 4_000_000):
+                ours, theirs = part.column(3).to_pylist(), part.column(4).to_pylist()
+                distinct = list(dict.fromkeys(ours + theirs))
+                walk = dict(zip(distinct, walks(distinct)))
+                whole = np.array([whole_likeness(walk[x], walk[y]) for x, y in zip(ours, theirs)])
+                rows = pa.array(np.flatnonzero(whole >= least))
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(rows) for i in range(3)), pa.array(whole, pa.float64()).take(rows)], ["a", "b", "likeness", "text_likeness"])
+
+    linked = "a long, b long, likeness double, text_likeness double"
+    stars = stars.mapInArrow(alike, "a long, b long, likeness double")
+    stars = stars.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "likeness", "x", "y")
+    stars = cut(stars.mapInArrow(settle, linked), "stars")
+
+    # Tiles: of the classes in buckets that hold several groups.
+    group = components(stars.select("a", "b"), "stars")
+    banded = banded.join(group, "node", "left").select("k", "band", F.coalesce("component", "node").alias("group"), "node", "chars", "mark")
+    mixed = banded.groupBy("k", "band").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("k", "band")
+    order = ["k", "band", "group", "node"]
+
+    def lay(batches):
+        part, number, held, chars = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def close():
+            nonlocal number
+            number += 1
+            groups = [r[2] for r in held]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part + number]), pa.array([held[0][0]], pa.int32()), pa.array([held[0][1]]), pa.array([min(groups)]), pa.array([max(groups)]),
+                 pa.array([groups], pa.list_(pa.int64())), pa.array([[r[3] for r in held]], pa.list_(pa.int64())), pa.array([b"".join(r[5] for r in held)])],
+                ["tile", "k", "band", "low", "high", "groups", "nodes", "marks"])
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if held and (len(held) == tile or chars + row[4] > _TILE_CHARS or held[0][:2] != row[:2]):
+                    yield close()
+                    held, chars = [], 0
+                held.append(row)
+                chars += row[4]
+        if held:
+            yield close()
+
+    tiles = cut(banded.join(mixed, ["k", "band"]).select(*order, "chars", "mark").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+        lay, "tile long, k int, band long, low long, high long, groups array<long>, nodes array<long>, marks binary"), "tiles")
+    meta = tiles.select("tile", "k", "band", "low", "high")
+    jobs = meta.join(meta.select(F.col("tile").alias("other"), "k", "band", F.col("low").alias("low2"), F.col("high").alias("high2")), ["k", "band"])
+    jobs = cut(jobs.where("tile <= other and least(low, low2) <> greatest(high, high2)").select("tile", "other", "k"), "jobs")
+    data = F.struct("groups", "nodes", "marks")
+    jobs = jobs.join(tiles.select("tile", data.alias("x")), "tile").join(tiles.select(F.col("tile").alias("other"), data.alias("y")), "other")
+    jobs = jobs.select("tile", "other", "k", "x", "y").repartition(max(1, -(-jobs.count() // _JOBS_IN_TASK)))
+
+    def compare(batches):
+        read = lambda s: (s["groups"].values.to_numpy(), s["nodes"].values.to_numpy(), np.frombuffer(s["marks"].as_buffer(), np.uint8).reshape(-1, SLOTS))
+        for b in batches:
+            for r in range(b.num_rows):
+                one, two, k = (b.column(c)[r].as_py() for c in range(3))
+                (gx, nx, mx), (gy, ny, my) = read(b.column(3)[r]), read(b.column(4)[r])
+                found = []
+                for i in range(len(nx)):
+                    equal = mx[i] == my
+                    share = equal.mean(axis=1)
+                    j = np.flatnonzero((share >= least) & (gy != gx[i]) & ((np.arange(len(ny)) > i) | (one != two)))
+                    # A pair belongs to the first band that it shares.
+                    for q in sets[:k] if len(j) else ():
+                        j = j[~equal[j][:, q].all(axis=1)]
+                    found.append((np.full(len(j), nx[i]), np.full(len(j), gx[i]), ny[j], gy[j], share[j]))
+                a, ga, c, gc, share = (np.concatenate(x) for x in zip(*found))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array([one]), pa.array([two]), *(pa.array([x]) for x in (a, ga, c, gc, share))], ["tile", "other", "a", "ga", "b", "gb", "likeness"])
+
+    asked = cut(jobs.mapInArrow(compare, "tile long, other long, a array<long>, ga array<long>, b array<long>, gb array<long>, likeness array<double>"), "asked")
+    needed = asked.select("tile", "other", F.explode(F.array_union("a", "b")).alias("node")).join(texts, "node")
+    needed = needed.groupBy("tile", "other").agg(F.collect_list("node").alias("nodes"), F.collect_list("text").alias("texts"))
+
+    def decide(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                a, ga, c, gc, share, nodes, written = (b.column(x)[r].as_py() for x in range(7))
+                walk, up, out = dict(zip(nodes, walks(written))), {}, []
+
+                def top(g):
+                    while up.get(g, g) != g:  # noqa: B023
+                        g = up[g]  # noqa: B023
+                    return g
+
+                for x, gx, y, gy, s in zip(a, ga, c, gc, share):
+                    gx, gy = sorted((top(gx), top(gy)))
+                    if gx != gy and (whole := whole_likeness(walk[x], walk[y])) >= least:
+                        up[gy] = gx
+                        out.append((x, y, s, whole))
+                columns = zip(*out) if out else ([], [], [], [])
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], ["a", "b", "likeness", "text_likeness"])
+
+    more = asked.join(needed, ["tile", "other"]).select("a", "ga", "b", "gb", "likeness", "nodes", "texts").mapInArrow(decide, linked)
+    links = cut(stars.unionByName(more), "links")
+    known = classes.select("node", "key", "id").join(components(links.select("a", "b"), "links"), "node", "left")
+    known = known.select("key", "id", F.coalesce("component", "node").alias("group"))
+    known = known.join(known.groupBy("group").agg(F.min("id").alias("group_id")), "group").select("key", F.col("id").alias("copy_of"), "group_id")
+    members = rows.select("id", "key").join(known, "key").select("id", "copy_of", "group_id")
+    ids = classes.select("node", "id")
+    links = links.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b")
+    swap = F.coalesce(F.col("x") < F.col("y"), F.lit(False))
+    return links.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("id"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("other"), "likeness", "text_likeness"), members
 
 
 def _parts(batch: pa.RecordBatch, column: int, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sparkprep.llm.chat_format import format_chats, loss_spans, loss_texts, parse_chat
-from sparkprep.llm.fingerprints import edited_text, fingerprint_with_edits, fingerprints, likeness, near_pairs
+from sparkprep.llm.fingerprints import bands, edited_text, fingerprint_with_edits, fingerprints, likeness, near_groups, near_pairs, walks, whole_likeness
 from sparkprep.llm.mixing import mix_sources
 from sparkprep.llm.pii import detect, redact, train, written
 from sparkprep.llm.sentencepiece_unigram import BYTE, MARK, decode_texts, encode_texts, load_vocabulary
@@ -91,6 +91,50 @@ def test_walks(spark):
     assert [(r.id, r.other) for r in pairs.collect()] == [(2, 1)]
 
 
+def _blocks(rng, n):
+    return ["".join(rng.choices("abcdefgh ", k=600)) for _ in range(n)]
+
+
+def test_near_texts_in_crowded_buckets(spark):
+    rng = random.Random(5)
+    base = _blocks(rng, 10)
+    # Each of the smallest ids has six of the ten blocks, so it is first in buckets of the near pair and near to nothing.
+    texts = {i: "".join(x if k in keep else _blocks(rng, 1)[0] for k, x in enumerate(base)) for i in range(40) for keep in [rng.sample(range(10), 6)]}
+    texts |= {100: "".join(base), 101: "".join(base[:9] + _blocks(rng, 1)), 102: "".join(base[:8] + _blocks(rng, 1) + base[9:])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    ids, marks, whole = list(texts), fingerprints(list(texts.values())), walks(list(texts.values()))
+    near = {(ids[j], ids[i]) for i in range(len(ids)) for j in range(i + 1, len(ids)) if likeness(marks[i], marks[j]) >= 0.75 and whole_likeness(whole[i], whole[j]) >= 0.75}
+    group = {i: i for i in ids}
+    for _ in ids:
+        for a, b in near:
+            group[a] = group[b] = min(group[a], group[b])
+    assert near and {(r.id, r.other) for r in near_pairs(df).collect()} <= near
+    for tile in (512, 3):
+        links, members = near_groups(df, tile=tile)
+        found = {(r.id, r.other) for r in links.collect()}
+        assert found <= near and len(found) >= len(ids) - len(set(group.values()))
+        assert {(r.id, r.copy_of, r.group_id) for r in members.collect()} == {(i, i, group[i]) for i in ids}
+
+
+def test_near_texts_copies_and_bands(spark):
+    text = " ".join(random.Random(3).choices(["alpha", "beta", "gamma", "delta", "of"], k=400))
+    rows = [(i, text) for i in (9, 4, 6, 4)] + [(None, text), (2, text[:900] + "zz" + text[900:]), (1, "other " * 300), (8, None), (7, ""), (None, "lone")]
+    links, members = near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [(r.id, r.other) for r in links.collect()] == [(4, 2)]
+    got = sorted(((r.id, r.copy_of, r.group_id) for r in members.collect()), key=repr)
+    assert got == sorted([(9, 4, 2), (4, 4, 2), (6, 4, 2), (4, 4, 2), (None, 4, 2), (2, 2, 2), (1, 1, 1), (8, 7, 7), (7, 7, 7), (None, None, None)], key=repr)
+    assert near_groups(spark.createDataFrame([], "doc_id long, text string"))[1].count() == 0
+    # Whichever slots are unequal, as many as a likeness allows, one band is whole.
+    rng = np.random.default_rng(1)
+    for least in (0.5, 0.7, 0.75, 0.76, 0.9, 1.0):
+        sets = bands(least)
+        assert min(map(len, sets)) >= 4
+        for _ in range(300):
+            order = list(np.concatenate([rng.permutation(x) for x in sets]))[:: rng.integers(1, 4)] + list(rng.permutation(128))
+            broken = set(list(dict.fromkeys(order))[: int(128 * (1 - least) + 1e-9)])
+            assert any(not broken & set(x) for x in sets)
+
+
 # The base patterns as they are stated.
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
         ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
