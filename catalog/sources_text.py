@@ -28,6 +28,19 @@ def csv_write_read_nonnumeric_infer(t):
     return read.withColumn("p_partkey", F.col("p_partkey").cast("bigint"))
 
 
+@query("select o_orderkey, cast(null as varchar) as nothing, case when o_orderstatus <> 'F' then o_orderstatus end as status, o_totalprice from orders")
+def csv_skip_lines_round_trip(t):
+    """Several files with two lines before the header; empty cells, a name with the separator, a column of nulls only."""
+    path = t.new_path()
+    cells = F.concat_ws(";", F.col("o_orderkey").cast("string"), F.lit(""), F.coalesce(F.nullif("o_orderstatus", F.lit("F")), F.lit("")), F.col("o_totalprice").cast("string"))
+    for half in (0, 1):
+        rows = t.orders.where(F.col("o_orderkey") % 2 == half).select(F.lit(3).alias("n"), cells.alias("value"))
+        top = t.spark.createDataFrame([(0, "a report; of orders"), (1, '"'), (2, 'o_orderkey;"no;thing";status;o_totalprice')], "n int, value string")
+        top.unionByName(rows).coalesce(1).sortWithinPartitions("n").select("value").write.text(f"{path}/half={half}")
+    read = sp.read_csv(t.spark, f"{path}/*", separator=";", skip_lines=2)
+    return read.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("`no;thing`").alias("nothing"), "status", "o_totalprice")
+
+
 @query(_ORDERS)
 def json_write_read(t):
     path = t.new_path()

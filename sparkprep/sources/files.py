@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 import warnings
 from collections.abc import Iterable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkprep._columns import as_list, c
+from sparkprep.session import _written, shared_folder
 
 _SEPARATORS = [",", ";", "\t", "|", " "]
 
@@ -49,32 +52,33 @@ def read_csv(
 ) -> DataFrame:
     """CSV, TSV and text files (also compressed; a glob reads all files that match; none is an error).
 
-    ``separator='infer'`` picks the one that splits the first lines most evenly. ``names`` renames the columns, in place
-    of a header if there is none. Without ``schema`` the types are inferred, which reads the files once more.
-    ``on_bad_lines``: error, warn, skip. ``skip_lines`` leaves out lines before the header of each file.
+    ``separator='infer'`` picks the one that splits the first lines most evenly; files that differ in it are refused. ``names``
+    renames the columns, in place of a header if there is none. Without ``schema`` the types are inferred, which reads the
+    files once more. ``on_bad_lines``: error, warn, skip. ``skip_lines`` leaves out lines before the header of each file; what
+    is left is copied to the shared folder and read like any CSV (with ``multiLine`` for line breaks inside of quotes).
     ``decimal=','`` reads numbers with a decimal comma.
     """
     if on_bad_lines not in ("error", "warn", "skip"):
         raise ValueError("on_bad_lines must be 'error', 'warn' or 'skip'")
     source = path if isinstance(path, (str, list)) else str(path)
     if separator == "infer":
-        separator = _guess_separator(spark, source, encoding, skip_lines)
+        separator = _guess_separator(spark, source, encoding, skip_lines, options)
     mode = "FAILFAST" if on_bad_lines == "error" else "PERMISSIVE"
     reader = spark.read.option("sep", separator).option("encoding", encoding).option("quote", quote).option("mode", mode)
     # Doubled quotes inside a quoted cell are one quote.
     reader = reader.option("escape", escape or quote).option("header", str(header).lower()).options(**options)
     if skip_lines:
-        df = _after_lines(spark, source, encoding, skip_lines, separator, quote, header)
-        df = _inferred(df) if schema is None and decimal == "." else df
-        df = _with_schema(df, schema) if schema is not None else df
-    else:
-        if schema is not None:
-            reader = reader.schema(schema)
-        elif decimal == ".":
-            reader = reader.option("inferSchema", "true")
-        df = _checked(lambda: reader.csv(source), path)
-        if on_bad_lines != "error":
-            df = _good_lines(reader, source, df, on_bad_lines == "warn")
+        plain = spark.read.option("sep", separator).option("quote", quote).option("escape", escape or quote)
+        source = _without_first_lines(spark, source, encoding, skip_lines, header, plain, {**options, "sep": separator})
+        whole = str(options.get("multiLine", "false")).lower() == "true"
+        reader = reader.option("encoding", "UTF-8").option("header", str(header or not whole).lower())
+    if schema is not None:
+        reader = reader.schema(schema)
+    elif decimal == ".":
+        reader = reader.option("inferSchema", "true")
+    df = _checked(lambda: reader.csv(source), path)
+    if on_bad_lines != "error":
+        df = _good_lines(reader, source, df, on_bad_lines == "warn")
     if names:
         names = list(names)
         df = df.toDF(*names, *df.columns[len(names):])
@@ -83,40 +87,100 @@ def read_csv(
     return _limited(df, limit)
 
 
-def _guess_separator(spark: SparkSession, path, encoding: str, skip: int) -> str:
-    head = [r[0] for r in spark.read.option("encoding", encoding).text(path).limit(skip + 20).collect()][skip:]
-    head = [line for line in head if line.strip()]
-    if not head:
+def _numbered(spark: SparkSession, path, encoding: str, skip: int, options: dict) -> tuple[DataFrame, dict]:
+    """Lines (value, file, start, n), and for each split (file, start) the first ``n`` behind the file's first ``skip`` lines.
+
+    ``n`` counts on from line to line in a split of a file. One row per split comes to the driver.
+    """
+    reader = spark.read.option("encoding", encoding)
+    reader = reader.options(**{k: v for k, v in options.items() if k in ("lineSep", "recursiveFileLookup", "pathGlobFilter")})
+    lines = _checked(lambda: reader.text(path), path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    begins, left = {}, {}
+    splits = lines.groupBy("file", "start").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("count")).collect()
+    for r in sorted(splits):
+        if r["high"] - r["low"] + 1 != r["count"]:
+            raise ValueError(f"{r['file']} is named more than once")
+        todo = left.get(r["file"], skip)
+        begins[r["file"], r["start"]] = r["low"] + min(todo, r["count"])
+        left[r["file"]] = max(0, todo - r["count"])
+    return lines, begins
+
+
+def _behind(lines: DataFrame, begins: dict) -> DataFrame:
+    """The lines from each split's given number on."""
+    table = lines.sparkSession.createDataFrame([(*k, n) for k, n in begins.items()], "file string, start long, begin long")
+    return lines.join(F.broadcast(table), ["file", "start"]).where("n >= begin")
+
+
+def _guess_separator(spark: SparkSession, path, encoding: str, skip: int, options: dict) -> str:
+    lines, begins = _numbered(spark, path, encoding, skip, options)
+    if not begins:
         return ","
+    near = _behind(lines, begins).where(F.col("n") < F.col("begin") + 20).where(F.trim("value") != "")
+    heads: dict[str, list[str]] = {}
+    for r in sorted(near.select("file", "start", "n", "value").collect()):  # 20 lines of each split at most
+        heads.setdefault(r["file"], []).append(r["value"])
+
+    def guess(head: list[str]) -> str | None:
+        def score(sep: str) -> tuple[bool, int]:
+            counts = [line.count(sep) for line in head]
+            return (min(counts) == max(counts) and counts[0] > 0, min(counts))
 
-    def score(sep: str) -> tuple[bool, int]:
-        counts = [line.count(sep) for line in head]
-        return (min(counts) == max(counts) and counts[0] > 0, min(counts))
+        best = max(_SEPARATORS, key=score)
+        return best if score(best)[1] else None
 
-    return max(_SEPARATORS, key=score)
+    found = {f: guess(head[:20]) for f, head in heads.items()}
+    kinds = {sep for sep in found.values() if sep}
+    if len(kinds) > 1:
+        raise ValueError(f"files with different separators: {', '.join(f'{f} {sep!r}' for f, sep in sorted(found.items()) if sep)}")
+    return kinds.pop() if kinds else ","
 
 
-def _after_lines(spark: SparkSession, path, encoding: str, skip: int, separator: str, quote: str, header: bool) -> DataFrame:
-    """The records of each file after its first ``skip`` lines, as text columns.
+def _without_first_lines(spark: SparkSession, path, encoding: str, skip: int, header: bool, reader: DataFrameReader, options: dict) -> str:
+    """A folder of CSV files with a header: the lines of each file after its first ``skip``.
 
-    Only a reader of the whole file knows which lines come first, so each file is cut into lines by one task.
+    Lines are written by the tasks that read them, each piece under the one header, so the CSV reader does the rest. With
+    line breaks in cells (``multiLine``) a file stays whole, as that reader has it. Files must have the same header; without
+    one, the first record of the first file gives the number of columns.
     """
-    reader = spark.read.option("encoding", encoding)
-    texts = _checked(lambda: reader.text(path, wholetext=True), path).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x, i: (i >= skip) & (F.trim(x) != ""))
-    options = {"sep": separator, "quote": quote, "escape": quote}
-    first = texts.select(F.get(lines, F.lit(0)).alias("value")).where("value is not null").first()
-    if first is None:
+    lines, begins = _numbered(spark, path, encoding, skip, options)
+    comment = options.get("comment")
+    filled = F.trim("value") != ""
+    filled = filled & ~F.col("value").startswith(comment) if comment else filled
+    tops = _behind(lines, begins).where(filled).groupBy("file").agg(F.min(F.struct("start", "n", "value")).alias("top")).collect() if begins else []
+    if not tops:
         raise ValueError(f"no lines left in {path!r} after skipping {skip}")
-    head = spark.createDataFrame([first]).select(F.from_csv("value", _text_columns(first[0].count(separator) + 1), options).alias("r"))
-    cells = [x for x in head.first()["r"] if x is not None]
-    rows = texts.select(F.explode(F.slice(lines, 2, F.size(lines)) if header else lines).alias("value"))
-    records = rows.select(F.from_csv("value", _text_columns(len(cells)), options).alias("r")).select("r.*")
-    return records.toDF(*(cells if header else records.columns))
-
-
-def _text_columns(n: int) -> str:
-    return ", ".join(f"_c{i} string" for i in range(n))
+    whole = str(options.get("multiLine", "false")).lower() == "true"
+    target = f"{shared_folder(spark)}/sparkprep-lines-{uuid.uuid4().hex}"
+    separator = {k: v for k, v in options.items() if k == "lineSep"}
+    if header and len({r["top"]["value"] for r in tops}) > 1:
+        raise ValueError(f"files with different headers: {', '.join(sorted(r['file'] for r in tops))}")
+    if whole:
+        rest = _behind(lines, begins).repartition("file").sortWithinPartitions("file", "start", "n")
+        rest.select("value", F.sha2("file", 256).alias("of")).write.partitionBy("of").options(**separator).text(target)
+        _written.append(target)
+        return f"{target}/*"
+    if header:
+        first = tops[0]["top"]["value"]
+        for r in tops:
+            for at in [x for x in begins if x[0] == r["file"] and x[1] <= r["top"]["start"]]:
+                begins[at] = r["top"]["n"] + 1 if at[1] == r["top"]["start"] else 2**63 - 1
+    else:
+        record = spark.sparkContext.parallelize([min(tops)["top"]["value"]], 1)
+        first = options.get("sep", ",").join(reader.option("header", "false").csv(record).columns)
+
+    def piece(batches):
+        new = True
+        for b in batches:
+            if b.num_rows:
+                yield from [pa.RecordBatch.from_pydict({"value": [first]})] * new
+                yield b
+                new = False
+
+    _behind(lines, begins).select("value").mapInArrow(piece, "value string").write.options(**separator).text(target)
+    _written.append(target)
+    return target
 
 
 def _inferred(df: DataFrame) -> DataFrame:

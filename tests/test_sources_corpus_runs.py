@@ -48,6 +48,42 @@ def test_csv_bad_lines(spark, tmp_path):
         sp.read_csv(spark, path, schema=schema).collect()
 
 
+def test_csv_skipped_lines(spark, tmp_path):
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    (tmp_path / "many").mkdir()
+    for i in range(3):
+        _write(tmp_path / f"many/{i}.csv", f'junk {i}\n,"\n\na,,c\n{i},"x, ""y""",7\n,,{i}\n')
+    df = sp.read_csv(spark, str(tmp_path / "many"), skip_lines=2)
+    assert df.columns == ["a", "_c1", "c"] and rows(df) == sorted([x for i in range(3) for x in ((i, 'x, "y"', 7), (None, None, i))], key=repr)
+    bare = _write(tmp_path / "bare.csv", "junk\n1,,3\n4,5,6\n")
+    assert rows(sp.read_csv(spark, bare, skip_lines=1, header=False)) == [(1, None, 3), (4, 5, 6)]
+    bad = _write(tmp_path / "bad.csv", "junk\na,b\n1,2\n3,4,5\n6,7\n")
+    assert rows(sp.read_csv(spark, bad, skip_lines=1, on_bad_lines="skip")) == [(1, 2), (6, 7)]
+    with pytest.warns(UserWarning, match="1 malformed"):
+        sp.read_csv(spark, bad, skip_lines=1, on_bad_lines="warn")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        sp.read_csv(spark, bad, skip_lines=1).collect()
+    broken = _write(tmp_path / "broken.csv", 'junk\na,b\n"x\ny",1\nz,2\n')
+    assert rows(sp.read_csv(spark, broken, skip_lines=1, multiLine=True)) == [("x\ny", 1), ("z", 2)]
+    assert rows(sp.read_csv(spark, broken, skip_lines=2, header=False, multiLine=True)) == [("x\ny", 1), ("z", 2)]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64b")
+        long = _write(tmp_path / "long.csv", "".join(f"junk {i}\n" for i in range(30)) + "\na;b\n" + "".join(f"{i};{2 * i}\n" for i in range(60)))
+        assert rows(sp.read_csv(spark, long, separator="infer", skip_lines=30)) == sorted([(i, 2 * i) for i in range(60)], key=repr)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    (tmp_path / "mixed").mkdir()
+    _write(tmp_path / "mixed/1.csv", "a,b\n1,2\n")
+    _write(tmp_path / "mixed/2.csv", "a;b\n1;2\n")
+    with pytest.raises(ValueError, match="different separators"):
+        sp.read_csv(spark, str(tmp_path / "mixed"), separator="infer")
+    with pytest.raises(ValueError, match="different headers"):
+        sp.read_csv(spark, str(tmp_path / "mixed"), skip_lines=1, header=True)
+    with pytest.raises(ValueError, match="no lines left"):
+        sp.read_csv(spark, bare, skip_lines=9)
+
+
 @pytest.mark.parametrize("orient,text", [
     ("records", [{"a": 1, "b": "x"}, {"a": 2, "b": None}]),
     ("columns", {"a": {"0": 1, "1": 2}, "b": {"0": "x", "1": None}}),
