@@ -121,12 +121,19 @@ def _featured(text: Column, x: Column) -> Column:
     )
 
 
+_WIDER = (5, 6)
+
+
 class Booster:
-    """Boosted trees on counted cells: logistic loss, Newton leaves, and a threshold calibrated on cells held out."""
+    """Boosted trees on counted cells: logistic loss, Newton leaves, and thresholds calibrated on cells held out.
+
+    Each wider kind has a threshold of its own, and the base matches that failed their check have one together (0). Base
+    matches that passed are kept anyway and count for none of them.
+    """
 
     def __init__(self, rounds: int = 12, depth: int = 3, rate: float = 0.4, precision: float = 0.95):
         self.rounds, self.depth, self.rate, self.precision = rounds, depth, rate, precision
-        self.start, self.trees, self.threshold = 0.0, [], math.inf
+        self.start, self.trees, self.thresholds = 0.0, [], {}
 
     def fit(self, cells: list[tuple[tuple, bool, float, float]]) -> Booster:
         """``cells``: (features, held out, positives, rows)."""
@@ -142,12 +149,15 @@ class Booster:
             tree = self._grow(rows, self.depth)
             self.trees.append(tree)
             scores = [s + self._leaf(tree, f) for s, (f, _, _) in zip(scores, train)]
-        held = sorted(((self.score(f), p, n) for f, held, p, n in cells if held), key=lambda x: -x[0])
-        good = seen = 0.0
-        for i, (s, p, n) in enumerate(held):
-            good, seen = good + p, seen + n
-            if good >= self.precision * seen and (i + 1 == len(held) or held[i + 1][0] < s):
-                self.threshold = s
+        kind, check = _FEATURES.index("kind"), _FEATURES.index("check")
+        for group in (0, *_WIDER):
+            held = [(self.score(f), p, n) for f, out, p, n in cells if out and f[check] != 1 and group == (f[kind] if f[kind] in _WIDER else 0)]
+            held.sort(key=lambda x: -x[0])
+            good = seen = 0.0
+            for i, (s, p, n) in enumerate(held):
+                good, seen = good + p, seen + n
+                if good >= self.precision * seen and (i + 1 == len(held) or held[i + 1][0] < s):
+                    self.thresholds[group] = s
         return self
 
     def _grow(self, rows, depth):
@@ -184,11 +194,16 @@ class Booster:
         return total
 
     def chosen(self, f: Column) -> Column:
-        return F.lit(False) if self.threshold == math.inf else self.expression(f) >= F.lit(self.threshold - 1e-9)
+        if not self.thresholds:
+            return F.lit(False)
+        least = F.lit(None).cast("double")
+        for group, s in self.thresholds.items():
+            least = F.when(f["kind"] == group if group else ~f["kind"].isin(*_WIDER), F.lit(s - 1e-9)).otherwise(least)
+        return F.coalesce(self.expression(f) >= least, F.lit(False))
 
 
 def train(docs: DataFrame, text_col: str = "text", **options) -> Booster:
-    """Count the cells over all texts and boost on the counts; every fifth text by hash calibrates the threshold."""
+    """Count the cells over all texts and boost on the counts; every fifth text by hash calibrates the thresholds."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = docs.select(text.alias("text"), candidates(F.col(text_col)).alias("c")).where(F.size("c") > 0)
     found = found.select((F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("held"), F.explode(F.transform("c", lambda x: _featured(F.col("text"), x))).alias("x"))

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from sparkprep.llm.chat_format import format_chats, loss_spans, loss_texts, parse_chat
 from sparkprep.llm.fingerprints import bands, edited_text, fingerprint_with_edits, fingerprints, likeness, near_groups, near_pairs, walks, whole_likeness
 from sparkprep.llm.mixing import mix_sources
-from sparkprep.llm.pii import detect, redact, train, written
+from sparkprep.llm.pii import Booster, detect, redact, train, written
 from sparkprep.llm.sentencepiece_unigram import BYTE, MARK, decode_texts, encode_texts, load_vocabulary
 from sparkprep.llm.token_files import Shard, pack_shard, read_tokens, write_tokens
 from sparkprep.llm.toxicity import held_out, score_toxicity
@@ -168,6 +168,16 @@ def test_personal_data(spark):
     assert detect(df.limit(0)).count() == 0
 
 
+def test_thresholds_of_wider_kinds():
+    # (kind, length, digits, left, right, assigned, check): sure base spans do not pay for the wrong spans of other kinds.
+    cells = [(f, held, p, n) for held in (False, True) for f, p, n in [
+        ((1, 4, 0, 0, 0, 0, 1), 100_000, 100_000), ((1, 4, 0, 0, 0, 0, 0), 0, 50), ((5, 1, 3, 0, 0, 0, 2), 400, 2000),
+        ((6, 4, 1, 1, 1, 1, 2), 970, 1000), ((6, 4, 1, 0, 0, 0, 2), 10, 1000)]]
+    model = Booster().fit(cells)
+    assert set(model.thresholds) == {6}
+    assert model.score((6, 4, 1, 1, 1, 1, 2)) >= model.thresholds[6] > model.score((6, 4, 1, 0, 0, 0, 2))
+
+
 def test_mixing(spark):
     rows = [(i, "w " * 10, "big" if i < 3000 else "mid" if i < 3600 else None) for i in range(3900)] + [(5000, None, "none"), (5001, "", "none")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("u", F.lit("clash"))
