@@ -47,3 +47,36 @@ links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y
 reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join links l on r.b = l.a)
 select a as doc_id, coalesce(max(n), 0)::bigint as n_shingles, min(b) as component_id from reach left join sizes on sizes.doc_id = a group by a
 """
+
+RESAMPLING = r"""
+with recursive step(v, k, c) as (
+  select v, 0, v::bigint from range(256) t(v)
+  union all select v, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from step where k < 8),
+crc as (select list(c order by v) as tab from step where k = 8),
+texts as (
+  select 0 as side, doc_id as id, text from documents union all select 1, item_id, text from benchmark),
+w as (select side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from texts),
+grams as (
+  select side, id, ws[i] as f from w, unnest(range(1, len(ws) + 1)) t(i)
+  union all select side, id, ws[i] || ' ' || ws[i + 1] from w, unnest(range(1, len(ws))) t(i)),
+hexed as (select f, hex(encode(f)) as x from (select distinct f from grams)),
+hashed as (
+  select f, (xor(list_reduce(list_prepend(4294967295::bigint,
+      list_transform(range(0, length(x) // 2), lambda i: (strpos('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2 * i + 2]) - 1)),
+      lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000) as bucket from hexed, crc),
+coded as (select side, id, bucket, count(*) as n from grams join hashed using (f) group by all),
+sums as (select b as bucket, coalesce(sum(n) filter (side = 0), 0)::bigint as s, coalesce(sum(n) filter (side = 1), 0)::bigint as t
+         from range(10000) r(b) left join coded on bucket = b group by b),
+gain as (select bucket, floor(1000 * ln(((t + 1) * ((sum(s) over ())::bigint + 10000))::double
+         / ((s + 1) * ((sum(t) over ())::bigint + 10000))::double))::bigint as g from sums),
+weights as (select id, sum(n)::bigint as n, floor(sum(n * g)::double / sum(n)::double)::bigint as weight from coded join gain using (bucket) where side = 0 group by id),
+hex8 as (select doc_id, len(ws) as n_words, sha256('7:' || doc_id)[1:8] as x from documents join w on side = 0 and id = doc_id),
+noise as (select doc_id, n_words, list_reduce(list_prepend(0::bigint, list_transform(range(1, 9), lambda i: strpos('0123456789abcdef', x[i]) - 1)),
+          lambda a, d: a * 16 + d) as h from hex8),
+scored as (select doc_id, n_words, coalesce(n, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+           coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score
+           from noise left join weights on id = doc_id),
+ranked as (select doc_id, row_number() over (order by score desc, doc_id) as r, count(*) over () as size from scored where n_words >= 20)
+select doc_id, n_features, weight, score, case when r <= 25 * size // 100 then r end as rank from scored left join ranked using (doc_id)
+"""

@@ -12,11 +12,13 @@ from sparkprep.llm import oracle
 from sparkprep.llm.chat_format import format_chats, loss_texts, parse_chat
 from sparkprep.llm.embedding_dedup import embedding_links
 from sparkprep.llm.fingerprints import fingerprint_with_edits
+from sparkprep.llm.importance import resample
 from sparkprep.llm.jaccard_join import jaccard_components
 from sparkprep.llm.mixing import mix_sources
 from sparkprep.llm.pii import detect, written
 from sparkprep.llm.sentencepiece_unigram import encode_texts, load_vocabulary
 from sparkprep.llm.substring_dedup import remove_repeats
+from sparkprep.llm.token_counts import count_tokens
 from sparkprep.llm.token_files import read_tokens, write_tokens
 from sparkprep.llm.toxicity import held_out, score_toxicity
 from sparkprep.llm.toxicity import train as train_toxicity
@@ -28,6 +30,7 @@ SQL: dict[str, str] = {
     "op2_embedding_dedup": oracle.EMBEDDING_DEDUP,
     "op7_chat_format": oracle.CHAT_FORMAT,
     "op10_jaccard_join": oracle.JACCARD_JOIN,
+    "op12_resampling": oracle.RESAMPLING,
 }
 
 
@@ -114,3 +117,15 @@ def op3_sentencepiece(spark, folder):
     vocabulary = load_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     coded = encode_texts(_table(spark, folder, "documents").select("doc_id", "text"), vocabulary)
     return coded.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "lossless")
+
+
+@query
+def op11_token_counts(spark, folder):
+    import public_tokenizers
+
+    return count_tokens(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+@query
+def op12_resampling(spark, folder):
+    return resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), percent=25, min_words=20, buckets=10_000, seed=7)

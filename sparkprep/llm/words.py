@@ -63,11 +63,15 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 
 def word_places(data: np.ndarray, offsets: np.ndarray):
     """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` and, for each text, the place of its first word (one more at the end)."""
-    filled = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    edge = np.zeros(len(data) + 1, bool)
+    return run_places(~((data == 32) | ((data >= 9) & (data <= 13))), offsets)
+
+
+def run_places(filled: np.ndarray, offsets: np.ndarray):
+    """The same for the runs of bytes that ``filled`` marks."""
+    edge = np.zeros(len(filled) + 1, bool)
     edge[offsets] = True
     first, last = filled.copy(), filled.copy()
-    if len(data):
+    if len(filled):
         first[1:] &= ~filled[:-1] | edge[1:-1]
         last[:-1] &= ~filled[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
