@@ -80,3 +80,22 @@ scored as (select doc_id, n_words, coalesce(n, 0)::bigint as n_features, coalesc
 ranked as (select doc_id, row_number() over (order by score desc, doc_id) as r, count(*) over () as size from scored where n_words >= 20)
 select doc_id, n_features, weight, score, case when r <= 25 * size // 100 then r end as rank from scored left join ranked using (doc_id)
 """
+
+COLLOCATIONS = r"""
+with recursive p as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+sizes as (select lang, sum(len(ws))::bigint as n from w group by lang),
+f as (select lang, ws[i:i + k - 1] as p, count(*) as f from w, unnest(range(1, 5)) a(k), unnest(range(1, len(ws) + 1)) t(i)
+      where i + k - 1 <= len(ws) group by all having count(*) >= 30),
+cand as (select lang, p, f as a, len(p) as m from f where len(p) > 1),
+inside as (select distinct c.lang, c.p from cand c join cand x on x.lang = c.lang and x.m > c.m and 100 * x.a >= 80 * c.a
+           and list_has_any([x.p[i:i + c.m - 1] for i in range(1, x.m - c.m + 2)], [c.p])),
+cuts as (select c.lang, c.p, a, k, x.f as l, y.f as r, (2000000::hugeint * a // (x.f + y.f))::bigint as score
+         from cand c, unnest(range(1, m)) t(k) join f x on x.lang = c.lang and x.p = c.p[1:k] join f y on y.lang = c.lang and y.p = c.p[k + 1:]),
+best as (select lang, p, a, min({'score': score, 'k': k, 'l': l, 'r': r}) as s from cuts anti join inside using (lang, p) group by all),
+ranked as (select lang, array_to_string(p, ' ') as phrase, a, s.l as l, s.r as r, s.score as score,
+           row_number() over (partition by lang order by s.score desc, a desc, array_to_string(p, ' ')) as rank from best)
+select lang, rank, phrase, a, l, r, n, score from ranked join sizes using (lang) where rank <= 2000
+"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkprep.llm import oracle
 from sparkprep.llm.chat_format import format_chats, loss_texts, parse_chat
+from sparkprep.llm.collocations import collocations
 from sparkprep.llm.embedding_dedup import embedding_links
 from sparkprep.llm.fingerprints import fingerprint_with_edits
 from sparkprep.llm.importance import resample
@@ -31,6 +32,7 @@ SQL: dict[str, str] = {
     "op7_chat_format": oracle.CHAT_FORMAT,
     "op10_jaccard_join": oracle.JACCARD_JOIN,
     "op12_resampling": oracle.RESAMPLING,
+    "op13_collocations": oracle.COLLOCATIONS,
 }
 
 
@@ -129,3 +131,8 @@ def op11_token_counts(spark, folder):
 @query
 def op12_resampling(spark, folder):
     return resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), percent=25, min_words=20, buckets=10_000, seed=7)
+
+
+@query
+def op13_collocations(spark, folder):
+    return collocations(_table(spark, folder, "documents"), most_words=4, least=30, top=2000, scale=2_000_000, inside_percent=80)

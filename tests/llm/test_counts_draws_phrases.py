@@ -122,3 +122,84 @@ def test_bisection(spark):
     assert _bisect(values, F.col("v"), -9, 2**62 + 1, 2) == (70, 1)
     assert _bisect(values, F.col("v"), -9, 2**62 + 1, 4) == (5, 2)
     assert _bisect(values, F.col("v"), -9, 2**62 + 1, 7) == (-9, 6)
+
+
+def plain_paths(rows, most):
+    """Counts of all phrases of each language by plain slicing."""
+    found, sizes = {}, {}
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(LOWER)):
+            words = re.findall("[^\x20\x09]+", piece)
+            sizes[lang] = sizes.get(lang, 0) + len(words)
+            for i in range(len(words)):
+                for k in range(1, min(most, len(words) - i) + 1):
+                    p = (lang, *words[i : i + k])
+                    found[p] = found.get(p, 0) + 1
+    return found, sizes
+
+
+def plain_collocations(rows, most, least, top):
+    f, sizes = plain_paths(rows, most)
+    candidates = {p: a for p, a in f.items() if len(p) > 2 and a >= least}
+    out = {}
+    for p, a in candidates.items():
+        inside = any(100 * b >= 80 * a for q, b in candidates.items() if len(q) > len(p) and q[0] == p[0]
+                     and any(q[i : i + len(p) - 1] == p[1:] for i in range(1, len(q) - len(p) + 2)))
+        if not inside:
+            cuts = [(2_000_000 * a // (f[p[: k + 1]] + f[(p[0], *p[k + 1 :])]), k) for k in range(1, len(p) - 1)]
+            score, k = min(cuts)
+            out.setdefault(p[0], []).append((-score, -a, " ".join(p[1:]).encode(), f[p[: k + 1]], f[(p[0], *p[k + 1 :])]))
+    return sorted((lang, i + 1, w.decode(), -a, l, r, sizes[lang], -s) for lang, best in out.items() for i, (s, a, w, l, r) in enumerate(sorted(best)[:top]))
+
+
+def phrase_rows():
+    r = random.Random(5)
+    vocab = ["the", "Of", "in", "new", "york", "city", "É", "x y", "'s", "(a)", *[f"w{i}" for i in range(60)]]
+    weights = [1 / (i + 1) for i in range(len(vocab))]
+    rows = [(r.choice(["en", "en", "fr", None]), "".join(w + r.choice([" ", " ", " ", "\t", ", ", ".", "\n", "; "]) for w in r.choices(vocab, weights, k=r.randrange(1, 120)))) for _ in range(150)]
+    # One text many times over, nulls and blanks, a very long text, a language of its own name.
+    return rows + [("en", "New York City is big, new york city IS big")] * 60 + [("en", None), (None, ""), ("und", "the of the of. the of"), ("de", " .,\n "), ("fr", "so la la " * 5000)]
+
+
+@pytest.mark.parametrize(("shard", "held", "fold"), [(4_000_000, 4_000_000, 3_000_000), (700, 900, 300)])
+def test_collocations(spark, monkeypatch, shard, held, fold):
+    from sparkprep.llm import collocations as module
+
+    for name, value in (("SHARD_PATHS", shard), ("RANGE_PATHS", held), ("FOLD_PATHS", fold)):
+        monkeypatch.setattr(module, name, value)
+    rows = phrase_rows()
+    df = spark.createDataFrame(rows, "lang string, text string").withColumn("score", F.lit("clash")).withColumn("h0", F.lit(1)).repartition(5)
+    got = module.collocations(df, least=4, top=25)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert sorted(map(tuple, got.collect())) == plain_collocations(rows, 4, 4, 25)
+
+
+def test_collocations_of_nothing(spark):
+    from sparkprep.llm.collocations import collocations
+
+    df = spark.createDataFrame([(None, None)], "lang string, text string")
+    assert collocations(df).collect() == [] and collocations(df.where("false")).collect() == []
+
+
+def test_transducers_add_up():
+    from sparkprep.llm import collocations as module
+
+    r = np.random.default_rng(3)
+    total, blobs = {}, []
+    for _ in range(4):
+        paths = []
+        for _ in range(3000):
+            n = r.integers(1, 5)
+            paths.append((int(r.integers(0, 2)), *(int(x) for x in r.integers(-3, 4, n) * 10**17), *[module.NONE] * (4 - n)))
+        for p in paths:
+            total[p] = total.get(p, 0) + 1
+        langs, words, numbers = module._numbered([np.array(c) for c in zip(*paths)])
+        paths, counts = module._summed(numbers, np.ones(3000, np.int64), len(langs), len(words))
+        layers = module.build(paths, counts, np.searchsorted([0, 40, 900], np.arange(len(counts)), "right") - 1)
+        # Fewer states than nodes: equal endings are one.
+        assert len(layers[-1][0]) < len(np.unique(np.stack(paths[:4]), axis=1).T)
+        blobs += [b for _, b in module.pieces(langs, words, layers)]
+    langs, words, paths, counts = module.unite(blobs, 5)
+    names = np.concatenate(([module.NONE], words))
+    assert {(int(langs[p[0] - 1]), *[int(names[x]) for x in p[1:]]): int(n) for p, n in zip(zip(*paths), counts)} == total
