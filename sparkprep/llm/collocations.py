@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from sparkprep.llm.words import lower_ascii, mix, ragged, run_places, text_slices, word_hashes
 from sparkprep.session import cut
 
-SHARD_PATHS = 4_000_000  # paths a task holds before it builds a transducer
-RANGE_PATHS = 4_000_000  # paths of all shards that one range may hold
-FOLD_PATHS = 3_000_000  # paths from pieces that a range gathers before it sums them
+SHARD_PATHS = 2_000_000  # paths a task holds before it builds a transducer
+RANGE_PATHS = 2_000_000  # paths of all shards that one range may hold
+FOLD_PATHS = 1_000_000  # paths from pieces that a range gathers before it sums them
+COMMON_WORDS = 65_536  # the most frequent words, known to all tasks; pieces need not spell them out
 BITS = 1 << 26  # of the bitmap of frequent words
 NONE = -(2**63)  # behind the end of a path; comes before every word
 
@@ -98,25 +99,28 @@ def frequent_paths(data, offsets, langs: np.ndarray, bitmap: np.ndarray, most_wo
     return own[often], hashes[often], length[often]
 
 
-def columns_of(own, hashes, length, most_words: int) -> list[np.ndarray]:
-    """Language and words of each path, as columns; places behind the end hold ``NONE``."""
+def columns_of(own, hashes, length, most_words: int, none=NONE) -> list[np.ndarray]:
+    """Language and words of each path, as columns; places behind the end hold ``none``."""
     out = [own, hashes]
     for i in range(1, most_words):
-        moved = np.full(len(hashes), NONE)
+        moved = np.full(len(hashes), none, hashes.dtype)
         moved[: len(hashes) - i] = hashes[i:]
-        out.append(np.where(length > i, moved, NONE))
+        moved[length <= i] = none
+        out.append(moved)
     return out
 
 
+def _places(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return np.searchsorted(sorted_values, values).astype(np.int32)
+
+
 def _numbered(columns: list[np.ndarray]):
     """Words (and languages) as numbers that keep their order; 0 is no word."""
-    langs, first = np.unique(columns[0], return_inverse=True)
-    words = np.unique(columns[1])
-    extra = [np.unique(c) for c in columns[2:]]
-    words = np.unique(np.concatenate([words, *extra]))
+    langs = np.unique(columns[0])
+    words = np.unique(np.concatenate([np.unique(c) for c in columns[1:]]))
     words = words[words != NONE]
-    numbers = [first.astype(np.int32) + 1]
-    numbers += [np.where(c == NONE, 0, np.searchsorted(words, c) + 1).astype(np.int32) for c in columns[1:]]
+    numbers = [_places(langs, columns[0]) + 1]
+    numbers += [np.where(c == NONE, 0, _places(words, c) + 1).astype(np.int32) for c in columns[1:]]
     return langs, words, numbers
 
 
@@ -150,7 +154,7 @@ def _layers(paths: list[np.ndarray], counts: np.ndarray, of_range: np.ndarray |
         first = np.flatnonzero(changed)
         weight = np.diff(total[np.append(first, len(counts))])
         real = label[first] != 0
-        of_row = np.where(label != 0, np.cumsum(changed & (label != 0)) - 1, -1)
+        of_row = np.where(label != 0, np.cumsum(changed & (label != 0), dtype=np.int32) - 1, np.int32(-1))
         out.append((first[real], label[first[real]], weight[real], of_row))
     return out
 
@@ -215,8 +219,10 @@ def _read(blob) -> list[np.ndarray]:
     return out
 
 
-def pieces(langs: np.ndarray, words: np.ndarray, layers):
-    """(range, bytes) for each range of a shard's transducer; words that the range does not use are left out."""
+def pieces(langs: np.ndarray, words: np.ndarray, layers, common: np.ndarray):
+    """(range, bytes) for each range of a shard's transducer, with those of its words that are not among the ``common``."""
+    place = np.searchsorted(common, words)
+    known = np.append(common, NONE)[place] == words
     if not len(layers[0][0]):
         return
     for r in layers[0][0].tolist():
@@ -228,18 +234,20 @@ def pieces(langs: np.ndarray, words: np.ndarray, layers):
             below = cuts[depth + 1][0] if depth + 1 < len(layers) else 0
             arrays.append([first[low : high + 1] - first[low], weight[arcs], np.where(target[arcs] < 0, 0, target[arcs] - below + 1)])
             labels.append(label[arcs])
-        used = np.unique(np.concatenate(labels[1:])) if len(labels) > 1 else np.zeros(0, np.int64)
-        out = [langs[labels[0] - 1].view(np.uint64), words[used - 1].view(np.uint64)]
+        used = np.unique(np.concatenate(labels[1:]) - 1)
+        rare = used[~known[used]]
+        out = [langs[labels[0] - 1].view(np.uint64), words[rare].view(np.uint64)]
         for depth, (first, weight, target) in enumerate(arrays):
-            label = np.arange(len(labels[0])) if depth == 0 else np.searchsorted(used, labels[depth])
+            at = labels[depth] - 1
+            label = np.arange(len(at)) if depth == 0 else np.where(known[at], place[at], len(common) + np.searchsorted(rare, at))
             out += [_small(first), _small(label), _small(weight), _small(target)]
         yield r, _write(out)
 
 
-def paths_of(blob):
+def paths_of(blob, common: np.ndarray):
     """The paths of a piece and how many end there: (languages, words, columns of places in them, counts)."""
     arrays = _read(blob)
-    langs, words = arrays[0].view(np.int64), arrays[1].view(np.int64)
+    langs, words = arrays[0].view(np.int64), np.concatenate((common, arrays[1].view(np.int64)))
     layers = [arrays[i : i + 4] for i in range(2, len(arrays), 4)]
     columns, weight, state = [], None, np.ones(1, np.int64)
     found, ends = [], []
@@ -253,16 +261,16 @@ def paths_of(blob):
             at = np.flatnonzero(own)
             found.append([c[at] for c in columns])
             ends.append(own[at])
-        columns = [c[parent] for c in columns] + [label[arcs].astype(np.int64)]
+        columns = [c[parent] for c in columns] + [label[arcs].astype(np.int32)]
         weight, state = arc_weight[arcs].astype(np.int64), target[arcs].astype(np.int64)
     found.append(columns)
     ends.append(weight)
     width = len(layers)
-    full = [np.concatenate([f[i] if i < len(f) else np.full(len(e), -1) for f, e in zip(found, ends)]) for i in range(width)]
+    full = [np.concatenate([f[i] if i < len(f) else np.full(len(e), -1, np.int32) for f, e in zip(found, ends)]) for i in range(width)]
     return langs, words, full, np.concatenate(ends)
 
 
-def unite(blobs, width: int):
+def unite(blobs, width: int, common: np.ndarray):
     """The sum of pieces of one range: languages, words, sorted paths (numbers, 0 behind the end) and counts."""
     columns, counts, held = [[] for _ in range(width)], [], 0
 
@@ -277,7 +285,7 @@ def unite(blobs, width: int):
         return langs, words, numbers, total
 
     for blob in blobs:
-        langs, words, paths, n = paths_of(blob)
+        langs, words, paths, n = paths_of(blob, common)
         with_none = np.append(words, NONE)  # place -1
         columns[0].append(langs[paths[0]])
         for c, p in zip(columns[1:], paths[1:]):
@@ -294,6 +302,8 @@ def phrase_counts(rows: DataFrame, words: DataFrame, most_words: int, least: int
     spark = rows.sparkSession
     total = words.where("h is not null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bitmap = spark.sparkContext.broadcast(word_bitmap(words))  # BITS / 8 bytes
+    top = words.where("h is not null").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON_WORDS)
+    common = spark.sparkContext.broadcast(np.array(sorted(r["h"] for r in top.collect()), np.int64))  # COMMON_WORDS at most
     names = ["h0", *[f"h{i}" for i in range(1, most_words + 1)]]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(math.ceil(total / RANGE_PATHS), min(parts, math.ceil(total / 50_000)), 1)
@@ -319,8 +329,11 @@ def phrase_counts(rows: DataFrame, words: DataFrame, most_words: int, least: int
             nonlocal held, size
             own, hashes, length = (np.concatenate(x) for x in zip(*held))
             held, size = [], 0
-            langs, known, numbers = _numbered(columns_of(own, hashes, length, most_words))
-            paths, counts = _summed(numbers, np.ones(len(own), np.int64), len(langs), len(known))
+            langs, known = np.unique(own), np.unique(hashes)
+            numbers = columns_of(_places(langs, own) + 1, _places(known, hashes) + 1, length, most_words, 0)
+            del own, hashes, length
+            paths, counts = _summed(numbers, np.ones(len(numbers[0]), np.int64), len(langs), len(known))
+            del numbers
             with_none = np.concatenate(([NONE], known))
 
             def path(i):
@@ -328,7 +341,7 @@ def phrase_counts(rows: DataFrame, words: DataFrame, most_words: int, least: int
 
             places = [bisect.bisect_left(range(len(counts)), x, key=path) for x in shared.value]
             of_range = np.searchsorted(np.array(places, np.int64), np.arange(len(counts)), "right")
-            for r, blob in pieces(langs, known, build(paths, counts, of_range)):
+            for r, blob in pieces(langs, known, build(paths, counts, of_range), common.value):
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([blob], pa.binary())], ["range", "data"])
 
         for b in batches:
@@ -344,7 +357,7 @@ def phrase_counts(rows: DataFrame, words: DataFrame, most_words: int, least: int
             yield from close()
 
     def sums(table: pa.Table) -> pa.Table:
-        langs, known, paths, counts = unite((x.as_buffer() for x in table.column("data")), most_words + 1)
+        langs, known, paths, counts = unite((x.as_buffer() for x in table.column("data")), most_words + 1, common.value)
         out = [[], [], []]
         nodes = _layers(paths, counts)
         for depth in range(1, most_words + 1):

@@ -166,7 +166,7 @@ def phrase_rows():
 def test_collocations(spark, monkeypatch, shard, held, fold):
     from sparkprep.llm import collocations as module
 
-    for name, value in (("SHARD_PATHS", shard), ("RANGE_PATHS", held), ("FOLD_PATHS", fold)):
+    for name, value in (("SHARD_PATHS", shard), ("RANGE_PATHS", held), ("FOLD_PATHS", fold), ("COMMON_WORDS", fold // 10)):
         monkeypatch.setattr(module, name, value)
     rows = phrase_rows()
     df = spark.createDataFrame(rows, "lang string, text string").withColumn("score", F.lit("clash")).withColumn("h0", F.lit(1)).repartition(5)
@@ -186,7 +186,7 @@ def test_transducers_add_up():
     from sparkprep.llm import collocations as module
 
     r = np.random.default_rng(3)
-    total, blobs = {}, []
+    total, blobs, common = {}, [], np.array([-2, 0, 3]) * 10**17
     for _ in range(4):
         paths = []
         for _ in range(3000):
@@ -199,7 +199,7 @@ def test_transducers_add_up():
         layers = module.build(paths, counts, np.searchsorted([0, 40, 900], np.arange(len(counts)), "right") - 1)
         # Fewer states than nodes: equal endings are one.
         assert len(layers[-1][0]) < len(np.unique(np.stack(paths[:4]), axis=1).T)
-        blobs += [b for _, b in module.pieces(langs, words, layers)]
-    langs, words, paths, counts = module.unite(blobs, 5)
+        blobs += [b for _, b in module.pieces(langs, words, layers, common)]
+    langs, words, paths, counts = module.unite(blobs, 5, common)
     names = np.concatenate(([module.NONE], words))
     assert {(int(langs[p[0] - 1]), *[int(names[x]) for x in p[1:]]): int(n) for p, n in zip(zip(*paths), counts)} == total
