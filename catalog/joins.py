@@ -113,6 +113,22 @@ def join_theta_anti_right_range_only(t):
     ).drop("limit")
 
 
+_RANGE_ONLY = "customer {} supplier on c_acctbal > s_acctbal and c_custkey < s_suppkey"
+
+
+@query(" union all ".join(
+    [f"select '{how}' as how, c_custkey, s_suppkey from {_RANGE_ONLY.format(word)}"
+     for how, word in (("inner", "join"), ("left", "left join"), ("right", "right join"), ("outer", "full join"))]
+    + [f"select 'anti-left', c_custkey, null from {_RANGE_ONLY.format('anti join')}",
+       "select 'anti-right', null, s_suppkey from supplier anti join customer on c_acctbal > s_acctbal and c_custkey < s_suppkey"]))
+def join_range_only(t):
+    customers, suppliers = t.customer.select("c_custkey", "c_acctbal"), t.supplier.select("s_suppkey", "s_acctbal")
+    conditions = [("c_acctbal", ">", "s_acctbal"), ("c_custkey", "<", "s_suppkey")]
+    kinds = [sp.join_datasets(customers, suppliers, how=how, conditions=conditions).withColumn("how", F.lit(how))
+             for how in ("inner", "left", "right", "outer", "anti-left", "anti-right")]
+    return sp.concat_rows(*kinds).select("how", "c_custkey", "s_suppkey")
+
+
 _BANDS = "(select c_custkey, c_acctbal * 40 as low, c_acctbal * 40 + 200 as high from customer)"
 
 

@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkprep._columns import NUMERIC, as_list, c, require, same_row
+from sparkprep.operators.theta import OPS as _OPS
+from sparkprep.operators.theta import theta_inner, theta_unmatched
 
 HOW = ("inner", "left", "right", "outer", "cross", "anti-left", "anti-right")
-_OPS = {
-    "=": Column.__eq__, ">": Column.__gt__, "<": Column.__lt__, ">=": Column.__ge__, "<=": Column.__le__,
-}
 _MIRROR = {"=": "=", ">": "<", "<": ">", ">=": "<=", "<=": ">="}
 
 
@@ -41,7 +40,8 @@ def join_datasets(
     ``same_name``: suffix_right, suffix_both or coalesce for columns both sides have. ``null_keys='match'`` lets null
     keys meet. ``if_many_to_many``: ignore, warn or raise when neither side is unique on its keys. ``hint`` is a Spark
     join hint for the right side. ``bin_width`` turns a point-in-interval condition into an equality join on bins; it
-    counts units of a number, days of a date or seconds of a timestamp, and is best near the usual interval length.
+    counts units of a number, days of a date or seconds of a timestamp, and is best near the usual interval length. Other
+    inequalities without an equality meet in pairs of bounded blocks (``theta``), unless a hint asks for Spark's own join.
 
     Hot keys: Spark splits them at run time in inner joins (both sides) and on the kept side of left and right joins,
     but never in a full outer join. ``split_hot_keys`` writes an outer join as inner join + unmatched rows (found
@@ -86,7 +86,9 @@ def join_datasets(
     else:
         test = _test(equal, unequal, match)
         split = how == "outer" if split_hot_keys is None else split_hot_keys
-        if how == "outer" and equal and unequal:
+        if unequal and not equal and not hint:
+            joined = _theta_join(sides, unequal, how)
+        elif how == "outer" and equal and unequal:
             joined = _outer_with_inequality(sides, equal, unequal, match)
         elif how == "inner" or not split or unequal:
             joined = sides.left.join(sides.hinted(), test, {"outer": "full_outer"}.get(how, how))
@@ -173,18 +175,28 @@ def _outer_with_inequality(sides: _Sides, equal, unequal, match: bool) -> DataFr
     return joined.unionByName(lefts, allowMissingColumns=True).unionByName(rights, allowMissingColumns=True)
 
 
+def _theta_join(sides: _Sides, unequal, how: str) -> DataFrame:
+    """Inequalities alone: partners by pairs of bounded blocks, and the rows of each side without one."""
+    joined = theta_inner(sides.left, sides.right, unequal)
+    if how in ("left", "outer"):
+        joined = joined.unionByName(theta_unmatched(sides.left, sides.right, unequal), allowMissingColumns=True)
+    if how in ("right", "outer"):
+        mirrored = [(b, _MIRROR[op], a) for a, op, b in unequal]
+        joined = joined.unionByName(theta_unmatched(sides.right, sides.left, mirrored), allowMissingColumns=True)
+    return joined
+
+
 def _anti(df: DataFrame, other: DataFrame, equal, unequal, match: bool, bin_width) -> DataFrame:
     """Rows of ``df`` without a partner in ``other``; conditions are written (column of df, op, column of other)."""
     keys, other_keys = [a for a, _ in equal], [b for _, b in equal]
     if not unequal:
         return _unmatched(df, keys, other, other_keys, match)
+    if not equal and bin_width is None:
+        return theta_unmatched(df, other, unequal)
     if len(unequal) == 1:
         # "some partner is smaller (greater)" needs only the smallest (greatest) partner of each key.
         a, op, b = unequal[0]
         extreme = (F.min if op in (">", ">=") else F.max)(c(b)).alias("_edge")
-        if not equal:
-            edge = other.agg(extreme)
-            return df.join(F.broadcast(edge), _OPS[op](c(a), c("_edge")), "left_anti")
         edges = other.groupBy(*[c(k).alias(f"_k{i}") for i, k in enumerate(other_keys)]).agg(extreme)
         pairs = [(k, f"_k{i}") for i, k in enumerate(keys)]
         return df.join(edges, _test(pairs, [(a, op, "_edge")], match), "left_anti")
