@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sparkprep.llm.words import lower_ascii, mix, ragged, run_places, text_slices, word_hashes
 from sparkprep.session import cut
 
-SHARD_PATHS = 2_000_000  # paths a task holds before it builds a transducer
+SHARD_PATHS = 1_000_000  # paths a task holds before it builds a transducer
 RANGE_PATHS = 2_000_000  # paths of all shards that one range may hold
 FOLD_PATHS = 1_000_000  # paths from pieces that a range gathers before it sums them
 COMMON_WORDS = 65_536  # the most frequent words, known to all tasks; pieces need not spell them out
