@@ -135,15 +135,16 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, shingle: int = SH
 
 
 def _stars(docs: DataFrame, text_col: str, counters: np.ndarray, total: int, shingle: int, percent: int) -> DataFrame:
-    """(group, member, center, more): classes that share an element of their prefixes, each with the least class of the group,
-    and with further centers where ``more``."""
+    """(group, member, center, more, near): classes that share an element of their prefixes, each with the least class of the
+    group, and with further centers where ``more``. ``near``: the two sizes are in one band; pairs with further centers are
+    given only then."""
     buckets = max(1, -(-total // BUCKET))
     shared = docs.sparkSession.sparkContext.broadcast(counters)  # SLOTS numbers
 
     def pack(batches):
         order_of = shared.value
         for b in batches:
-            held, keys, seen = [], [], set()
+            held, keys, whole, seen = [], [], [], set()
             for _, offsets, hashes in shingle_sets(b.column(0), shingle):
                 rare = order_of[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)]
                 for i in range(len(offsets) - 1):
@@ -156,6 +157,7 @@ def _stars(docs: DataFrame, text_col: str, counters: np.ndarray, total: int, shi
                     seen.add(key)
                     take = np.lexsort((own, rare[offsets[i] : offsets[i + 1]]))[: _prefix(len(own), percent)]
                     keys.append(key)
+                    whole.append(len(own))
                     held.append(own[take])
             if not keys:
                 continue
@@ -165,53 +167,56 @@ def _stars(docs: DataFrame, text_col: str, counters: np.ndarray, total: int, shi
             bucket = ((all_ >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            names = np.array(keys, np.int64)
-            out = ([], [], [], [])
+            names, whole = np.array(keys, np.int64), np.array(whole, np.int64)
+            out = ([], [], [], [], [])
             for k in np.flatnonzero(np.diff(cuts)):
                 at = order[cuts[k] : cuts[k + 1]]
                 some, local = np.unique(who[at], return_inverse=True)
-                for column, x in zip(out, (k, (all_[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), local.astype(np.uint32 if len(some) > 65_535 else np.uint16).tobytes(), names[some].tobytes())):
+                for column, x in zip(out, (k, (all_[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), local.astype(np.uint32 if len(some) > 65_535 else np.uint16).tobytes(), names[some].tobytes(), whole[some].tobytes())):
                     column.append(x)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), *[pa.array(x, pa.binary()) for x in out[1:]]], ["bucket", "hashes", "local", "keys"])
+                [pa.array(out[0], pa.int64()), *[pa.array(x, pa.binary()) for x in out[1:]]], ["bucket", "hashes", "local", "keys", "sizes"])
 
     def stars(batches):
         bucket, held = None, []
         for b in batches:
-            for row in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3)):
+            for row in zip(b.column(0).to_pylist(), *[b.column(c) for c in range(1, 5)]):
                 if row[0] != bucket:
                     if held:
-                        yield from _group(bucket, held)
+                        yield from _group(bucket, held, percent)
                     bucket, held = row[0], []
                 hashes = np.frombuffer(row[1].as_buffer(), np.uint32)
                 keys = np.frombuffer(row[3].as_buffer(), np.int64)
                 local = np.frombuffer(row[2].as_buffer(), np.uint32 if len(keys) > 65_535 else np.uint16)
-                held.append((hashes, keys[local]))
+                held.append((hashes, keys[local], np.frombuffer(row[4].as_buffer(), np.int64)[local]))
         if held:
-            yield from _group(bucket, held)
+            yield from _group(bucket, held, percent)
 
-    packed = docs.select(F.col(text_col).cast("string")).mapInArrow(pack, "bucket long, hashes binary, local binary, keys binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(stars, "group long, member long, center long, more boolean")
+    packed = docs.select(F.col(text_col).cast("string")).mapInArrow(pack, "bucket long, hashes binary, local binary, keys binary, sizes binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(stars, "group long, member long, center long, more boolean, near boolean")
 
 
-def _group(bucket: int, held):
-    hashes, keys = np.concatenate([h for h, _ in held]), np.concatenate([k for _, k in held])
+def _group(bucket: int, held, percent: int):
+    hashes, keys, n = (np.concatenate(x) for x in zip(*held))
     order = np.lexsort((keys, hashes))
-    hashes, keys = hashes[order], keys[order]
+    hashes, keys, n = hashes[order], keys[order], n[order]
     start = np.concatenate(([True], hashes[1:] != hashes[:-1]))
     # Copies in other batches have the same key; each class is a member once.
     once = start | np.concatenate(([True], keys[1:] != keys[:-1]))
-    hashes, keys, start = hashes[once], keys[once], start[once]
+    hashes, keys, n, start = hashes[once], keys[once], n[once], start[once]
     begin = np.flatnonzero(start)[np.cumsum(start) - 1]
     size = np.diff(np.append(np.flatnonzero(start), len(keys)))[np.cumsum(start) - 1]
     for k, share in enumerate(CENTERS):
-        center = keys[begin + ((size - 1) * share).astype(np.int64)]
-        mine = (keys != center) & ((size > 2) & (keys != keys[begin]) if k else size > 1)
+        at = begin + ((size - 1) * share).astype(np.int64)
+        center = keys[at]
+        near = 100 * np.minimum(n, n[at]) >= percent * np.maximum(n, n[at])
+        mine = (keys != center) & ((size > 2) & (keys != keys[begin]) & near if k else size > 1)
         group = (np.int64(bucket) << np.int64(32)) | hashes[mine].astype(np.int64)
         for i in range(0, len(group), 100_000):
             q = slice(i, i + 100_000)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(group[q]), pa.array(keys[mine][q]), pa.array(center[mine][q]), pa.array(np.full(len(group[q]), k > 0))], ["group", "member", "center", "more"])
+                [pa.array(group[q]), pa.array(keys[mine][q]), pa.array(center[mine][q]), pa.array(np.full(len(group[q]), k > 0)), pa.array(near[mine][q])],
+                ["group", "member", "center", "more", "near"])
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -334,7 +339,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         possible = cut(_bounded(candidates, classes, percent), "possible")
         return cut(_exact(possible, _sets_of(possible, docs, table, id_col, text_col, shingle), percent), "links")
 
-    tested = stars.select(F.greatest("member", "center").alias("a"), F.least("member", "center").alias("b")).distinct()
+    tested = stars.where("near").select(F.greatest("member", "center").alias("a"), F.least("member", "center").alias("b")).distinct()
     links = decide(tested)
     group = cut(components(links, "near"), "near")
 
