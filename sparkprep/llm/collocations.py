@@ -5,7 +5,8 @@ that begin with it. A shard (some millions of paths of one task) sorts its paths
 acyclic count transducer: arcs carry a word and the number of paths behind it, and states with the same arcs are one state.
 The transducers are cut at common boundaries of the sorted paths, so that each *prefix range* holds about as many paths
 however common its words are, and the pieces of a range are united and their weights summed in one task. Only the phrases on
-the two edges of a range can go on in the next one; their partial counts meet in a last sum.
+the two edges of a range can go on in the next one; their partial counts meet in a last sum. The sizes below suit tasks with
+some 300 MB for Python; there are (paths / ``SHARD_PATHS``) x (paths / ``RANGE_PATHS``) pieces, so raise both where tasks have more.
 
 A phrase is never more frequent than a word in it, so paths end before words that are rarer than the least count. Words are
 numbered by 64-bit hashes. A bitmap of a fixed size tells the frequent ones; where two words share a bit a rare word may stay
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from sparkprep.llm.words import lower_ascii, mix, ragged, run_places, text_slices, word_hashes
 from sparkprep.session import cut
 
-SHARD_PATHS = 1_000_000  # paths a task holds before it builds a transducer
-RANGE_PATHS = 2_000_000  # paths of all shards that one range may hold
-FOLD_PATHS = 1_000_000  # paths from pieces that a range gathers before it sums them
+SHARD_PATHS = 800_000  # paths a task holds before it builds a transducer
+RANGE_PATHS = 1_000_000  # paths of all shards that one range may hold
+FOLD_PATHS = 500_000  # paths from pieces that a range gathers before it sums them
 COMMON_WORDS = 65_536  # the most frequent words, known to all tasks; pieces need not spell them out
 BITS = 1 << 26  # of the bitmap of frequent words
 NONE = -(2**63)  # behind the end of a path; comes before every word
