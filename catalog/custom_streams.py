@@ -30,6 +30,23 @@ def pandas_batches(t):
     return sp.pandas_transform(t.events, double, "event_id bigint, kind string, twice double")
 
 
+@query("select user_id, count(*) as events, round(max(value) - min(value), 6) as spread from events group by 1")
+def pandas_groups(t):
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": frame.user_id[:1], "events": len(frame), "spread": round(frame.value.max() - frame.value.min(), 6)})
+
+    return sp.pandas_transform(t.events, one, "user_id bigint, events bigint, spread double", by=["user_id"])
+
+
+@query("select o_orderkey, o_totalprice * 2 + 1 as o_totalprice from orders")
+def formula_function(t):
+    @F.pandas_udf("double")
+    def scaled(values: pd.Series) -> pd.Series:
+        return values * 2 + 1
+
+    return sp.formula(t.orders.select("o_orderkey", "o_totalprice"), [("o_totalprice", scaled)])
+
+
 @query("select o_orderkey, o_orderpriority, reverse(o_orderpriority) as answer from orders")
 def enrich_distinct_inputs(t):
     return sp.enrich(
@@ -44,7 +61,7 @@ _DOCUMENT = {
         {"id": "note", "type": "annotation", "data": {}},
         {"id": "big", "type": "switch_rows", "data": {"column": "o_totalprice", "op": ">", "value": "${limit}"}},
         {"id": "joined", "type": "join_datasets", "data": {"how": "inner", "left_on": ["o_custkey"], "right_on": ["c_custkey"]}},
-        {"id": "small", "type": "filter_rows", "data": {"column": "o_orderstatus", "op": "==", "value": "F"}},
+        {"id": "small", "type": "filter_rows", "data": {"column": "o_orderkey", "op": "notnull"}},
         {"id": "big_count", "type": "aggregate", "data": {"by": ["c_mktsegment"], "operations": [["o_orderkey", "count"]]}},
         {"id": "small_count", "type": "aggregate", "data": {"by": ["o_orderstatus"], "operations": [["o_orderkey", "count"]]}},
         {"id": "named", "type": "rename_columns", "data": {"mapping": {"c_mktsegment": "label"}}},
@@ -67,7 +84,7 @@ _DOCUMENT = {
 
 
 @query("""select c_mktsegment as label, count(*) as o_orderkey_count from orders join customer on o_custkey = c_custkey where o_totalprice > 400000
-          group by 1 union all select o_orderstatus, count(*) from orders where not o_totalprice > 400000 and o_orderstatus = 'F' group by 1""")
+          group by 1 union all select o_orderstatus, count(*) from orders where not o_totalprice > 400000 group by 1""")
 def document_of_nodes(t):
     return sp.run_pipeline(t.spark, {"pipelines": [{"flow": _DOCUMENT}]}, until="all", params={"folder": t.folder, "limit": 400000})
 

@@ -94,12 +94,13 @@ def pivot_sum(t):
     return table.withColumns({n: F.round(n, 2) for n in ("F", "O", "P")})
 
 
-@query("""select p_brand, min(p_size) filter (p_type = 'PROMO') as "p_size_PROMO", min(p_retailprice) filter (p_type = 'PROMO') as
-          "p_retailprice_PROMO", min(p_size) filter (p_type = 'SMALL') as "p_size_SMALL", min(p_retailprice) filter (p_type = 'SMALL')
-          as "p_retailprice_SMALL" from part group by 1""")
+_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
+@query("select p_brand, " + ", ".join(f"min({v}) filter (p_type = '{k}') as \"{v}_{k}\"" for k in _TYPES for v in ("p_size", "p_retailprice")) + " from part group by 1")
 def pivot_min_two_values(t):
     kept = t.part
-    table = sp.pivot(kept, ["p_brand"], ["p_type"], ["p_size", "p_retailprice"], "min", fill=-1, pivot_values=["PROMO", "SMALL"])
+    table = sp.pivot(kept, ["p_brand"], ["p_type"], ["p_size", "p_retailprice"], "min", fill=-1, pivot_values=_TYPES)
     return table.withColumns({n: F.nullif(F.col(n), F.lit(-1).cast(table.schema[n].dataType)) for n in table.columns[1:]})
 
 
@@ -323,6 +324,15 @@ def hierarchy_paths(t):
     return sp.hierarchy_paths(edges, "parent", "child", aggregations=[("weight", "sum"), ("weight", "max"), ("weight", "count")])
 
 
+@query("""select k as child, (select string_agg(i, ' > ' order by i) from range(k // 1000 * 1000, k + 1) r(i)) as hierarchy_path,
+          cast(k // 1000 * 1000 as varchar) as head_node, cast(k % 1000 + 1 as integer) as path_length,
+          (k * (k + 1) - (k // 1000 * 1000) * (k // 1000 * 1000 + 1)) // 2 as weight_sum from (select c_custkey as k from customer) c""")
+def hierarchy_chain(t):
+    """Chains of a thousand customers, each the child of the one before."""
+    edges = t.customer.selectExpr("case when c_custkey % 1000 > 0 then c_custkey - 1 end as parent", "c_custkey as child", "c_custkey as weight")
+    return sp.hierarchy_paths(edges, "parent", "child", aggregations=[("weight", "sum")])
+
+
 @query("""select v.*, c.filled, c.different from (values ('o_orderkey', 'bigint', true, 0), ('o_custkey', 'bigint', true, 1),
     ('o_orderstatus', 'string', true, 2), ('o_totalprice', 'double', true, 3), ('o_orderdate', 'timestamp_ntz', true, 4),
     ('o_orderpriority', 'string', true, 5)) as v("column", type, nullable, position) join (

@@ -72,8 +72,9 @@ def join_anti_left(t):
 
 @query("select * from part where not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity >= 50)")
 def join_anti_right(t):
-    many = sp.filter_rows(t.lineitem, "l_quantity", ">=", 50)
-    return sp.join_datasets(many, t.part, left_on=["l_partkey"], right_on=["p_partkey"], how="anti-right")
+    parts = t.part.withColumn("many", F.lit(50))
+    conditions = [("l_partkey", "=", "p_partkey"), ("l_quantity", ">=", "many")]
+    return sp.join_datasets(t.lineitem, parts, conditions=conditions, how="anti-right").drop("many")
 
 
 @query("""select c_custkey, s_suppkey, c_acctbal, s_acctbal from customer join supplier
@@ -272,3 +273,17 @@ def join_interval_auto(t):
     orders = t.orders.select("o_orderkey", "o_totalprice")
     inside = [("o_totalprice", ">", "low"), ("o_totalprice", "<", "high")]
     return sp.join_datasets(orders, _bands(t), how="left", conditions=inside).select("o_orderkey", "c_custkey")
+
+
+@query("""select 'one side unique' as side, count(*) as rows from orders join customer on o_custkey = c_custkey
+          union all select 'neither unique', null""")
+def join_many_to_many_guard(t):
+    """The check lets a join through whose one side is unique, and refuses one that would multiply rows."""
+    joined = sp.join_datasets(t.orders, t.customer, how="inner", left_on=["o_custkey"], right_on=["c_custkey"], if_many_to_many="raise")
+    try:
+        sp.join_datasets(t.orders, t.events, how="inner", left_on=["o_custkey"], right_on=["user_id"], if_many_to_many="raise")
+        refused = t.spark.range(0)
+    except ValueError:
+        refused = t.spark.range(1)
+    lone = refused.select(F.lit("neither unique").alias("side"), F.lit(None).cast("long").alias("rows"))
+    return joined.select(F.lit("one side unique").alias("side")).groupBy("side").agg(F.count(F.lit(1)).alias("rows")).unionByName(lone)

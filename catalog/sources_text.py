@@ -57,6 +57,58 @@ def json_file_round_trip(t):
     return sp.read_file(t.spark, path)
 
 
+@query("select doc_id, text, lang, source, n_chars from documents")
+def csv_breaks_round_trip(t):
+    """Texts with line breaks and quotes, read by records that are cut out of all splits."""
+    path = t.new_path()
+    sp.write_csv(t.documents, path, quoting="all", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return sp.read_csv(t.spark, path, multiLine=True, schema="doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+
+_DOCUMENT_ROWS = "select o_orderkey, o_totalprice, case when o_orderstatus <> 'F' then o_orderpriority || ' {\"' || o_orderstatus end as note from orders"
+
+
+def _json_document(orient):
+    """Whole JSON documents, one in each part, with brackets and quotes inside of strings."""
+    def round_trip(t):
+        path = t.new_path()
+        note = F.when(F.col("o_orderstatus") != "F", F.concat("o_orderpriority", F.lit(' {"'), "o_orderstatus"))
+        orders = t.orders.select("o_orderkey", "o_totalprice", note.alias("note"))
+        sp.write_json(orders, path, orient=orient)
+        read = sp.read_json(t.spark, path, orient=orient, lines=False)
+        return read.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("o_totalprice").cast("double").alias("o_totalprice"), "note")
+
+    round_trip.__name__ = f"json_document_{orient}"
+    return round_trip
+
+
+for _orient in ("records", "columns", "index", "split", "table"):
+    query(_DOCUMENT_ROWS)(_json_document(_orient))
+
+
+@query("select c_custkey as id, n_name as nation, c_acctbal as balance from customer join nation on c_nationkey = n_nationkey")
+def xml_rows_by_path(t):
+    """Rows by a path from the root; elements of the same name elsewhere are not taken."""
+    path = t.new_path()
+    placed = sp.join_datasets(t.customer, t.nation, how="inner", left_on=["c_nationkey"], right_on=["n_nationkey"])
+    rows = placed.groupBy("n_name").agg(
+        F.struct(F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("n_name").alias("nation"), F.col("c_acctbal").alias("balance"))).alias("row")).alias("good"),
+        F.struct(F.collect_list(F.struct((-F.col("c_custkey")).alias("id"))).alias("row")).alias("bad"))
+    sp.write_xml(rows.select("good", "bad"), path, row_tag="nation")
+    return sp.read_xml(t.spark, path, xpath="/data/nation/good/row", schema="id bigint, nation string, balance double")
+
+
+@query("select 250 as n, 11 as n_columns")
+def sampled_read(t):
+    """A sample of a file for a first look: so many rows, with all columns, and each of them a row of the table."""
+    path = t.new_path()
+    sp.write_csv(t.lineitem, path)
+    sample = sp.read_file(t.spark, path, "csv", limit=250)
+    keys = t.lineitem.select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line")).distinct()
+    known = sample.join(keys, (F.col("l_orderkey") == F.col("key")) & (F.col("l_linenumber") == F.col("line")), "left_semi")
+    return known.agg(F.count(F.lit(1)).cast("int").alias("n")).withColumn("n_columns", F.lit(len(sample.columns)))
+
+
 @query(_ORDERS)
 def parquet_write_read(t):
     path = t.new_path()
@@ -72,11 +124,11 @@ def xml_write_read(t):
     return sp.read_xml(t.spark, path, xpath="/data/customer", schema=schema)
 
 
-@query("""select o_orderpriority, w.weight, count(*) as orders from orders join (values ('1-URGENT', 5), ('2-HIGH', 3), ('3-MEDIUM', 1))
+@query("""select o_orderpriority, w.weight, count(*) as orders from orders left join (values ('1-URGENT', 5), ('2-HIGH', 3), ('3-MEDIUM', 1))
           as w(priority, weight) on o_orderpriority = w.priority group by 1, 2""")
 def inline_csv_lookup(t):
     weights = sp.inline(t.spark, "priority,weight\n1-URGENT,5\n2-HIGH,3\n3-MEDIUM,1\n", "csv")
-    joined = sp.join_datasets(t.orders, weights, how="inner", left_on=["o_orderpriority"], right_on=["priority"])
+    joined = sp.join_datasets(t.orders, weights, how="left", left_on=["o_orderpriority"], right_on=["priority"])
     return joined.groupBy("o_orderpriority", "weight").agg(F.count(F.lit(1)).alias("orders"))
 
 
@@ -95,11 +147,11 @@ _CALENDAR = """cast(d as date) as calendar_date, cast(year(d) as integer) as "ye
 
 
 @query(f"""select c.*, coalesce(n, 0) as orders from (select {_CALENDAR} from range(timestamp '1999-12-25', timestamp '2000-03-02', interval 1 day) r(d)) c
-           left join (select cast(o_orderdate as date) as od, count(*) as n from orders group by 1) o on calendar_date = od""")
+           full join (select cast(o_orderdate as date) as od, count(*) as n from orders group by 1) o on calendar_date = od""")
 def calendar_with_orders(t):
     calendar = sp.generate_calendar(t.spark, "2000-01-01", "2000-02-01", back=(1, "weeks"), ahead=(1, "months"))
     per_day = t.orders.groupBy(F.col("o_orderdate").cast("date").alias("od")).agg(F.count(F.lit(1)).alias("n"))
-    joined = sp.join_datasets(calendar, per_day, left_on=["calendar_date"], right_on=["od"])
+    joined = sp.join_datasets(calendar, per_day, how="outer", left_on=["calendar_date"], right_on=["od"])
     return joined.withColumn("orders", F.coalesce("n", F.lit(0))).drop("od", "n")
 
 

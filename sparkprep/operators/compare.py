@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkprep._columns import NUMERIC, as_list, c, free_name, order_columns, require
+from sparkprep._columns import NUMERIC, as_list, c, free_name, order_columns, require, same_row
 from sparkprep.operators.joins import join_datasets
 from sparkprep.operators.ordering import number_rows
 
+PARTS = 65_536
 MODES = ("data", "count_data", "field_data", "differing_fields", "metadata", "metadata+metrics")
 _ROW = "_row_index_for_compare"
 # The time units a rounding may name, and their length in microseconds.
@@ -37,7 +38,8 @@ def compare(
 
     data: rows on one side only (row_differs) or with unequal counts (count_differs, one row per side).
     count_data: the number of those rows, ``diff_count``. field_data: per key and differing field the value and its
-    origin. differing_fields: per field the number of keys. metadata: columns and types (and positions).
+    origin; a null has no row, so a key that one side lacks shows only the fields that are filled on the other.
+    differing_fields: per field the number of keys. metadata: columns and types (and positions).
     metadata+metrics: also counts, distinct counts, min and max.
     ``column_mismatch``: intersect compares common columns, strict raises on others. ``round_float`` digits and
     ``round_time`` (us, ms, s, min, h, D) apply before comparing. ``row_order`` = [left order_by, right order_by] makes
@@ -58,10 +60,11 @@ def compare(
     left, right = _common(left, right, column_mismatch)
     left, right = (_rounded(side, round_float, round_time) for side in (left, right))
     if mode == "data":
-        return _data(left, right, check_counts)
+        return _data(*_differing_parts(left, right), check_counts)
     if mode == "count_data":
-        return _data(left, right, check_counts).agg(F.count(F.lit(1)).alias("diff_count"))
-    fields = _fields(left, right, require(left, keys, "key column"))
+        return _data(*_differing_parts(left, right), check_counts).agg(F.count(F.lit(1)).alias("diff_count"))
+    named = require(left, keys, "key column")
+    fields = _fields(*(_differing_parts(left, right, named) if named else (left, right)), named)
     if mode == "field_data":
         return fields
     key_columns = [c(k) for k in as_list(keys)]
@@ -96,6 +99,44 @@ def _rounded(df: DataFrame, digits: int | None, unit: str | None) -> DataFrame:
     return df.withColumns(changes) if changes else df
 
 
+def _digest(df: DataFrame, names: list[str], seed: int) -> Column:
+    """A 64-bit hash of some columns; a null adds nothing to it, so which are null is hashed too."""
+    return F.xxhash64(F.lit(seed), *[c(n) for n in names], F.concat(*[c(n).isNull().cast("string") for n in names]))
+
+
+def _differing_parts(left: DataFrame, right: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides without the parts that hold the same rows on both.
+
+    A part is all rows with one hash of the keys (of the whole row, without keys), modulo ``PARTS``. Its digest adds up 128 bits
+    of hash over its rows, whatever their order, on the map side first: equal tables are told so by ``PARTS`` short rows from
+    each task, and of nearly equal ones only the rows of a few parts go through the shuffle. With keys, a part in which a key
+    repeats is never left out, as its rows meet others of the key.
+    """
+    names = left.columns
+    if any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in [*left.schema.fields, *right.schema.fields]):
+        return left, right
+    part = free_name("_part", names)
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.withColumn(part, F.pmod(_digest(df, keys or names, 1), F.lit(PARTS)))
+
+    def digests(df: DataFrame, side: str) -> DataFrame:
+        sums = [F.count(F.lit(1)).alias(f"{side}n")]
+        for i, seed in enumerate((2, 3)):
+            h = _digest(df, names, seed)
+            sums += [F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"{side}l{i}"), F.sum(F.shiftrightunsigned(h, 32)).alias(f"{side}h{i}")]
+        return marked(df).groupBy(F.col(part).alias(f"{side}part")).agg(*sums)
+
+    a, b = digests(left, "_a"), digests(right, "_b")
+    same = same_row([F.col(f"_a{x}") for x in ("n", "l0", "h0", "l1", "h1")], [F.col(f"_b{x}") for x in ("n", "l0", "h0", "l1", "h1")])
+    differ = a.join(b, F.col("_apart") == F.col("_bpart"), "full_outer").where(~same).select(F.coalesce("_apart", "_bpart").alias("_open"))
+    for side in (left, right) if keys else ():
+        again = marked(side).groupBy(part, _digest(side, keys, 4).alias("_key")).count().where("count > 1")
+        differ = differ.unionByName(again.select(F.col(part).alias("_open")))
+    differ = F.broadcast(differ.distinct())  # PARTS rows at most
+    return tuple(marked(side).join(differ, F.col(part) == F.col("_open"), "left_semi").drop(part) for side in (left, right))
+
+
 def _data(left: DataFrame, right: DataFrame, check_counts: bool) -> DataFrame:
     """One union and one aggregate with two conditional counts: copies of a row meet on the map side already."""
     names = left.columns

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,23 +68,63 @@ def _diagonal(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _pearson(df: DataFrame, pairs) -> DataFrame:
-    """All pairs in one pass: a row gives its pairs of present values, which are summed up on the map side."""
+    """All pairs in two passes: centers and ranges of the columns, then products of whole blocks of rows."""
     names = list(dict.fromkeys(n for pair in pairs for n in pair))
-    number = {n: i for i, n in enumerate(names)}
-    listed = F.array(*[
-        F.struct(F.lit(p).alias("p"), F.lit(number[a]).alias("i"), F.lit(number[b]).alias("j")) for p, (a, b) in enumerate(pairs)
-    ])
-    rows = df.select(F.array(*[_value(n) for n in names]).alias("_v"))
-    cells = rows.select("_v", F.explode(listed).alias("_p"))
-    cells = cells.select("_p.p", F.col("_v")[F.col("_p.i")].alias("x"), F.col("_v")[F.col("_p.j")].alias("y"))
-    x, y = F.col("x"), F.col("y")
-    sums = cells.where(x.isNotNull() & y.isNotNull()).groupBy("p").agg(
-        F.count(F.lit(1)).alias("n"), ((F.max(x) > F.min(x)) & (F.max(y) > F.min(y))).alias("varies"),
-        F.covar_pop(x, y).alias("xy"), F.stddev_pop(x).alias("dx"), F.stddev_pop(y).alias("dy"),
-    )
-    # corr() itself fails on a constant column, which has no correlation.
-    r = F.when(F.col("varies"), F.try_divide(F.col("xy"), F.col("dx") * F.col("dy")))
-    return sums.select(*_names(pairs), "n", r.alias("r"))
+    stats = [f(_value(n)).alias(f"{k}{i}") for i, n in enumerate(names) for k, f in (("mean", _finite_mean), ("low", F.min), ("high", F.max), ("n", F.count))]
+    found = df.agg(F.count(F.lit(1)).alias("rows"), *stats).first()  # one row
+    centers = [found[f"mean{i}"] or 0.0 for i in range(len(names))]
+    whole = [found[f"n{i}"] == found["rows"] for i in range(len(names))]
+    varies = [whole[i] and found[f"low{i}"] != found[f"high{i}"] for i in range(len(names))]
+    return _products(df, pairs, names, centers, whole, varies)
+
+
+def _finite_mean(value: Column) -> Column:
+    return F.avg(F.when(F.abs(value) < float("inf"), value))
+
+
+def _products(df: DataFrame, pairs, names: list[str], centers: list[float], whole: list[bool], varies: list[bool]) -> DataFrame:
+    """Correlations from masked cross-products: each batch of rows is a matrix, and gives one row per pair of columns.
+
+    Sums are taken about ``centers``, so that they keep their precision and add up over tasks. ``whole`` columns miss no value,
+    and ``varies`` says whether such a column has two values at all; for the others each pair looks at its own rows.
+    """
+    at = {n: i for i, n in enumerate(names)}
+    left, right = [np.array(x) for x in zip(*[(at[a], at[b]) for a, b in pairs])]
+    open_ = [p for p, (i, j) in enumerate(zip(left, right)) if not (whole[i] and whole[j])]
+    fields = ["n", "x", "y", "xx", "yy", "xy", "odd"]
+
+    def multiply(batches):
+        total, ends = np.zeros((len(fields), len(pairs))), {p: [np.inf, -np.inf, np.inf, -np.inf] for p in open_}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            values = np.stack([col.to_numpy(zero_copy_only=False).astype(float) for col in b.columns], axis=1)
+            present = ~np.isnan(values)
+            finite = np.isfinite(values)
+            x, m = np.where(finite, values - centers, 0.0), present.astype(float)
+            strange = (present & ~finite).astype(float)
+            n, sums, squares, cross = m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x
+            odd = strange.T @ m
+            total += np.stack([n[left, right], sums[left, right], sums[right, left], squares[left, right], squares[right, left], cross[left, right], (odd + odd.T)[left, right]])
+            for p in open_:
+                both = present[:, left[p]] & present[:, right[p]]
+                if both.any():
+                    u, v, e = values[both, left[p]], values[both, right[p]], ends[p]
+                    ends[p] = [min(e[0], u.min()), max(e[1], u.max()), min(e[2], v.min()), max(e[3], v.max())]
+        limits = np.array([ends.get(p, [0.0, 0.0, 0.0, 0.0]) for p in range(len(pairs))]).T
+        columns = [pa.array(np.arange(len(pairs)), pa.int32()), *[pa.array(t) for t in total], *[pa.array(t) for t in limits]]
+        yield pa.RecordBatch.from_arrays(columns, ["p", *fields, "x0", "x1", "y0", "y1"])
+
+    schema = "p int, " + ", ".join(f"{f} double" for f in [*fields, "x0", "x1", "y0", "y1"])
+    made = df.select(*[_value(n).alias(f"v{i}") for i, n in enumerate(names)]).mapInArrow(multiply, schema)
+    summed = made.groupBy("p").agg(*[F.sum(f).alias(f) for f in fields], F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    two = [F.lit(bool(varies[i] and varies[j])) if whole[i] and whole[j] else (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")) for i, j in zip(left, right)]
+    xy = F.col("xy") - F.try_divide(F.col("x") * F.col("y"), "n")
+    xx, yy = (F.col(f"{v}{v}") - F.try_divide(F.col(v) * F.col(v), "n") for v in "xy")
+    r = F.try_divide(xy, F.sqrt(F.greatest(xx, F.lit(0.0))) * F.sqrt(F.greatest(yy, F.lit(0.0))))
+    # A constant column has no correlation; an infinite value leaves none that is a number.
+    r = F.when(F.array(*two)[F.col("p")], F.when(F.col("odd") > 0, F.lit(float("nan"))).otherwise(r))
+    return summed.select(*_names(pairs), F.col("n").cast("long").alias("n"), r.alias("r")).where("n > 0")
 
 
 def _names(pairs) -> list[Column]:
@@ -145,12 +187,17 @@ def _spearman_of_complete(df: DataFrame, pairs) -> DataFrame:
     )
     cells = F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"v{i}").alias("v")) for i in range(len(names))])
     long = rows.select("row", F.explode(cells).alias("_c")).select("row", "_c.k", "_c.v")
-    counted = long.groupBy("k", "v").agg(F.count(F.lit(1)).alias("_t"))
+    counted = cut(long.groupBy("k", "v").agg(F.count(F.lit(1)).alias("_t")), "values")
     ranks = running_totals(counted, ["k"], ["v"], {"_before": "_t"}, distinct_order=True)
     ranks = ranks.select("k", "v", (F.col("_before") + (F.col("_t") + 1) / 2).alias("rank"))
     ranked = long.join(ranks.hint("shuffle_hash"), ["k", "v"])
     wide = ranked.groupBy("row").agg(*[F.max(F.when(F.col("k") == i, F.col("rank"))).alias(n) for i, n in enumerate(names)])
-    return _pearson(wide, pairs)
+    # Ranks have a known center, and a column of one value has that rank in every row.
+    many = counted.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("_t").alias("rows")).collect()  # one row per column
+    sizes = {r["k"]: r for r in many}
+    varies = [i in sizes and sizes[i]["n"] > 1 for i in range(len(names))]
+    middle = (many[0]["rows"] + 1) / 2 if many else 0.0
+    return _products(wide, pairs, names, [middle] * len(names), [True] * len(names), varies)
 
 
 def _spearman_of_pairs(df: DataFrame, pairs) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkprep._columns import c, require
 from sparkprep.session import cut
@@ -27,8 +29,9 @@ def hierarchy_paths(
     ``<node><separator>[CYCLE DETECTED]``. ``aggregations`` are (field, sum | max | min | mean | count) over the rows of
     the edges on the path, named ``<field>_<function>``.
 
-    The paths grow upwards by one edge per round, all nodes together, and each round is written before the next one
-    reads it; so the plan stays small and the number of rounds is the length of the longest path.
+    Paths grow by doubling: all pieces of one length are joined with the pieces that begin at their top, so the number of
+    rounds is the logarithm of the longest path; each round is written before the next one reads it. A piece carries what
+    the aggregations need of each of its edges.
     """
     require(df, [parent, child])
     wanted = [(f, fn, re.sub("[^a-zA-Z0-9_]", "_", f"{f}_{fn}")) for f, fn in aggregations or ()]
@@ -49,44 +52,56 @@ def hierarchy_paths(
     edges = cut(edges if fields else edges.drop("rows"), "edges")
     totals = [f"{k}{i}" for i in range(len(fields)) for k in ("s", "n", "lo", "hi")]
 
-    def merged(key: str, old, new):
-        if key[0] in "sn":
-            return F.when(old.isNull(), new).when(new.isNull(), old).otherwise(old + new)
-        return (F.least if key.startswith("lo") else F.greatest)(old, new)  # both skip nulls
-
     nodes = edges.select("kid").distinct()
     kinds = {f.name: f.dataType for f in edges.schema.fields}
+    # node: where a piece begins; seen: its nodes, the lowest first; at: its top, from which it goes on, null when it is complete;
+    # loop: the node it would meet again; and of each edge, from the lowest on, the values to be aggregated.
+    first = edges.select(
+        F.col("kid").alias("node"), F.array("kid").alias("seen"), F.col("up"), (F.col("up") == F.col("kid")).alias("_self"),
+        *[F.array(F.col(t)).alias(t) for t in totals])
+    ends = F.col("up").isNull() | F.col("_self")
+    none = {t: F.array().cast(T.ArrayType(kinds[t])) for t in totals}
+    pieces = first.select(
+        "node", F.when(ends, F.col("seen")).otherwise(F.concat("seen", F.array("up"))).alias("seen"), F.when(~ends, F.col("up")).alias("at"),
+        F.when(F.col("_self"), F.col("up")).alias("loop"), *[F.when(ends, none[t]).otherwise(F.col(t)).alias(t) for t in totals])
+    # A parent that has no edge upwards ends the piece.
+    tops = edges.select("up").distinct().join(nodes, F.col("up") == F.col("kid"), "left_anti").select(F.col("up").alias("_top"))
+    pieces = pieces.join(tops, F.col("at") == F.col("_top"), "left").withColumn("at", F.when(F.col("_top").isNull(), F.col("at"))).drop("_top")
+    pieces = cut(pieces, "paths")
+    finished = [pieces.where("at is null")]
+    growing = pieces.where("at is not null")
+    while not growing.isEmpty():
+        above = pieces.select(
+            F.col("node").alias("_from"), F.slice("seen", 2, F.size("seen")).alias("_seen"), F.col("at").alias("_at"), F.col("loop").alias("_loop"),
+            *[F.col(t).alias(f"_{t}") for t in totals])
+        joined = growing.join(above, F.col("at") == F.col("_from"))
+        # Where the upper piece first meets a node of the lower one, the path ends with that node.
+        meets = F.get(F.array_compact(F.transform("_seen", lambda x, i: F.when(F.array_contains("seen", x), i))), F.lit(0))
+        joined = joined.withColumn("_meets", meets)
+        kept = F.coalesce("_meets", F.size("_seen"))
+        closed = F.col("_meets").isNotNull()
+        grown = joined.select(
+            "node", F.concat("seen", F.slice("_seen", F.lit(1), kept)).alias("seen"), F.when(~closed, F.col("_at")).alias("at"),
+            F.when(closed, F.get("_seen", F.col("_meets"))).otherwise(F.col("_loop")).alias("loop"),
+            *[F.concat(F.col(t), F.slice(F.col(f"_{t}"), F.lit(1), kept)).alias(t) for t in totals])
+        # Upper pieces that part only behind the meeting make one path.
+        pieces = cut(grown.dropDuplicates(["node", "seen", "at", "loop"]), "paths")
+        finished.append(pieces.where("at is null"))
+        growing = pieces.where("at is not null")
+        if not growing.isEmpty():
+            # The upper pieces of the next round: those of this length, and the complete ones that are shorter.
+            pieces = reduce(DataFrame.unionByName, [*finished[:-1], pieces])
+    whole = reduce(DataFrame.unionByName, finished)
+
+    def folded(t: str) -> Column:
+        add = {"s": lambda a, x: F.when(a.isNull(), x).when(x.isNull(), a).otherwise(a + x), "l": F.least, "h": F.greatest}
+        merge = add["s" if t[0] in "sn" else t[0]]
+        return F.aggregate(t, F.lit(None).cast(kinds[t]), lambda a, x: merge(a, x).cast(kinds[t]))
+
+    texts = F.transform(F.reverse("seen"), lambda x: x.cast("string"))
+    marked = F.concat(F.array(F.concat(F.col("loop").cast("string"), F.lit(f"{separator}{_CYCLE}"))), texts)
     start = [F.lit(None).cast(kinds[t]).alias(t) for t in totals]
-    # node: where the path ends; at: its present top; seen: the nodes so far, top first; head: set when it is complete.
-    growing = nodes.select(F.col("kid").alias("node"), F.col("kid").alias("at"), F.array("kid").alias("seen"), *start)
-    finished = []
-    while True:
-        stepped = growing.join(edges.select("kid", "up", *[F.col(t).alias(f"e_{t}") for t in totals]), growing["at"] == F.col("kid"), "left")
-        # A parent that has no edge upwards itself, or a null parent, ends the path.
-        again = F.array_contains("seen", F.col("up"))
-        stepped = cut(stepped.select(
-            "node", "seen", "up", again.alias("again"),
-            *[
-                F.when(F.col("up").isNotNull() & ~again, merged(t, F.col(t), F.col(f"e_{t}"))).otherwise(F.col(t)).alias(t)
-                for t in totals
-            ],
-        ), "paths")
-        texts = F.transform("seen", lambda x: x.cast("string"))
-        ended = stepped.where(F.col("up").isNull()).select("node", texts.alias("path"), *totals)
-        looped = stepped.where(F.col("again")).select(
-            "node",
-            F.concat(F.array(F.concat(F.col("up").cast("string"), F.lit(f"{separator}{_CYCLE}"))), texts).alias("path"),
-            *totals,
-        )
-        finished += [ended, looped]
-        growing = stepped.where(F.col("up").isNotNull() & ~F.col("again")).select(
-            "node", F.col("up").alias("at"), F.concat(F.array("up"), F.col("seen")).alias("seen"), *totals
-        )
-        if growing.isEmpty():
-            break
-    paths = finished[0]
-    for more in finished[1:]:
-        paths = paths.unionByName(more)
+    paths = whole.select("node", F.when(F.col("loop").isNotNull(), marked).otherwise(texts).alias("path"), *[folded(t).alias(t) for t in totals])
 
     # Parents that are nobody's child.
     roots = edges.select(F.col("up").alias("node")).where("node is not null").distinct()

@@ -156,40 +156,71 @@ def carry_forward(df: DataFrame, columns: list[str], order: list[Column], by: li
     return joined.select(*[filled.get(n, c(n)).alias(n) for n in names])
 
 
+_STEPS = 4096
+
+
+def _rough(value: Column) -> Column:
+    """A number that never falls as ``value`` rises, one for each power of two: some 4,200 in all."""
+    power = F.floor(F.log2(F.abs(value))) + 1100
+    sign = F.when(value > 0, power).otherwise(-power)
+    far = F.when(F.isnan(value), 5000).when(value == float("inf"), 4000).when(value == float("-inf"), -4000).when(value == 0, 0)
+    return far.otherwise(sign).cast("int")
+
+
 def exact_quantiles(
     df: DataFrame, by: list[str], columns: list[str], probabilities: list[float]
 ) -> DataFrame:
     """Exact quantiles (linear interpolation) of numeric ``columns`` per group of ``by``.
 
-    Returns by + ``field`` + ``quantiles`` (array of double, in the order of ``probabilities``). The built-in exact
-    percentile would keep every distinct value of a group in one task, so the counted values are put in order over all
-    partitions and the wanted positions picked out.
+    Returns by + ``field`` + ``quantiles`` (array of double, in the order of ``probabilities``). Nothing is sorted: values are
+    counted by powers of two, on the map side first, and of each range that holds a wanted position the values are counted
+    again in ``_STEPS`` equal steps between the least and the greatest of them, until a range is one value. A round looks at
+    fewer values than the one before, and shuffles a bounded number of counts per group and task.
     """
     by = as_list(by)
-    stacked = df.select(
-        *[c(b) for b in by],
-        F.explode(
-            F.array(*[F.struct(F.lit(n).alias("field"), c(n).cast("double").alias("_v")) for n in columns])
-        ).alias("_fv"),
-    ).select(*[c(b) for b in by], F.col("_fv.field").alias("field"), F.col("_fv._v").alias("_v"))
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), (c(n).cast("double") + F.lit(0.0)).alias("_v")) for n in columns]))
+    stacked = df.select(*[c(b) for b in by], cells.alias("_fv")).select(*[c(b) for b in by], "_fv.field", "_fv._v")
+    values = cut(stacked.where(F.col("_v").isNotNull()), "values")
     keys = [*by, "field"]
-    counted = stacked.where(F.col("_v").isNotNull()).groupBy(*[c(k) for k in keys], "_v").agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    counted = cut(counted, "values")
-    before = running_totals(counted, keys, ["_v"], {"_before": "_n"}, distinct_order=True)
-    sizes = counted.groupBy(*[c(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sum("_n").alias("_size"))
-    on = same_row([c(k) for k in keys], [F.col(f"_k{i}") for i in range(len(keys))])
-    placed = before.join(sizes, on)
+    spread = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")]
+    own = [c(k) for k in keys]
+
+    # The positions on both sides of each quantile, and the range of values that holds them.
+    counted = values.groupBy(*own, _rough(F.col("_v")).alias("_step")).agg(*spread)
+    group = Window.partitionBy(*own)
+    counted = counted.withColumn("_before", _before(group)).withColumn("_size", F.sum("_n").over(group))
+    at = [(F.col("_size") - 1) * F.lit(float(p)) for p in probabilities]
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(x), F.ceil(x)) for x in at])))
+    kept = [*own, "_size", "_rank", "_low", "_high", "_before"]
+    todo = cut(counted.select("*", F.explode(ranks).alias("_rank")).where(_inside()).select(*kept), "ranges")
+    one = F.col("_low").eqNullSafe(F.col("_high"))
+    while not todo.where(~one).isEmpty():
+        wide = todo.where(~one)
+        named = [c(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+        on = same_row(own, [F.col(f"_k{i}") for i in range(len(keys))])
+        ranges = wide.select(*named, F.col("_low").alias("_from"), F.col("_high").alias("_to"), F.col("_before").alias("_earlier")).distinct()
+        near = values.join(ranges, on & F.col("_v").between(F.col("_from"), F.col("_to")))
+        step = F.floor((F.col("_v") - F.col("_from")) / (F.col("_to") - F.col("_from")) * _STEPS)
+        counted = near.groupBy(*own, "_from", "_earlier", F.least(step, F.lit(_STEPS - 1)).alias("_step")).agg(*spread)
+        counted = counted.withColumn("_before", F.col("_earlier") + _before(Window.partitionBy(*own, "_from")))
+        counted = counted.select(*named, "_from", "_n", "_low", "_high", "_before")
+        found = wide.select(*own, "_size", "_rank", F.col("_low").alias("_was")).join(counted, on & (F.col("_was") == F.col("_from"))).where(_inside())
+        todo = cut(todo.where(one).unionByName(found.select(*kept)), "ranges")
     picks = []
-    for i, p in enumerate(probabilities):
-        at = (F.col("_size") - 1) * F.lit(float(p))
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            inside = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n"))
-            picks.append(F.max(F.when(inside, F.col("_v"))).alias(f"_{side}{i}"))
-        picks.append(F.max(at - F.floor(at)).alias(f"_part{i}"))
-    found = placed.groupBy(*[c(k) for k in keys]).agg(*picks)
-    values = [
-        F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}") for i in range(len(probabilities))
-    ]
-    return found.select(*[c(k) for k in keys], F.array(*values).alias("quantiles"))
+    for i, x in enumerate(at):
+        for side, rank in (("lo", F.floor(x)), ("hi", F.ceil(x))):
+            picks.append(F.max(F.when(F.col("_rank") == rank, F.col("_low"))).alias(f"_{side}{i}"))
+        picks.append(F.max(x - F.floor(x)).alias(f"_part{i}"))
+    found = todo.groupBy(*own).agg(*picks)
+    sides = [(F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_part{i}")) for i in range(len(probabilities))]
+    quantiles = [F.when(lo == hi, lo).otherwise(lo + (hi - lo) * part) for lo, hi, part in sides]
+    return found.select(*own, F.array(*quantiles).alias("quantiles"))
+
+
+def _before(group) -> Column:
+    """Rows in the earlier steps of the group; a group has a bounded number of steps."""
+    return _or_zero(F.sum("_n").over(group.orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)))
+
+
+def _inside() -> Column:
+    return (F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n"))

@@ -128,8 +128,8 @@ def unique_keys(df: DataFrame, columns: Iterable[str] | None = None, max_fields:
 
     Returns number_of_fields and field_combination (array). Two exact rules save work: a combination that holds a
     unique one is unique, and one whose columns have too few distinct values between them cannot be. The others of one
-    size are counted together in one pass, first over the 1/64 of their values with a certain hash: a value that repeats
-    there repeats in the table.
+    size are looked at together: (combination, 64-bit hash of its values) is counted, first for the 1/64 of the hashes with a
+    certain remainder, then for all, and a hash that repeats is looked up by the values themselves.
     """
     names = require(df, columns) or df.columns
     largest = max_fields if max_fields > 0 else len(names)
@@ -141,14 +141,29 @@ def unique_keys(df: DataFrame, columns: Iterable[str] | None = None, max_fields:
         counted = [F.count_distinct(F.struct(*[c(n) for n in combo])).alias(f"_{i}") for i, combo in enumerate(combos)]
         return df.agg(*counted, *extra).first()
 
-    def without_repeats(combos: list[tuple[str, ...]]) -> list[tuple[str, ...]]:
-        counted = []
-        for i, combo in enumerate(combos):
-            chosen = F.pmod(F.xxhash64(*[c(n) for n in combo]), F.lit(64)) == 0
-            value = F.when(chosen, F.struct(*[c(n) for n in combo]))
-            counted += [F.count_distinct(value).alias(f"_d{i}"), F.count(value).alias(f"_n{i}")]
-        counts = df.agg(*counted).first()
-        return [combo for i, combo in enumerate(combos) if counts[f"_d{i}"] == counts[f"_n{i}"]]
+    def hashed(combo: tuple[str, ...]) -> Column:
+        # A null adds nothing to a hash, so which values are null is hashed too.
+        return F.xxhash64(*[c(n) for n in combo], F.concat(*[c(n).isNull().cast("string") for n in combo]))
+
+    def without_repeats(combos: list[tuple[str, ...]], share: int) -> list[tuple[str, ...]]:
+        """The combinations without a value that repeats, among the values with one of ``share`` hashes."""
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), hashed(combo).alias("h")) for i, combo in enumerate(combos)]))
+        counts = df.select(cells.alias("_c")).select("_c.i", "_c.h").where(F.pmod("h", F.lit(share)) == 0).groupBy("i", "h").count()
+        again = {r["i"]: r["h"] for r in counts.where("count > 1").groupBy("i").agg(F.min("h").alias("h")).collect()}  # one row per combination
+        if not again:
+            return combos
+        # The values behind one repeated hash of each combination, counted themselves.
+        hits = [
+            F.when(hashed(combos[i]) == h, F.struct(F.lit(i).alias("i"), F.to_json(F.struct(*[c(n) for n in combos[i]]), {"ignoreNullFields": "false"}).alias("v")))
+            for i, h in again.items()
+        ]
+        behind = df.select(F.explode(F.array_compact(F.array(*hits))).alias("_c")).select("_c.i", "_c.v").groupBy("i", "v").count()
+        most = {r["i"]: r["n"] for r in behind.groupBy("i").agg(F.max("count").alias("n")).collect()}
+        # Different values with one hash tell nothing: that combination is counted by its values.
+        unsure = [combos[i] for i in again if most[i] == 1]
+        counted = distinct(unsure, [F.count(F.lit(1)).alias("_rows")]) if unsure else None
+        unsure = [combo for i, combo in enumerate(unsure) if counted[i] == counted["_rows"]]
+        return [combo for i, combo in enumerate(combos) if i not in again or combo in unsure]
 
     singles = [(n,) for n in names]
     counts = distinct(singles, [F.count(F.lit(1)).alias("_rows")])
@@ -166,14 +181,10 @@ def unique_keys(df: DataFrame, columns: Iterable[str] | None = None, max_fields:
                 level.append(combo)
             elif reach >= rows:
                 open_combos.append(combo)
-        for start in range(0, len(open_combos), 16):
-            batch = without_repeats(open_combos[start : start + 16])
-            if not batch:
-                continue
-            counts = distinct(batch)
-            fresh = [combo for i, combo in enumerate(batch) if counts[i] == rows]
-            unique += fresh
-            level += fresh
+        for share in (64, 1):
+            open_combos = without_repeats(open_combos, share) if open_combos else []
+        unique += open_combos
+        level += open_combos
         found += sorted(level, key=lambda combo: [names.index(n) for n in combo])
     return spark.createDataFrame([(len(combo), list(combo)) for combo in found], schema)
 

@@ -19,7 +19,7 @@ _FLAGS = {"IGNORECASE": "i", "MULTILINE": "m", "DOTALL": "s", "VERBOSE": "x", "U
 def extract(
     df: DataFrame, column: str, pattern: str, name: str = "extract", flags: str | Iterable[str] = (), groups: int | None = None
 ) -> DataFrame:
-    """The groups of the first match as ``<name>_1``, ``<name>_2``...; null where nothing matches.
+    """The groups of the first match as ``<name>_1``, ``<name>_2``...; null where nothing matches or the group took no part.
 
     ``pattern`` is a name from functions.patterns.PATTERNS or a regular expression with at least one group. Characters
     are classed by Unicode unless the flag ASCII is given. Flags: IGNORECASE, MULTILINE, DOTALL, UNICODE, ASCII, VERBOSE.
@@ -36,14 +36,16 @@ def extract(
     if n < 1:
         raise ValueError("the pattern needs at least one capturing group")
     text = c(column).cast("string")
-    full = f"(?{letters}){regex}" if letters else regex
-    # regexp_extract gives '' both for no match and for a group that took no part. An empty group may also be a real
-    # match, so the pattern is tested once; a group that took no part is null like in the absence of a match.
+    flagged = f"(?{letters})" if letters else ""
+    full = flagged + regex
+    # regexp_extract gives '' for no match, for a group that took no part and for one that matched nothing. Behind the first
+    # match, held fast, a reference to the group succeeds only if it took part.
     matched = text.rlike(full)
     found = {}
     for i in range(1, n + 1):
         value = F.regexp_extract(text, full, i)
-        found[f"{name}_{i}"] = F.when(matched, value if n == 1 else F.when(value != "", value))
+        empty = F.when(text.rlike(f"{flagged}\\A(?>(?s:.*?)(?:{regex}\n))\\{i}" if "x" in letters else f"{flagged}\\A(?>(?s:.*?)(?:{regex}))\\{i}"), F.lit(""))
+        found[f"{name}_{i}"] = F.when(matched, F.when(value != "", value).otherwise(empty))
     taken = set(df.columns)
     return df.withColumns({(k + "_extracted" if k in taken else k): v for k, v in found.items()})
 

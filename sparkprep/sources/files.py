@@ -11,12 +11,13 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkprep._columns import as_list, c
 from sparkprep.session import _written, shared_folder
+from sparkprep.sources.splits import chunks, csv_records, json_elements, parsed, runs
 
 _SEPARATORS = [",", ";", "\t", "|", " "]
 
@@ -55,7 +56,8 @@ def read_csv(
     ``separator='infer'`` picks the one that splits the first lines most evenly; files that differ in it are refused. ``names``
     renames the columns, in place of a header if there is none. Without ``schema`` the types are inferred, which reads the
     files once more. ``on_bad_lines``: error, warn, skip. ``skip_lines`` leaves out lines before the header of each file; what
-    is left is copied to the shared folder and read like any CSV (with ``multiLine`` for line breaks inside of quotes).
+    is left is copied to the shared folder and read like any CSV. With ``multiLine`` cells may hold line breaks inside of quotes:
+    the records are cut out of all splits of a file in parallel (``splits``) and copied there too.
     ``decimal=','`` reads numbers with a decimal comma.
     """
     if on_bad_lines not in ("error", "warn", "skip"):
@@ -67,18 +69,35 @@ def read_csv(
     reader = spark.read.option("sep", separator).option("encoding", encoding).option("quote", quote).option("mode", mode)
     # Doubled quotes inside a quoted cell are one quote.
     reader = reader.option("escape", escape or quote).option("header", str(header).lower()).options(**options)
-    if skip_lines:
+    whole = str(options.get("multiLine", "false")).lower() == "true"
+    if whole:
+        wanted = {**options, "encoding": encoding}
+        records = _checked(lambda: csv_records(spark, source, separator, quote, escape or quote, skip_lines, options.get("comment"), wanted), path)
+        if header:
+            tops = records.where("mark = 'first'").groupBy("text").agg(F.min("of").alias("of"))
+            if tops.limit(2).count() > 1:
+                raise ValueError(f"files with different headers in {path!r}")
+            top, records = tops.select("text"), records.where("mark is null")
+            if schema is None:
+                named = reader.option("inferSchema", "true") if decimal == "." else reader
+                schema_of = parsed(named.option("header", "true"), top.unionByName(records.select("text")), "csv").schema
+                reader = reader.schema(schema_of)
+        reader = reader.option("header", "false")
+    elif skip_lines:
         plain = spark.read.option("sep", separator).option("quote", quote).option("escape", escape or quote)
         source = _without_first_lines(spark, source, encoding, skip_lines, header, plain, {**options, "sep": separator})
-        whole = str(options.get("multiLine", "false")).lower() == "true"
-        reader = reader.option("encoding", "UTF-8").option("header", str(header or not whole).lower())
+        reader = reader.option("encoding", "UTF-8").option("header", "true")
     if schema is not None:
         reader = reader.schema(schema)
-    elif decimal == ".":
+    elif decimal == "." and not (whole and header):
         reader = reader.option("inferSchema", "true")
-    df = _checked(lambda: reader.csv(source), path)
+
+    def read(with_options: DataFrameReader) -> DataFrame:
+        return parsed(with_options, records.select("text"), "csv") if whole else with_options.csv(source)
+
+    df = _checked(lambda: read(reader), path)
     if on_bad_lines != "error":
-        df = _good_lines(reader, source, df, on_bad_lines == "warn")
+        df = _good_lines(reader, read, df, on_bad_lines == "warn", source)
     if names:
         names = list(names)
         df = df.toDF(*names, *df.columns[len(names):])
@@ -114,35 +133,38 @@ def _behind(lines: DataFrame, begins: dict) -> DataFrame:
 
 
 def _guess_separator(spark: SparkSession, path, encoding: str, skip: int, options: dict) -> str:
-    lines, begins = _numbered(spark, path, encoding, skip, options)
-    if not begins:
-        return ","
-    near = _behind(lines, begins).where(F.col("n") < F.col("begin") + 20).where(F.trim("value") != "")
-    heads: dict[str, list[str]] = {}
-    for r in sorted(near.select("file", "start", "n", "value").collect()):  # 20 lines of each split at most
-        heads.setdefault(r["file"], []).append(r["value"])
-
-    def guess(head: list[str]) -> str | None:
-        def score(sep: str) -> tuple[bool, int]:
-            counts = [line.count(sep) for line in head]
-            return (min(counts) == max(counts) and counts[0] > 0, min(counts))
-
-        best = max(_SEPARATORS, key=score)
-        return best if score(best)[1] else None
-
-    found = {f: guess(head[:20]) for f, head in heads.items()}
-    kinds = {sep for sep in found.values() if sep}
-    if len(kinds) > 1:
-        raise ValueError(f"files with different separators: {', '.join(f'{f} {sep!r}' for f, sep in sorted(found.items()) if sep)}")
-    return kinds.pop() if kinds else ","
+    """The separator of the files' first 20 lines that are not blank; each file gives its own guess, and one row per guess comes
+    to the driver."""
+    lines = _checked(lambda: chunks(spark, path, options.get("lineSep", "\n"), {**options, "encoding": encoding}), path)
+
+    def guess(batches):
+        heads: dict[int, list[str]] = {}
+        seen: dict[int, int] = {}
+        for (of, start), values in runs(batches):
+            if start:
+                continue
+            left = values[max(0, skip - seen.get(of, 0)):]
+            seen[of] = seen.get(of, 0) + len(values)
+            head = heads.setdefault(of, [])
+            if len(head) < 20:
+                head += [v for v in left if v.strip()][: 20 - len(head)]
+        for head in heads.values():
+            counts = {sep: [line.count(sep) for line in head] for sep in _SEPARATORS}
+            best = max(_SEPARATORS, key=lambda sep: (min(counts[sep], default=0) == max(counts[sep], default=0) > 0, min(counts[sep], default=0)))
+            if head and min(counts[best]):
+                yield pa.RecordBatch.from_pydict({"sep": [best]})
+
+    found = sorted(r["sep"] for r in lines.mapInArrow(guess, "sep string").distinct().collect())
+    if len(found) > 1:
+        raise ValueError(f"files with different separators: {', '.join(map(repr, found))} in {path!r}")
+    return found[0] if found else ","
 
 
 def _without_first_lines(spark: SparkSession, path, encoding: str, skip: int, header: bool, reader: DataFrameReader, options: dict) -> str:
     """A folder of CSV files with a header: the lines of each file after its first ``skip``.
 
-    Lines are written by the tasks that read them, each piece under the one header, so the CSV reader does the rest. With
-    line breaks in cells (``multiLine``) a file stays whole, as that reader has it. Files must have the same header; without
-    one, the first record of the first file gives the number of columns.
+    Lines are written by the tasks that read them, each piece under the one header, so the CSV reader does the rest. Files must
+    have the same header; without one, the first record of the first file gives the number of columns.
     """
     lines, begins = _numbered(spark, path, encoding, skip, options)
     comment = options.get("comment")
@@ -151,16 +173,10 @@ def _without_first_lines(spark: SparkSession, path, encoding: str, skip: int, he
     tops = _behind(lines, begins).where(filled).groupBy("file").agg(F.min(F.struct("start", "n", "value")).alias("top")).collect() if begins else []
     if not tops:
         raise ValueError(f"no lines left in {path!r} after skipping {skip}")
-    whole = str(options.get("multiLine", "false")).lower() == "true"
     target = f"{shared_folder(spark)}/sparkprep-lines-{uuid.uuid4().hex}"
     separator = {k: v for k, v in options.items() if k == "lineSep"}
     if header and len({r["top"]["value"] for r in tops}) > 1:
         raise ValueError(f"files with different headers: {', '.join(sorted(r['file'] for r in tops))}")
-    if whole:
-        rest = _behind(lines, begins).repartition("file").sortWithinPartitions("file", "start", "n")
-        rest.select("value", F.sha2("file", 256).alias("of")).write.partitionBy("of").options(**separator).text(target)
-        _written.append(target)
-        return f"{target}/*"
     if header:
         first = tops[0]["top"]["value"]
         for r in tops:
@@ -214,9 +230,9 @@ def _with_decimal(df: DataFrame, mark: str) -> DataFrame:
     return df.withColumns(whole) if whole else df
 
 
-def _good_lines(reader: DataFrameReader, source, df: DataFrame, warn: bool) -> DataFrame:
+def _good_lines(reader: DataFrameReader, read, df: DataFrame, warn: bool, source) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    checked = reader.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record").csv(source)
+    checked = read(reader.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record"))
     # A query that needs few columns reads only those and would not notice bad lines by the others. The hash, true for
     # every row, makes every query read all of them, so that a line is bad or not whatever is asked.
     all_read = F.hash(*[c(n) for n in df.columns]) >= F.lit(-(2**31))
@@ -237,7 +253,7 @@ def read_json(
     dtype: bool = True,
 ) -> DataFrame:
     """JSON files: ``lines=True`` for one record per line (splits over tasks), else by orientation: records (a list or
-    one object), columns, index, split, table. The last four are one document per file, read whole by one task.
+    one object), columns, index, split, table. A document is cut into its records or cells in all splits of its file (``splits``).
 
     ``lines=None`` looks at all lines of each file of records: where each line that is not blank begins with ``{`` and ends
     with ``}``, they are records by line, else the file is one document. A folder may hold both kinds. ``dtype=False``
@@ -247,8 +263,9 @@ def read_json(
         raise ValueError(f"unknown JSON orient {orient!r}")
     if lines or orient == "records":
         def read(source, by_line: bool) -> DataFrame:
-            reader = spark.read.option("multiLine", str(not by_line).lower()).option("primitivesAsString", str(not dtype).lower())
-            return (reader.schema(schema) if schema is not None else reader).json(source)
+            reader = spark.read.option("primitivesAsString", str(not dtype).lower())
+            reader = reader.schema(schema) if schema is not None else reader
+            return reader.json(source) if by_line else parsed(reader, json_elements(spark, source, 1, True, {}).select("text"), "json")
 
         if lines is not None:
             return _limited(_checked(lambda: read(path, lines), path), limit)
@@ -260,35 +277,44 @@ def read_json(
         if not parts:
             return _limited(_checked(lambda: read(path, True), path), limit)
         return _limited(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), limit)
-    texts = _checked(lambda: spark.read.text(path, wholetext=True), path)
-    document = texts.select(F.input_file_name().alias("file"), F.parse_json("value").alias("doc"))
-    return _limited(_oriented(document, orient, schema), limit)
+    level = 1 if orient == "index" else 2
+    elements = _checked(lambda: json_elements(spark, path, level, False, {}), path)
+    return _limited(_oriented(elements, orient, schema), limit)
+
+
+_ENTRY = r'(?s)^\s*("[^"\\]*+(?:\\.[^"\\]*+)*+")\s*:(.*)$'  # a key and its value
+
 
+def _oriented(elements: DataFrame, orient: str, schema) -> DataFrame:
+    """Rows of a whole-document layout from its elements: each becomes a JSON object, then columns by the common type of all."""
+    def plain(written: Column) -> Column:
+        """A JSON value as text: strings without quotes, null as null."""
+        return F.try_element_at(F.from_json(F.concat(F.lit("["), written, F.lit("]")), "array<string>"), F.lit(1))
 
-def _oriented(document: DataFrame, orient: str, schema) -> DataFrame:
-    """Rows of a whole-document layout: each becomes a JSON object, then columns by the common type of all of them."""
-    text = document.select("file", F.col("doc").cast("string").alias("doc"))
+    under = elements.withColumn("key", plain(F.col("mark")))
+    key, value = F.regexp_extract("text", _ENTRY, 1), F.regexp_extract("text", _ENTRY, 2)
     if orient == "table":
-        rows = document.select(F.explode(F.variant_get("doc", "$.data", "array<variant>")).alias("row"))
+        rows = under.where("key = 'data'").select(F.parse_json("text").alias("row"))
     elif orient == "index":
-        entries = F.map_entries(F.from_json("doc", "map<string,string>"))
-        rows = text.select(F.explode(entries).alias("e")).select(F.parse_json("e.value").alias("row"))
+        rows = elements.select(F.parse_json(value).alias("row"))
     elif orient == "columns":
-        entries = F.map_entries(F.from_json("doc", "map<string,map<string,string>>"))
-        cells = text.select("file", F.explode(entries).alias("e"))
-        cells = cells.select("file", "e.key", F.explode("e.value").alias("at", "value"))
+        cells = under.select("of", "key", plain(key).alias("at"), plain(value).alias("value"))
         pairs = F.map_from_entries(F.collect_list(F.struct("key", "value")))
-        made = cells.groupBy("file", "at").agg(F.to_json(pairs, {"ignoreNullFields": "false"}).alias("row"))
+        made = cells.groupBy("of", "at").agg(F.to_json(pairs, {"ignoreNullFields": "false"}).alias("row"))
         names = [r[0] for r in cells.select("key").distinct().collect()]
         return _typed_texts(made, sorted(names), schema)
     else:
-        # split: the names are the same for all rows, so they are read once per file.
-        parts = F.from_json("doc", "columns array<string>, data array<array<string>>")
-        split = text.select(parts.alias("p")).select("p.columns", F.explode("p.data").alias("values"))
-        pairs = F.map_from_arrays("columns", "values")
-        made = split.select(F.to_json(pairs, {"ignoreNullFields": "false"}).alias("row"))
-        names = [n for r in split.select("columns").distinct().collect() for n in r[0]]
-        return _typed_texts(made, list(dict.fromkeys(names)), schema)
+        # split: the names stand once in each file and come before or behind its rows.
+        heads = under.where("key = 'columns'").groupBy("of").agg(F.sort_array(F.collect_list(F.struct("start", "n", plain(F.col("text")).alias("name")))).alias("c"))
+        heads = heads.select("of", F.col("c.name").alias("columns"))
+        lists = [r[0] for r in heads.select("columns").distinct().collect()]
+        data = under.where("key = 'data'").select("of", F.from_json("text", "array<string>").alias("values"))
+        if len(lists) == 1:
+            data = data.withColumn("columns", F.array(*[F.lit(n) for n in lists[0]]))
+        else:
+            data = data.join(heads, "of")
+        made = data.select(F.to_json(F.map_from_arrays("columns", "values"), {"ignoreNullFields": "false"}).alias("row"))
+        return _typed_texts(made, list(dict.fromkeys(n for names in lists for n in names)), schema)
     found = rows.agg(F.schema_of_variant_agg("row")).first()[0]
     from sparkprep.operators.json_ops import _ddl
 
@@ -310,19 +336,146 @@ def read_parquet(spark: SparkSession, path: str | list[str], limit: int | None =
     return _limited(_checked(lambda: spark.read.parquet(*as_list(path)), path), limit)
 
 
+_STEP = re.compile(r"""/([^/\[\]@()|]+|\*)((?:\[(?:[^\[\]"']|"[^"]*"|'[^']*')*\])*)""")
+_PREDICATE = re.compile(r"""\[\s*(?:(\d+)|(last\(\))|(@?[\w.:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|(-?[\d.]+)))\s*\]""")
+
+
+def _steps(xpath: str) -> list[tuple[str, list[tuple]]]:
+    """The steps of a path: (element, predicates), a predicate being ("at", n) (-1: the last) or (field, value)."""
+    refused = ValueError(f"xpath {xpath!r} selects more than elements by name, position, attribute or child can: give row_tag and filter the rows")
+    at, out = 0, []
+    while at < len(xpath):
+        step = _STEP.match(xpath, at)
+        if not step or "::" in step[1] or step[1] in (".", ".."):
+            raise refused
+        predicates, rest = [], step[2]
+        while rest:
+            found = _PREDICATE.match(rest)
+            if not found or found[1] == "0":
+                raise refused
+            number, last, field, *values = found.groups()
+            value = next((v for v in values if v is not None), None)
+            predicates.append(("at", int(number) if number else -1) if number or last else (field.replace("@", "_", 1), value))
+            rest = rest[found.end():]
+        out.append((step[1].strip(), predicates))
+        at = step.end()
+    return out
+
+
 def read_xml(
     spark: SparkSession, path: str | list[str], row_tag: str | None = None, xpath: str | None = None, schema=None, limit=None
 ) -> DataFrame:
-    """XML files: one row per element ``row_tag`` (or the last step of ``xpath``)."""
+    """XML files: one row per element ``row_tag``, or per element at ``xpath``.
+
+    A path may be ``name`` or ``//name`` (at any depth, read in parallel like ``row_tag``) or go from the root, ``/data/p/r`` or
+    ``./p/r``, with ``*`` and the predicates ``[2]``, ``[last()]``, ``[@id='x']`` and ``[child='x']`` at its steps. A path from the root
+    reads each file as one row and descends in it; attributes have names with ``_`` in front, bare text is ``_VALUE``.
+    """
+    reader = spark.read
     if xpath and not row_tag:
-        if re.search(r"[\[@(|]|::", xpath):
-            raise ValueError(f"xpath {xpath!r} selects more than an element name can: give row_tag and filter the rows")
-        row_tag = xpath.rstrip("/").split("/")[-1].split(":")[-1].split("[")[0]
+        from_root = re.match(r"\.?/(?!/)", xpath)
+        steps = _steps(xpath[1:] if xpath.startswith(".") else xpath if xpath.startswith("/") and from_root else "/" + xpath.lstrip("/"))
+        if from_root:
+            if xpath.startswith("."):
+                steps = [(_root_tag(spark, path), []), *steps]
+            return _limited(_checked(lambda: _descended(reader, path, steps, schema, xpath), path), limit)
+        if len(steps) > 1 or any(field == "at" for field, _ in steps[0][1]):
+            raise ValueError(f"xpath {xpath!r}: steps and positions need a path from the root; or give row_tag and filter the rows")
+        row_tag = steps[0][0]
+    else:
+        steps = [(row_tag, [])]
     if not row_tag or row_tag == "*":
         raise ValueError("read_xml needs row_tag, or an xpath that ends in an element name")
-    reader = spark.read.option("rowTag", row_tag)
+    reader = reader.option("rowTag", row_tag)
     reader = reader.schema(schema) if schema is not None else reader
-    return _limited(_checked(lambda: reader.xml(path), path), limit)
+    df = _checked(lambda: reader.xml(path), path)
+    for field, value in steps[0][1]:
+        df = df.where(c(field).cast("string") == value) if field in df.columns else df.where("false")
+    return _limited(df, limit)
+
+
+def _root_tag(spark: SparkSession, path) -> str:
+    """The name of the root element, of any one of the files."""
+    tag = F.regexp_extract("value", r"<([A-Za-z_][^\s/>]*)", 1)
+    found = _checked(lambda: spark.read.text(path), path).select(tag.alias("tag")).where("tag <> ''").first()
+    if not found:
+        raise ValueError(f"no element found in {path!r}")
+    return found["tag"]
+
+
+def _descended(reader: DataFrameReader, path, steps: list, schema, xpath: str) -> DataFrame:
+    """Rows of the elements at the end of ``steps``, the first of which is the root."""
+    if schema is not None:
+        kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        for (name, _), (_, above) in zip(steps[:0:-1], steps[-2::-1]):
+            inner = T.StructField(name, T.ArrayType(_with_fields(kind, steps, name)))
+            kind = T.StructType([inner, *[T.StructField(f, T.StringType()) for f, _ in above if f != "at"]])
+        reader = reader.schema(kind)
+    root, predicates = steps[0]
+    if root == "*":
+        raise ValueError(f"xpath {xpath!r}: the root needs its name (or a path that begins with ./)")
+    df = reader.option("rowTag", root).xml(path)
+    df = df.select(F.struct(*[c(n) for n in df.columns]).alias("e"))
+    frames = [_kept(df, predicates)]
+    for name, predicates in steps[1:]:
+        frames = [below for frame in frames for below in _children(frame, name, predicates)]
+    if not frames:
+        raise ValueError(f"no element at {xpath!r} in {path!r}")
+    rows = [f.select("e.*") if isinstance(f.schema["e"].dataType, T.StructType) else f.select(F.col("e").alias("_VALUE")) for f in frames]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+
+
+def _with_fields(kind: T.StructType, steps: list, name: str) -> T.StructType:
+    """``kind`` with the fields that the predicates of the last step look at."""
+    wanted = [f for f, _ in steps[-1][1] if f != "at" and f not in kind.names] if steps[-1][0] == name else []
+    return T.StructType([*kind.fields, *[T.StructField(f, T.StringType()) for f in wanted]])
+
+
+def _test(element: Column, *, kind: T.DataType, field: str, value: str) -> Column:
+    if not isinstance(kind, T.StructType) or field not in kind.names:
+        return F.lit(False)
+    inner = kind[field].dataType
+    found = element.getField(field)
+    if isinstance(inner, T.ArrayType):
+        return F.coalesce(F.array_contains(F.transform(found, lambda x: x.cast("string")), value), F.lit(False))
+    if isinstance(inner, T.StructType):
+        found = found.getField("_VALUE") if "_VALUE" in inner.names else F.lit(None)
+    return F.coalesce(found.cast("string") == value, F.lit(False))
+
+
+def _tester(kind: T.DataType, field: str, value: str):
+    return lambda element: _test(element, kind=kind, field=field, value=value)
+
+
+def _kept(df: DataFrame, predicates: list) -> DataFrame:
+    for field, value in predicates:
+        if field != "at":
+            df = df.where(_test(F.col("e"), kind=df.schema["e"].dataType, field=field, value=value))
+        elif value not in (1, -1):  # a document has one root
+            df = df.where("false")
+    return df
+
+
+def _children(df: DataFrame, name: str, predicates: list) -> list[DataFrame]:
+    """The child elements with that name (``*``: each kind of child in a table of its own), predicates applied in order."""
+    kind = df.schema["e"].dataType
+    if not isinstance(kind, T.StructType):
+        return []
+    names = [n for n in kind.names if not n.startswith("_")] if name == "*" else [name] if name in kind.names else []
+    if name == "*" and any(f == "at" for f, _ in predicates) and len(names) > 1:
+        raise ValueError("a position among children of several kinds is lost when XML is read: name the element")
+    out = []
+    for n in names:
+        inner, found = kind[n].dataType, F.col("e").getField(n)
+        if not isinstance(inner, T.ArrayType):
+            found, inner = F.filter(F.array(found), lambda x: x.isNotNull()), T.ArrayType(inner)
+        for field, value in predicates:
+            if field == "at":
+                found = F.slice(found, value, 1)
+            else:
+                found = F.filter(found, _tester(inner.elementType, field, value))
+        out.append(df.select(F.explode(found).alias("e")))
+    return out
 
 
 _READERS = {"csv": read_csv, "tsv": read_csv, "txt": read_csv, "json": read_json, "parquet": read_parquet, "xml": read_xml}

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkprep._columns import NUMERIC, as_list, c, require
 
@@ -48,9 +52,86 @@ def write_csv(
     writer.options(**options).csv(path)
 
 
-def write_json(df: DataFrame, path: str, mode: str = "write", **options) -> None:
-    """A folder of JSON files with one record per line. Null fields are written, so that all columns come back."""
-    df.write.mode(_mode(mode)).options(**{"ignoreNullFields": "false"} | options).json(path)
+def write_json(df: DataFrame, path: str, mode: str = "write", orient: str | None = None, index: str | None = None, **options) -> None:
+    """A folder of JSON files. Null fields are written, so that all columns come back.
+
+    By default one record stands on each line. With ``orient`` (records, columns, index, split, table) each part is one whole
+    document of that layout, and all parts list the same columns; ``read_json(..., orient, lines=False)`` reads them back. ``index``
+    names the column with the row labels of columns, index and split; without it rows are labelled by numbers that no two
+    parts share (split: by none). ``columns`` turns a part around in memory, so keep its parts at a task's size.
+    """
+    if orient is not None and not df.columns:
+        raise ValueError("a JSON document needs columns")
+    if orient is None:
+        df.write.mode(_mode(mode)).options(**{"ignoreNullFields": "false"} | options).json(path)
+        return
+    if orient not in ("records", "columns", "index", "split", "table"):
+        raise ValueError(f"unknown JSON orient {orient!r}")
+    if index is not None:
+        require(df, [index], "index column")
+    names = [n for n in df.columns if n != index or orient in ("records", "table")]
+    label = c(index).cast("string") if index else F.monotonically_increasing_id().cast("string")
+    cells = {"columns": [_json_text(c(n)) for n in names], "split": [F.concat(F.lit("["), F.concat_ws(",", *[_json_text(c(n)) for n in names]), F.lit("]"))]}
+    whole = [F.to_json(F.struct(*[c(n) for n in names]), {"ignoreNullFields": "false"})]
+    texts = df.select(_json_text(F.coalesce(label, F.lit("null"))).alias("label"), *[x.alias(f"v{i}") for i, x in enumerate(cells.get(orient, whole))])
+    heads = {
+        "records": ("[", "]"), "index": ("{", "}"), "columns": ("{", "}"), "split": (f'{{"columns":{json.dumps(names)},"data":[', "]"),
+        "table": (f'{{"schema":{{"fields":{json.dumps([{"name": f.name, "type": _json_kind(f.dataType)} for f in df.schema.fields])}}},"data":[', "]}"),
+    }
+    begin, end = heads[orient]
+    with_labels = index is not None
+
+    def lines(texts: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"value": texts}, schema=pa.schema([("value", pa.string())]))
+
+    def document(batches):
+        first, labels, columns = True, [], [[] for _ in names]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if orient == "columns":
+                for kept, values in zip(columns, b.columns[1:]):
+                    kept.append(pc.binary_join_element_wise(b.column(0), values, ":"))
+                continue
+            rows = pc.binary_join_element_wise(b.column(0), b.column(1), ":") if orient == "index" else b.column(1)
+            if orient == "split" and with_labels:
+                labels.append(b.column(0))
+            rows = rows.to_pylist()
+            yield lines([(begin if first and not i else ",") + text for i, text in enumerate(rows)])
+            first = False
+        if orient == "columns" and columns and columns[0]:
+            for i, (name, kept) in enumerate(zip(names, columns)):
+                yield lines([(begin if not i else ",") + json.dumps(name) + ":{"])
+                for j, values in enumerate(kept):
+                    yield lines([("," if j or k else "") + text for k, text in enumerate(values.to_pylist())])
+                yield lines(["}"])
+            yield lines([end])
+        if first:
+            return
+        if orient == "split":
+            tail = ["}"] if not with_labels else [',"index":[', ",".join(x for part in labels for x in part.to_pylist()), "]}"]
+            yield lines(["]" + tail[0], *tail[1:]])
+        else:
+            yield lines([end])
+
+    lines_of = texts.mapInArrow(document, "value string")
+    if df.isEmpty():  # one document without rows
+        empty = {"columns": begin + ",".join(f"{json.dumps(n)}:{{}}" for n in names) + end, "split": begin + "]}"}.get(orient, begin + end)
+        lines_of = df.sparkSession.createDataFrame([(empty,)], "value string").coalesce(1)
+    lines_of.write.mode(_mode(mode)).options(**options).text(path)
+
+
+def _json_text(value: Column) -> Column:
+    """A value as it is written in JSON."""
+    text = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+    return F.substring(text, F.lit(6), F.length(text) - 6)
+
+
+def _json_kind(kind: T.DataType) -> str:
+    """The name of a type in the schema of a ``table`` document."""
+    names = {T.BooleanType: "boolean", T.DateType: "datetime", T.TimestampType: "datetime", T.TimestampNTZType: "datetime"}
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    return names.get(type(kind)) or ("integer" if isinstance(kind, whole) else "number" if isinstance(kind, NUMERIC) else "string")
 
 
 def write_parquet(df: DataFrame, path: str, compression: str = "snappy", mode: str = "write", partition_by=None) -> None:
