@@ -136,15 +136,15 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, shingle: int = SH
 
 def _stars(docs: DataFrame, text_col: str, counters: np.ndarray, total: int, shingle: int, percent: int) -> DataFrame:
     """(group, member, center, more, near): classes that share an element of their prefixes, each with the least class of the
-    group, and with further centers where ``more``. ``near``: the two sizes are in one band; pairs with further centers are
-    given only then."""
+    group, and with further centers where ``more``. ``near``: sizes and the element's places in both orders leave a link
+    possible; pairs with further centers are given only then."""
     buckets = max(1, -(-total // BUCKET))
     shared = docs.sparkSession.sparkContext.broadcast(counters)  # SLOTS numbers
 
     def pack(batches):
         order_of = shared.value
         for b in batches:
-            held, keys, whole, seen = [], [], [], set()
+            held, keys, whole, places, seen = [], [], [], [], set()
             for _, offsets, hashes in shingle_sets(b.column(0), shingle):
                 rare = order_of[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)]
                 for i in range(len(offsets) - 1):
@@ -159,6 +159,7 @@ def _stars(docs: DataFrame, text_col: str, counters: np.ndarray, total: int, shi
                     keys.append(key)
                     whole.append(len(own))
                     held.append(own[take])
+                    places.append(np.minimum(np.arange(len(take)) * 1000 // len(own), 255).astype(np.uint8))
             if not keys:
                 continue
             sizes = [len(h) for h in held]
@@ -167,20 +168,20 @@ def _stars(docs: DataFrame, text_col: str, counters: np.ndarray, total: int, shi
             bucket = ((all_ >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            names, whole = np.array(keys, np.int64), np.array(whole, np.int64)
-            out = ([], [], [], [], [])
+            names, whole, places = np.array(keys, np.int64), np.array(whole, np.int64), np.concatenate(places)
+            out = ([], [], [], [], [], [])
             for k in np.flatnonzero(np.diff(cuts)):
                 at = order[cuts[k] : cuts[k + 1]]
                 some, local = np.unique(who[at], return_inverse=True)
-                for column, x in zip(out, (k, (all_[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), local.astype(np.uint32 if len(some) > 65_535 else np.uint16).tobytes(), names[some].tobytes(), whole[some].tobytes())):
+                for column, x in zip(out, (k, (all_[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), local.astype(np.uint32 if len(some) > 65_535 else np.uint16).tobytes(), names[some].tobytes(), whole[some].tobytes(), places[at].tobytes())):
                     column.append(x)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), *[pa.array(x, pa.binary()) for x in out[1:]]], ["bucket", "hashes", "local", "keys", "sizes"])
+                [pa.array(out[0], pa.int64()), *[pa.array(x, pa.binary()) for x in out[1:]]], ["bucket", "hashes", "local", "keys", "sizes", "places"])
 
     def stars(batches):
         bucket, held = None, []
         for b in batches:
-            for row in zip(b.column(0).to_pylist(), *[b.column(c) for c in range(1, 5)]):
+            for row in zip(b.column(0).to_pylist(), *[b.column(c) for c in range(1, 6)]):
                 if row[0] != bucket:
                     if held:
                         yield from _group(bucket, held, percent)
@@ -188,28 +189,33 @@ def _stars(docs: DataFrame, text_col: str, counters: np.ndarray, total: int, shi
                 hashes = np.frombuffer(row[1].as_buffer(), np.uint32)
                 keys = np.frombuffer(row[3].as_buffer(), np.int64)
                 local = np.frombuffer(row[2].as_buffer(), np.uint32 if len(keys) > 65_535 else np.uint16)
-                held.append((hashes, keys[local], np.frombuffer(row[4].as_buffer(), np.int64)[local]))
+                held.append((hashes, keys[local], np.frombuffer(row[4].as_buffer(), np.int64)[local], np.frombuffer(row[5].as_buffer(), np.uint8)))
         if held:
             yield from _group(bucket, held, percent)
 
-    packed = docs.select(F.col(text_col).cast("string")).mapInArrow(pack, "bucket long, hashes binary, local binary, keys binary, sizes binary")
+    packed = docs.select(F.col(text_col).cast("string")).mapInArrow(pack, "bucket long, hashes binary, local binary, keys binary, sizes binary, places binary")
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(stars, "group long, member long, center long, more boolean, near boolean")
 
 
 def _group(bucket: int, held, percent: int):
-    hashes, keys, n = (np.concatenate(x) for x in zip(*held))
+    hashes, keys, n, place = (np.concatenate(x) for x in zip(*held))
     order = np.lexsort((keys, hashes))
-    hashes, keys, n = hashes[order], keys[order], n[order]
+    hashes, keys, n, place = hashes[order], keys[order], n[order], place[order].astype(np.int64)
     start = np.concatenate(([True], hashes[1:] != hashes[:-1]))
     # Copies in other batches have the same key; each class is a member once.
     once = start | np.concatenate(([True], keys[1:] != keys[:-1]))
-    hashes, keys, n, start = hashes[once], keys[once], n[once], start[once]
+    hashes, keys, n, place, start = hashes[once], keys[once], n[once], place[once], start[once]
+    # Elements of a set before and behind this one, at most: the place is known to a thousandth of the set.
+    before = np.where(place == 255, n - 1, ((place + 1) * n - 1) // 1000)
+    behind = n - 1 - -(-place * n // 1000)
     begin = np.flatnonzero(start)[np.cumsum(start) - 1]
     size = np.diff(np.append(np.flatnonzero(start), len(keys)))[np.cumsum(start) - 1]
     for k, share in enumerate(CENTERS):
         at = begin + ((size - 1) * share).astype(np.int64)
         center = keys[at]
-        near = 100 * np.minimum(n, n[at]) >= percent * np.maximum(n, n[at])
+        # Both sets are in one order, so what they share lies before this element in both, or behind it in both.
+        near = _enough(np.minimum(before, before[at]) + 1 + np.minimum(behind, behind[at]), n, n[at], percent)
+        near &= 100 * np.minimum(n, n[at]) >= percent * np.maximum(n, n[at])
         mine = (keys != center) & ((size > 2) & (keys != keys[begin]) & near if k else size > 1)
         group = (np.int64(bucket) << np.int64(32)) | hashes[mine].astype(np.int64)
         for i in range(0, len(group), 100_000):
