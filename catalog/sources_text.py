@@ -455,3 +455,12 @@ def html_to_markdown(t):
 def request_payloads(t):
     made = sp.record_payload(t.orders, '{"key":{{o_orderkey}},"priority":"{{o_orderpriority}}"}')
     return made.select("o_orderkey", "payload")
+
+
+@query("select o_orderkey, o_orderpriority, true as full_lists from orders")
+def payload_lists(t):
+    """Bodies of up to 100 records each; every order is in one of them."""
+    lists = sp.record_payload(t.orders, '{"key": {{o_orderkey}}, "priority": "{{o_orderpriority}}"}', size=100)
+    records = F.explode(F.from_json("payload", "array<struct<key: bigint, priority: string>>")).alias("r")
+    read = lists.select("records", (F.col("records") <= 100).alias("full_lists"), records)
+    return read.select(F.col("r.key").alias("o_orderkey"), F.col("r.priority").alias("o_orderpriority"), "full_lists")

@@ -77,15 +77,17 @@ def hierarchy_paths(
         joined = growing.join(above, F.col("at") == F.col("_from"))
         # Where the upper piece first meets a node of the lower one, the path ends with that node.
         meets = F.get(F.array_compact(F.transform("_seen", lambda x, i: F.when(F.array_contains("seen", x), i))), F.lit(0))
-        joined = joined.withColumn("_meets", meets)
+        joined = joined.withColumn("_meets", F.when(F.arrays_overlap("seen", "_seen"), meets))
         kept = F.coalesce("_meets", F.size("_seen"))
         closed = F.col("_meets").isNotNull()
         grown = joined.select(
             "node", F.concat("seen", F.slice("_seen", F.lit(1), kept)).alias("seen"), F.when(~closed, F.col("_at")).alias("at"),
             F.when(closed, F.get("_seen", F.col("_meets"))).otherwise(F.col("_loop")).alias("loop"),
-            *[F.concat(F.col(t), F.slice(F.col(f"_{t}"), F.lit(1), kept)).alias(t) for t in totals])
+            *[F.concat(F.col(t), F.slice(F.col(f"_{t}"), F.lit(1), kept)).alias(t) for t in totals], closed.alias("_closed"))
+        pieces = cut(grown, "paths")
         # Upper pieces that part only behind the meeting make one path.
-        pieces = cut(grown.dropDuplicates(["node", "seen", "at", "loop"]), "paths")
+        met = pieces.where("_closed").dropDuplicates(["node", "seen", "loop"])
+        pieces = pieces.where("not _closed").unionByName(met).drop("_closed")
         finished.append(pieces.where("at is null"))
         growing = pieces.where("at is not null")
         if not growing.isEmpty():

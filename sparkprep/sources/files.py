@@ -9,6 +9,7 @@ import warnings
 from collections.abc import Iterable
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
@@ -107,7 +108,8 @@ def read_csv(
 
 
 def _numbered(spark: SparkSession, path, encoding: str, skip: int, options: dict) -> tuple[DataFrame, dict]:
-    """Lines (value, file, start, n), and for each split (file, start) the first ``n`` behind the file's first ``skip`` lines.
+    """Lines (value, file, start, n), and for each split (file, start) the first ``n`` behind the file's first ``skip`` lines
+    (null where these are all of its lines).
 
     ``n`` counts on from line to line in a split of a file. One row per split comes to the driver.
     """
@@ -121,7 +123,7 @@ def _numbered(spark: SparkSession, path, encoding: str, skip: int, options: dict
         if r["high"] - r["low"] + 1 != r["count"]:
             raise ValueError(f"{r['file']} is named more than once")
         todo = left.get(r["file"], skip)
-        begins[r["file"], r["start"]] = r["low"] + min(todo, r["count"])
+        begins[r["file"], r["start"]] = r["low"] + todo if todo < r["count"] else None
         left[r["file"]] = max(0, todo - r["count"])
     return lines, begins
 
@@ -132,29 +134,47 @@ def _behind(lines: DataFrame, begins: dict) -> DataFrame:
     return lines.join(F.broadcast(table), ["file", "start"]).where("n >= begin")
 
 
+def _splits_evenly(head: list[str]) -> str | None:
+    """The separator that splits some lines most evenly, if any does."""
+    def score(sep: str) -> tuple[bool, int]:
+        counts = [line.count(sep) for line in head]
+        return (min(counts) == max(counts) and counts[0] > 0, min(counts))
+
+    best = max(_SEPARATORS, key=score) if head else None
+    return best if best and score(best)[1] else None
+
+
 def _guess_separator(spark: SparkSession, path, encoding: str, skip: int, options: dict) -> str:
-    """The separator of the files' first 20 lines that are not blank; each file gives its own guess, and one row per guess comes
-    to the driver."""
-    lines = _checked(lambda: chunks(spark, path, options.get("lineSep", "\n"), {**options, "encoding": encoding}), path)
-
-    def guess(batches):
-        heads: dict[int, list[str]] = {}
-        seen: dict[int, int] = {}
-        for (of, start), values in runs(batches):
-            if start:
-                continue
-            left = values[max(0, skip - seen.get(of, 0)):]
-            seen[of] = seen.get(of, 0) + len(values)
-            head = heads.setdefault(of, [])
-            if len(head) < 20:
-                head += [v for v in left if v.strip()][: 20 - len(head)]
-        for head in heads.values():
-            counts = {sep: [line.count(sep) for line in head] for sep in _SEPARATORS}
-            best = max(_SEPARATORS, key=lambda sep: (min(counts[sep], default=0) == max(counts[sep], default=0) > 0, min(counts[sep], default=0)))
-            if head and min(counts[best]):
-                yield pa.RecordBatch.from_pydict({"sep": [best]})
-
-    found = sorted(r["sep"] for r in lines.mapInArrow(guess, "sep string").distinct().collect())
+    """The separator by the first lines, up to 20 that are not blank, of each file's first split; behind lines to skip, of the
+    first splits with lines left. Each file gives its own guess, and one row per guess comes to the driver."""
+    if skip:
+        lines, begins = _numbered(spark, path, encoding, skip, options)
+        tops: dict[str, list] = {}
+        for (file, start), n in sorted((k, n) for k, n in begins.items() if n is not None):
+            tops.setdefault(file, []).append((start, n))
+        if not tops:
+            return ","
+        near = _behind(lines, {(f, start): n for f, kept in tops.items() for start, n in kept[:50]}).where(F.trim("value") != "")
+
+        def look(lines_of_file: pd.DataFrame) -> pd.DataFrame:
+            sep = _splits_evenly(lines_of_file.sort_values(["start", "n"]).value.tolist()[:20])
+            return pd.DataFrame({"sep": [sep] if sep else []}, dtype=object)
+
+        guesses = near.where(F.col("n") < F.col("begin") + 40).groupBy("file").applyInPandas(look, "sep string")
+    else:
+        lines = _checked(lambda: chunks(spark, path, options.get("lineSep", "\n"), {**options, "encoding": encoding}), path)
+
+        def guess(batches):
+            heads: dict[int, list[str]] = {}
+            for (of, start), values in runs(batches):
+                head = heads.setdefault(of, []) if not start else [""] * 20
+                if len(head) < 20:
+                    head += [v for v in values if v.strip()][: 20 - len(head)]
+            for sep in filter(None, map(_splits_evenly, heads.values())):
+                yield pa.RecordBatch.from_pydict({"sep": [sep]})
+
+        guesses = lines.mapInArrow(guess, "sep string")
+    found = sorted(r["sep"] for r in guesses.distinct().collect())
     if len(found) > 1:
         raise ValueError(f"files with different separators: {', '.join(map(repr, found))} in {path!r}")
     return found[0] if found else ","

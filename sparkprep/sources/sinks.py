@@ -156,19 +156,37 @@ def write_file(df: DataFrame, path: str, fmt: str, **options) -> None:
     _WRITERS[fmt](df, path, **options)
 
 
-def record_payload(df: DataFrame, template: str | None = None, columns: Iterable[str] | None = None, name: str = "payload") -> DataFrame:
-    """One request body per row: a template with ``{{column}}`` places, or the row as JSON."""
+def record_payload(
+    df: DataFrame, template: str | None = None, columns: Iterable[str] | None = None, name: str = "payload", size: int | None = None
+) -> DataFrame:
+    """Request bodies: one per row, as an added column, from a template with ``{{column}}`` places or the row as JSON.
+
+    With ``size`` a body is a JSON list of up to that many records instead, and the result has only ``name`` and ``records``, their
+    number; a list holds rows of one task, so the last one of each is shorter. A whole table in one body is one cell, so it is
+    left to a ``size`` at which that fits.
+    """
     if template is None:
         row = F.struct(*[c(n) for n in require(df, columns) or df.columns])
-        return df.withColumn(name, F.to_json(row, {"ignoreNullFields": "false"}))
-    parts = []
-    for i, piece in enumerate(re.split(r"\{\{(\w+)\}\}", template)):
-        if i % 2:
-            require(df, [piece])
-            parts.append(F.coalesce(c(piece).cast("string"), F.lit("")))
-        elif piece:
-            parts.append(F.lit(piece))
-    return df.withColumn(name, F.concat(*parts))
+        body = F.to_json(row, {"ignoreNullFields": "false"})
+    else:
+        parts = []
+        for i, piece in enumerate(re.split(r"\{\{(\w+)\}\}", template)):
+            if i % 2:
+                require(df, [piece])
+                parts.append(F.coalesce(c(piece).cast("string"), F.lit("")))
+            elif piece:
+                parts.append(F.lit(piece))
+        body = F.concat(*parts)
+    if size is None:
+        return df.withColumn(name, body)
+    if size < 1:
+        raise ValueError("size must be at least 1")
+    # The number of a row in its task stands in the low 33 bits.
+    seat = F.monotonically_increasing_id()
+    placed = df.select(body.alias("_body"), seat.alias("_seat"))
+    task, within = F.shiftright("_seat", 33), F.floor(F.col("_seat").bitwiseAND(F.lit((1 << 33) - 1)) / size)
+    lists = placed.groupBy(task.alias("_task"), within.alias("_list")).agg(F.sort_array(F.collect_list(F.struct("_seat", "_body"))).alias("_all"))
+    return lists.select(F.concat(F.lit("["), F.array_join("_all._body", ","), F.lit("]")).alias(name), F.size("_all").alias("records"))
 
 
 def deliver(df: DataFrame, send: Callable[[Iterable[Row]], None]) -> None:

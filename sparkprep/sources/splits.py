@@ -178,7 +178,7 @@ def csv_records(spark: SparkSession, path, separator: str, quote: str, escape: s
                 self.ends[i] = state
 
         def said(self):
-            return "".join("1" if x else "0" for x in self.ends)
+            return "".join("1" if x else "0" for x in self.ends) + "!" * (self.key[1] == 0 and self.seen < skip)
 
     class Cutter:
         def __init__(self, key, state):
@@ -214,7 +214,9 @@ def csv_records(spark: SparkSession, path, separator: str, quote: str, escape: s
             return [(TAIL if self.begun else HEAD, self.mark(text) if self.begun and self.fresh else None, text)]
 
     parts = chunks(spark, path, "\n", options)
-    states = begin_states(parts, Summary, lambda state, said: said[int(state)], "0")
+    states = begin_states(parts, Summary, lambda state, said: "!" if "!" in state + said else said[int(state)], "0")
+    if "!" in states.values():
+        raise ValueError(f"{skip} lines to skip reach beyond the first split of a file: raise spark.sql.files.maxPartitionBytes")
     return cut_records(parts, states, Cutter, "\n")
 
 
