@@ -26,21 +26,24 @@ PATTERNS = {
     "Percentage": r"(\b\d{1,3}(\.\d{1,2})?%\b)",
     "JSON String": r'("([^"\\]*(\\.[^"\\]*)*))',
     "ISBN": r"(\b\d{3}-\d{10}\b)",
+    # October is a month here, and MM.DD.YYYY has a year of four digits.
+    "Date (YYYY-MM-DD)": r"(^(?:\d{4})[-](?:0[1-9]|1[0-2])[-](?:0[1-9]|[12][0-9]|3[01])$)",
+    "Date (YYYY/MM/DD)": r"(^(?:\d{4})[/](?:0[1-9]|1[0-2])[/](?:0[1-9]|[12][0-9]|3[01])$)",
+    "Date (YYYY.MM.DD)": r"(^(?:\d{4})[.](?:0[1-9]|1[0-2])[.](?:0[1-9]|[12][0-9]|3[01])$)",
+    "Date (DD/MM/YYYY)": r"(^(?:0[1-9]|[12][0-9]|3[01])[/](?:0[1-9]|1[0-2])[/](?:\d{4})$)",
+    "Date (DD-MM-YYYY)": r"(^(?:0[1-9]|[12][0-9]|3[01])[-](?:0[1-9]|1[0-2])[-](?:\d{4})$)",
+    "Date (DD.MM.YYYY)": r"(^(?:0[1-9]|[12][0-9]|3[01])[.](?:0[1-9]|1[0-2])[.](?:\d{4})$)",
+    "Date (DD/MM/YY)": r"(^(?:0[1-9]|[12][0-9]|3[01])[/](?:0[1-9]|1[0-2])[/](?:\d{2})$)",
+    "Date (DD-MM-YY)": r"(^(?:0[1-9]|[12][0-9]|3[01])[-](?:0[1-9]|1[0-2])[-](?:\d{2})$)",
+    "Date (DD.MM.YY)": r"(^(?:0[1-9]|[12][0-9]|3[01])[.](?:0[1-9]|1[0-2])[.](?:\d{2})$)",
+    "Date (MM/DD/YYYY)": r"(^(?:0[1-9]|1[0-2])[/](?:0[1-9]|[12][0-9]|3[01])[/](?:\d{4})$)",
+    "Date (MM-DD-YYYY)": r"(^(?:0[1-9]|1[0-2])[-](?:0[1-9]|[12][0-9]|3[01])[-](?:\d{4})$)",
+    "Date (MM.DD.YYYY)": r"(^(?:0[1-9]|1[0-2])[.](?:0[1-9]|[12][0-9]|3[01])[.](?:\d{4})$)",
+    "Date (MM/DD/YY)": r"(^(?:0[1-9]|1[0-2])[/](?:0[1-9]|[12][0-9]|3[01])[/](?:\d{2})$)",
+    "Date (MM-DD-YY)": r"(^(?:0[1-9]|1[0-2])[-](?:0[1-9]|[12][0-9]|3[01])[-](?:\d{2})$)",
+    "Date (MM.DD.YY)": r"(^(?:0[1-9]|1[0-2])[.](?:0[1-9]|[12][0-9]|3[01])[.](?:\d{2})$)",
 }
 
-
-def _date_patterns() -> dict[str, str]:
-    """The date patterns follow from the order of the parts and the mark between them."""
-    parts = {"YYYY": r"(?:\d{4})", "YY": r"(?:\d{2})", "MM": "(?:0[1-9]|1[0-2])", "DD": "(?:0[1-9]|[12][0-9]|3[01])"}
-    made = {}
-    for order in (("YYYY", "MM", "DD"), ("DD", "MM", "YYYY"), ("DD", "MM", "YY"), ("MM", "DD", "YYYY"), ("MM", "DD", "YY")):
-        for mark in "-/.":
-            made[f"Date ({mark.join(order)})"] = "(^" + f"[{mark}]".join(parts[p] for p in order) + "$)"
-    return made
-
-
-PATTERNS |= _date_patterns()
-
 # The date formats on offer, in strptime notation.
 DATE_FORMATS = [
     "%A, %B %d, %Y", "%d-%m-%Y", "%d/%m/%Y", "%Y-%m-%d", "%Y/%m/%d", "%B %d, %Y", "%m/%d/%Y", "%m-%d-%Y", "%d %b %Y",
