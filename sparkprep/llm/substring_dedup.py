@@ -1,15 +1,13 @@
-"""Remove word sequences that also stand elsewhere, with suffix trees over groups of suffixes that share a prefix.
-
-Which suffixes: a window of ``window`` words holds one anchor, the run of ``ANCHOR`` words with the least hash. Equal
-windows have their anchor at the same place, so a window can only be repeated if the words of its anchor are. The windows
-that share an anchor are consecutive suffixes of one text and travel together, as one row with their words.
-
-Prefix groups of variable length: first by the words of the anchor. An anchor that stands once in all texts leads to no
-deep node and is left out. Groups of at most ``group_rows`` rows are gathered in memory-sized batches, and one tree is
-built for each batch by prefix doubling: names of depth 1, 2, 4, ... are the tree's nodes, and a node ``window`` words
-deep with two leaves or more is (part of) a repeat; runs of such suffixes are the maximal repeats. Larger groups get a
-longer prefix, the whole window: their suffixes are counted by a 128-bit hash of these words, with map-side sums, so no
-task ever holds such a group. Both ways give the same result.
+"""Remove word sequences that also stand elsewhere, by counting windows that share an anchor.
+
+A window of ``window`` words holds one anchor, the run of ``ANCHOR`` words with the least hash. Equal windows have their
+anchor at the same place, so a window can only be repeated if the words of its anchor are. The windows that share an anchor
+are consecutive in one text and travel together, as one row with their words; anchors that stand once are left out.
+
+Groups of at most ``group_rows`` rows are gathered in memory-sized batches, where prefix doubling gives equal runs of 1, 2,
+4, ... and at last ``window`` words equal numbers, which are counted. There is no tree: no inner nodes, and no repeats by
+length beyond the window. The windows of larger groups are counted by a 128-bit hash of their words, with map-side sums, so
+that no task holds such a group. Both ways give the same result.
 """
 
 from __future__ import annotations
