@@ -2,6 +2,10 @@
 
 ``run`` applies the stages one after the other; each one's rows are written as Parquet in the shared folder and read again
 as the next one's documents. All but the last return the columns of the documents they were given.
+
+What holds for every stage: an empty table gives no rows; equal rows and equal or null ids are rows of their own (near copies
+keep one of equal texts with words); columns other than those named travel in a struct or not at all, so their names cannot
+clash; very long texts are handled whole. The stages need ``doc_id``, ``text`` and ``source``.
 """
 
 from __future__ import annotations
@@ -23,29 +27,39 @@ VOCABULARY = None  # the path of a SentencePiece model; by default the public on
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below ``TOXIC``, by a model learned from the labels and these documents."""
+    """Documents that score below ``TOXIC``, by a model learned from the labels and these documents.
+
+    A null text is scored as an empty one; neither holds a toxic word, so both stay unless the model is above the limit
+    without any.
+    """
     model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_toxicity(docs, model).where(F.col("score") < TOXIC).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity of 0.75 or more): the one with the smallest id."""
+    """One document of each group of near copies (five words, similarity of 0.75 or more): the one with the smallest id.
+
+    Null ids come last. Texts without words are near nothing: all of them stay, null ones too.
+    """
     return keep_one_per_class(docs, percent=75, shingle=5)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind; ``n_chars`` follows the text."""
+    """All documents, with personal data replaced by its kind; ``n_chars`` follows the text. A null text stays null."""
     redacted = redact(docs)
     return redacted.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in redacted.columns else redacted
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, and those of smaller sources up to ``MAX_REPEATS`` times, as the flattest temperature allows."""
+    """Every document once, and those of smaller sources up to ``MAX_REPEATS`` times, as the flattest temperature allows.
+
+    A null source is a source of its own, and one without words takes no part in the weights.
+    """
     return mix_sources(docs, max_repeats=MAX_REPEATS).select("row.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document, its id and its source."""
+    """The token ids of every document, its id and its source; null and empty texts have none."""
     path = VOCABULARY
     if path is None:
         import public_tokenizers
