@@ -11,7 +11,9 @@ all texts fall into a bounded number of cells (at most ``6 * 5 * 4 * 4 * 4 * 2 *
 Spark counts labels per cell in one aggregation, and gradient boosting works on the cells' counts. The finished trees are
 CASE expressions, evaluated inside each row: no candidate is shuffled and no row is matched by its id.
 
-Patterns are written so that no regular expression repeats a group: such loops overflow the stack on very long matches.
+Patterns are written so that no regular expression repeats a group: such loops overflow the stack on very long matches. Long
+texts are looked at in segments that end where no pattern can go on, with the characters before them as context, so that
+the time grows with the length of a text and the matches come out as from the whole.
 """
 
 from __future__ import annotations
@@ -35,6 +37,11 @@ _CUE_SECRET = r"(?i)(token|secret|passw|api.?key|bearer)"
 _CUE_NUMBER = r"(?i)(phone|tel[.: ]|fax|call|mobile)"
 _FEATURES = ["kind", "length", "digits", "left", "right", "assigned", "check"]
 
+SEGMENT = 4000  # characters, at least, but for the last one
+_BEFORE = 24
+# A segment ends behind a character that no pattern holds, or behind a blank that is not amid digits and their marks.
+_CUT = rf"(?s).{{{SEGMENT},}}?(?:[^A-Za-z0-9._%+()/=@ -]|(?<![0-9 ().-]) | (?![0-9 ().-]))|.+"
+
 CANDIDATE = "array<struct<kind:int,start:int,end:int,match:string>>"
 
 
@@ -79,9 +86,19 @@ def _check(x: Column) -> Column:
     )
 
 
-def candidates(text: Column) -> Column:
-    """All candidates of one text, by kind and then place. Null text: none."""
+def _segments(text: Column) -> Column:
+    """A text as array of struct(at, lead, text): where each segment begins, what stands before it, and the segment."""
     text = F.coalesce(text.cast("string"), F.lit(""))
+    pieces = F.when(F.length(text) <= SEGMENT, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(_CUT), F.lit(0)))
+    begins = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
+    leads = F.concat(F.array(F.lit("")), F.transform(pieces, lambda p: F.substring(p, -_BEFORE, _BEFORE)))
+    placed = F.zip_with(begins, leads, lambda at, lead: F.struct(at.alias("at"), lead.alias("lead")))
+    joined = F.zip_with(placed, pieces, lambda x, p: F.struct(x["at"].alias("at"), x["lead"].alias("lead"), p.alias("text")))
+    return F.filter(joined, lambda x: x["text"].isNotNull())  # the last begin has no segment
+
+
+def _candidates(text: Column) -> Column:
+    """All candidates of one segment, by kind and then place."""
     digit, dotted, tight = text.rlike("[0-9]"), F.regexp_replace(text, _LOOSE_DOT, "%"), F.regexp_replace(text, _LOOSE_GAP, "x")
     return F.concat(
         F.when(F.contains(text, F.lit("@")), _spans(1, dotted, _EMAIL, text)).otherwise(_none()),
@@ -100,16 +117,17 @@ def _side(char: Column) -> Column:
     return F.when((char == "") | char.rlike(r"\s"), 0).when(char.rlike("[\"'`]"), 1).when(char.rlike("[A-Za-z0-9]"), 2).otherwise(3)
 
 
-def _featured(text: Column, x: Column) -> Column:
-    before = F.when(x["start"] == 0, "").otherwise(
-        F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24))))
+def _featured(segment: Column, x: Column) -> Column:
+    context, moved = F.concat(segment["lead"], segment["text"]), F.length(segment["lead"]) + x["start"]
+    before = F.when(moved == 0, "").otherwise(
+        F.substring(context, F.greatest(moved - (_BEFORE - 1), F.lit(1)), F.least(moved, F.lit(_BEFORE))))
     length, digits, check = F.length(x["match"]), F.length(_digits(x["match"])), _check(x)
     codes = {
         "kind": x["kind"],
         "length": F.when(length < 12, 0).when(length < 16, 1).when(length < 20, 2).when(length < 41, 3).otherwise(4),
         "digits": F.least(F.floor(4 * digits / length), F.lit(3)).cast("int"),
         "left": _side(F.substring(before, -1, 1)),
-        "right": _side(F.substring(text, x["end"] + 1, F.lit(1))),
+        "right": _side(F.substring(segment["text"], x["end"] + 1, F.lit(1))),
         "assigned": before.rlike("[=:][ \"'`]*$").cast("int"),
         "check": F.when(check, 1).when(~check, 0).otherwise(2),
     }
@@ -121,6 +139,16 @@ def _featured(text: Column, x: Column) -> Column:
     )
 
 
+def _found(segment: Column) -> Column:
+    """The candidates of a segment with their features, placed in the segment."""
+    return F.transform(_candidates(segment["text"]), lambda x: _featured(segment, x))
+
+
+def _placed(segment: Column, spans: Column) -> Column:
+    """Spans of a segment as struct(kind, start, end), placed in the text."""
+    return F.transform(spans, lambda x: F.struct(x["kind"].alias("kind"), (x["start"] + segment["at"]).alias("start"), (x["end"] + segment["at"]).alias("end")))
+
+
 _WIDER = (5, 6)
 
 
@@ -205,8 +233,8 @@ class Booster:
 def train(docs: DataFrame, text_col: str = "text", **options) -> Booster:
     """Count the cells over all texts and boost on the counts; every fifth text by hash calibrates the thresholds."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.select(text.alias("text"), candidates(F.col(text_col)).alias("c")).where(F.size("c") > 0)
-    found = found.select((F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("held"), F.explode(F.transform("c", lambda x: _featured(F.col("text"), x))).alias("x"))
+    found = docs.select((F.pmod(F.xxhash64(text), F.lit(5)) == 0).alias("held"), F.flatten(F.transform(_segments(text), _found)).alias("c"))
+    found = found.where(F.size("c") > 0).select("held", F.explode("c").alias("x"))
     cells = found.groupBy("held", *[F.col("x")["f"][k].alias(k) for k in _FEATURES]).agg(F.sum("x.label").alias("p"), F.count("*").alias("n"))
     return Booster(**options).fit(sorted((tuple(r[k] for k in _FEATURES), r["held"], float(r["p"]), float(r["n"])) for r in cells.collect()))
 
@@ -218,12 +246,16 @@ def detect(docs: DataFrame, text_col: str = "text", model: Booster | None = None
     one struct, so their names never clash. Places are code points, the end is exclusive. ``spans`` holds all of ``base``.
     """
     model = model or train(docs, text_col)
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("row", "text", candidates(F.col("text")).alias("c"))
-    rows = rows.select("row", F.transform("c", lambda x: _featured(F.col("text"), x)).alias("c"))
-    rows = rows.select("row", F.filter("c", lambda x: x["base"] | model.chosen(x["f"])).alias("c"))
-    plain = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
-    return rows.select("row", F.transform(F.filter("c", lambda x: x["base"]), plain).alias("base"), F.transform("c", plain).alias("spans"))
+    rows = docs.select(F.struct("*").alias("row"), F.transform(_segments(F.col(text_col)), lambda g: _kept(g, model)).alias("g"))
+    base = F.transform("g", lambda g: _placed(g, F.filter(g["c"], lambda x: x["base"])))
+    spans = F.transform("g", lambda g: _placed(g, g["c"]))
+    return rows.select("row", F.array_sort(F.flatten(base)).alias("base"), F.array_sort(F.flatten(spans)).alias("spans"))
+
+
+def _kept(segment: Column, model: Booster) -> Column:
+    """The segment with the candidates that are to go: struct(at, text, c)."""
+    kept = F.filter(_found(segment), lambda x: x["base"] | model.chosen(x["f"]))
+    return F.struct(segment["at"].alias("at"), segment["text"].alias("text"), kept.alias("c"))
 
 
 def written(spans: Column) -> Column:
@@ -237,7 +269,8 @@ def redact(docs: DataFrame, text_col: str = "text", model: Booster | None = None
 
     Texts without spans, null ones among them, stay as they are.
     """
-    found = detect(docs, text_col, model)
+    model = model or train(docs, text_col)
+    name = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     start = F.array().cast("array<struct<start:int,end:int,kind:int>>")
 
     def join(acc, x):
@@ -247,13 +280,20 @@ def redact(docs: DataFrame, text_col: str = "text", model: Booster | None = None
             F.slice(acc, F.lit(1), F.size(acc) - 1), one(last["start"], F.greatest(last["end"], x["end"]), last["kind"]),
         )).otherwise(F.concat(acc, one(x["start"], x["end"], x["kind"])))
 
-    by_place = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    merged = F.aggregate(by_place, start, join)
-    text, name = F.col("row")[text_col], F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    found = found.select("row", merged.alias("m"))
-    pieces = F.transform("m", lambda x, i: F.concat(
-        F.substring(text, F.when(i == 0, 1).otherwise(F.get(F.col("m"), i - 1)["end"] + 1), x["start"] - F.when(i == 0, 0).otherwise(F.get(F.col("m"), i - 1)["end"])),
-        F.element_at(name, x["kind"])))
-    rest = F.substring(text, F.element_at(F.col("m"), -1)["end"] + 1, F.length(text))
-    redacted = F.when(F.size("m") == 0, text).otherwise(F.concat(F.array_join(pieces, ""), rest))
-    return found.select(*[(redacted if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
+    def merged(segment):
+        by_place = F.array_sort(F.transform(segment["c"], lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+        return F.struct(segment["text"].alias("text"), F.aggregate(by_place, start, join).alias("m"))
+
+    def rewritten(segment):
+        text, spans = segment["text"], segment["m"]
+        pieces = F.transform(spans, lambda x, i: F.concat(
+            F.substring(text, F.when(i == 0, 1).otherwise(F.get(spans, i - 1)["end"] + 1), x["start"] - F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["end"])),
+            F.element_at(name, x["kind"])))
+        rest = F.substring(text, F.element_at(spans, -1)["end"] + 1, F.length(text))
+        return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(pieces, ""), rest))
+
+    rows = docs.select(F.struct("*").alias("row"), F.transform(_segments(F.col(text_col)), lambda g: _kept(g, model)).alias("g"))
+    rows = rows.select("row", F.transform("g", merged).alias("g"))
+    text = F.col("row")[text_col]
+    redacted = F.when(F.exists("g", lambda g: F.size(g["m"]) > 0), F.array_join(F.transform("g", rewritten), "")).otherwise(text)
+    return rows.select(*[(redacted if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])

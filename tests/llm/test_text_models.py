@@ -210,3 +210,31 @@ def test_toxicity(spark):
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got if r.doc_id is not None)
     assert sum(a == b for a, b in held) / len(held) > 0.97
     assert score_toxicity(docs, train_toxicity(docs, labels.limit(0))).where("score >= 0.7").count() == 0
+
+
+def plain_base(text):
+    """The base spans by the contract's own patterns, over the whole text."""
+    def luhn(d):
+        return sum(x - 9 if x > 9 else x for x in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(d)))) % 10 == 0
+
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    kinds = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True), (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))), (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
+    ]
+    return [(k, m.start(), m.end()) for k, (p, ok) in enumerate(kinds, 1) for m in re.finditer(p, text or "") if ok(m.group())]
+
+
+def test_personal_data_in_long_texts(spark):
+    r = random.Random(11)
+    parts = ["jane.doe@mail.example.org", "a@b.c", "x@y", "10.0.0.255", "1.2.3.4.5.6.7.8", "300.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "4111111111111111 4111 1111",
+             "+49 (30) 123 45-67", "+1 2", "12 34 56 78 90 12 34 56 78 90", "key=Ab3dEf6hIj9lMn2pQr5tUv8x", "word", "é漢", "(", "-", "5", "...", "3.14"]
+    texts = ["".join(r.choice(parts) + r.choice([" ", " ", " ", "\n", ", ", "", "  ", ";"]) for _ in range(n)) for n in (5, 300, 900, 900, 2500)]
+    texts += ["1 " * 5000, "+1 " * 4000, "a@b.c" * 3000, "7" * 9000, "x" * 20_000 + " me@home.org", " ".join(f"u{i}@m{i % 7}.org" for i in range(20_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = train(df)
+    for row in detect(df, model=model).collect():
+        assert [tuple(x) for x in row.base] == plain_base(row.row.text)
+        assert [tuple(x) for x in row.spans] == sorted(tuple(x) for x in row.spans) and set(map(tuple, row.base)) <= set(map(tuple, row.spans))
+    clean = {x.doc_id: x.text for x in redact(df, model=model).collect()}
+    assert "@" not in clean[len(texts) - 1] and clean[len(texts) - 1].count("<EMAIL>") == 20_000 and clean[9].endswith(" <EMAIL>")
