@@ -36,7 +36,9 @@ TILE = 512  # classes of a tile
 _TILE_CHARS = 8_000_000  # most characters of a tile's texts
 _JOBS_IN_TASK = 8
 _WIDE = 4096  # texts walked side by side
+_FEW = 24  # so many walks or fewer go on one by one, where arrays across walks would be too short
 _CELLS = 24_000_000  # most steps written down at once
+_STRETCH = 1 << 18  # places whose order is looked at in one go
 
 
 def _steps(length: np.ndarray) -> np.ndarray:
@@ -53,28 +55,53 @@ _kept: dict[int, list[np.ndarray]] = {}  # of this worker: the records for its l
 
 def _records(limit: int) -> list[np.ndarray]:
     """For each slot, the places at which its order falls to a new least value, up to ``limit`` or further."""
-    limit = 1 << max(limit, 1 << 16).bit_length()
+    limit = -(-(limit + 1) // _STRETCH) * _STRETCH
     if _kept and max(_kept) >= limit:
         return _kept[max(_kept)]
-    place = np.arange(limit, dtype=np.uint64)
+    begin, known = (max(_kept), _kept[max(_kept)]) if _kept else (0, [np.zeros(0, np.int64)] * SLOTS)
     out = []
     for k in range(SLOTS):
-        value = mix(place + np.uint64((k + 1) << 40))
-        least = np.minimum.accumulate(value)
-        out.append(np.flatnonzero(np.concatenate(([True], least[1:] < least[:-1]))))
+        found, order = [known[k]], np.uint64((k + 1) << 40)
+        least = mix(known[k][-1:].astype(np.uint64) + order)[0] if len(known[k]) else np.uint64(2**64 - 1)
+        for first in range(begin, limit, _STRETCH):
+            value = mix(np.arange(first, min(first + _STRETCH, limit), dtype=np.uint64) + order)
+            low = np.flatnonzero(value < least)  # few, and among them the records
+            if len(low):
+                value = value[low]
+                lows = np.minimum.accumulate(value)
+                found.append(first + low[np.concatenate(([True], lows[1:] < lows[:-1]))])
+                least = lows[-1]
+        out.append(np.concatenate(found))
     _kept.clear()
     _kept[limit] = out
     return out
 
 
+def _bytes(text: str) -> np.ndarray:
+    """One byte per character: even numbers for characters; 255 is left for the end mark, where no coin moves on."""
+    parts = [text[i : i + 1_000_000].encode("utf-32-le", "surrogatepass") for i in range(0, max(len(text), 1), 1_000_000)]
+    return np.concatenate([mix(np.frombuffer(p, "<u4").astype(np.uint64)).astype(np.uint8) & np.uint8(254) for p in parts])
+
+
+def _alone(characters: bytes, place: int, begin: int, stop: int, coins: list[bytes]) -> np.ndarray:
+    """What one walk writes from step ``begin`` to ``stop``; ``characters`` end with their end mark."""
+    out, last = bytearray(b"\xff") * (stop - begin), len(characters) - 1
+    for j in range(begin, stop):
+        if place == last:
+            break
+        c = characters[place]
+        out[j - begin] = c
+        place += coins[j & 4095][c]
+    return np.frombuffer(out, np.uint8)
+
+
 def _walked(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, their numbers of steps, what is written: a column per row) for groups of texts walked side by side."""
-    # One byte per character: even numbers for characters, 255 for the end mark, where no coin moves on.
-    low = [mix(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)).astype(np.uint8) & np.uint8(254) for t in texts]
+    low = [_bytes(t) for t in texts]
     length = np.array([len(x) for x in low], np.int64)
     coins, steps_of = _coins(), _steps(length)
     order = np.argsort(-length, kind="stable")
-    at = 0
+    at, plain = 0, None
     while at < len(order):
         end, most = at + 1, int(steps_of[order[at]])
         end = min(len(order), at + max(1, min(_WIDE, _CELLS // most)))
@@ -90,6 +117,13 @@ def _walked(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         j = 0
         for stop in stops:
             n = int(np.searchsorted(-steps, -stop, "right"))
+            if n <= _FEW:
+                plain = plain or [row.tobytes() for row in coins]
+                for i in range(n):
+                    begin = int(np.sum(length[rows[:i]] + 1))
+                    own = flat[begin : begin + int(length[rows[i]]) + 1].tobytes()
+                    written[j : steps[i], i] = _alone(own, int(place[i]) - begin, j, int(steps[i]), plain)
+                break
             place, step = place[:n], step[:n]
             for j in range(j, int(stop)):  # noqa: B020
                 c = written[j, :n]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sparkprep.llm.chat_format import format_chats, loss_spans, loss_texts, parse_chat
+from sparkprep.llm import fingerprints as module
 from sparkprep.llm.fingerprints import bands, edited_text, fingerprint_with_edits, fingerprints, likeness, near_groups, near_pairs, walks, whole_likeness
 from sparkprep.llm.mixing import mix_sources
 from sparkprep.llm.pii import Booster, detect, redact, train, written
@@ -238,3 +239,39 @@ def test_personal_data_in_long_texts(spark):
         assert [tuple(x) for x in row.spans] == sorted(tuple(x) for x in row.spans) and set(map(tuple, row.base)) <= set(map(tuple, row.spans))
     clean = {x.doc_id: x.text for x in redact(df, model=model).collect()}
     assert "@" not in clean[len(texts) - 1] and clean[len(texts) - 1].count("<EMAIL>") == 20_000 and clean[9].endswith(" <EMAIL>")
+
+
+def test_walks_step_by_step(monkeypatch):
+    """Walks side by side, alone, and one character at a time write the same."""
+    r = random.Random(2)
+    texts = ["".join(r.choice("abc déf漢") for _ in range(r.choice([0, 1, 5, 40, 300, 2000]))) for _ in range(60)]
+
+    def plain(text):
+        coins, low, place, out = module._coins(), [*module._bytes(text).tolist(), 255], 0, []
+        for j in range(int(module._steps(np.array([len(text)]))[0])):
+            out.append(low[place])
+            place += int(coins[j & 4095][low[place]])
+        return out + [255] * module.GRAM
+
+    wanted = [plain(t) for t in texts]
+    marks = []
+    for few in (0, 24, 1000):
+        monkeypatch.setattr(module, "_FEW", few)
+        assert [w.tolist() for w in walks(texts)] == wanted
+        marks.append(module.fingerprints(texts).tolist())
+    assert marks[0] == marks[1] == marks[2]
+
+
+def test_sampled_places_are_the_least_of_their_order():
+    module._kept.clear()
+    short = module._records(1000)
+    known = module._records(600_000)  # goes on from the shorter ones
+    value = module.mix(np.arange(600_000, dtype=np.uint64) + np.uint64(5 << 40))
+    records = np.flatnonzero(value == np.minimum.accumulate(value))
+    assert known[4][known[4] < 600_000].tolist() == records.tolist() and short[4].tolist() == [x for x in known[4].tolist() if x < max(short[4]) + 1]
+
+
+def test_a_very_long_walk():
+    text = "".join(random.Random(1).choices("abcdefgh ", k=600_000))
+    a, b = module.fingerprints([text, text[:300_000] + "!" + text[300_000:]])
+    assert (a == b).mean() > 0.8
