@@ -168,7 +168,7 @@ def _stars(docs: DataFrame, text_col: str, counters: np.ndarray, total: int, shi
             bucket = ((all_ >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            names, whole, places = np.array(keys, np.int64), np.array(whole, np.int64), np.concatenate(places)
+            names, whole, places = np.array(keys, np.int64), np.array(whole, np.int32), np.concatenate(places)
             out = ([], [], [], [], [], [])
             for k in np.flatnonzero(np.diff(cuts)):
                 at = order[cuts[k] : cuts[k + 1]]
@@ -189,7 +189,7 @@ def _stars(docs: DataFrame, text_col: str, counters: np.ndarray, total: int, shi
                 hashes = np.frombuffer(row[1].as_buffer(), np.uint32)
                 keys = np.frombuffer(row[3].as_buffer(), np.int64)
                 local = np.frombuffer(row[2].as_buffer(), np.uint32 if len(keys) > 65_535 else np.uint16)
-                held.append((hashes, keys[local], np.frombuffer(row[4].as_buffer(), np.int64)[local], np.frombuffer(row[5].as_buffer(), np.uint8)))
+                held.append((hashes, keys[local], np.frombuffer(row[4].as_buffer(), np.int32)[local], np.frombuffer(row[5].as_buffer(), np.uint8)))
         if held:
             yield from _group(bucket, held, percent)
 
@@ -198,18 +198,32 @@ def _stars(docs: DataFrame, text_col: str, counters: np.ndarray, total: int, shi
 
 
 def _group(bucket: int, held, percent: int):
+    """The stars of a bucket. ``held``: for each batch its hashes, the places, and of each element's class the key and the size."""
     hashes, keys, n, place = (np.concatenate(x) for x in zip(*held))
+    held.clear()
     order = np.lexsort((keys, hashes))
-    hashes, keys, n, place = hashes[order], keys[order], n[order], place[order].astype(np.int64)
-    start = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+    hashes, keys = hashes[order], keys[order]
     # Copies in other batches have the same key; each class is a member once.
-    once = start | np.concatenate(([True], keys[1:] != keys[:-1]))
-    hashes, keys, n, place, start = hashes[once], keys[once], n[once], place[once], start[once]
+    once = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (keys[1:] != keys[:-1])))
+    order = order[once]
+    hashes, keys, n, place = hashes[once], keys[once], n[order], place[order]
+    del order, once
+    starts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+    ends = np.append(starts[1:], len(hashes))
+    first = 0
+    while first < len(starts):  # whole groups, some 100,000 members at a time
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + 100_000, "right")))
+        low, high = starts[first], ends[last - 1]
+        begins, sizes = starts[first:last] - low, ends[first:last] - starts[first:last]
+        yield from _group_stars(bucket, hashes[low:high], keys[low:high], n[low:high], place[low:high].astype(np.int64), np.repeat(begins, sizes), np.repeat(sizes, sizes), percent)
+        first = last
+
+
+def _group_stars(bucket: int, hashes, keys, n, place, begin, size, percent: int):
     # Elements of a set before and behind this one, at most: the place is known to a thousandth of the set.
+    n = n.astype(np.int64)
     before = np.where(place == 255, n - 1, ((place + 1) * n - 1) // 1000)
     behind = n - 1 - -(-place * n // 1000)
-    begin = np.flatnonzero(start)[np.cumsum(start) - 1]
-    size = np.diff(np.append(np.flatnonzero(start), len(keys)))[np.cumsum(start) - 1]
     for k, share in enumerate(CENTERS):
         at = begin + ((size - 1) * share).astype(np.int64)
         center = keys[at]
@@ -218,10 +232,9 @@ def _group(bucket: int, held, percent: int):
         near &= 100 * np.minimum(n, n[at]) >= percent * np.maximum(n, n[at])
         mine = (keys != center) & ((size > 2) & (keys != keys[begin]) & near if k else size > 1)
         group = (np.int64(bucket) << np.int64(32)) | hashes[mine].astype(np.int64)
-        for i in range(0, len(group), 100_000):
-            q = slice(i, i + 100_000)
+        if len(group):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(group[q]), pa.array(keys[mine][q]), pa.array(center[mine][q]), pa.array(np.full(len(group[q]), k > 0)), pa.array(near[mine][q])],
+                [pa.array(group), pa.array(keys[mine]), pa.array(center[mine]), pa.array(np.full(len(group), k > 0)), pa.array(near[mine])],
                 ["group", "member", "center", "more", "near"])
 
 
