@@ -83,48 +83,72 @@ def _finite_mean(value: Column) -> Column:
 
 
 def _products(df: DataFrame, pairs, names: list[str], centers: list[float], whole: list[bool], varies: list[bool]) -> DataFrame:
-    """Correlations from masked cross-products: each batch of rows is a matrix, and gives one row per pair of columns.
+    """Correlations from masked cross-products: each batch of rows is a matrix, and a task gives one row per pair of columns.
 
-    Sums are taken about ``centers``, so that they keep their precision and add up over tasks. ``whole`` columns miss no value,
-    and ``varies`` says whether such a column has two values at all; for the others each pair looks at its own rows.
+    Products are taken about ``centers``; where a pair's own rows lie far from these and most digits would be lost, the batch
+    goes through that pair again about its own means. Batches and tasks are merged by counts, means and sums about the means.
+    ``whole`` columns miss no value, and ``varies`` says whether such a column has two values at all; for the others each pair
+    looks at its own rows.
     """
     at = {n: i for i, n in enumerate(names)}
     left, right = [np.array(x) for x in zip(*[(at[a], at[b]) for a, b in pairs])]
+    center = np.array(centers)
     open_ = [p for p, (i, j) in enumerate(zip(left, right)) if not (whole[i] and whole[j])]
     fields = ["n", "x", "y", "xx", "yy", "xy", "odd"]
 
+    def batch_sums(values: np.ndarray, ends: dict) -> np.ndarray:
+        present, finite = ~np.isnan(values), np.isfinite(values)
+        x, m = np.where(finite, values - center, 0.0), present.astype(float)
+        odd = (present & ~finite).astype(float).T @ m
+        n, sums, squares, cross = m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x
+        size, sx, sy, xx, yy = n[left, right], sums[left, right], sums[right, left], squares[left, right], squares[right, left]
+        some = np.maximum(size, 1)
+        out = np.stack([size, center[left] + sx / some, center[right] + sy / some, xx - sx * sx / some, yy - sy * sy / some, cross[left, right] - sx * sy / some, (odd + odd.T)[left, right]])
+        lost = set(np.flatnonzero((size > 0) & ((out[3] < 1e-6 * xx) | (out[4] < 1e-6 * yy))).tolist())
+        for p in {*open_, *lost}:
+            both = present[:, left[p]] & present[:, right[p]]
+            if not both.any():
+                continue
+            u, v = values[both, left[p]], values[both, right[p]]
+            if p in ends:
+                e = ends[p]
+                ends[p] = [min(e[0], u.min()), max(e[1], u.max()), min(e[2], v.min()), max(e[3], v.max())]
+            if p in lost and np.isfinite(u).all() and np.isfinite(v).all():
+                du, dv = u - u.mean(), v - v.mean()
+                out[1:6, p] = u.mean(), v.mean(), du @ du, dv @ dv, du @ dv
+        return out
+
     def multiply(batches):
         total, ends = np.zeros((len(fields), len(pairs))), {p: [np.inf, -np.inf, np.inf, -np.inf] for p in open_}
         for b in batches:
             if not b.num_rows:
                 continue
-            values = np.stack([col.to_numpy(zero_copy_only=False).astype(float) for col in b.columns], axis=1)
-            present = ~np.isnan(values)
-            finite = np.isfinite(values)
-            x, m = np.where(finite, values - centers, 0.0), present.astype(float)
-            strange = (present & ~finite).astype(float)
-            n, sums, squares, cross = m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x
-            odd = strange.T @ m
-            total += np.stack([n[left, right], sums[left, right], sums[right, left], squares[left, right], squares[right, left], cross[left, right], (odd + odd.T)[left, right]])
-            for p in open_:
-                both = present[:, left[p]] & present[:, right[p]]
-                if both.any():
-                    u, v, e = values[both, left[p]], values[both, right[p]], ends[p]
-                    ends[p] = [min(e[0], u.min()), max(e[1], u.max()), min(e[2], v.min()), max(e[3], v.max())]
+            new = batch_sums(np.stack([col.to_numpy(zero_copy_only=False).astype(float) for col in b.columns], axis=1), ends)
+            n = total[0] + new[0]
+            share = np.divide(new[0], n, out=np.zeros(len(n)), where=n > 0)
+            dx, dy, weight = new[1] - total[1], new[2] - total[2], total[0] * share
+            total = np.stack([n, total[1] + dx * share, total[2] + dy * share, total[3] + new[3] + dx * dx * weight,
+                              total[4] + new[4] + dy * dy * weight, total[5] + new[5] + dx * dy * weight, total[6] + new[6]])
         limits = np.array([ends.get(p, [0.0, 0.0, 0.0, 0.0]) for p in range(len(pairs))]).T
         columns = [pa.array(np.arange(len(pairs)), pa.int32()), *[pa.array(t) for t in total], *[pa.array(t) for t in limits]]
         yield pa.RecordBatch.from_arrays(columns, ["p", *fields, "x0", "x1", "y0", "y1"])
 
     schema = "p int, " + ", ".join(f"{f} double" for f in [*fields, "x0", "x1", "y0", "y1"])
-    made = df.select(*[_value(n).alias(f"v{i}") for i, n in enumerate(names)]).mapInArrow(multiply, schema)
-    summed = made.groupBy("p").agg(*[F.sum(f).alias(f) for f in fields], F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    made = cut(df.select(*[_value(n).alias(f"v{i}") for i, n in enumerate(names)]).mapInArrow(multiply, schema).where("n > 0"), "products")
+    size = F.sum("n")
+    middle = made.groupBy(F.col("p").alias("_p")).agg((F.sum(F.col("n") * F.col("x")) / size).alias("_x"), (F.sum(F.col("n") * F.col("y")) / size).alias("_y"))
+    placed = made.join(F.broadcast(middle), F.col("p") == F.col("_p"))  # one row per pair of columns
+    dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
+    summed = placed.groupBy("p").agg(
+        size.alias("n"), F.sum(F.col("xx") + F.col("n") * dx * dx).alias("xx"), F.sum(F.col("yy") + F.col("n") * dy * dy).alias("yy"),
+        F.sum(F.col("xy") + F.col("n") * dx * dy).alias("xy"), F.sum("odd").alias("odd"),
+        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
     two = [F.lit(bool(varies[i] and varies[j])) if whole[i] and whole[j] else (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")) for i, j in zip(left, right)]
-    xy = F.col("xy") - F.try_divide(F.col("x") * F.col("y"), "n")
-    xx, yy = (F.col(f"{v}{v}") - F.try_divide(F.col(v) * F.col(v), "n") for v in "xy")
-    r = F.try_divide(xy, F.sqrt(F.greatest(xx, F.lit(0.0))) * F.sqrt(F.greatest(yy, F.lit(0.0))))
+    xx, yy = F.greatest("xx", F.lit(0.0)), F.greatest("yy", F.lit(0.0))
+    r = F.try_divide(F.col("xy"), F.sqrt(xx) * F.sqrt(yy))
     # A constant column has no correlation; an infinite value leaves none that is a number.
     r = F.when(F.array(*two)[F.col("p")], F.when(F.col("odd") > 0, F.lit(float("nan"))).otherwise(r))
-    return summed.select(*_names(pairs), F.col("n").cast("long").alias("n"), r.alias("r")).where("n > 0")
+    return summed.select(*_names(pairs), F.col("n").cast("long").alias("n"), r.alias("r"))
 
 
 def _names(pairs) -> list[Column]:

@@ -7,10 +7,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import catalog
 import oracle
 import sparkprep as sp
 
 FOLDER = "/root/testdata/sf0.001"
+# Chunks and pages go through code that SQL has no word for; their tests are by hand. Operators for training data have theirs.
+WITHOUT_SQL = {"chunks_at_separator", "chunks_recursive", "chunks_of_sentences", "html_text", "html_to_markdown"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 
 
@@ -25,6 +28,7 @@ def test_query(spark, duck, name):
     if name in entry.oracle_sql():
         assert oracle.differences(df, duck, entry.oracle_sql()[name]) == []
     else:
+        assert name in WITHOUT_SQL or name in entry.queries().keys() - catalog.QUERIES.keys()
         assert df.count() > 0
 
 
