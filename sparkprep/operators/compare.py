@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkprep._columns import NUMERIC, as_list, c, free_name, order_columns, require, same_row
+from sparkprep._columns import NUMERIC, as_list, c, free_name, order_columns, require
 from sparkprep.operators.joins import join_datasets
 from sparkprep.operators.ordering import number_rows
 
@@ -120,16 +121,14 @@ def _differing_parts(left: DataFrame, right: DataFrame, keys: list[str] | None =
     def marked(df: DataFrame) -> DataFrame:
         return df.withColumn(part, F.pmod(_digest(df, keys or names, 1), F.lit(PARTS)))
 
-    def digests(df: DataFrame, side: str) -> DataFrame:
-        sums = [F.count(F.lit(1)).alias(f"{side}n")]
-        for i, seed in enumerate((2, 3)):
-            h = _digest(df, names, seed)
-            sums += [F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"{side}l{i}"), F.sum(F.shiftrightunsigned(h, 32)).alias(f"{side}h{i}")]
-        return marked(df).groupBy(F.col(part).alias(f"{side}part")).agg(*sums)
+    def digests(df: DataFrame, sign: int) -> DataFrame:
+        hashes = [_digest(df, names, seed) for seed in (2, 3)]
+        halves = [half for h in hashes for half in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
+        return marked(df).select(F.col(part).alias("_open"), F.lit(sign).cast("long").alias("_d0"), *[(half * sign).alias(f"_d{i}") for i, half in enumerate(halves, 1)])
 
-    a, b = digests(left, "_a"), digests(right, "_b")
-    same = same_row([F.col(f"_a{x}") for x in ("n", "l0", "h0", "l1", "h1")], [F.col(f"_b{x}") for x in ("n", "l0", "h0", "l1", "h1")])
-    differ = a.join(b, F.col("_apart") == F.col("_bpart"), "full_outer").where(~same).select(F.coalesce("_apart", "_bpart").alias("_open"))
+    # One side counts up and the other down: a part with the same rows on both comes to nothing.
+    sums = digests(left, 1).unionByName(digests(right, -1)).groupBy("_open").agg(*[F.sum(f"_d{i}").alias(f"_d{i}") for i in range(5)])
+    differ = sums.where(reduce(Column.__or__, [F.col(f"_d{i}") != 0 for i in range(5)])).select("_open")
     for side in (left, right) if keys else ():
         again = marked(side).groupBy(part, _digest(side, keys, 4).alias("_key")).count().where("count > 1")
         differ = differ.unionByName(again.select(F.col(part).alias("_open")))

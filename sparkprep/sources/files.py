@@ -72,6 +72,8 @@ def read_csv(
     reader = reader.option("escape", escape or quote).option("header", str(header).lower()).options(**options)
     whole = str(options.get("multiLine", "false")).lower() == "true"
     if whole:
+        if options.get("lineSep", "\n") not in ("\n", "\r\n"):
+            raise ValueError("with multiLine, records end in line breaks: lineSep must be \\n or \\r\\n")
         wanted = {**options, "encoding": encoding}
         records = _checked(lambda: csv_records(spark, source, separator, quote, escape or quote, skip_lines, options.get("comment"), wanted), path)
         if header:
@@ -273,7 +275,7 @@ def read_json(
     dtype: bool = True,
 ) -> DataFrame:
     """JSON files: ``lines=True`` for one record per line (splits over tasks), else by orientation: records (a list or
-    one object), columns, index, split, table. A document is cut into its records or cells in all splits of its file (``splits``).
+    one object), columns, index, split, table. A document, in UTF-8, is cut into its records or cells in all splits of its file (``splits``).
 
     ``lines=None`` looks at all lines of each file of records: where each line that is not blank begins with ``{`` and ends
     with ``}``, they are records by line, else the file is one document. A folder may hold both kinds. ``dtype=False``
