@@ -1,6 +1,6 @@
 """Document corpora: chunking and HTML over tables of texts.
 
-The texts are cut by pandas UDFs that see only the text column; Spark splits the table over tasks, and the other
+The texts are cut by Arrow and pandas UDFs that see only the text column; Spark splits the table over tasks, and the other
 columns never leave the JVM. Every text is processed whole.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from sparkprep.functions.chunking import pack, split_fixed, split_recursive, spl
 from sparkprep.functions.html_text import html_markdown, html_text
 
 
+SLICE_ROWS = 64
+
 # The white space that str.strip() takes off.
 _BLANKS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -40,11 +43,18 @@ def _checked(size: int, overlap: int, unit: str) -> Callable[[str], int]:
     return len if unit == "char" else words
 
 
-def _chunked(df: DataFrame, column: str, cut_text: Callable[[str], list[str]], name: str, number: str) -> DataFrame:
-    @F.pandas_udf("array<string>")
-    def chunks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: cut_text(t) if t is not None else [])
+def _in_slices(texts: pa.Array, cut_text: Callable[[str], list[str]]) -> pa.Array:
+    """The chunks of a batch. It stays as Arrow holds it; ``SLICE_ROWS`` of its texts are Python objects at a time."""
+    kind = pa.list_(pa.string())
+    made = [pa.array([], kind)]
+    for at in range(0, len(texts), SLICE_ROWS):
+        some = texts.slice(at, SLICE_ROWS).to_pylist()
+        made.append(pa.array([cut_text(t) if t is not None else [] for t in some], kind))
+    return pa.concat_arrays(made)
 
+
+def _chunked(df: DataFrame, column: str, cut_text: Callable[[str], list[str]], name: str, number: str) -> DataFrame:
+    chunks = F.arrow_udf(lambda texts: _in_slices(texts, cut_text), "array<string>")
     others = [c(n) for n in df.columns if n != column]
     return df.select(*others, F.posexplode(chunks(c(column).cast("string"))).alias(number, name))
 
