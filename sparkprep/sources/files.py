@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from sparkprep._columns import as_list, c
 from sparkprep.session import _written, shared_folder
-from sparkprep.sources.splits import chunks, csv_records, json_elements, parsed, runs
+from sparkprep.sources.splits import chunks, csv_records, json_elements, parsed, runs, xml_elements
 
 _SEPARATORS = [",", ";", "\t", "|", " "]
 
@@ -391,7 +391,8 @@ def read_xml(
 
     A path may be ``name`` or ``//name`` (at any depth, read in parallel like ``row_tag``) or go from the root, ``/data/p/r`` or
     ``./p/r``, with ``*`` and the predicates ``[2]``, ``[last()]``, ``[@id='x']`` and ``[child='x']`` at its steps. A path from the root
-    reads each file as one row and descends in it; attributes have names with ``_`` in front, bare text is ``_VALUE``.
+    of two names or more, with tests of fields at most at its end, is read in all splits of a file (in UTF-8); with ``*``, positions
+    or tests before its end it reads each file as one row and descends in it; attributes have names with ``_`` in front, bare text is ``_VALUE``.
     """
     reader = spark.read
     if xpath and not row_tag:
@@ -400,6 +401,8 @@ def read_xml(
         if from_root:
             if xpath.startswith("."):
                 steps = [(_root_tag(spark, path), []), *steps]
+            if len(steps) > 1 and all(n != "*" for n, _ in steps) and not any(p for _, p in steps[:-1]) and all(f != "at" for f, _ in steps[-1][1]):
+                return _limited(_elements_at(spark, path, steps, schema, xpath), limit)
             return _limited(_checked(lambda: _descended(reader, path, steps, schema, xpath), path), limit)
         if len(steps) > 1 or any(field == "at" for field, _ in steps[0][1]):
             raise ValueError(f"xpath {xpath!r}: steps and positions need a path from the root; or give row_tag and filter the rows")
@@ -425,6 +428,19 @@ def _root_tag(spark: SparkSession, path) -> str:
     return found["tag"]
 
 
+def _elements_at(spark: SparkSession, path, steps: list, schema, xpath: str) -> DataFrame:
+    """Rows of the elements at the end of ``steps``, cut out of all splits of the files; only the last step has tests."""
+    texts = _checked(lambda: xml_elements(spark, path, [n for n, _ in steps]), path).select("text")
+    reader = spark.read.option("rowTag", steps[-1][0])
+    if schema is not None:
+        kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        reader = reader.schema(_with_fields(kind, steps, steps[-1][0]))
+    elif texts.isEmpty():
+        raise ValueError(f"no element at {xpath!r} in {path!r}")
+    df = parsed(reader, texts, "xml")
+    return _kept(df.select(F.struct(*[c(n) for n in df.columns]).alias("e")), steps[-1][1]).select("e.*")
+
+
 def _descended(reader: DataFrameReader, path, steps: list, schema, xpath: str) -> DataFrame:
     """Rows of the elements at the end of ``steps``, the first of which is the root."""
     if schema is not None:

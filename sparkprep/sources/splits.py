@@ -358,6 +358,119 @@ def json_elements(spark: SparkSession, path, level: int, flat: bool, options: di
     return found.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
 
 
+# XML: a state is the markup a split begins inside of, as a beginning that may be put before the split's text, and the open elements.
+
+_MARKUP = re.compile(
+    r"""</[^>]*>|<!--.*?(?:-->|(?P<comment>\Z))|<!\[CDATA\[.*?(?:\]\]>|(?P<cdata>\Z))|<\?.*?(?:\?>|(?P<order>\Z))"""
+    r"""|<![A-Z](?:[^\[>]*\[.*?\]\s*>|[^\[>]*>|(?P<doctype>.*\Z))"""
+    r"""|<(?P<name>[^\s/>!?"'<=]+)[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*(?:>|(?P<quoted>"[^"]*\Z|'[^']*\Z))""", re.DOTALL)
+_BEGUN = {"comment": "<!--", "cdata": "<![CDATA[", "order": "<?", "doctype": "<!D["}
+_ENDS = {"<!--": "-->", "<![CDATA[": "]]>", "<?": "?>"}
+_ANY = "\x01"  # the name of a start tag that an earlier split began
+_STARTS = ["", *_BEGUN.values(), f'<{_ANY} a="', f"<{_ANY} a='"]
+
+
+def _still(begun: str, text: str) -> bool:
+    """Whether markup that began before ``text`` goes on behind it."""
+    return begun in _ENDS and _ENDS[begun] not in text
+
+
+def _goes_on(m: re.Match) -> str:
+    """What the markup, if the text ends inside of it, begins with in the next text."""
+    return f"<{m['name']} a={m['quoted'][0]}" if m["quoted"] else _BEGUN.get(m.lastgroup, "")
+
+
+class _XmlElements:
+    """Cuts the elements whose names from the root are ``names`` out of a split that begins in a known state."""
+
+    def __init__(self, state: str, names: list[str]):
+        known = json.loads(state)
+        self.names, self.level, self.begin, self.stack = names, len(names) - 1, known["in"], known["open"]
+        tag = [self.begin[1:-4]] if self.begin[-1:] in ("'", '"') else []
+        self.open, self.begun, self.parts = [*self.stack, *tag][: len(names)] == names, False, []
+
+    def feed(self, values: list[str]):
+        text, out, at, stack = self.begin + ">".join(values) + ">", [], len(self.begin), self.stack
+        if _still(self.begin, text[at:]):
+            if self.open:
+                self.parts.append(text[at:])
+            return out
+        self.begin = ""
+        for m in _MARKUP.finditer(text):
+            name = m["name"]
+            if name:
+                if not self.open and len(stack) == self.level and name == self.names[-1] and stack == self.names[:-1]:
+                    self.open, self.begun, self.parts, at = True, True, [], m.start()
+                if not m["quoted"] and text[m.end() - 2] != "/":
+                    stack.append(name)
+                    continue
+            elif text[m.start() + 1] == "/":
+                if stack:
+                    stack.pop()
+            elif m.lastgroup not in _BEGUN:
+                continue
+            if m.lastgroup in _BEGUN or m["quoted"]:
+                self.begin = _goes_on(m)
+            elif self.open and len(stack) == self.level:
+                out.append((WHOLE if self.begun else HEAD, None, "".join([*self.parts, text[at : m.end()]])))
+                self.open, self.parts = False, []
+        if self.open:
+            self.parts.append(text[at:])
+        return out
+
+    def end(self):
+        return [(TAIL if self.begun else HEAD, None, "".join(self.parts))] if self.open else []
+
+
+def xml_elements(spark: SparkSession, path, names: list[str]) -> DataFrame:
+    """(of, start, n, mark, text): the elements of XML documents, one document per file, whose names from the root are ``names``."""
+
+    class Summary:
+        def __init__(self, key):
+            self.ends = [(begun, 0, []) for begun in _STARTS]  # inside of what, elements closed, elements opened
+
+        def feed(self, values):
+            text, seen = ">".join(values) + ">", {}
+            for begun in {e[0] for e in self.ends}:
+                closed, opened, inside = 0, [], begun
+                if not _still(begun, text):
+                    inside = ""
+                    for m in _MARKUP.finditer(begun + text):
+                        if m.lastgroup in _BEGUN or m["quoted"]:
+                            inside = _goes_on(m)
+                        elif m["name"]:
+                            if m.string[m.end() - 2] != "/":
+                                opened.append(m["name"])
+                        elif m.string[m.start() + 1] == "/":
+                            if opened:
+                                opened.pop()
+                            else:
+                                closed += 1
+                seen[begun] = inside, closed, opened
+            self.ends = [self._then(*end, *seen[end[0]]) for end in self.ends]
+
+        @staticmethod
+        def _then(_, closed, opened, inside, more, names):
+            left = max(0, len(opened) - more)
+            return inside, closed + max(0, more - len(opened)), opened[:left] + names
+
+        def said(self):
+            return json.dumps(self.ends)
+
+    def after(state, said):
+        known = json.loads(state)
+        begun, tag = known["in"], _ANY
+        if begun[-1:] in ("'", '"'):
+            tag, begun = begun[1:-4], f"<{_ANY} a={begun[-1]}"
+        inside, closed, opened = json.loads(said)[_STARTS.index(begun)]
+        still = known["open"][: max(0, len(known["open"]) - closed)]
+        return json.dumps({"in": inside.replace(_ANY, tag), "open": still + [tag if n == _ANY else n for n in opened]})
+
+    parts = chunks(spark, path, ">", {})
+    states = begin_states(parts, Summary, after, json.dumps({"in": "", "open": []}))
+    return cut_records(parts, states, lambda key, state: _XmlElements(state, names), "")
+
+
 def parsed(reader, texts: DataFrame, kind: str) -> DataFrame:
     """Texts of one column, read by Spark's own CSV or JSON reader."""
     spark = texts.sparkSession
