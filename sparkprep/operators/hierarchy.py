@@ -42,15 +42,14 @@ def hierarchy_paths(
     fields = list(dict.fromkeys(f for f, _, _ in wanted))
 
     # One row per edge, with what the aggregations need of it.
-    stats = []
-    for i, f in enumerate(fields):
-        stats += [
-            F.sum(c(f)).alias(f"s{i}"), F.count(c(f)).alias(f"n{i}"), F.min(c(f)).alias(f"lo{i}"), F.max(c(f)).alias(f"hi{i}")
-        ]
+    asked = {"sum": ("s",), "count": ("n",), "min": ("lo",), "max": ("hi",), "mean": ("s", "n")}
+    kept = {i: {k for g, fn, _ in wanted if g == f for k in asked[fn]} for i, f in enumerate(fields)}
+    made = {"s": F.sum, "n": F.count, "lo": F.min, "hi": F.max}
+    stats = [made[k](c(f)).alias(f"{k}{i}") for i, f in enumerate(fields) for k in made if k in kept[i]]
     stats = stats or [F.count(F.lit(1)).alias("rows")]
     edges = df.where(c(child).isNotNull()).groupBy(c(child).alias("kid"), c(parent).alias("up")).agg(*stats)
     edges = cut(edges if fields else edges.drop("rows"), "edges")
-    totals = [f"{k}{i}" for i in range(len(fields)) for k in ("s", "n", "lo", "hi")]
+    totals = [f"{k}{i}" for i in range(len(fields)) for k in made if k in kept[i]]
 
     nodes = edges.select("kid").distinct()
     kinds = {f.name: f.dataType for f in edges.schema.fields}
@@ -78,12 +77,12 @@ def hierarchy_paths(
         # Where the upper piece first meets a node of the lower one, the path ends with that node.
         meets = F.get(F.array_compact(F.transform("_seen", lambda x, i: F.when(F.array_contains("seen", x), i))), F.lit(0))
         joined = joined.withColumn("_meets", F.when(F.arrays_overlap("seen", "_seen"), meets))
-        kept = F.coalesce("_meets", F.size("_seen"))
+        reach = F.coalesce("_meets", F.size("_seen"))
         closed = F.col("_meets").isNotNull()
         grown = joined.select(
-            "node", F.concat("seen", F.slice("_seen", F.lit(1), kept)).alias("seen"), F.when(~closed, F.col("_at")).alias("at"),
+            "node", F.concat("seen", F.slice("_seen", F.lit(1), reach)).alias("seen"), F.when(~closed, F.col("_at")).alias("at"),
             F.when(closed, F.get("_seen", F.col("_meets"))).otherwise(F.col("_loop")).alias("loop"),
-            *[F.concat(F.col(t), F.slice(F.col(f"_{t}"), F.lit(1), kept)).alias(t) for t in totals], closed.alias("_closed"))
+            *[F.concat(F.col(t), F.slice(F.col(f"_{t}"), F.lit(1), reach)).alias(t) for t in totals], closed.alias("_closed"))
         pieces = cut(grown, "paths")
         # Upper pieces that part only behind the meeting make one path.
         met = pieces.where("_closed").dropDuplicates(["node", "seen", "loop"])
@@ -115,10 +114,10 @@ def hierarchy_paths(
     for f, fn, name in wanted:
         i = fields.index(f)
         value = {
-            "sum": F.coalesce(F.col(f"s{i}"), F.lit(0)), "count": F.coalesce(F.col(f"n{i}"), F.lit(0)),
-            "min": F.col(f"lo{i}"), "max": F.col(f"hi{i}"),
-            "mean": F.when(F.col(f"n{i}") > 0, F.col(f"s{i}") / F.col(f"n{i}")),
-        }[fn]
+            "sum": lambda: F.coalesce(F.col(f"s{i}"), F.lit(0)), "count": lambda: F.coalesce(F.col(f"n{i}"), F.lit(0)),
+            "min": lambda: F.col(f"lo{i}"), "max": lambda: F.col(f"hi{i}"),
+            "mean": lambda: F.when(F.col(f"n{i}") > 0, F.col(f"s{i}") / F.col(f"n{i}")),
+        }[fn]()
         outputs.append(value.alias(name))
     return paths.select(
         F.col("node").alias(child),
