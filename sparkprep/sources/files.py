@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkprep._columns import as_list, c
-from sparkprep.session import _written, shared_folder
+from sparkprep.session import _written, cut, shared_folder
 from sparkprep.sources.splits import chunks, csv_records, json_elements, parsed, runs, xml_elements
 
 _SEPARATORS = [",", ";", "\t", "|", " "]
@@ -222,18 +222,30 @@ def _without_first_lines(spark: SparkSession, path, encoding: str, skip: int, he
 
 
 def _inferred(df: DataFrame) -> DataFrame:
-    """Text columns in the first type that fits all their values; one aggregate over the table."""
+    """Text columns in the first type that fits all their values.
+
+    Casts that fail are dear, so a type is ruled out by one value it does not fit: the least, the greatest, or one that an
+    earlier type did not fit. Each pass over the table tries one type per column, the first that is left.
+    """
     kinds = ("int", "bigint", "double", "boolean", "date", "timestamp_ntz")
-    checks = [
-        F.count_if(c(n).isNotNull() & c(n).try_cast(k).isNull()).alias(f"_{k}{i}") for i, n in enumerate(df.columns) for k in kinds
-    ]
-    filled = [F.count(c(n)).alias(f"_n{i}") for i, n in enumerate(df.columns)]
-    bad = df.agg(*checks, *filled).first()
-    out = []
-    for i, n in enumerate(df.columns):
-        kind = next((k for k in kinds if bad[f"_{k}{i}"] == 0), "string") if bad[f"_n{i}"] else "string"
-        out.append(c(n).cast(kind).alias(n))
-    return df.select(*out)
+    columns = [c(n) for n in df.columns]
+
+    def fits(i: int, *values: str) -> list[Column]:
+        return [reduce(lambda a, b: a & b, [F.col(x).isNull() | F.col(x).try_cast(k).isNotNull() for x in values]).alias(f"_{k}{i}") for k in kinds]
+
+    ends = [x for i, n in enumerate(columns) for x in (F.count(n).alias(f"_n{i}"), F.min(n).alias(f"_l{i}"), F.max(n).alias(f"_h{i}"))]
+    flags = [x for i in range(len(columns)) for x in (F.col(f"_n{i}"), *fits(i, f"_l{i}", f"_h{i}"))]
+    seen = df.agg(*ends).select(*flags).first()
+    left = [[k for k in kinds if seen[f"_{k}{i}"]] if seen[f"_n{i}"] else [] for i in range(len(columns))]
+    unsure = [i for i, some in enumerate(left) if some]
+    while unsure:
+        bad = [F.max(F.when(columns[i].try_cast(left[i][0]).isNull(), columns[i])).alias(f"_b{i}") for i in unsure]
+        seen = df.agg(*bad).select(*[x for i in unsure for x in (F.col(f"_b{i}").isNull().alias(f"_all{i}"), *fits(i, f"_b{i}"))]).first()
+        unsure = [i for i in unsure if not seen[f"_all{i}"]]
+        for i in unsure:
+            left[i] = [k for k in left[i] if seen[f"_{k}{i}"]]
+        unsure = [i for i in unsure if left[i]]
+    return df.select(*[n.cast(some[0] if some else "string").alias(name) for n, some, name in zip(columns, left, df.columns)])
 
 
 def _with_schema(df: DataFrame, schema: str | T.StructType) -> DataFrame:
@@ -313,30 +325,42 @@ def _oriented(elements: DataFrame, orient: str, schema) -> DataFrame:
         """A JSON value as text: strings without quotes, null as null."""
         return F.try_element_at(F.from_json(F.concat(F.lit("["), written, F.lit("]")), "array<string>"), F.lit(1))
 
-    under = elements.withColumn("key", plain(F.col("mark")))
-    key, value = F.regexp_extract("text", _ENTRY, 1), F.regexp_extract("text", _ENTRY, 2)
+    # The keys at depth 1 are few: each is read once, here.
+    names = {} if orient == "index" else {r["mark"]: _plain_key(r["mark"]) for r in elements.select("mark").distinct().collect()}
+
+    def under(name: str) -> DataFrame:
+        return elements.where(F.col("mark").isin([m for m, n in names.items() if n == name]))
+
     if orient == "table":
-        rows = under.where("key = 'data'").select(F.parse_json("text").alias("row"))
+        rows = under("data").select(F.parse_json("text").alias("row"))
     elif orient == "index":
-        rows = elements.select(F.parse_json(value).alias("row"))
+        rows = elements.select(F.parse_json(F.regexp_extract("text", _ENTRY, 2)).alias("row"))
     elif orient == "columns":
-        cells = under.select("of", "key", plain(key).alias("at"), plain(value).alias("value"))
-        pairs = F.map_from_entries(F.collect_list(F.struct("key", "value")))
-        made = cells.groupBy("of", "at").agg(F.to_json(pairs, {"ignoreNullFields": "false"}).alias("row"))
-        names = [r[0] for r in cells.select("key").distinct().collect()]
-        return _typed_texts(made, sorted(names), schema)
+        if None in names.values() or not names:
+            raise ValueError("the JSON document holds no columns of cells by row")
+        entry = F.map_entries(F.from_json(F.concat(F.lit("{"), F.col("text"), F.lit("}")), "map<string,string>"))
+        at = F.coalesce(F.col("e.key"), plain(F.regexp_extract("text", _ENTRY, 1)))
+        cells = elements.select("of", "mark", "text", F.get(entry, F.lit(0)).alias("e")).select("of", "mark", at.alias("at"), F.col("e.value").alias("value"))
+        wanted = sorted(set(names.values()))
+        # A column names a row once, so all its values but one are null.
+        of = [F.col("mark").isin([m for m, n in names.items() if n == name]) for name in wanted]
+        values = [F.max(F.when(mine, F.col("value"))).alias(f"v{i}") for i, mine in enumerate(of)]
+        pivoted = cells.groupBy("of", "at").agg(*values, *[F.count_if(mine).alias(f"n{i}") for i, mine in enumerate(of)])
+        twice = F.greatest(F.lit(0), *[F.col(f"n{i}") for i in range(len(wanted))]) > 1
+        refused = F.raise_error(F.concat(F.lit("a JSON document names a row twice in one column: "), "at")).cast("string")
+        return _typed_texts(pivoted.select(*[F.when(twice, refused).otherwise(F.col(f"v{i}")).alias(n) for i, n in enumerate(wanted)]), schema)
     else:
         # split: the names stand once in each file and come before or behind its rows.
-        heads = under.where("key = 'columns'").groupBy("of").agg(F.sort_array(F.collect_list(F.struct("start", "n", plain(F.col("text")).alias("name")))).alias("c"))
+        heads = under("columns").groupBy("of").agg(F.sort_array(F.collect_list(F.struct("start", "n", plain(F.col("text")).alias("name")))).alias("c"))
         heads = heads.select("of", F.col("c.name").alias("columns"))
         lists = [r[0] for r in heads.select("columns").distinct().collect()]
-        data = under.where("key = 'data'").select("of", F.from_json("text", "array<string>").alias("values"))
+        data = under("data").select("of", F.from_json("text", "array<string>").alias("values"))
         if len(lists) == 1:
             data = data.withColumn("columns", F.array(*[F.lit(n) for n in lists[0]]))
         else:
             data = data.join(heads, "of")
-        made = data.select(F.to_json(F.map_from_arrays("columns", "values"), {"ignoreNullFields": "false"}).alias("row"))
-        return _typed_texts(made, list(dict.fromkeys(n for names in lists for n in names)), schema)
+        made = data.select(F.map_from_arrays("columns", "values").alias("m"))
+        return _typed_texts(made.select(*[F.try_element_at("m", F.lit(n)).alias(n) for n in dict.fromkeys(n for names in lists for n in names)]), schema)
     found = rows.agg(F.schema_of_variant_agg("row")).first()[0]
     from sparkprep.operators.json_ops import _ddl
 
@@ -346,11 +370,15 @@ def _oriented(elements: DataFrame, orient: str, schema) -> DataFrame:
     return rows.select(F.variant_get("row", "$", kind).alias("r")).select("r.*")
 
 
-def _typed_texts(rows: DataFrame, names: list[str], schema: str | T.StructType | None) -> DataFrame:
-    """Cells that arrived as text, by name."""
-    flat = rows.select(F.from_json("row", "map<string,string>").alias("m"))
-    flat = flat.select(*[F.try_element_at("m", F.lit(n)).alias(n) for n in names])
-    return _with_schema(flat, schema) if schema is not None else _inferred(flat)
+def _plain_key(written: str | None) -> str | None:
+    return None if written is None else json.loads(written, strict=False)
+
+
+def _typed_texts(flat: DataFrame, schema: str | T.StructType | None) -> DataFrame:
+    """Cells that arrived as text; they are written once, as their types are found before they are read."""
+    if schema is not None:
+        return _with_schema(flat, schema)
+    return _inferred(cut(flat.toDF(*[f"c{i}" for i in range(len(flat.columns))]), "cells").toDF(*flat.columns))
 
 
 def read_parquet(spark: SparkSession, path: str | list[str], limit: int | None = None) -> DataFrame:

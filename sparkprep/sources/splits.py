@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,26 +34,27 @@ def chunks(spark: SparkSession, path, separator: str, options: dict) -> DataFram
     return lines.select(F.xxhash64("_metadata.file_path").alias("of"), F.col("_metadata.file_block_start").alias("start"), "value")
 
 
-def runs(batches) -> Iterator[tuple[tuple[int, int], list[str]]]:
-    """Runs of rows of one split: ((of, start), values). A split may come in several runs, one behind the other."""
+def runs(batches, arrow: bool = False) -> Iterator[tuple[tuple[int, int], list[str] | pa.Array]]:
+    """Runs of rows of one split: ((of, start), values), a list or an Arrow array. A split may come in several runs, one behind the other."""
     for b in batches:
         of, start = np.asarray(b.column(0)), np.asarray(b.column(1))
         edges = np.flatnonzero((of[1:] != of[:-1]) | (start[1:] != start[:-1])) + 1
         for low, high in zip([0, *edges], [*edges, len(of)]):
             if high > low:
-                yield (int(of[low]), int(start[low])), b.column(2).slice(low, high - low).to_pylist()
+                values = b.column(2).slice(low, high - low)
+                yield (int(of[low]), int(start[low])), values if arrow else values.to_pylist()
 
 
-def begin_states(parts: DataFrame, summary: Callable, after: Callable, first: str) -> dict[tuple[int, int], str]:
+def begin_states(parts: DataFrame, summary: Callable, after: Callable, first: str, arrow: bool = False) -> dict[tuple[int, int], str]:
     """The state in which each split begins.
 
     ``summary(key)`` gives an object with ``feed(values)`` and ``said()`` (text); ``after(state, said)`` the state behind a
-    split. States are texts; each file begins in ``first``.
+    split. States are texts; each file begins in ``first``. With ``arrow``, values come as Arrow arrays.
     """
 
     def look(batches):
         now, walker = None, None
-        for key, values in runs(batches):
+        for key, values in runs(batches, arrow):
             if key != now:
                 if walker:
                     yield pa.RecordBatch.from_pydict({"of": [now[0]], "start": [now[1]], "said": [walker.said()]})
@@ -79,9 +81,10 @@ def begin_states(parts: DataFrame, summary: Callable, after: Callable, first: st
     return {(r["of"], r["start"]): r["state"] for r in states.collect()}
 
 
-def cut_records(parts: DataFrame, states: dict, cutter: Callable, joint: str) -> DataFrame:
+def cut_records(parts: DataFrame, states: dict, cutter: Callable, joint: str, arrow: bool = False) -> DataFrame:
     """(of, start, n, mark, text): the records. ``cutter(key, state)`` gives an object with ``feed(values)`` and ``end()``, both
-    lists of (kind, mark, text); pieces of one record are joined with ``joint``. ``n`` counts the pieces of a split."""
+    lists of (kind, mark, text); pieces of one record are joined with ``joint``. ``n`` counts the pieces of a split. With
+    ``arrow``, values are Arrow arrays and both give three of these (kinds, marks, texts) or nothing."""
     shared = parts.sparkSession.sparkContext.broadcast(states)  # one short text per split
 
     def pieces(batches):
@@ -89,14 +92,14 @@ def cut_records(parts: DataFrame, states: dict, cutter: Callable, joint: str) ->
 
         def rows(found):
             nonlocal n
-            n += len(found)
-            kinds, marks, texts = zip(*found)
-            size = len(found)
+            columns = found if arrow else [pa.array(x, kind) for x, kind in zip(zip(*found), (pa.int32(), pa.string(), pa.string()))]
+            size = len(columns[0])
+            n += size
             return pa.RecordBatch.from_arrays(
-                [pa.array([now[0]] * size, pa.int64()), pa.array([now[1]] * size, pa.int64()), pa.array(range(n - size, n), pa.int64()),
-                 pa.array(kinds, pa.int32()), pa.array(marks, pa.string()), pa.array(texts, pa.string())], ["of", "start", "n", "kind", "mark", "text"])
+                [pa.array(np.full(size, now[0])), pa.array(np.full(size, now[1])), pa.array(np.arange(n - size, n)), *columns],
+                ["of", "start", "n", "kind", "mark", "text"])
 
-        for key, values in runs(batches):
+        for key, values in runs(batches, arrow):
             if key != now:
                 if walker and (found := walker.end()):
                     yield rows(found)
@@ -222,23 +225,33 @@ def csv_records(spark: SparkSession, path, separator: str, quote: str, escape: s
 
 # JSON: a state is whether a split begins inside of a string, how deep, what bracket began the document, and the last key at depth 1.
 
-_STRING = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"', re.DOTALL)
-_CLOSE = re.compile(r'[^"\\]*(?:\\.[^"\\]*)*"', re.DOTALL)
-_TOKEN = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*("?)|[\[\]{},]', re.DOTALL)
+_OPEN, _SHUT, _COMMA, _QUOTE = 1, -1, 2, 3
+_SIGNS = np.zeros(256, np.int8)
+for _sign, _bytes in ((_OPEN, b"[{"), (_SHUT, b"]}"), (_COMMA, b","), (_QUOTE, b'"')):
+    _SIGNS[list(_bytes)] = _sign
 
 
-def _through(text: str, inside: bool) -> tuple[bool, int]:
-    """Whether ``text`` ends inside of a string, and by how much it goes deeper."""
-    at = 0
-    if inside:
-        closed = _CLOSE.match(text)
-        if not closed:
-            return True, 0
-        at = closed.end()
-    bare = _STRING.sub("", text[at:])
-    cut_at = bare.find('"')
-    bare = bare if cut_at < 0 else bare[:cut_at]
-    return cut_at >= 0, bare.count("{") + bare.count("[") - bare.count("}") - bare.count("]")
+def _bytes_of(values: pa.Array, separator: str) -> np.ndarray:
+    """The pieces, each with the separator behind it."""
+    values.validate(full=True)
+    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), separator)
+    return np.frombuffer(whole[0].as_buffer().to_pybytes() + separator.encode(), np.uint8)
+
+
+def _signs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the brackets, commas and quotes; escaped quotes are left out."""
+    places = np.flatnonzero(_SIGNS[data])
+    signs = _SIGNS[data[places]]
+    quotes = np.flatnonzero(signs == _QUOTE)
+    behind = quotes[data[places[quotes] - 1] == 92]  # behind a backslash (or at 0, behind the separator at the end)
+    if len(behind):
+        others = np.flatnonzero(data != 92)
+        k = np.searchsorted(others, places[behind])
+        last = np.where(k > 0, others[k - 1], -1)
+        keep = np.ones(len(places), bool)
+        keep[behind[(places[behind] - last) % 2 == 0]] = False
+        places, signs = places[keep], signs[keep]
+    return places, signs
 
 
 class _Elements:
@@ -250,63 +263,96 @@ class _Elements:
         self.level = 0 if known["flat"] and known["root"] == "{" else level
         self.first, self.flat = key[1] == 0, known["flat"]
         self.begun, self.parts, self.done = False, [], not self.first and self.depth <= 0
+        self.key_part = None  # the beginning of a key whose end is still to come
 
-    def feed(self, values: list[str]):
-        text = self.separator.join(values) + self.separator
-        out, begin, at = [], 0, 0
-        if self.done:
-            return out
+    def look(self, values: pa.Array):
+        """(bytes, places, signs, depths behind them) of the brackets and commas outside of strings, up to the document's end,
+        and of level 2 the places and texts of the strings at depth 1, the first being the last one before."""
+        data = _bytes_of(values, self.separator)
         if self.first:
-            text = text.removeprefix("\ufeff").lstrip()
+            text = data.tobytes().decode().removeprefix("\ufeff").lstrip()
             self.first = not text
             if self.flat and text.startswith("{"):
                 self.level, self.begun = 0, True
-        level = self.level
-        if self.inside:
-            closed = _CLOSE.match(text)
-            if not closed:
-                self.parts.append(text)
-                return out
-            at, self.inside = closed.end(), False
-        for m in _TOKEN.finditer(text, at):
-            sign = text[m.start()]
-            if sign == '"':
-                if not m.group(1):
-                    self.inside = True
-                elif self.depth == 1 and level == 2:
-                    self.key = m.group()
-            elif sign in "[{":
-                self.depth += 1
-                if self.depth == level:
-                    begin, self.parts, self.begun = m.end(), [], True
-            elif sign == ",":
-                if self.depth == level:
-                    out.append(self._element(text[begin : m.start()]))
-                    begin = m.end()
-            else:
-                if self.depth == level:
-                    out.append(self._element(text[begin : m.start()]))
-                    begin = m.end()
-                self.depth -= 1
-                if self.depth == 0:
-                    if level == 0:
-                        out.append(self._element(text[begin : m.end()]))
-                    self.done = True
-                    break
-        if not self.done and self.depth >= level:
-            self.parts.append(text[begin:])
+            data = np.frombuffer(text.encode(), np.uint8)
+        places, signs = _signs(data)
+        quote = signs == _QUOTE
+        within = (np.cumsum(quote) + self.inside) % 2 == 1  # behind the sign
+        depth = self.depth + np.cumsum(np.where(within | quote | (signs == _COMMA), 0, signs))
+        over = np.flatnonzero((signs == _SHUT) & ~within & (depth == 0))
+        if len(over):
+            self.done = True
+            places, signs, quote, within, depth = (x[: over[0] + 1] for x in (places, signs, quote, within, depth))
+        keys_at, keys = [-1], [self.key]
+        if self.level == 2:
+            ends = np.flatnonzero(quote)
+            if self.inside and self.key_part is not None:
+                if len(ends):
+                    keys_at.append(0)
+                    keys.append((self.key_part + data[: places[ends[0]] + 1].tobytes()).decode())
+                    self.key_part = None
+                else:
+                    self.key_part += data.tobytes()
+            begins = ends[within[ends] & (depth[ends] == 1)]
+            closed = np.searchsorted(ends, begins) + 1
+            for i, j in zip(begins, closed):
+                if j < len(ends):
+                    keys_at.append(int(places[i]))
+                    keys.append(data[places[i] : places[ends[j]] + 1].tobytes().decode())
+                else:
+                    self.key_part = data[places[i] :].tobytes()
+            self.key = keys[-1]
+        if len(places):
+            self.inside, self.depth = int(within[-1]), int(depth[-1])
+        plain = ~quote & ~within
+        return data, places[plain], signs[plain], depth[plain], keys_at, keys
+
+    def feed(self, values: pa.Array):
+        if self.done:
+            return None
+        was = self.depth
+        data, at, sign, depth, keys_at, keys = self.look(values)
+        level, last = self.level, 0
+        if level == 0:
+            if not self.done:
+                self.parts.append(data.tobytes())
+                return None
+            return self._found(np.array([0]), at[-1:] + 1, data, keys_at, keys)
+        edge = np.flatnonzero(np.where(sign == _SHUT, depth + 1, depth) == level)
+        begins, ends, emit = np.concatenate(([0], at[edge] + 1)), at[edge], sign[edge] != _OPEN
+        if len(edge):
+            last = int(begins[-1])
+            if not emit[0]:
+                self.begun, self.parts = True, []
+        out = self._found(begins[:-1][emit], ends[emit], data, keys_at, keys) if emit.any() else None
+        if not self.done and (self.depth if len(at) else was) >= level:
+            self.parts.append(data[last:].tobytes())
         return out
 
-    def _element(self, last: str):
-        kind = WHOLE if self.begun else HEAD
-        text = "".join([*self.parts, last])
+    def _found(self, begins, ends, data, keys_at, keys):
+        """Kinds, marks and texts of the stretches; the first one ends what earlier runs began."""
+        kinds = np.full(len(ends), WHOLE, np.int32)
+        kinds[0] = WHOLE if self.begun else HEAD
+        head = b"".join([*self.parts, data[begins[0] : ends[0]].tobytes()])
         self.parts, self.begun = [], True
-        return kind, self.key if self.level == 2 else None, text
+        edges = np.zeros(len(data) + 1, np.int8)
+        edges[begins[1:]] += 1
+        edges[ends[1:]] -= 1
+        texts = head + data[np.cumsum(edges[:-1], dtype=np.int8).view(bool)].tobytes()
+        offsets = np.cumsum(np.concatenate(([0, len(head)], ends[1:] - begins[1:])))
+        texts = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(texts)).cast(pa.string())
+        if self.level == 2:
+            which = pa.array(np.searchsorted(np.array(keys_at), ends) - 1)
+            marks = pa.array(keys, pa.string()).take(which)
+        else:
+            marks = pa.nulls(len(ends), pa.string())
+        return pa.array(kinds), marks, texts
 
     def end(self):
         if self.done or self.depth < self.level:
-            return []
-        return [(TAIL if self.begun else HEAD, self.key if self.level == 2 else None, "".join(self.parts))]
+            return None
+        kind, key = TAIL if self.begun else HEAD, self.key if self.level == 2 else None
+        return pa.array([kind], pa.int32()), pa.array([key], pa.string()), pa.array([b"".join(self.parts).decode()], pa.string())
 
 
 def json_elements(spark: SparkSession, path, level: int, flat: bool, options: dict) -> DataFrame:
@@ -322,13 +368,17 @@ def json_elements(spark: SparkSession, path, level: int, flat: bool, options: di
             self.first, self.ends, self.root = key[1] == 0, [(False, 0), (True, 0)], None
 
         def feed(self, values):
-            text = separator.join(values) + separator
+            data = _bytes_of(values, separator)
             if self.first and not self.root:
-                head = text.removeprefix("\ufeff").lstrip()
+                head = data.tobytes().decode().removeprefix("\ufeff").lstrip()
                 self.root = head[:1] or None
-            for i in (0, 1):
-                inside, more = _through(text, self.ends[i][0])
-                self.ends[i] = (inside, self.ends[i][1] + more)
+            _, signs = _signs(data)
+            within = np.cumsum(signs == _QUOTE) % 2
+            bracket = np.abs(signs) == 1
+            # What lies outside of strings if the data begins there lies inside otherwise, and the other way round.
+            more = [int(signs[bracket & (within == i)].sum()) for i in (0, 1)]
+            odd = bool(len(within) and within[-1])
+            self.ends = [(inside != odd, depth + more[inside]) for inside, depth in self.ends]
 
         def said(self):
             return json.dumps([self.ends, self.root])
@@ -339,23 +389,23 @@ def json_elements(spark: SparkSession, path, level: int, flat: bool, options: di
         return json.dumps(known | {"in": int(inside), "depth": known["depth"] + more, "root": known["root"] or root})
 
     parts = chunks(spark, path, separator, options)
-    states = begin_states(parts, Summary, after, json.dumps({"in": 0, "depth": 0, "root": None, "key": None, "flat": flat}))
+    states = begin_states(parts, Summary, after, json.dumps({"in": 0, "depth": 0, "root": None, "key": None, "flat": flat}), True)
     if level == 2:
         class Keys(_Elements):
             def __init__(self, key):
                 super().__init__(key, states[key], level, separator)
 
             def feed(self, values):
-                super().feed(values)
-                self.parts = []
+                if not self.done:
+                    self.look(values)
 
             def said(self):
                 return json.dumps(self.key)
 
-        keys = begin_states(parts, Keys, lambda state, said: said if said != "null" else state, "null")
+        keys = begin_states(parts, Keys, lambda state, said: said if said != "null" else state, "null", True)
         states = {k: json.dumps(json.loads(s) | {"key": json.loads(keys[k])}) for k, s in states.items()}
-    found = cut_records(parts, states, lambda key, state: _Elements(key, state, level, separator), "")
-    return found.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+    found = cut_records(parts, states, lambda key, state: _Elements(key, state, level, separator), "", True)
+    return found.where(F.col("text").rlike(r"\S"))
 
 
 # XML: a state is the markup a split begins inside of, as a beginning that may be put before the split's text, and the open elements.
