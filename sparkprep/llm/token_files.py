@@ -14,7 +14,9 @@ and any store that Spark can write to will do.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 
@@ -24,11 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprep.llm.words import text_slices, word_hashes, word_places
+from sparkprep.llm.words import ragged, text_slices, word_hashes, word_places
 
 BLOCK_IDS = 4096
 SHARD_IDS = 1_000_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
+BATCH_WORDS = 20_000
 _MAGIC = b"TOKBITS1"
 _HEAD = "<8sIIQQq"
 
@@ -95,12 +98,87 @@ class Shard:
         return np.concatenate(parts)[start - low * self.block : stop - low * self.block]
 
 
+class WordIds:
+    """A tokenizer whose tokens never go over white space, and the ids of the words it has met, as arrays sorted by hash."""
+
+    def __init__(self, described: str):
+        from tokenizers import Tokenizer
+
+        self.described, self.encoder = described, Tokenizer.from_str(described)
+        specials = [t["content"] for t in json.loads(described).get("added_tokens") or []]
+        self.specials = re.compile("|".join(map(re.escape, specials))) if specials else None
+        self.hashes, self.begins, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.again = np.zeros(0, bool)  # met in more than one slice
+        self.ids = np.zeros(0, np.uint32)
+
+    def encode(self, words: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words with a line break behind each one, and how many each word has."""
+        text = words.decode()
+        if self.specials and self.specials.search(text):
+            # Special tokens may take white space beside them, so these words are encoded one by one.
+            found = [e.ids for e in self.encoder.encode_batch(text.split("\n")[:-1], add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+        coded = self.encoder.encode(text, add_special_tokens=False)
+        breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 10)
+        of = np.searchsorted(breaks, np.fromiter((a for a, _ in coded.offsets), np.int64, len(coded)))
+        return np.array(coded.ids, np.uint32), np.bincount(of, minlength=len(breaks)).astype(np.int64)
+
+    def slice_ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """The ids of all words, one after another, and how many each one has. New words are encoded, each once."""
+        hashes, at, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        known = self.hashes[place] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        self.again[place[known]] = True
+        new = np.flatnonzero(~known)
+        low, high = starts[at[new]], ends[at[new]]
+        ids, sizes = [self.ids], [np.zeros(0, np.int64)]
+        first, until = 0, np.cumsum(high - low)
+        while first < len(new):
+            last = min(first + BATCH_WORDS, max(first + 1, int(np.searchsorted(until, until[first] + 1_000_000))))
+            lengths = high[first:last] - low[first:last]
+            some = np.full(int(lengths.sum()) + last - first, 10, np.uint8)
+            some[ragged(np.cumsum(lengths + 1) - lengths - 1, lengths)] = data[ragged(low[first:last], lengths)]
+            found, counts = self.encode(some.tobytes())
+            ids.append(found)
+            sizes.append(counts)
+            first = last
+        added = np.concatenate(sizes)
+        begins = np.cumsum(added) - added + len(self.ids)
+        self.ids = np.concatenate(ids)
+        order = np.argsort(np.concatenate((self.hashes, hashes[new])), kind="stable")
+        self.hashes, self.begins, self.sizes, self.again = (
+            np.concatenate(x)[order] for x in ((self.hashes, hashes[new]), (self.begins, begins), (self.sizes, added), (self.again, np.zeros(len(new), bool))))
+        place = np.searchsorted(self.hashes, hashes)[inverse]
+        sizes = self.sizes[place]
+        out = self.ids[ragged(self.begins[place], sizes)]
+        if len(self.hashes) > CACHE_WORDS:
+            self._forget()
+        return out, sizes
+
+    def _forget(self):
+        """Keep the words met in several slices, or none if they are more than half of what may be held."""
+        keep = self.again if self.again.sum() <= CACHE_WORDS // 2 else np.zeros(len(self.again), bool)
+        self.ids = self.ids[ragged(self.begins[keep], self.sizes[keep])]
+        self.hashes, self.sizes = self.hashes[keep], self.sizes[keep]
+        self.begins, self.again = np.cumsum(self.sizes) - self.sizes, np.zeros(len(self.sizes), bool)
+
+
+_loaded: list[WordIds] = []  # of this worker: one tokenizer and the words it has met
+
+
+def _word_ids(described: str) -> WordIds:
+    if not _loaded or _loaded[0].described != described:
+        _loaded[:] = [WordIds(described)]
+    return _loaded[0]
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
                  end_id: int = 1, parts: int | None = None) -> None:
     """Encode every text, end it with ``end_id``, and write shards to ``path`` in ascending order of ids (null first).
 
     Null and empty texts hold the end id alone. Equal ids are ordered by a hash of their text. Other columns are not
-    looked at. White space parts the tokens of this kind of tokenizer, so each distinct word is encoded once.
+    looked at. White space parts the tokens of this kind of tokenizer, so a worker encodes each distinct word once, as long as it
+    holds it (``CACHE_WORDS``).
     """
     from tokenizers import Tokenizer
 
@@ -114,8 +192,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 
     def encode(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Tokenizer.from_str(shared.value)
-        known: dict[int, bytes] = {}
+        encoder = _word_ids(shared.value)
         part, shard, before = TaskContext.get().partitionId(), 0, 0
         doc_ids, lengths, pieces, held = [], [], [], 0
 
@@ -132,23 +209,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             names = b.column(0).to_pylist()
             for first, end, data, offsets in text_slices(b.column(1)):
                 starts, ends, of_text = word_places(data, offsets)
-                hashes, at, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-                keys = hashes.tolist()
-                if len(known) + len(keys) > CACHE_WORDS:
-                    known.clear()
-                new = [i for i, h in enumerate(keys) if h not in known]
-                text = data.tobytes()
-                words = [text[starts[i] : ends[i]].decode() for i in at[new]]
-                for i in range(0, len(words), 20_000):
-                    for k, e in zip(new[i : i + 20_000], encoder.encode_batch(words[i : i + 20_000], add_special_tokens=False)):
-                        known[keys[k]] = np.array(e.ids, "<u4").tobytes()
-                coded = [known[h] for h in keys]
-                sizes = np.array([len(x) // 4 for x in coded], np.int64)
-                flat = np.frombuffer(b"".join(coded), "<u4")
-                begin = np.concatenate(([0], np.cumsum(sizes)))
-                per_word = sizes[inverse]
+                ids, per_word = encoder.slice_ids(data, starts, ends)
                 total = np.concatenate(([0], np.cumsum(per_word)))
-                ids = flat[np.repeat(begin[inverse] - total[:-1], per_word) + np.arange(total[-1])]
                 cuts = total[of_text]
                 for row in range(first, end):
                     doc_ids.append(names[row])

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -275,3 +276,34 @@ def test_a_very_long_walk():
     text = "".join(random.Random(1).choices("abcdefgh ", k=600_000))
     a, b = module.fingerprints([text, text[:300_000] + "!" + text[300_000:]])
     assert (a == b).mean() > 0.8
+
+
+def test_word_ids_are_kept_between_slices(monkeypatch):
+    """Each word is encoded once, also when more words come than one slice holds; odd words have the library's ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from sparkprep.llm import token_files, words
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        described = f.read()
+    library, held = Tokenizer.from_str(described), token_files.WordIds(described)
+    encoded = []
+    first = held.encode
+    monkeypatch.setattr(held, "encode", lambda x: encoded.extend(x.decode().split("\n")[:-1]) or first(x))
+
+    def ids_of(texts):
+        out = []
+        for begin, end, data, offsets in words.text_slices(pa.array(texts), 200):
+            starts, ends, of = words.word_places(data, offsets)
+            ids, sizes = held.slice_ids(data, starts, ends)
+            total = np.concatenate(([0], np.cumsum(sizes)))[of]
+            out += [ids[total[i] : total[i + 1]].tolist() for i in range(end - begin)]
+        return out
+
+    texts = [f"w{i % 300} é İx a b <|endoftext|>x \u0085 it's ́" for i in range(900)] + ["", None, "y" * 5000]
+    want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert ids_of(texts) == want
+    assert len(encoded) == len(set(encoded))
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 40)
+    assert ids_of(texts) == want and len(held.hashes) <= 60
