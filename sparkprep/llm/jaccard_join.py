@@ -65,8 +65,10 @@ def shingle_sets(texts, shingle: int = SHINGLE):
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """A bit for each hash, in a number of bits that is a power of two from 64 up, at least four times the number of hashes."""
-    bits = 1 << max(6, (4 * len(hashes) - 1).bit_length())
+    """A bit for each hash, in a number of bits that is a power of two from 64 up: at least four times the number of hashes, from 1024
+    bits on twice (long bitmaps are most of what is shuffled, and sets of that size differ in enough bits)."""
+    n = len(hashes)
+    bits = 1 << max(6, min((4 * n - 1).bit_length(), max(10, (2 * n - 1).bit_length())))
     marks = np.zeros(bits, np.uint8)
     marks[(hashes >> np.uint64(20)) & np.uint64(bits - 1)] = 1
     return np.packbits(marks, bitorder="little").tobytes()
