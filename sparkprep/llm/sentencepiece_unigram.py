@@ -26,6 +26,7 @@ from sparkprep.llm.words import text_slices, word_hashes
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHE_STRETCHES = 200_000
+_SLICE = 500_000  # bytes of text a worker encodes together: its arrays take some 100 times that
 _SIDE_BY_SIDE = 48  # bytes; longer stretches are segmented one by one
 # Fixed values of the file format: the kinds of pieces.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -286,9 +287,10 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text"
         shown, places = np.frombuffer(b"".join(table), np.uint8), np.concatenate(([0], np.cumsum([len(b) for b in table])))
         for b in batches:
             given = pa.compute.struct_field(b.column(0), index).cast(pa.string()).fill_null("")
-            marked = pa.compute.replace_substring(given, MARK, " ")
-            marked = pa.compute.if_else(pa.compute.equal(marked, ""), "", pa.compute.binary_join_element_wise(" ", marked, ""))
-            for first, end, data, offsets in text_slices(marked):
+            for first, end, _, _ in text_slices(given, _SLICE):
+                marked = pa.compute.replace_substring(given.slice(first, end - first), MARK, " ")
+                marked = pa.compute.if_else(pa.compute.equal(marked, ""), "", pa.compute.binary_join_element_wise(" ", marked, ""))
+                _, _, data, offsets = next(text_slices(marked, 2**62))
                 starts, ends, of_text = _stretches(data, offsets)
                 hashes, at, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
                 keys = hashes.tolist()

@@ -28,6 +28,7 @@ SAMPLE_ROWS = 20_000
 TERMS = 2_000
 LEXICONS = 12
 VOTERS = LEXICONS + 4
+_SLICE = 500_000  # bytes of text a worker looks at together: its arrays take some 100 times that
 _CUTS = (0, 4, 5, 6, 7, 8)  # whole words, and the first bytes of longer words
 
 
@@ -45,13 +46,13 @@ def _terms(data, starts, ends):
 
 def _patterns(data, offsets):
     """Four dense features per text: shares of capitals, exclamation marks, other signs and digits, scaled to about 0..1."""
-    kinds = np.zeros((4, len(data) + 1))
-    kinds[0, 1:] = (data >= 65) & (data <= 90)
-    kinds[1, 1:] = data == 33
-    kinds[2, 1:] = ((data >= 35) & (data <= 38)) | (data == 42) | (data == 64)
-    kinds[3, 1:] = (data >= 48) & (data <= 57)
-    sums = np.cumsum(kinds, axis=1)[:, offsets]
-    share = np.diff(sums, axis=1) / np.maximum(np.diff(offsets), 1)
+    share = np.zeros((4, len(offsets) - 1))
+    sums, sizes = np.zeros(len(data) + 1, np.int64), np.maximum(np.diff(offsets), 1)
+    for kind, marks in enumerate((
+        (data >= 65) & (data <= 90), data == 33,
+        ((data >= 35) & (data <= 38)) | (data == 42) | (data == 64), (data >= 48) & (data <= 57))):
+        np.cumsum(marks, out=sums[1:])
+        share[kind] = np.diff(sums[offsets]) / sizes
     return np.minimum(share.T * np.array([4, 50, 50, 10]), 1.0)
 
 
@@ -167,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def count(batches):
         for b in batches:
             y = np.asarray(b.column(1)).astype(np.int64)
-            for first, _, data, offsets in text_slices(b.column(0)):
+            for first, _, data, offsets in text_slices(b.column(0), _SLICE):
                 t, h, twice = _pairs(data, offsets)
                 h, inverse = np.unique(h, return_inverse=True)
                 sums = [np.bincount(inverse, w, len(h)) for w in (y[first + t], None, y[first + t] * twice, twice)]
@@ -196,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def features(batches):
         for b in batches:
-            for _, _, data, offsets in text_slices(b.column(0)):
+            for _, _, data, offsets in text_slices(b.column(0), _SLICE):
                 m = len(offsets) - 1
                 t, place = _known(data, offsets, terms, need)
                 dense = _patterns(data, offsets)
@@ -264,7 +265,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity, text_col: str = "text") ->
 
     def score(batches):
         for b in batches:
-            parts = [model.score_slice(data, offsets) for _, _, data, offsets in text_slices(pa.compute.struct_field(b.column(0), index).cast(pa.string()))]
+            parts = [model.score_slice(data, offsets) for _, _, data, offsets in text_slices(pa.compute.struct_field(b.column(0), index).cast(pa.string()), _SLICE)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0))], ["row", "score"])
 
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("score", T.DoubleType())])

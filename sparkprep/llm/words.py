@@ -81,7 +81,10 @@ def run_places(filled: np.ndarray, offsets: np.ndarray):
 def byte_sums(data: np.ndarray) -> np.ndarray:
     """Running sums from which ``hashes_of`` takes the hash of any stretch of ``data``."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * _powers(_room(len(data)))[0][: len(data)], out=sums[1:])
+    own = sums[1:]
+    own[:] = _BYTES[data]
+    own *= _powers(_room(len(data)))[0][: len(data)]
+    np.cumsum(own, out=own)
     return sums
 
 
