@@ -32,6 +32,10 @@ BLOCK_IDS = 4096
 SHARD_IDS = 1_000_000
 CACHE_WORDS = 1_000_000
 BATCH_WORDS = 20_000
+# The splitter whose tokens never hold letters with anything else, and never two digits; apostrophes are its one exception.
+_CLASSES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTER, _DIGIT, _SIGN, _OTHER, _SPACE = range(5)
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MAGIC = b"TOKBITS1"
 _HEAD = "<8sIIQQq"
 
@@ -98,6 +102,25 @@ class Shard:
         return np.concatenate(parts)[start - low * self.block : stop - low * self.block]
 
 
+def _kinds(described: dict) -> bytes | None:
+    """The kind of each byte for ``WordIds.cut``; none if the tokenizer may join or look beyond letters, digits and signs."""
+    normal, split, model = (described.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    steps, splits = normal.get("normalizers", [normal]), split.get("pretokenizers", [split])
+    plain = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "})
+    first = {"type": "Split", "pattern": {"Regex": _CLASSES}, "behavior": "Removed", "invert": True}
+    second = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    if any(x not in plain for x in steps) or {"type": "Lowercase"} not in steps or model.get("type") != "BPE" or model.get("dropout") or not model.get("end_of_word_suffix"):
+        return None
+    if len(splits) != 2 or splits[0] != first or splits[1] | second != splits[1] or described.get("post_processor"):
+        return None
+    kinds = np.full(256, _OTHER, np.uint8)
+    kinds[33:127], kinds[48:58], kinds[65:91], kinds[97:123], kinds[9:14], kinds[32] = _SIGN, _DIGIT, _LETTER, _LETTER, _SPACE, _SPACE
+    begins = "'" + "".join(c for t in described.get("added_tokens") or [] for c in (t["content"][:1].lower(), t["content"][:1].upper()))
+    kinds[[ord(c) for c in begins if c.isascii()]] = _OTHER
+    kinds[0xC3] = _LETTER if begins.isascii() else _OTHER
+    return kinds.tobytes()
+
+
 class WordIds:
     """A tokenizer whose tokens never go over white space, and the ids of the words it has met, as arrays sorted by hash."""
 
@@ -105,12 +128,60 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.described, self.encoder = described, Tokenizer.from_str(described)
-        specials = [t["content"] for t in json.loads(described).get("added_tokens") or []]
+        parts = json.loads(described)
+        self.kinds = _kinds(parts)
+        if self.kinds is not None:
+            self.lowered = Tokenizer.from_str(json.dumps(parts | {"normalizer": None}))
+            ids = self.encoder.get_vocab(with_added_tokens=True)
+            self.final = np.zeros(max(ids.values()) + 1, bool)
+            self.final[[i for w, i in ids.items() if w.endswith(parts["model"]["end_of_word_suffix"])]] = True
+        specials = [t["content"] for t in parts.get("added_tokens") or []]
         self.specials = re.compile("|".join(map(re.escape, specials))) if specials else None
         self.hashes, self.begins, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.again = np.zeros(0, bool)  # met in more than one slice
         self.ids = np.zeros(0, np.uint32)
 
+    def cut(self, data: np.ndarray, offsets: np.ndarray):
+        """The bytes to look up, ``word_places`` and which places are plain: words of Latin-1 letters, digits and signs are lowered and cut.
+
+        Their tokens are those of their runs of letters, their digits one by one, and their runs of signs. There are far
+        fewer of these than of words with a comma behind them and the like. NFC leaves such words as they are.
+        """
+        starts, ends, of_text = word_places(data, offsets)
+        if self.kinds is None or not len(starts):
+            return data, starts, ends, of_text, np.zeros(len(starts), bool)
+        raw = data.tobytes()
+        kind = np.frombuffer(raw.translate(self.kinds), np.uint8).copy()
+        latin = np.flatnonzero(data[:-1] == 0xC3) + 1  # the second bytes of U+00C0 to U+00FF: letters but for two
+        second = data[latin]
+        kind[latin] = np.where((second == 0x97) | (second == 0xB7), _OTHER, _LETTER)
+        odd = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(kind == _OTHER, out=odd[1:])
+        whole = odd[ends] > odd[starts]
+        edge = np.zeros(len(data) + 1, np.int8)
+        edge[starts[whole]] += 1
+        edge[ends[whole]] -= 1
+        plain = np.cumsum(edge[:-1], dtype=np.int8) == 0
+        first = plain & (kind != _SPACE)
+        first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        begins = np.zeros(len(data), bool)
+        begins[starts] = True
+        places = np.flatnonzero(first | begins)
+        word = np.cumsum(begins[places]) - 1
+        stops = np.minimum(np.append(places[1:], len(data)), ends[word])
+        low = np.where(plain, np.frombuffer(raw.translate(_LOWER), np.uint8), data)
+        low[latin] += np.where(plain[latin] & (second <= 0x9E), 32, 0).astype(np.uint8)
+        return low, places, stops, np.searchsorted(places, offsets), ~whole[word]
+
+    def encode_plain(self, pieces: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` for plain pieces: nothing to normalise, and each one's last token is the one with the suffix."""
+        coded = self.lowered.encode_batch_fast([pieces.decode()], add_special_tokens=False)[0]
+        ids = np.array(coded.ids, np.uint32)
+        last = np.flatnonzero(self.final[ids])
+        if len(last) != pieces.count(b"\n") or len(last) and last[-1] != len(ids) - 1:  # letters that the vocabulary lacks
+            return self.encode(pieces)
+        return ids, np.diff(last, prepend=-1)
+
     def encode(self, words: bytes) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words with a line break behind each one, and how many each word has."""
         text = words.decode()
@@ -123,22 +194,29 @@ class WordIds:
         of = np.searchsorted(breaks, np.fromiter((a for a, _ in coded.offsets), np.int64, len(coded)))
         return np.array(coded.ids, np.uint32), np.bincount(of, minlength=len(breaks)).astype(np.int64)
 
-    def slice_ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        """The ids of all words, one after another, and how many each one has. New words are encoded, each once."""
+    def slice_ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray | None = None):
+        """The ids of all words, one after another, and how many each one has. New words are encoded, each once.
+
+        ``plain`` marks those that ``encode_plain`` may take.
+        """
         hashes, at, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         place = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
         known = self.hashes[place] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
         self.again[place[known]] = True
         new = np.flatnonzero(~known)
+        simple = np.zeros(len(new), bool) if plain is None else plain[at[new]]
+        new = np.concatenate((new[~simple], new[simple]))
+        others = len(new) - int(simple.sum())
         low, high = starts[at[new]], ends[at[new]]
         ids, sizes = [self.ids], [np.zeros(0, np.int64)]
         first, until = 0, np.cumsum(high - low)
         while first < len(new):
             last = min(first + BATCH_WORDS, max(first + 1, int(np.searchsorted(until, until[first] + 1_000_000))))
+            last = min(last, others) if first < others else last
             lengths = high[first:last] - low[first:last]
             some = np.full(int(lengths.sum()) + last - first, 10, np.uint8)
             some[ragged(np.cumsum(lengths + 1) - lengths - 1, lengths)] = data[ragged(low[first:last], lengths)]
-            found, counts = self.encode(some.tobytes())
+            found, counts = (self.encode if first < others else self.encode_plain)(some.tobytes())
             ids.append(found)
             sizes.append(counts)
             first = last
@@ -178,7 +256,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 
     Null and empty texts hold the end id alone. Equal ids are ordered by a hash of their text. Other columns are not
     looked at. White space parts the tokens of this kind of tokenizer, so a worker encodes each distinct word once, as long as it
-    holds it (``CACHE_WORDS``).
+    holds it (``CACHE_WORDS``); where the splitter is known to keep letters, digits and signs apart, each run of these.
     """
     from tokenizers import Tokenizer
 
@@ -208,8 +286,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         for b in batches:
             names = b.column(0).to_pylist()
             for first, end, data, offsets in text_slices(b.column(1)):
-                starts, ends, of_text = word_places(data, offsets)
-                ids, per_word = encoder.slice_ids(data, starts, ends)
+                data, starts, ends, of_text, plain = encoder.cut(data, offsets)
+                ids, per_word = encoder.slice_ids(data, starts, ends, plain)
                 total = np.concatenate(([0], np.cumsum(per_word)))
                 cuts = total[of_text]
                 for row in range(first, end):

@@ -1,4 +1,4 @@
-"""What one Python worker holds."""
+"""What one Python worker holds, and what it asks of the library."""
 
 import tracemalloc
 
@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from sparkprep.llm import toxicity, words
+from sparkprep.llm import token_files, toxicity, words
 from sparkprep.llm.sentencepiece_unigram import encode_texts, load_vocabulary
 
 
@@ -40,3 +41,50 @@ def test_arrays_of_a_worker(spark, monkeypatch, stage):
         tracemalloc.stop()
     assert rows == batch.num_rows
     assert peak < 60e6, peak
+
+
+def _described():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def _coded(held, texts):
+    for first, _, data, offsets in words.text_slices(pa.array(texts)):
+        data, starts, ends, of_text, plain = held.cut(data, offsets)
+        ids, sizes = held.slice_ids(data, starts, ends, plain)
+        cuts = np.concatenate(([0], np.cumsum(sizes)))[of_text]
+        yield from (ids[a:b].tolist() for a, b in zip(cuts, cuts[1:]))
+
+
+def test_words_with_signs_are_encoded_once():
+    """Signs, digits and capitals beside a word ask nothing new of the library."""
+    held, asked = token_files.WordIds(_described()), []
+    for name in ("encode", "encode_plain"):
+        monkey = getattr(held, name)
+        setattr(held, name, lambda pieces, f=monkey: (asked.extend(pieces.split()), f(pieces))[1])
+    texts = [f"{w}{s}" for w in ("stühle", "Stühle", "ÄRGERT", "thhetiin") for s in (",", ".", "!", "7", "12", "-weg", "")]
+    got = list(_coded(held, texts))
+    assert len(asked) == len(set(asked)) == 11  # stühle, ärgert, thhetiin, weg, four signs, and three digits
+    library = Tokenizer.from_str(_described())
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_cut_words_keep_the_library_s_ids():
+    """Apostrophes, special strings, marks that compose, signs among Latin letters, other scripts, odd spaces."""
+    library, held = Tokenizer.from_str(_described()), token_files.WordIds(_described())
+    odd = ["don't", "'tis", "a!'s", "I'LL'd", "x×y÷z", "ÀÉÞß", "éa,b", "ẹ́x", "<|endoftext|>", "a<|endoftext|>b", "<|ENDOFTEXT|>", "<|", "|>",
+           "ΟΔΟΣ,a", "日本,語7", "İx", "1234,5", "٣4", "²x", "ª1", "a\u0085b", "\x1ca\x7fb", "😀!a", "_a-b__c", "...", "KK", "ŒUVRE.", "ÿ", " a", "#1!é2"]
+    rng = np.random.default_rng(9)
+    letters = list("abAB09.,'!<|>éÀ×ßΣ́日 \t\n")
+    texts = odd + [" ".join(odd), "".join(odd), "", " "] + ["".join(rng.choice(letters, rng.integers(1, 40))) for _ in range(3_000)]
+    assert list(_coded(held, texts)) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_other_splitters_keep_whole_words():
+    described = _described().replace("[\\\\p{N}]|", "[\\\\p{N}]+|")
+    assert described != _described()
+    held = token_files.WordIds(described)
+    assert held.kinds is None
+    texts = ["abc123,d 45", "don't"]
+    library = Tokenizer.from_str(described)
+    assert list(_coded(held, texts)) == [library.encode(t, add_special_tokens=False).ids for t in texts]
