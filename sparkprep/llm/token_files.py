@@ -18,6 +18,8 @@ import json
 import os
 import re
 import struct
+import sys
+import types
 import zlib
 
 import numpy as np
@@ -241,13 +243,15 @@ class WordIds:
         self.begins, self.again = np.cumsum(self.sizes) - self.sizes, np.zeros(len(self.sizes), bool)
 
 
-_loaded: list[WordIds] = []  # of this worker: one tokenizer and the words it has met
-
-
 def _word_ids(described: str) -> WordIds:
-    if not _loaded or _loaded[0].described != described:
-        _loaded[:] = [WordIds(described)]
-    return _loaded[0]
+    """This worker's tokenizer and the words it has met.
+
+    The package travels by value, so its own globals are new in every task; what outlasts one stands among the modules.
+    """
+    kept = sys.modules.setdefault("sparkprep_kept", types.ModuleType("sparkprep_kept"))
+    if getattr(kept, "word_ids", None) is None or kept.word_ids.described != described:
+        kept.word_ids = WordIds(described)
+    return kept.word_ids
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",

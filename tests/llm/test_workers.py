@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark import cloudpickle
 from tokenizers import Tokenizer
 
 from sparkprep.llm import token_files, toxicity, words
@@ -88,3 +89,14 @@ def test_other_splitters_keep_whole_words():
     texts = ["abc123,d 45", "don't"]
     library = Tokenizer.from_str(described)
     assert list(_coded(held, texts)) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_worker_keeps_its_words_between_tasks():
+    """Each task unpickles the package's functions anew; the words met by an earlier one are still there."""
+    tasks = [cloudpickle.loads(cloudpickle.dumps(token_files._word_ids)) for _ in range(2)]
+    first = tasks[0](_described())
+    list(_coded(first, ["stühle, stühle", "a"]))
+    assert tasks[1](_described()) is first
+    assert len(tasks[1](_described()).hashes) == 3
+    other = _described() + " "
+    assert tasks[1](other) is not first
