@@ -35,6 +35,7 @@ from sparkprep.session import cut
 SHINGLE = 5
 SLOTS = 1 << 18
 _CHUNK = 1 << 13
+_SLICE = 500_000  # bytes of text a worker looks at together: its arrays take some 25 times that
 CENTERS = (0.0, 1.0, 1 / 3, 2 / 3)  # places among a group's classes, in the order of their keys
 BUCKET = 1_000_000  # elements in a bucket, about
 TILE = 1024
@@ -43,7 +44,7 @@ LISTED = 64  # open groups that a member carries; beyond these a pair may be giv
 
 def shingle_sets(texts, shingle: int = SHINGLE):
     """For each slice of an Arrow array of texts: (first row, offsets, hashes), with each row's distinct hashes sorted."""
-    for first, end, data, offsets in text_slices(texts):
+    for first, end, data, offsets in text_slices(texts, _SLICE):
         low = lower_ascii(data)
         starts, ends, of_text = word_places(low, offsets)
         words = word_hashes(low, starts, ends)

@@ -9,7 +9,7 @@ import pytest
 from pyspark import cloudpickle
 from tokenizers import Tokenizer
 
-from sparkprep.llm import token_files, toxicity, words
+from sparkprep.llm import jaccard_join, token_files, toxicity, words
 from sparkprep.llm.sentencepiece_unigram import encode_texts, load_vocabulary
 
 
@@ -44,6 +44,27 @@ def test_arrays_of_a_worker(spark, monkeypatch, stage):
     assert peak < 60e6, peak
 
 
+def _traced(work):
+    words._powers(words.SLICE_BYTES)  # held by every worker
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_arrays_of_shingles():
+    """The sets of op10 are made slice by slice, whatever the size of the batch; slices do not change them."""
+    texts = _batch(4).column(0).field(0)
+    n, peak = _traced(lambda: sum(len(offsets) - 1 for _, offsets, _ in jaccard_join.shingle_sets(texts)))
+    assert n == len(texts)
+    assert peak < 25e6, peak
+    firsts, sets = zip(*((first, [h[a:b].tolist() for a, b in zip(o, o[1:])]) for first, o, h in jaccard_join.shingle_sets(texts)))
+    assert len(firsts) > 4 and list(firsts) == np.cumsum([0, *map(len, sets)])[:-1].tolist()
+    alone = [next(iter(jaccard_join.shingle_sets(texts.slice(i, 1))))[2].tolist() for i in range(0, len(texts), 97)]
+    assert [x for s in sets for x in s][::97] == alone
+
+
 def _described():
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         return f.read()
