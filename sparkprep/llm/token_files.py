@@ -34,6 +34,7 @@ BLOCK_IDS = 4096
 SHARD_IDS = 1_000_000
 CACHE_WORDS = 1_000_000
 BATCH_WORDS = 20_000
+_SLICE = 500_000  # bytes of text a worker encodes together
 # The splitter whose tokens never hold letters with anything else, and never two digits; apostrophes are its one exception.
 _CLASSES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTER, _DIGIT, _SIGN, _OTHER, _SPACE = range(5)
@@ -289,7 +290,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 
         for b in batches:
             names = b.column(0).to_pylist()
-            for first, end, data, offsets in text_slices(b.column(1)):
+            for first, end, data, offsets in text_slices(b.column(1), _SLICE):
                 data, starts, ends, of_text, plain = encoder.cut(data, offsets)
                 ids, per_word = encoder.slice_ids(data, starts, ends, plain)
                 total = np.concatenate(([0], np.cumsum(per_word)))
